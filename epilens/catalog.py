@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from epilens.plans import trend  # noqa: F401
+from epilens.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from epilens.plans import maps, report, trend  # noqa: F401
+from epilens.plans import alerts, decision, maps, report, trend  # noqa: F401
 from epilens.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

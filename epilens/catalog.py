@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from epilens.plans import alerts, decision, maps, report, trend  # noqa: F401
+from epilens.operators import disease, scoring, triage  # noqa: F401
+from epilens.plans import alerts, decision, maps, report, texts, trend  # noqa: F401
 from epilens.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

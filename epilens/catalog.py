@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from epilens.operators import disease, scoring, triage  # noqa: F401
+from epilens.operators import assess, cluster, disease, duplicates, gazetteer, merge, scoring, triage  # noqa: F401
 from epilens.plans import alerts, decision, maps, report, texts, trend  # noqa: F401
 from epilens.registry import QUERIES, SQL
 

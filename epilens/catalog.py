@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from epilens.operators import assess, cluster, disease, duplicates, gazetteer, merge, scoring, triage  # noqa: F401
-from epilens.plans import alerts, decision, maps, report, texts, trend  # noqa: F401
+from epilens.plans import alerts, decision, maps, queue, report, texts, trend  # noqa: F401
+from epilens.sources import files  # noqa: F401
+from epilens.streaming import daily  # noqa: F401
 from epilens.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

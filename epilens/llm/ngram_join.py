@@ -10,10 +10,13 @@ never paired with each other.
    same total order in every document, which is all that exactness needs.
 2. A set of n shingles posts its first n - ceil(T n / 100) + 1 of them. Two
    linked sets share a posted shingle. Lists with one set only are dropped.
-3. In each list, neighbours by size become candidates if they pass the length
+3. In each list, every set and the list's first set (by signature, so that lists
+   of similar documents agree on it) become candidates if they pass the length
    filter, the positional filter (shingles before and after the shared one
-   bound the overlap) and the suffix filter (so do counts by hash range). Each
-   candidate pair is verified once, on the whole sets.
+   bound the overlap) and the suffix filter: a bitmap keeps the parity of the
+   number of shingles in each of 256 hash cells, and each shingle that two sets
+   don't share flips one bit, so the bits that differ bound the sets' distance
+   from below. Each candidate pair is verified once, on the whole sets.
 4. Verified links give components. What is left to find are links between
    components: for each list, rows outside its most frequent component are
    paired with rows of other components, filtered and verified as before.
@@ -41,10 +44,9 @@ from pyspark.sql import functions as F
 from epilens.llm.common import Scratch, connected, keep_ids
 from epilens.llm.textbytes import LOWER, NOT_SPACE, blocks, mix, sequence_hash, span_hash, words
 
-#: Hash cells: 8 for each document within these powers of two; one byte each when broadcast.
-CELL_BITS = (20, 23)
+#: Hash cells: 16 for each document within these powers of two; one byte each when broadcast.
+CELL_BITS = (20, 22)
 CHUNK_BITS = 14
-RANGES = 16
 
 
 def shingle_sets(raw: np.ndarray, bounds: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -69,13 +71,19 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-_INFO = "doc_id long, n int, sig long, sig2 long, ranges array<int>, chunk int, counts binary"
+def parity_bitmap(s: np.ndarray) -> list[int]:
+    """256 bits as four longs: whether a hash cell has an odd number of the set's shingles."""
+    odd = (np.bincount((s >> np.uint64(24)).astype(np.int64) & 255, minlength=256) & 1).astype(np.uint8)
+    return np.packbits(odd).view("<i8").tolist()
+
+
+_INFO = "doc_id long, n int, sig long, sig2 long, bits array<long>, chunk int, counts binary"
 
 
 def _describe(width: int, bits: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, waiting, pending = np.zeros(1 << bits, np.uint32), [], 0
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
         names = [x.split()[0] for x in _INFO.split(", ")]
 
         def count() -> None:
@@ -87,7 +95,7 @@ def _describe(width: int, bits: int):
             rows = []
             for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(raw, bounds, width), strict=True):
                 a, b = signature(s)
-                rows.append((doc_id, len(s), a, b, np.bincount((s >> np.uint64(20)).astype(np.int64) & (RANGES - 1), minlength=RANGES).tolist(), None, None))
+                rows.append((doc_id, len(s), a, b, parity_bitmap(s), None, None))
                 waiting.append(s)
                 pending += len(s)
             if pending > 4 << 20:
@@ -180,18 +188,17 @@ class NgramJoin:
     def __init__(self, spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80):
         self.scratch, self.width, self.percent = Scratch(spark), width, percent
         self.docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        bits = int(np.clip(np.log2(max(1, 8 * self.docs.count())).round(), *CELL_BITS))
+        bits = int(np.clip(np.log2(max(1, 16 * self.docs.count())).round(), *CELL_BITS))
         described = self.scratch.table(self.docs.mapInArrow(_describe(width, bits), _INFO), "described")
         self.info = described.where("n is not null").drop("chunk", "counts")
         ranks = cell_ranks(described.where("chunk is not null").select("chunk", "counts"), bits)
-        classes = self.info.where("n > 0 and doc_id is not null").groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("rep"), F.max("ranges").alias("ranges"))
+        classes = self.info.where("n > 0 and doc_id is not null").groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"))
         self.classes = self.scratch.table(classes, "classes")
 
         posts = self.docs.where("doc_id is not null").mapInArrow(_post(spark.sparkContext.broadcast(ranks), width, bits, percent), _POSTS)
-        near = Window.partitionBy("token").orderBy("n", "sig")
-        before = F.lag(F.struct("sig", "n", "pos")).over(near)
-        posts = posts.withColumns({"before": before, "after": F.lead("sig").over(near)})
-        self.posts = self.scratch.table(posts.where("before.sig <> sig or after <> sig").drop("after"), "posts")
+        order = Window.partitionBy("token").orderBy("sig")
+        posts = posts.withColumns({"lead": F.first(F.struct("sig", "n", "pos")).over(order), "after": F.lead("sig").over(order)})
+        self.posts = self.scratch.table(posts.where("lead.sig <> sig or after <> sig").drop("after"), "posts")
 
     def _passes(self, n: str, pos: str, m: str, qos: str) -> F.Column:
         """Length and positional filters for sizes n and m and places pos and qos of a shared shingle."""
@@ -200,29 +207,34 @@ class NgramJoin:
         bound = f"1 + least({pos}, {qos}) + least({n} - {pos}, {m} - {qos}) - 1"
         return F.expr(f"{length} and {100 + t} * ({bound}) >= {t} * ({n} + {m})")
 
-    def neighbours(self) -> DataFrame:
-        """(a, b) signatures of candidates next to each other in a list."""
-        near = self.posts.where("before.sig <> sig").where(self._passes("n", "pos", "before.n", "before.pos"))
-        return near.select(F.least("sig", "before.sig").alias("a"), F.greatest("sig", "before.sig").alias("b")).distinct()
+    def _alike(self, n: str, bits: str, m: str, mits: str) -> F.Column:
+        """Suffix filter: bits that differ are at most the distance n + m - 2 overlap that a link allows."""
+        t = self.percent
+        differ = " + ".join(f"bit_count({bits}[{k}] ^ {mits}[{k}])" for k in range(4))
+        return F.expr(f"({100 + t}) * ({differ}) <= ({100 - t}) * ({n} + {m})")
+
+    def leads(self) -> DataFrame:
+        """(a, b) signatures of candidates: the members of a list with its first set."""
+        near = self.posts.where("lead.sig <> sig").where(self._passes("n", "pos", "lead.n", "lead.pos"))
+        return near.select(F.least("sig", "lead.sig").alias("a"), F.greatest("sig", "lead.sig").alias("b")).distinct()
 
     def across(self, components: DataFrame) -> DataFrame:
         """(a, b) signatures of all candidates that lie in different components."""
-        of = self.classes.select("sig", "rep").join(components.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        of = of.groupBy("sig").agg(F.min(F.coalesce("component", "rep")).alias("c"))
+        of = self.classes.select("sig", "rep", "bits").join(components.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        of = of.select("sig", "bits", F.coalesce("component", "rep").alias("c"))
         rows = self.scratch.table(self.posts.select("token", "sig", "n", "pos").distinct().join(of, "sig"), "rows")
         counts = rows.groupBy("token", "c").agg(F.count("*").alias("k"))
         most = counts.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.count("*").alias("cs")).where("cs > 1").drop("cs")
         rows = self.scratch.table(rows.join(most, "token"), "mixed")
-        others = rows.where("c <> most").select("token", F.col("sig").alias("sig1"), F.col("n").alias("n1"), F.col("pos").alias("pos1"), F.col("c").alias("c1"))
-        met = others.join(rows, "token").where("c <> c1").where(self._passes("n", "pos", "n1", "pos1"))
+        others = rows.where("c <> most").select("token", F.col("sig").alias("sig1"), F.col("n").alias("n1"), F.col("pos").alias("pos1"), F.col("c").alias("c1"), F.col("bits").alias("bits1"))
+        met = others.join(rows, "token").where("c <> c1").where(self._passes("n", "pos", "n1", "pos1")).where(self._alike("n", "bits", "n1", "bits1"))
         return met.select(F.least("sig", "sig1").alias("a"), F.greatest("sig", "sig1").alias("b")).distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(a, b, both, either) of the pairs that link, by class representative."""
-        side = lambda x: self.classes.select(F.col("sig").alias(x), F.col("rep").alias(f"{x}_rep"), F.col("n").alias(f"{x}_n"), F.col("ranges").alias(f"{x}_ranges"))
+        side = lambda x: self.classes.select(F.col("sig").alias(x), F.col("rep").alias(f"{x}_rep"), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
         met = pairs.join(side("a"), "a").join(side("b"), "b").where("a_rep <> b_rep")
-        shared = F.aggregate(F.zip_with("a_ranges", "b_ranges", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-        met = met.where((100 + self.percent) * shared >= self.percent * (F.col("a_n") + F.col("b_n"))).select("a", "b", "a_rep", "b_rep")
+        met = met.where(self._alike("a_n", "a_bits", "b_n", "b_bits")).select("a", "b", "a_rep", "b_rep")
         met = self.scratch.table(met, "candidates")
         ids = met.select(F.col("a_rep").alias("doc_id")).union(met.select("b_rep")).distinct()
         ids = self.scratch.table(ids, "ids")
@@ -235,7 +247,7 @@ class NgramJoin:
 
     def components(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
-        first = self.scratch.table(self.neighbours(), "neighbours")
+        first = self.scratch.table(self.leads(), "leads")
         links = self.verified(first).select("a", "b")
         parts = self.scratch.table(connected(self.scratch, links), "parts")
         rest = self.scratch.table(self.across(parts).join(first, ["a", "b"], "left_anti"), "rest")
@@ -253,7 +265,7 @@ class NgramJoin:
 
     def membership(self) -> DataFrame:
         """doc_id, representative of every row with words."""
-        return self.info.join(self.classes.drop("ranges"), ["sig", "sig2", "n"]).select("doc_id", F.col("rep").alias("representative"))
+        return self.info.join(self.classes.drop("bits"), ["sig", "sig2", "n"]).select("doc_id", F.col("rep").alias("representative"))
 
 
 def ngram_components(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -7,7 +7,10 @@ spread and joins them in opposite order, largest with smallest.
 Groups are dealt by the hash of their key into batches of about `batch`
 groups; each batch is differenced in its own task down to one partial
 partition. Those are differenced again, `FAN` at a time, until one is left.
-A group's shard is found by following its slot up the levels.
+Groups so large that they would unbalance a batch, more than 1/64 of a shard's
+share, skip the batches and enter the last differencing one by one: there are
+at most 64 for each shard. A group's shard is found by following its slot up
+the levels.
 
 A group with more than 1/k of all bytes makes its shard that large: it can't
 be split by contract. The batches' tasks see one row per group, so a group
@@ -31,6 +34,7 @@ from epilens.llm.common import Scratch
 
 BATCH = 4096
 FAN = 512
+HEAVY = 64
 ROW_BYTES = 16
 
 
@@ -101,21 +105,30 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = 40, batch: int = B
     rows = docs.select("doc_id", (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("key"))
     rows = scratch.table(rows, "rows")
     groups = scratch.table(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "groups")
-    n = max(1, math.ceil(groups.count() / batch))
-
-    dealt = groups.withColumn("batch", F.pmod(F.xxhash64("key"), F.lit(n)))
-    items = dealt.groupBy("batch").applyInPandas(_difference_items(shards), "batch long, key binary, bytes long, slot int")
-    items = scratch.table(items, "items")
-    sums = items.groupBy("batch", "slot").agg(F.sum("bytes").alias("bytes"))
+    total = groups.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    n = max(1, math.ceil(total["n"] / batch))
+    heavy = F.col("bytes") * (HEAVY * shards) > F.lit(total["bytes"] or 0)
+
+    dealt = groups.where(~heavy).withColumn("batch", F.pmod(F.xxhash64("key"), F.lit(n)))
+    light = dealt.groupBy("batch").applyInPandas(_difference_items(shards), "batch long, key binary, bytes long, slot int")
+    number = -F.row_number().over(Window.orderBy(F.desc("bytes"), "key")).cast("long")  # at most HEAVY * shards rows
+    large = groups.where(heavy).select(number.alias("batch"), "key", "bytes", F.lit(0).alias("slot"))
+    items = scratch.table(light.unionByName(large), "items")
+    sums = items.where("batch >= 0").groupBy("batch", "slot").agg(F.sum("bytes").alias("bytes"))
     steps = items.select("batch", "slot").distinct().select(F.col("batch").alias("first"), F.col("slot").alias("first_slot"), "batch", "slot")
+    single = items.where("batch < 0").select("batch", "slot", "bytes")
+    schema = "batch long, slot int, parent long, up int, bytes long"
     while True:
-        up = sums.withColumn("parent", F.expr(f"batch div {FAN}")).groupBy("parent").applyInPandas(_difference_parts(shards), "batch long, slot int, parent long, up int, bytes long")
-        up = scratch.table(up, "level")
-        steps = steps.join(up.drop("bytes"), ["batch", "slot"]).select("first", "first_slot", F.col("parent").alias("batch"), F.col("up").alias("slot"))
+        last = n <= FAN
+        parts = sums.unionByName(single).withColumn("parent", F.lit(0).cast("long")) if last else sums.withColumn("parent", F.expr(f"batch div {FAN}"))
+        up = scratch.table(parts.groupBy("parent").applyInPandas(_difference_parts(shards), schema), "level")
+        moved = steps.join(up.drop("bytes"), ["batch", "slot"]).select("first", "first_slot", F.col("parent").alias("batch"), F.col("up").alias("slot"))
+        if last:
+            steps = moved
+            break
+        steps = moved.unionByName(steps.where("batch < 0"))
         sums = up.groupBy(F.col("parent").alias("batch"), F.col("up").alias("slot")).agg(F.sum("bytes").alias("bytes"))
         n = math.ceil(n / FAN)
-        if n <= 1:
-            break
     steps = scratch.table(steps.select(F.col("first").alias("batch"), F.col("first_slot").alias("slot0"), F.col("slot").alias("shard")), "steps")
     places = items.withColumnRenamed("slot", "slot0").join(steps, ["batch", "slot0"]).select("key", "shard")
 

@@ -184,7 +184,7 @@ def _writer(folder: str, vocabulary: str, end_id: int, file_tokens: int):
             writer.close()
             sink.close()
             files.move(f"{base}/.{name}", f"{base}/{name}")
-            done.append((name, low, writer.entries, writer.tokens))
+            done.append((name, low, len(done), writer.entries, writer.tokens))
 
         for batch, raw, bounds in blocks(batches):
             ids, at = encoder.encode(raw, bounds)
@@ -202,21 +202,25 @@ def _writer(folder: str, vocabulary: str, end_id: int, file_tokens: int):
                     writer = None
         if writer is not None:
             close()
-        names, lows, entries, tokens = zip(*done, strict=True) if done else ([], [], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(lows, pa.int64()), pa.array(entries, pa.int64()), pa.array(tokens, pa.int64())], ["file", "low", "entries", "tokens"])
+        columns = list(zip(*done, strict=True)) if done else [[]] * 5
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["file", "low", "at", "entries", "tokens"])
 
     return run
 
 
 def write_tables(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 1, folder: str | None = None, file_tokens: int = FILE_TOKENS) -> tuple[str, DataFrame]:
-    """Writes the files; returns their folder and one row per file: file, part, at, entries, tokens, in key order by (part, at)."""
+    """Writes the files; returns their folder and one row per file: file, low, at, entries, tokens; key order is by (low, at).
+
+    Files with the same lowest doc_id come from one task, which numbers its files.
+    """
     scratch = Scratch(spark)
     folder = folder or f"{scratch.path}/sst"
     files, base = open_fs(folder)
     files.create_dir(base, recursive=True)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
-    listed = ordered.mapInArrow(_writer(folder, vocabulary, end_id, file_tokens), "file string, low long, entries long, tokens long")
+    listed = ordered.mapInArrow(_writer(folder, vocabulary, end_id, file_tokens), "file string, low long, at long, entries long, tokens long")
     return folder, scratch.table(listed, "manifest")
 
 
@@ -249,7 +253,7 @@ def read_tables(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
 
     The window over the manifest orders files, not rows: about one row for 64 MB of ids.
     """
-    order = Window.orderBy(F.asc_nulls_first("low"), F.asc_nulls_first("file"))
+    order = Window.orderBy(F.asc_nulls_first("low"), "at")
     starts = manifest.where("entries > 0").select("file", F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return starts.repartition(parts).mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")

@@ -222,12 +222,15 @@ class NgramJoin:
         """(a, b) signatures of all candidates that lie in different components."""
         of = self.classes.select("sig", "rep", "bits").join(components.select(F.col("node").alias("rep"), "component"), "rep", "left")
         of = of.select("sig", "bits", F.coalesce("component", "rep").alias("c"))
-        rows = self.scratch.table(self.posts.select("token", "sig", "n", "pos").distinct().join(of, "sig"), "rows")
+        rows = self.posts.select("token", "sig", "n", "pos").distinct().join(of, "sig")
+        rows = self.scratch.table(rows.withColumn("prev", F.lag("token").over(Window.partitionBy("sig").orderBy("pos"))), "rows")
         counts = rows.groupBy("token", "c").agg(F.count("*").alias("k"))
         most = counts.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.count("*").alias("cs")).where("cs > 1").drop("cs")
         rows = self.scratch.table(rows.join(most, "token"), "mixed")
-        others = rows.where("c <> most").select("token", F.col("sig").alias("sig1"), F.col("n").alias("n1"), F.col("pos").alias("pos1"), F.col("c").alias("c1"), F.col("bits").alias("bits1"))
-        met = others.join(rows, "token").where("c <> c1").where(self._passes("n", "pos", "n1", "pos1")).where(self._alike("n", "bits", "n1", "bits1"))
+        others = rows.where("c <> most").select("token", F.col("sig").alias("sig1"), F.col("n").alias("n1"), F.col("pos").alias("pos1"), F.col("c").alias("c1"), F.col("bits").alias("bits1"), F.col("prev").alias("prev1"))
+        # Sets that share the shingle before this one met there: a pair meets where their lists begin to agree.
+        first = "prev is null or prev1 is null or prev <> prev1"
+        met = others.join(rows, "token").where("c <> c1").where(first).where(self._passes("n", "pos", "n1", "pos1")).where(self._alike("n", "bits", "n1", "bits1"))
         return met.select(F.least("sig", "sig1").alias("a"), F.greatest("sig", "sig1").alias("b")).distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:

@@ -10,8 +10,9 @@ never paired with each other.
    same total order in every document, which is all that exactness needs.
 2. A set of n shingles posts its first n - ceil(T n / 100) + 1 of them. Two
    linked sets share a posted shingle. Lists with one set only are dropped.
-3. In each list, every set and the list's first set (by signature, so that lists
-   of similar documents agree on it) become candidates if they pass the length
+3. In each list, every set and the list's lead become candidates. The lead is the
+   set with the fewest rarer shingles before the shared one: among variants of a
+   text, the one with the fewest changes. A candidate pair must pass the length
    filter, the positional filter (shingles before and after the shared one
    bound the overlap) and the suffix filter: a bitmap keeps the parity of the
    number of shingles in each of 256 hash cells, and each shingle that two sets
@@ -196,7 +197,7 @@ class NgramJoin:
         self.classes = self.scratch.table(classes, "classes")
 
         posts = self.docs.where("doc_id is not null").mapInArrow(_post(spark.sparkContext.broadcast(ranks), width, bits, percent), _POSTS)
-        order = Window.partitionBy("token").orderBy("sig")
+        order = Window.partitionBy("token").orderBy("pos", "sig")
         posts = posts.withColumns({"lead": F.first(F.struct("sig", "n", "pos")).over(order), "after": F.lead("sig").over(order)})
         self.posts = self.scratch.table(posts.where("lead.sig <> sig or after <> sig").drop("after"), "posts")
 

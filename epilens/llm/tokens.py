@@ -16,8 +16,8 @@ import numpy as np
 from epilens.llm.textbytes import span_hash
 
 #: Distinct parts kept per process; the cache starts anew beyond it.
-CACHE_PARTS = 1_500_000
-_TABLE = 1 << 22
+CACHE_PARTS = 500_000
+_TABLE = 1 << 20
 
 _GRAPH = np.zeros(256, bool)
 _GRAPH[0x21:0x7F] = True

@@ -13,11 +13,12 @@ repeated groups `(...)+`. Wrappers are inferred by aligning structures:
    becomes optional, a group against a repeat of it becomes the repeat;
 3. a wrapper's text slots carry the chain of elements they stand in. Slots
    within menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-   styles or reader comments are not content. If a wrapper has an article (or
-   else a main) element, content is within it only.
+   styles or reader comments are not content.
 
 Extraction replays a page's tokens over its host's wrapper: each text slot
-gets the label of the wrapper's slot with the same chain of elements.
+gets the label of the wrapper's slot with the same chain of elements. If the
+page itself has text in an article (or else a main) element, its content is
+within that only; pages of one host may differ in this.
 
 Cases: null or empty html gives empty text; a page without url or with an odd
 url belongs to host ''; unclosed and stray tags are tolerated; character
@@ -39,8 +40,8 @@ from pyspark.sql import functions as F
 from epilens.llm.common import BROADCAST_ROWS, Scratch
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-_HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
+_UNSEEN = re.compile(r"(?<![\w-])(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![\w-])")
 _SPACE = re.compile(r"\s+")
 
 RAW = frozenset({"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noframes"})
@@ -51,26 +52,45 @@ CLOSES = {"p": BLOCK, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "d
 BOILER_TAGS = frozenset({"nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "head", "title", "button", "select", "option", "textarea", "menu", "dialog", "input", "label", "fieldset", "svg", "canvas", "object", "xmp", "noframes"})
 BOILER_WORDS = frozenset("ad ads advert adverts advertisement advertising adslot banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer sidebar aside rail widget related recommended comment comments commentlist disqus reply replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social pagination pager toolbar toc hidden".split())
 BOILER_ROLES = frozenset({"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "note"})
-#: Words that do not make the article element itself, or the page, boilerplate.
+COMMENT_WORDS = frozenset({"comment", "comments"})
+#: Words of a class or id that only say where or how a part stands: "site-header", "comment-list".
+PLAIN_WORDS = frozenset("site main global primary secondary top bottom left right upper lower inner outer box block area wrapper wrap container list item items link links section bar buttons button icons posts user reader".split())
+#: The element itself, or the page, is not boilerplate for its class, id or role.
 KEPT_TAGS = frozenset({"html", "body", "article", "main"})
 
 
+def _names(value: str, words: frozenset[str]) -> bool:
+    """Whether a class or id token is one of the words, or is made of them and of plain words.
+
+    "has-sidebar" and "overflow-hidden" are layout: their other word is neither.
+    """
+    for token in value.split():
+        parts = [w for w in re.split(r"[^a-z]+", token) if len(w) > 1]
+        if any(w in words for w in parts) and all(w in words or w in BOILER_WORDS or w in PLAIN_WORDS for w in parts):
+            return True
+    return False
+
+
 def _kind(tag: str, attributes: str) -> str:
-    """The token's name: tag, and ! if it or its class, id or role names boilerplate."""
+    """The token's name: tag, and ! if it is boilerplate by itself, by its class, id or role, or is not shown."""
     if tag in BOILER_TAGS:
         return f"{tag}!"
-    if tag not in KEPT_TAGS and attributes:
-        if _HIDDEN.search(attributes):
+    if not attributes or tag in KEPT_TAGS and tag != "article":
+        return tag
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), html_lib.unescape(m[2] or m[3] or m[4] or "").lower()
+        if tag == "article":  # a reader's comment marked up as an article
+            boiler = name in ("class", "id") and _names(value, COMMENT_WORDS)
+        elif name in ("class", "id"):
+            boiler = _names(value, BOILER_WORDS)
+        elif name == "role":
+            boiler = value.strip() in BOILER_ROLES
+        elif name == "style":
+            boiler = bool(_UNSEEN.search(value))
+        else:
+            boiler = name == "hidden" and value.strip() != "false" or name == "aria-hidden" and value.strip() == "true"
+        if boiler:
             return f"{tag}!"
-        for m in _ATTRIBUTE.finditer(attributes):
-            value = html_lib.unescape(m[2] or m[3] or m[4] or "").lower()
-            if m[1].lower() == "role":
-                if value.strip() in BOILER_ROLES:
-                    return f"{tag}!"
-            elif any(w in BOILER_WORDS for w in re.split(r"[^a-z]+", value)):
-                return f"{tag}!"
-    elif tag == "article" and attributes and (m := _ATTRIBUTE.search(attributes)) and re.search(r"(?<![a-z])comments?(?![a-z])", (m[2] or m[3] or m[4] or "").lower()):
-        return "article!"  # a reader's comment marked up as an article
     return tag
 
 
@@ -248,13 +268,14 @@ def labels(nodes: tuple[Node, ...]) -> dict[tuple[str, ...], bool]:
                 walk(children, (*chain, kind))
 
     walk(nodes, ())
-    clean = [c for c in set(chains) if not any(k.endswith("!") for k in c)]
-    root = next((r for r in ("article", "main") if any(r in c for c in clean)), None)
-    return {c: c in clean and (root is None or root in c) for c in set(chains)}
+    return {c: not any(k.endswith("!") for k in c) for c in set(chains)}
 
 
 def main_text(source: str, content: dict[tuple[str, ...], bool]) -> str:
     """Blocks of the slots that are content, white space in a block as one space."""
+    events = list(slots(source))
+    seen = {k for sign, chain, value in events if sign == "#" and content.get(chain, False) and value.strip() for k in chain}
+    root = next((r for r in ("article", "main") if r in seen), None)
     found: list[str] = []
     now: list[str] = []
 
@@ -264,9 +285,9 @@ def main_text(source: str, content: dict[tuple[str, ...], bool]) -> str:
             found.append(text)
         now.clear()
 
-    for sign, chain, value in slots(source):
+    for sign, chain, value in events:
         if sign == "#":
-            if content.get(chain, False):
+            if content.get(chain, False) and (root is None or root in chain):
                 now.append(value)
         elif value.rstrip("!") in BLOCK:
             close()

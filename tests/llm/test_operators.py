@@ -127,6 +127,27 @@ def test_pages(spark):
     assert extract_main_text(spark, pages.limit(0)).count() == 0
 
 
+def test_pages_of_mixed_templates(spark):
+    rows = [(1, PAGE, None), (2, "plain < text &lt;b&gt;", "plain < text <b>"), (3, "<main><p>in main</p></main><div>out</div>", "in main"), (4, "<div><p>in div</p></div><footer>f</footer>", "in div"), (5, "<article hidden-x><p>in article</p></article><main>no</main>", "in article")]
+    pages = spark.createDataFrame([(i, "http://a.example/x", h) for i, h, _ in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_main_text(spark, pages).collect()}
+    assert got[1].endswith("tail") and all(got[i] == want for i, _, want in rows[1:])
+
+
+@pytest.mark.parametrize("attributes", ['style="overflow:hidden"', 'class="overflow-hidden"', 'class="content has-sidebar"', "id=no-footer", 'data-state="hidden"', 'title="hidden"', 'class="layout-with-header"', 'hidden="false"', 'data-class="ad"'])
+def test_layout_attributes_are_content(attributes):
+    page = f"<div {attributes}><p>text</p></div>"
+    assert main_text(page, labels(structure(page))) == "text"
+    page = f"<article {attributes.replace('sidebar', 'comments')}><p>text</p></article>"
+    assert main_text(page, labels(structure(page))) == "text"
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "aria-hidden=true", 'style="color:red; display : none"', 'style="visibility:hidden"', 'class="box ad"', 'class="cookie-notice"', 'id="site-header"', 'class="ad-300x250"', "role=navigation"])
+def test_boilerplate_attributes(attributes):
+    page = f"<div {attributes}><p>menu</p></div><p>text</p>"
+    assert main_text(page, labels(structure(page))) == "text"
+
+
 # 3 ---------------------------------------------------------------------------------------------------
 
 

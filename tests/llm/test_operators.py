@@ -207,6 +207,22 @@ def test_sstable(spark, docs, empty):
     assert read_tables(spark, folder, manifest).count() == 0
 
 
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y <|endoftext|><|endoftext|>  z\n<|startoftext|> é <|endoftext|>é", "plain"]
+
+
+def test_special_tokens_in_texts(spark):
+    """The library's default: a literal special token has its own id."""
+    d = table(spark, list(enumerate(SPECIAL)))
+    ids = lambda path, text, end: [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, end]
+    start = 0
+    for r in sorted(read_tables(spark, *write_tables(spark, d, WORD, end_id=1)).collect(), key=lambda r: r.doc_id):
+        want = ids(WORD, SPECIAL[r.doc_id], 1)
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(want), crc(want))
+        start += len(want)
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in pack(spark, d, BYTE, end_id=0, capacity=256).collect()}
+    assert got == {i: (len(x := ids(BYTE, t, 0)), crc(x)) for i, t in enumerate(SPECIAL)}
+
+
 def test_best_fit():
     bins, offsets = best_fit(__import__("numpy").array([6, 4, 5, 5, 10]), 10)
     assert len(set(bins.tolist())) == 3 and offsets.tolist()[4] == 0

@@ -285,6 +285,14 @@ def test_pii(spark, real):
         assert r.base_sha256 == hashlib.sha256(base_spans(texts[r.doc_id]).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("after", [" BIC COBADEFFXXX end", " EUR 500", " B", " BIc", "", ".", " DE89370400440532013001"])
+def test_iban_before_other_words(after):
+    for iban in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO9386011117947", "MT84MALT011000012345MTLCAST001S"):
+        assert ("iban", 5, 5 + len(iban)) in [s[:3] for s in spans_of(f"IBAN {iban}{after}")]
+    assert [s[1:3] for s in spans_of("IBAN AB12 3456 7890 1234 DE89370400440532013000") if s[0] == "iban"] == [(25, 47)]
+    assert not [s for s in spans_of("IBAN DE89370400440532013000X") if s[0] == "iban"]
+
+
 # 7 ---------------------------------------------------------------------------------------------------
 
 

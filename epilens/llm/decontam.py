@@ -8,7 +8,10 @@ one of all its words if they are fewer. For each window, a segment that has
 all its terms starts from the posting list of the rarest, shifts it by the
 term's place in the window, and intersects it with the shifted lists of the
 next rarest until none is left: what remains are exact phrase matches.
-A window is near a place where its rarest terms occur within `slop` words.
+A document is near a window if three quarters of the window's distinct terms
+occur in it within `slop` words. One of them is then among the rarest quarter
+and one, so only the postings of these are tried; which they are in a segment
+does not change the result.
 
 Words are compared by 64-bit hashes; a wrong phrase match needs a collision
 in each differing word.
@@ -18,7 +21,8 @@ the whole index, so it may be as large as it likes; the windows of all blocks
 are joined by document.
 
 Cases: null or empty text has no words and is never contaminated; items
-without words match nothing; item_ids that repeat count once; rows with equal
+without words match nothing; item_ids that repeat count once; a null item_id
+is an item that the digest of ids leaves out; rows with equal
 or null doc_id stay apart by row; a document longer than a segment is a
 segment of its own.
 """
@@ -41,7 +45,6 @@ from epilens.llm.textbytes import ALNUM, LOWER, blocks, span_hash, words
 
 WINDOW = 13
 BENCHMARK_BLOCK = 2 << 20
-NEAR_TERMS = 3
 
 _SEGMENT = "rows binary, doc_ids array<long>, bounds array<long>, terms binary, counts binary, gaps binary"
 
@@ -86,7 +89,7 @@ def build_index(docs: DataFrame) -> DataFrame:
 class Queries:
     """Windows of a block of items, as places in a sorted list of distinct terms."""
 
-    def __init__(self, items: list[tuple[int, str | None]], width: int = WINDOW):
+    def __init__(self, items: list[tuple[int | None, str | None]], width: int = WINDOW):
         texts = pa.array([t for _, t in items], pa.large_string())
         from epilens.llm.textbytes import utf8
 
@@ -101,6 +104,10 @@ class Queries:
                 owners.append(item)
         self.windows = np.array(rows, np.int64).reshape(-1, width)
         self.lens, self.owners = np.array(lens, np.int64), np.array(owners, object)
+        # The first place of each distinct term, and how many of these make a place near.
+        self.first = np.array([[k == row.index(t) for k, t in enumerate(row)] for row in self.windows.tolist()], bool).reshape(-1, width)
+        distinct = self.first.sum(axis=1)
+        self.need = distinct - distinct // 4
 
 
 class Segment:
@@ -130,10 +137,6 @@ def _member(values: np.ndarray, sorted_in: np.ndarray) -> np.ndarray:
     return sorted_in[at] == values
 
 
-def _close(values: np.ndarray, sorted_in: np.ndarray, slop: int) -> np.ndarray:
-    return np.searchsorted(sorted_in, values + slop, "right") > np.searchsorted(sorted_in, values - slop)
-
-
 def phrase_starts(segment: Segment, places: np.ndarray, n: int) -> np.ndarray:
     """Where the n terms stand one after the other."""
     rarest = np.argsort(segment.counts[places[:n]], kind="stable").tolist()
@@ -145,14 +148,35 @@ def phrase_starts(segment: Segment, places: np.ndarray, n: int) -> np.ndarray:
     return starts
 
 
-def near_places(segment: Segment, places: np.ndarray, n: int, slop: int) -> np.ndarray:
-    """Positions of the rarest term that have the next rarest within slop words."""
-    distinct = np.unique(places[:n])
-    rarest = distinct[np.argsort(segment.counts[distinct], kind="stable")][:NEAR_TERMS]
-    at = segment.postings(rarest[0])
-    for p in rarest[1:]:
-        at = at[_close(at, segment.postings(p), slop)]
-    return at
+def near_docs(segment: Segment, places: np.ndarray, need: int, slop: int, bounds: np.ndarray, known: np.ndarray) -> list[int]:
+    """Documents, not known before, where `need` of the distinct terms (-1 if absent) stand within slop words."""
+    here = places[places >= 0]
+    here = here[np.argsort(segment.counts[here], kind="stable")].tolist()
+    posts = [segment.postings(p) for p in here]
+    at = np.concatenate(posts[: len(here) - need + 1])
+    doc = np.searchsorted(bounds, at, "right") - 1
+    new = ~known[doc]
+    doc, at = doc[new], at[new]
+    low, high = np.maximum(at - slop, bounds[doc]), np.minimum(at + slop, bounds[doc + 1] - 1)
+    missed = np.zeros(len(at), np.int64)
+    for post in posts:
+        if not len(missed):
+            return []
+        missed += np.searchsorted(post, high, "right") == np.searchsorted(post, low)
+        if (out := missed > len(here) - need).any():
+            doc, low, high, missed = doc[~out], low[~out], high[~out], missed[~out]
+    found: dict[int, bool] = {}
+    for d, a, b in zip(doc.tolist(), low.tolist(), high.tolist(), strict=True):
+        if found.get(d):
+            continue
+        spots = sorted((p, k) for k, post in enumerate(posts) for p in post[np.searchsorted(post, a) : np.searchsorted(post, b, "right")].tolist())
+        last: dict[int, int] = {}
+        for p, k in spots:
+            last[k] = p
+            if len(last) >= need and sum(q >= p - slop for q in last.values()) >= need:
+                found[d] = True
+                break
+    return list(found)
 
 
 _HITS = "row long, doc_id long, n_words long, runs array<struct<s:long,e:long>>, items array<long>, near array<long>"
@@ -165,22 +189,28 @@ def _search(queries, slop: int):
             for r in batch.to_pylist():
                 bounds = np.array(r["bounds"], np.int64)
                 segment = Segment(r["terms"], r["counts"], r["gaps"])
-                runs, items, near = defaultdict(list), defaultdict(set), defaultdict(set)
+                runs, items, near = defaultdict(list), defaultdict(set), {}
+                n_docs = len(r["doc_ids"])
                 if len(q.windows):
                     here = segment.places(q.terms)[q.windows]
-                    for w in np.flatnonzero((here >= 0).all(axis=1)).tolist():
+                    present = here >= 0
+                    whole = present.all(axis=1)
+                    for w in np.flatnonzero((present & q.first).sum(axis=1) >= q.need).tolist():
                         n = int(q.lens[w])
-                        found = phrase_starts(segment, here[w], n)
-                        if len(found):
+                        known = near.setdefault(q.owners[w], np.zeros(n_docs, bool))
+                        if whole[w] and len(found := phrase_starts(segment, here[w], n)):
                             doc = np.searchsorted(bounds, found, "right") - 1
                             inside = found + n <= bounds[doc + 1]
                             for d, s in zip(doc[inside].tolist(), found[inside].tolist(), strict=True):
                                 runs[d].append((s - bounds[d], s - bounds[d] + n))
                                 items[d].add(q.owners[w])
-                        at = near_places(segment, here[w], n, slop)
-                        for d in np.unique(np.searchsorted(bounds, at, "right") - 1).tolist():
-                            near[d].add(q.owners[w])
-                n_docs = len(r["doc_ids"])
+                            if n <= slop:
+                                known[doc[inside]] = True
+                        known[near_docs(segment, here[w][q.first[w]], int(q.need[w]), slop, bounds, known)] = True
+                close = defaultdict(set)
+                for owner, known in near.items():
+                    for d in np.flatnonzero(known).tolist():
+                        close[d].add(owner)
                 joined = [_union(runs.get(d, [])) for d in range(n_docs)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -188,8 +218,8 @@ def _search(queries, slop: int):
                         pa.array(r["doc_ids"], pa.int64()),
                         pa.array(np.diff(bounds), pa.int64()),
                         pa.array([[{"s": s, "e": e} for s, e in x] for x in joined], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))),
-                        pa.array([sorted(items.get(d, ())) for d in range(n_docs)], pa.list_(pa.int64())),
-                        pa.array([sorted(near.get(d, ())) for d in range(n_docs)], pa.list_(pa.int64())),
+                        pa.array([sorted(items.get(d, ()), key=_null_last) for d in range(n_docs)], pa.list_(pa.int64())),
+                        pa.array([sorted(close.get(d, ()), key=_null_last) for d in range(n_docs)], pa.list_(pa.int64())),
                     ],
                     ["row", "doc_id", "n_words", "runs", "items", "near"],
                 )
@@ -197,6 +227,10 @@ def _search(queries, slop: int):
     return run
 
 
+def _null_last(item: int | None) -> tuple[bool, int]:
+    return item is None, item or 0
+
+
 def _union(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for s, e in sorted(runs):
@@ -211,7 +245,7 @@ def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFram
     """row, doc_id, n_words, runs (word spans inside windows, apart from each other), items, near of every document."""
     scratch = Scratch(spark)
     index = scratch.table(build_index(docs), "index")
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / BENCHMARK_BLOCK))
     results = []

@@ -368,6 +368,29 @@ def test_contamination(spark, docs, empty, monkeypatch):
     assert not any(r.contaminated for r in contaminated(find_contamination(spark, docs, bench.limit(0))).collect())
 
 
+def test_contamination_by_items_without_id(spark, docs, monkeypatch):
+    items = [(None, "one two"), (None, " ".join(f"word{i}" for i in range(5, 25))), (6, BASE)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for size in (2 << 20, 400):
+        monkeypatch.setattr("epilens.llm.decontam.BENCHMARK_BLOCK", size)
+        got = {r.doc_id: r for r in contaminated(find_contamination(spark, docs.where("doc_id <> 11"), bench)).collect()}
+        assert (got[6].n_hit, got[6].n_items, got[6].items_sha256) == (2, 1, hashlib.sha256(b"").hexdigest())
+        assert (got[0].n_items, got[0].items_sha256) == (2, hashlib.sha256(b"6").hexdigest())
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_near_passages(spark, parts):
+    words = [f"word{i}" for i in range(13)]
+    replaced = " ".join([*words[:6], "other", *words[7:]])
+    texts = [(0, replaced), (1, " ".join(words[:7])), (2, " ".join(words[7:])), (3, " ".join(words)), (4, "word6 alone"), (5, ("gap " * 20).join(words)), (6, " ".join(reversed(words[:10]))), (7, " ".join(words[:9]))]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    hits = find_contamination(spark, table(spark, texts).repartitionByRange(parts, "doc_id"), bench)
+    got = {r.doc_id: (r.n_near, r.n_hit) for r in contaminated(hits).collect()}
+    assert got == {0: (1, 0), 1: (0, 0), 2: (0, 0), 3: (1, 13), 4: (0, 0), 5: (0, 0), 6: (1, 0), 7: (0, 0)}
+    alone = find_contamination(spark, table(spark, texts[:1]), bench)
+    assert [r.n_near for r in contaminated(alone).collect()] == [1]
+
+
 # 10 --------------------------------------------------------------------------------------------------
 
 

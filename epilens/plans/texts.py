@@ -97,13 +97,15 @@ _PLAIN = r"replace(replace(replace(replace(regexp_replace(" + _ART + r", '<[^>]+
 
 @query("SELECT page_id, CAST(length(b) AS BIGINT) AS n_chars, md5(CASE WHEN length(b) > 6000 THEN regexp_replace(substr(b, 1, 6000), '" + _W + "+$', '') || '...' ELSE b END) AS digest FROM (SELECT page_id, " + _SQ(_PLAIN) + " AS b FROM pages)")
 def article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text of the first article element, tags and scripts removed, cut at 6000 characters as stored."""
+    """Text of the first article element, else of the whole page, tags and scripts removed, cut at 6000 characters as stored."""
     return Tables(spark, sf_dir).raw("pages").select("page_id", article_body(F.col("html")).alias("b")).select("page_id", F.length("b").cast("long").alias("n_chars"), F.md5(F.encode(T.truncate(F.col("b"), 6000), "UTF-8")).alias("digest"))
 
 
 def article_body(html: F.Column) -> F.Column:
     clean = F.regexp_replace(html, r"(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>", " ")
-    inner = F.regexp_replace(F.regexp_extract(clean, r"(?is)<article[^>]*>(.*?)</article>", 1), "<[^>]+>", " ")
+    article = r"(?is)<article[^>]*>(.*?)</article>"
+    scope = F.when(clean.rlike(article), F.regexp_extract(clean, article, 1)).otherwise(clean)
+    inner = F.regexp_replace(scope, "<[^>]+>", " ")
     for entity, plain in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         inner = F.replace(inner, F.lit(entity), F.lit(plain))
     return T.squeeze(inner)

@@ -117,3 +117,11 @@ def test_closed_alerts_stay(spark):
     new = spark.createDataFrame([(k, "", "t", 1, 9, 1.0, None, None) for k in "abc"], schema).drop("status")
     got = {r.dedup_key: (r.status, r.signal_count, r.action) for r in upsert_alerts(old, new).collect()}
     assert got == {"a": ("closed", 1, "kept"), "b": ("open", 9, "updated"), "c": ("open", 9, "inserted")}
+
+
+def test_article_body_falls_back_to_the_page(spark):
+    from epilens.plans.texts import article_body
+
+    pages = ["<html><script>x</script><body><p>whole &amp; page</p></body></html>", "<p>out</p><article><p>in</p></article>", "<p>out</p><article></article>", ""]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    assert [r.b for r in df.orderBy("i").select(article_body(F.col("html")).alias("b")).collect()] == ["whole & page", "in", "", ""]

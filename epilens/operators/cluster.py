@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from epilens.functions.numeric import ladder, ratio2
-from epilens.functions.text import distinct_folded, slug
+from epilens.functions.text import slug, strip
 from epilens.registry import query
 from epilens.sources.adapter import Tables, r2, sql
 
@@ -86,9 +86,19 @@ def cluster_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What and where of each cluster: the best members' summaries and distinct places, in order of score."""
     t = Tables(spark, sf_dir)
     x = cluster_rows(t, t.signal).where("status <> 'noise'")
-    member = F.struct((-F.col("threat_score")).alias("a"), (-F.unix_micros(F.col("published_at").cast("timestamp"))).alias("b"), "id", F.col("assessment_summary").alias("w"), F.col("raw_location_text").alias("p"))
-    g = x.groupBy("cluster_key").agg(F.count("*").alias("members"), F.count_if(F.col("assessment_summary") != "").alias("assessed"), F.array_sort(F.collect_list(member)).alias("m"))
-    what = F.slice(F.filter(F.transform("m", lambda r: r["w"]), lambda w: w != ""), 1, 3)
-    places = F.slice(distinct_folded(F.transform("m", lambda r: r["p"])), 1, 3)
+    order = F.struct((-F.col("threat_score")).alias("a"), (-F.unix_micros(F.col("published_at").cast("timestamp"))).alias("b"), "id")
+    x = x.select("cluster_key", order.alias("o"), F.col("assessment_summary").alias("w"), strip(F.col("raw_location_text")).alias("p"))
+    g = x.groupBy("cluster_key").agg(F.count("*").alias("members"), F.count_if(F.col("w") != "").alias("assessed"))
+    spelt = x.where("p <> ''").groupBy("cluster_key", F.lower("p").alias("folded")).agg(F.min_by("p", "o").alias("p"), F.min("o").alias("o"))
+    g = g.join(_first_three(x.where("w <> ''"), "w", "what"), "cluster_key", "left").join(_first_three(spelt, "p", "places"), "cluster_key", "left")
     quality = ladder(("assessed = 0", "empty"), ("assessed = members", "complete"), default="partial")
-    return g.select("cluster_key", "members", "assessed", quality.alias("quality"), F.nullif(F.array_join(what, "; "), F.lit("")).alias("what"), F.nullif(F.array_join(places, "; "), F.lit("")).alias("places"))
+    return g.select("cluster_key", "members", "assessed", quality.alias("quality"), "what", "places")
+
+
+def _first_three(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """The first three values of each key, joined. Parts of a key are cut to three first, so that no task meets all of its rows."""
+    for part in (F.pmod(F.xxhash64("o"), F.lit(64)), F.lit(0)):
+        rows = rows.withColumn("part", part)
+        rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("cluster_key", "part").orderBy("o"))).where("k <= 3")
+    first = F.array_sort(F.collect_list(F.struct("k", value)))
+    return rows.groupBy("cluster_key").agg(F.array_join(F.transform(first, lambda r: r[value]), "; ").alias(name))

@@ -125,3 +125,10 @@ def test_article_body_falls_back_to_the_page(spark):
     pages = ["<html><script>x</script><body><p>whole &amp; page</p></body></html>", "<p>out</p><article><p>in</p></article>", "<p>out</p><article></article>", ""]
     df = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
     assert [r.b for r in df.orderBy("i").select(article_body(F.col("html")).alias("b")).collect()] == ["whole & page", "in", "", ""]
+
+
+def test_snapshot_collects_at_most_three_members(spark):
+    from epilens.operators.cluster import _first_three
+
+    rows = spark.range(500).selectExpr("if(id % 2 = 0, 'a', 'b') as cluster_key", "struct(-id as a, id as b) as o", "concat('w', id) as w")
+    assert {r.cluster_key: r.what for r in _first_three(rows, "w", "what").collect()} == {"a": "w498; w496; w494", "b": "w499; w497; w495"}

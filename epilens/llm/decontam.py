@@ -9,9 +9,7 @@ all its terms starts from the posting list of the rarest, shifts it by the
 term's place in the window, and intersects it with the shifted lists of the
 next rarest until none is left: what remains are exact phrase matches.
 A document is near a window if three quarters of the window's distinct terms
-occur in it within `slop` words. One of them is then among the rarest quarter
-and one, so only the postings of these are tried; which they are in a segment
-does not change the result.
+occur in it within `slop` words.
 
 Words are compared by 64-bit hashes; a wrong phrase match needs a collision
 in each differing word.
@@ -45,6 +43,10 @@ from epilens.llm.textbytes import ALNUM, LOWER, blocks, span_hash, words
 
 WINDOW = 13
 BENCHMARK_BLOCK = 2 << 20
+# Nearness counts this many windows as one group, this many groups at a time, and keeps this many bytes of marks at most.
+_PER_GROUP, _GROUPS, _MARKS = 16, 512, 16 << 20
+# A term in more than this share of the stretches is counted only where rare terms can't decide; results don't depend on it.
+_OFTEN = 0.1
 
 _SEGMENT = "rows binary, doc_ids array<long>, bounds array<long>, terms binary, counts binary, gaps binary"
 
@@ -108,6 +110,10 @@ class Queries:
         self.first = np.array([[k == row.index(t) for k, t in enumerate(row)] for row in self.windows.tolist()], bool).reshape(-1, width)
         distinct = self.first.sum(axis=1)
         self.need = distinct - distinct // 4
+        # Up to _PER_GROUP consecutive windows of one item are one group.
+        self.groups = np.array([0], np.int64)
+        for item in np.split(np.arange(len(owners)), [i for i in range(1, len(owners)) if owners[i] != owners[i - 1]]):
+            self.groups = np.append(self.groups, [*item[_PER_GROUP::_PER_GROUP], *(item[-1:] + 1)])
 
 
 class Segment:
@@ -148,35 +154,97 @@ def phrase_starts(segment: Segment, places: np.ndarray, n: int) -> np.ndarray:
     return starts
 
 
-def near_docs(segment: Segment, places: np.ndarray, need: int, slop: int, bounds: np.ndarray, known: np.ndarray) -> list[int]:
-    """Documents, not known before, where `need` of the distinct terms (-1 if absent) stand within slop words."""
-    here = places[places >= 0]
-    here = here[np.argsort(segment.counts[here], kind="stable")].tolist()
-    posts = [segment.postings(p) for p in here]
-    at = np.concatenate(posts[: len(here) - need + 1])
-    doc = np.searchsorted(bounds, at, "right") - 1
-    new = ~known[doc]
-    doc, at = doc[new], at[new]
-    low, high = np.maximum(at - slop, bounds[doc]), np.minimum(at + slop, bounds[doc + 1] - 1)
-    missed = np.zeros(len(at), np.int64)
-    for post in posts:
-        if not len(missed):
-            return []
-        missed += np.searchsorted(post, high, "right") == np.searchsorted(post, low)
-        if (out := missed > len(here) - need).any():
-            doc, low, high, missed = doc[~out], low[~out], high[~out], missed[~out]
-    found: dict[int, bool] = {}
-    for d, a, b in zip(doc.tolist(), low.tolist(), high.tolist(), strict=True):
-        if found.get(d):
-            continue
-        spots = sorted((p, k) for k, post in enumerate(posts) for p in post[np.searchsorted(post, a) : np.searchsorted(post, b, "right")].tolist())
-        last: dict[int, int] = {}
-        for p, k in spots:
-            last[k] = p
-            if len(last) >= need and sum(q >= p - slop for q in last.values()) >= need:
-                found[d] = True
-                break
-    return list(found)
+class Nearness:
+    """Where windows' terms stand close together in a segment.
+
+    A document is cut into stretches of `slop` words; `need` distinct terms of a
+    window within slop words lie in two neighbouring stretches. Stretches are
+    counted against groups of windows first, then against the windows of the
+    groups with enough terms, and what is left is checked word by word.
+    """
+
+    def __init__(self, q: Queries, segment: Segment, bounds: np.ndarray, slop: int):
+        self.q, self.bounds, self.slop = q, bounds, slop
+        at = segment.places(q.terms)
+        self.here = np.flatnonzero(at >= 0)
+        local = np.full(len(q.terms) + 1, len(self.here))
+        local[self.here] = np.arange(len(self.here))
+        # Terms as places among those that occur here; one more place stands for all that don't.
+        self.windows = np.where(q.first, local[q.windows], len(self.here))
+        self.kind = np.full(int(bounds[-1]), -1, np.int32)
+        for k, place in enumerate(at[self.here].tolist()):
+            self.kind[segment.postings(place)] = k
+        self.spans = -(-np.diff(bounds) // slop) + 1  # an empty stretch parts the documents
+        self.begin = np.concatenate(([0], np.cumsum(self.spans)))
+
+    def found(self) -> Iterator[tuple[int, int]]:
+        """(document, owner) pairs, each once."""
+        known: set[tuple[int, int | None]] = set()
+        position = np.flatnonzero(self.kind >= 0)
+        doc = np.searchsorted(self.bounds, position, "right") - 1
+        stretch = self.begin[doc] + (position - self.bounds[doc]) // self.slop
+        total, width = int(self.begin[-1]), len(self.here) + 1
+        step = max(64, _MARKS // width)
+        for low in range(0, total, step):
+            high = min(total, low + step + 1)
+            a, b = np.searchsorted(stretch, (low, high))
+            rows, terms = np.divmod(np.unique((stretch[a:b] - low) * width + self.kind[position[a:b]]), width)
+            seen = np.zeros((high - low, width), bool)
+            seen[rows, terms] = True
+            often = np.bincount(terms, minlength=width) > _OFTEN * (high - low)
+            plain = np.minimum.reduceat(self.q.need, self.q.groups[:-1])
+            rare = np.minimum.reduceat(self.q.need - often[self.windows].sum(axis=1), self.q.groups[:-1])
+            # Groups that need several rare terms are counted on these alone; the others on all terms.
+            single = ~often[terms]
+            yield from self._count(np.flatnonzero(rare >= 3), rare, rows[single], terms[single], seen, low, known)
+            yield from self._count(np.flatnonzero(rare < 3), plain, rows, terms, seen, low, known)
+
+    def _count(self, groups: np.ndarray, least: np.ndarray, rows: np.ndarray, terms: np.ndarray, seen: np.ndarray, low: int, known: set) -> Iterator[tuple[int, int]]:
+        if not len(rows):
+            return
+        used, first = np.unique(rows, return_index=True)
+        begin, end = self.q.groups[groups], self.q.groups[groups + 1]
+        for g in range(0, len(groups), _GROUPS):
+            a, b = begin[g : g + _GROUPS], end[g : g + _GROUPS]
+            # A stretch has at most slop words, so several counts add up in one 64-bit word.
+            kind = np.uint8 if self.slop < 128 else np.uint32
+            holds = np.zeros((seen.shape[1], -(-len(a) // 8) * 8), kind)
+            for k in range(_PER_GROUP):
+                holds[self.windows[np.minimum(a + k, b - 1)], np.arange(len(a))[:, None]] = 1
+            counts = np.zeros((len(seen) + 1, holds.shape[1]), kind)
+            counts[used] = np.add.reduceat(holds.view(np.uint64)[terms], first, axis=0).view(kind)
+            counts = counts[:, : len(a)]
+            flat = np.flatnonzero(counts[:-1] + counts[1:] >= least[groups[g : g + _GROUPS]].astype(kind))
+            pair, group = np.divmod(flat, len(a))
+            step = min(4096, max(64, _MARKS // seen.shape[1]))
+            for c in range(0, len(pair), step):
+                part = group[c : c + step]
+                yield from self._check(pair[c : c + step], a[part], b[part], seen, low, known)
+
+    def _check(self, pair: np.ndarray, first: np.ndarray, end: np.ndarray, seen: np.ndarray, low: int, known: set) -> Iterator[tuple[int, int]]:
+        q = self.q
+        window = first[:, None] + np.arange(_PER_GROUP)
+        real = window < end[:, None]
+        window = np.minimum(window, end[:, None] - 1)
+        both = seen[pair] | seen[np.minimum(pair + 1, len(seen) - 1)]
+        enough = np.take_along_axis(both, self.windows[window].reshape(len(pair), -1), 1).reshape(*window.shape, -1).sum(axis=2) >= q.need[window]
+        row, k = np.nonzero(enough & real)
+        pair, window = pair[row] + low, window[row, k]
+        doc = np.searchsorted(self.begin, pair, "right") - 1
+        start = self.bounds[doc] + (pair - self.begin[doc]) * self.slop
+        place = start[:, None] + np.arange(2 * self.slop)
+        inside = place < self.bounds[doc + 1][:, None]
+        words = np.where(inside, self.kind[np.minimum(place, len(self.kind) - 1)], -1)
+        for c in range(0, len(pair), 512):
+            w = window[c : c + 512]
+            hit = words[c : c + 512, :, None] == self.windows[w][:, None, :]
+            total = np.concatenate([np.zeros((len(w), 1, hit.shape[2]), np.int16), hit.cumsum(axis=1, dtype=np.int16)], axis=1)
+            within = (total[:, self.slop + 1 :] > total[:, : self.slop]).sum(axis=2)
+            for i in np.flatnonzero((within >= q.need[w][:, None]).any(axis=1)).tolist():
+                key = (int(doc[c + i]), q.owners[w[i]])
+                if key not in known:
+                    known.add(key)
+                    yield key
 
 
 _HITS = "row long, doc_id long, n_words long, runs array<struct<s:long,e:long>>, items array<long>, near array<long>"
@@ -189,27 +257,19 @@ def _search(queries, slop: int):
             for r in batch.to_pylist():
                 bounds = np.array(r["bounds"], np.int64)
                 segment = Segment(r["terms"], r["counts"], r["gaps"])
-                runs, items, near = defaultdict(list), defaultdict(set), {}
+                runs, items, close = defaultdict(list), defaultdict(set), defaultdict(set)
                 n_docs = len(r["doc_ids"])
                 if len(q.windows):
                     here = segment.places(q.terms)[q.windows]
-                    present = here >= 0
-                    whole = present.all(axis=1)
-                    for w in np.flatnonzero((present & q.first).sum(axis=1) >= q.need).tolist():
+                    for w in np.flatnonzero((here >= 0).all(axis=1)).tolist():
                         n = int(q.lens[w])
-                        known = near.setdefault(q.owners[w], np.zeros(n_docs, bool))
-                        if whole[w] and len(found := phrase_starts(segment, here[w], n)):
-                            doc = np.searchsorted(bounds, found, "right") - 1
-                            inside = found + n <= bounds[doc + 1]
-                            for d, s in zip(doc[inside].tolist(), found[inside].tolist(), strict=True):
-                                runs[d].append((s - bounds[d], s - bounds[d] + n))
-                                items[d].add(q.owners[w])
-                            if n <= slop:
-                                known[doc[inside]] = True
-                        known[near_docs(segment, here[w][q.first[w]], int(q.need[w]), slop, bounds, known)] = True
-                close = defaultdict(set)
-                for owner, known in near.items():
-                    for d in np.flatnonzero(known).tolist():
+                        found = phrase_starts(segment, here[w], n)
+                        doc = np.searchsorted(bounds, found, "right") - 1
+                        inside = found + n <= bounds[doc + 1]
+                        for d, s in zip(doc[inside].tolist(), found[inside].tolist(), strict=True):
+                            runs[d].append((s - bounds[d], s - bounds[d] + n))
+                            items[d].add(q.owners[w])
+                    for d, owner in Nearness(q, segment, bounds, slop).found():
                         close[d].add(owner)
                 joined = [_union(runs.get(d, [])) for d in range(n_docs)]
                 yield pa.RecordBatch.from_arrays(

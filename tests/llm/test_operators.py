@@ -1,6 +1,7 @@
 """Each corpus operator against a brute-force version, and on awkward input."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -32,7 +33,7 @@ def table(spark, texts, schema=SCHEMA):
 
 
 BASE = " ".join(f"word{i}" for i in range(80))
-TEXTS = [(0, BASE), (1, BASE), (2, BASE.replace("word79", "other")), (3, None), (4, ""), (5, " \t\n"), (6, "one two"), (7, "One  two"), (8, "one\ttwo"), (9, "x" * 5000), (10, "é ü 日本 語 " * 300), (11, BASE + " and " + "tail " * 3000), (11, "a repeated id"), (12, "!!! ... ???")]
+TEXTS = [(0, BASE), (1, BASE), (2, BASE.replace("word79", "other")), (3, None), (4, ""), (5, " \t\n"), (6, "one two"), (7, "One  two"), (8, "one\ttwo"), (9, "x" * 5000), (10, "é ü 日本 語 " * 300), (11, BASE + " and " + "tail " * 3000), (11, "a repeated id"), (12, "!!! ... ???"), (13, "a <|endoftext|> b <|startoftext|><|endoftext|>\n <|endoftext|> c")]
 
 
 @pytest.fixture(scope="module")
@@ -52,7 +53,6 @@ def real(spark):
 
 def ids_of(path, text, end):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, end]
 
 
@@ -391,6 +391,32 @@ def test_near_passages(spark, parts):
     assert [r.n_near for r in contaminated(alone).collect()] == [1]
 
 
+def brute_near(text, item, slop=26):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    w, b = words(text), words(item)
+    n = min(13, len(b))
+    for s in range(len(b) - n + 1) if n else ():
+        terms = set(b[s : s + n])
+        if any(len(terms & set(w[p : p + slop + 1])) >= len(terms) - len(terms) // 4 for p in range(len(w))):
+            return True
+    return False
+
+
+@pytest.mark.parametrize("marks", [16 << 20, 1])
+def test_near_against_brute_force(spark, monkeypatch, marks):
+    monkeypatch.setattr("epilens.llm.decontam._MARKS", marks)
+    rng = random.Random(3)
+    pick = lambda n: " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") * rng.choice((1, 1, 2)) for _ in range(n))
+    items = [(k, pick(rng.choice((1, 5, 13, 14, 29, 30, 60)))) for k in range(25)]
+    texts = [(d, pick(rng.choice((0, 3, 12, 26, 27, 60, 300)))) for d in range(40)]
+    for d, (_, item) in enumerate(items):
+        kept = [x for x in item.split() if rng.random() < 0.85]
+        texts.append((100 + d, f"{pick(30)} {' '.join(kept)} {pick(5)}"))
+    hits = find_contamination(spark, table(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r.doc_id: set(r.near) for r in hits.collect()}
+    assert got == {d: {k for k, item in items if brute_near(t, item)} for d, t in texts}
+
+
 # 10 --------------------------------------------------------------------------------------------------
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from epilens.llm.decontam import contaminated, find_contamination
+import epilens.llm.exact_dedup as exact_dedup_module
 from epilens.llm.exact_dedup import exact_dedup, exact_groups
 from epilens.llm.ngram_join import ngram_components, similar_pairs
 from epilens.llm.packing import best_fit, cut, pack
@@ -181,7 +182,41 @@ def test_exact_groups(spark, docs, empty):
         assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got) == want
     kept = exact_dedup(spark, docs)
     assert kept.columns[0] == "doc_id" and set(kept.columns) == set(docs.columns)
-    assert exact_groups(spark, empty).count() == 0
+    assert exact_groups(spark, empty).count() == 0 and exact_dedup(spark, empty).count() == 0
+
+
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_exact_dedup_drops_rows(spark, monkeypatch, few):
+    """Rows go, not doc_ids; with broadcast groups and without."""
+    monkeypatch.setattr("epilens.llm.exact_dedup.BROADCAST_ROWS", few)
+    rows = [(1, "a"), (2, "a"), (2, "unique b"), (3, "c"), (3, " c".strip()), (None, "d"), (None, "d"), (None, "e"), (4, "e"), (None, "f"), *((10 + i, "hot  text" if i % 2 else "hot text") for i in range(40))]
+    got = exact_dedup(spark, table(spark, rows)).collect()
+    assert Counter((r.doc_id, " ".join(r.text.split())) for r in got) == Counter([(1, "a"), (2, "unique b"), (3, "c"), (None, "d"), (4, "e"), (None, "f"), (10, "hot text")])
+    groups = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_groups(spark, table(spark, rows)).collect())
+    assert groups[(3, 3, 2, True)] == groups[(3, 3, 2, False)] == 1
+    assert groups[(None, None, 2, True)] == groups[(None, None, 2, False)] == 1
+    assert groups[(None, 4, 2, False)] == groups[(4, 4, 2, True)] == groups[(None, None, 1, True)] == 1
+
+
+def test_exact_groups_come_from_the_index(spark, docs, monkeypatch):
+    """A directory without slots leads to no group; a chain keeps texts apart whose keys collide."""
+    whole = exact_dedup_module.directory
+    monkeypatch.setattr(exact_dedup_module, "directory", lambda keys, capacity: (whole(keys, capacity)[0].limit(0), whole(keys, capacity)[1]))
+    assert {r.group_size for r in exact_groups(spark, docs).collect()} == {1}
+    monkeypatch.setattr(exact_dedup_module, "directory", whole)
+    monkeypatch.setattr(exact_dedup_module.F, "xxhash64", lambda *c: F.lit(5).cast("long"))
+    got = exact_groups(spark, table(spark, [(1, "a"), (2, "b"), (3, "a"), (4, "c"), (5, "b ")])).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.chain) for r in got) == [(1, 1, 2, 0), (2, 2, 1, 1), (3, 1, 2, 0), (4, 4, 1, 3), (5, 5, 1, 2)]
+
+
+def test_directory_doubles(spark):
+    keys = spark.range(3000).select(F.xxhash64("id").alias("key"))
+    places, bits = exact_dedup_module.directory(keys, 100)
+    rows = places.collect()
+    assert len(rows) == 1 << bits and all(r.bucket == r.slot >> (bits - r.depth) for r in rows)
+    slot = F.shiftrightunsigned("key", 64 - bits)
+    sizes = keys.withColumn("slot", slot).join(places, "slot").groupBy("bucket", "depth").count().collect()
+    assert max(r["count"] for r in sizes) <= 100 and sum(r["count"] for r in sizes) == 3000
 
 
 # 5, 8 ------------------------------------------------------------------------------------------------

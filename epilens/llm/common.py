@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parents[1]
@@ -64,7 +64,12 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
-def keep_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+def row_key(docs: DataFrame) -> Column:
+    """A hash of a row's doc_id and all its other columns: names a row where doc_id alone may repeat or be null."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+
+
+def keep_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi") -> DataFrame:
     """Rows of df whose key is in ids; ids are broadcast only if they are few enough."""
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return df.join(F.broadcast(ids) if few else ids, key, how)

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epilens.llm.common import Scratch
+from epilens.llm.common import Scratch, row_key
 from epilens.llm.textbytes import ALNUM, LOWER, blocks, span_hash, words
 
 WINDOW = 13
@@ -48,7 +48,7 @@ _PER_GROUP, _GROUPS, _MARKS = 16, 512, 16 << 20
 # A term in more than this share of the stretches is counted only where rare terms can't decide; results don't depend on it.
 _OFTEN = 0.1
 
-_SEGMENT = "rows binary, doc_ids array<long>, bounds array<long>, terms binary, counts binary, gaps binary"
+_SEGMENT = "rows binary, doc_ids array<long>, row_keys array<long>, bounds array<long>, terms binary, counts binary, gaps binary"
 
 
 def term_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,14 +78,14 @@ def _index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.arange(row, row + batch.num_rows, dtype="<i8")
         row += batch.num_rows
         yield pa.RecordBatch.from_arrays(
-            [pa.array([rows.tobytes()], pa.binary()), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([at.tolist()], pa.list_(pa.int64())), pa.array([terms.tobytes()], pa.binary()), pa.array([_planes(counts)], pa.binary()), pa.array([_planes(gaps)], pa.binary())],
-            ["rows", "doc_ids", "bounds", "terms", "counts", "gaps"],
+            [pa.array([rows.tobytes()], pa.binary()), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([batch.column(2).to_pylist()], pa.list_(pa.int64())), pa.array([at.tolist()], pa.list_(pa.int64())), pa.array([terms.tobytes()], pa.binary()), pa.array([_planes(counts)], pa.binary()), pa.array([_planes(gaps)], pa.binary())],
+            ["rows", "doc_ids", "row_keys", "bounds", "terms", "counts", "gaps"],
         )
 
 
 def build_index(docs: DataFrame) -> DataFrame:
     """One row per segment: the documents, their word bounds, terms and position gaps."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_index, _SEGMENT)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key(docs).alias("row_key")).mapInArrow(_index, _SEGMENT)
 
 
 class Queries:
@@ -247,7 +247,7 @@ class Nearness:
                     yield key
 
 
-_HITS = "row long, doc_id long, n_words long, runs array<struct<s:long,e:long>>, items array<long>, near array<long>"
+_HITS = "row long, doc_id long, row_key long, n_words long, runs array<struct<s:long,e:long>>, items array<long>, near array<long>"
 
 
 def _search(queries, slop: int):
@@ -276,12 +276,13 @@ def _search(queries, slop: int):
                     [
                         pa.array(np.frombuffer(r["rows"], "<i8"), pa.int64()),
                         pa.array(r["doc_ids"], pa.int64()),
+                        pa.array(r["row_keys"], pa.int64()),
                         pa.array(np.diff(bounds), pa.int64()),
                         pa.array([[{"s": s, "e": e} for s, e in x] for x in joined], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))),
                         pa.array([sorted(items.get(d, ()), key=_null_last) for d in range(n_docs)], pa.list_(pa.int64())),
                         pa.array([sorted(close.get(d, ()), key=_null_last) for d in range(n_docs)], pa.list_(pa.int64())),
                     ],
-                    ["row", "doc_id", "n_words", "runs", "items", "near"],
+                    ["row", "doc_id", "row_key", "n_words", "runs", "items", "near"],
                 )
 
     return run
@@ -302,7 +303,7 @@ def _union(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = 2 * WINDOW) -> DataFrame:
-    """row, doc_id, n_words, runs (word spans inside windows, apart from each other), items, near of every document."""
+    """row, doc_id, row_key, n_words, runs (word spans inside windows, apart from each other), items, near of every document."""
     scratch = Scratch(spark)
     index = scratch.table(build_index(docs), "index")
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
@@ -318,16 +319,16 @@ def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFram
     hits = results[0]
     for r in results[1:]:
         hits = hits.unionByName(r)
-    merged = hits.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
+    merged = hits.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("row_key").alias("row_key"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
     # Runs of several blocks may overlap: keep each hit position once, as runs of one word.
     spots = F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda x: F.sequence(x["s"], x["e"] - 1)))))
     return merged.withColumn("runs", F.transform(spots, lambda p: F.struct(p.alias("s"), (p + 1).alias("e"))))
 
 
 def contaminated(hits: DataFrame) -> DataFrame:
-    """The digest of each document: n_words, n_hit, n_items, items_sha256, contaminated, n_near."""
+    """The digest of each document: doc_id, row_key, n_words, n_hit, n_items, items_sha256, contaminated, n_near."""
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return hits.withColumn("n_hit", n_hit).select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), F.size("near").cast("long").alias("n_near")
+        "doc_id", "row_key", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), F.size("near").cast("long").alias("n_near")
     )

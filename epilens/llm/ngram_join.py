@@ -27,8 +27,8 @@ never paired with each other.
 `similar_pairs` verifies all pairs of step 2's lists instead and returns them.
 
 Cases: a document without words has no shingles and is its own component; rows
-with doc_id null get no component and link nothing; repeated doc_ids are one
-node; an empty table gives no rows; other columns are ignored.
+with doc_id null get no component and link nothing; rows that repeat a doc_id
+are nodes of their own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from epilens.llm.common import Scratch, connected, keep_ids
+from epilens.llm.common import BROADCAST_ROWS, Scratch, connected, keep_ids, row_key
 from epilens.llm.textbytes import LOWER, NOT_SPACE, blocks, mix, sequence_hash, span_hash, words
 
 #: Hash cells: 16 for each document within these powers of two; one byte each when broadcast.
@@ -78,13 +78,13 @@ def parity_bitmap(s: np.ndarray) -> list[int]:
     return np.packbits(odd).view("<i8").tolist()
 
 
-_INFO = "doc_id long, n int, sig long, sig2 long, bits array<long>, chunk int, counts binary"
+_INFO = "doc_id long, row_key long, n int, sig long, sig2 long, bits array<long>, chunk int, counts binary"
 
 
 def _describe(width: int, bits: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, waiting, pending = np.zeros(1 << bits, np.uint32), [], 0
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
         names = [x.split()[0] for x in _INFO.split(", ")]
 
         def count() -> None:
@@ -94,9 +94,9 @@ def _describe(width: int, bits: int):
 
         for batch, raw, bounds in blocks(batches):
             rows = []
-            for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(raw, bounds, width), strict=True):
+            for doc_id, key, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(raw, bounds, width), strict=True):
                 a, b = signature(s)
-                rows.append((doc_id, len(s), a, b, parity_bitmap(s), None, None))
+                rows.append((doc_id, key, len(s), a, b, parity_bitmap(s), None, None))
                 waiting.append(s)
                 pending += len(s)
             if pending > 4 << 20:
@@ -106,7 +106,7 @@ def _describe(width: int, bits: int):
         count()
         for c, part in enumerate(cells.reshape(-1, 1 << CHUNK_BITS)):
             if part.any():
-                row = (None, None, None, None, None, c, zlib.compress(part.tobytes(), 1))
+                row = (None, None, None, None, None, None, c, zlib.compress(part.tobytes(), 1))
                 yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
 
     return run
@@ -162,8 +162,8 @@ def _post(ranks, width: int, bits: int, percent: int):
 def _sets(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, bounds in blocks(batches):
-            sets = list(shingle_sets(raw, bounds, width))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signature(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "sig", "hashes"])
+            sets = [s.tobytes() for s in shingle_sets(raw, bounds, width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["row_key", "hashes"])
 
     return run
 
@@ -188,13 +188,14 @@ class NgramJoin:
 
     def __init__(self, spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80):
         self.scratch, self.width, self.percent = Scratch(spark), width, percent
-        self.docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        self.docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key(docs).alias("row_key"))
         bits = int(np.clip(np.log2(max(1, 16 * self.docs.count())).round(), *CELL_BITS))
         described = self.scratch.table(self.docs.mapInArrow(_describe(width, bits), _INFO), "described")
         self.info = described.where("n is not null").drop("chunk", "counts")
         ranks = cell_ranks(described.where("chunk is not null").select("chunk", "counts"), bits)
-        classes = self.info.where("n > 0 and doc_id is not null").groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"))
-        self.classes = self.scratch.table(classes, "classes")
+        classes = self.info.where("n > 0 and doc_id is not null").groupBy("sig", "sig2", "n").agg(F.min(F.struct("doc_id", "row_key")).alias("low"), F.first("bits").alias("bits"))
+        # A class is represented by its row with the smallest doc_id.
+        self.classes = self.scratch.table(classes.select("sig", "sig2", "n", F.col("low.row_key").alias("rep"), F.col("low.doc_id").alias("low"), "bits"), "classes")
 
         posts = self.docs.where("doc_id is not null").mapInArrow(_post(spark.sparkContext.broadcast(ranks), width, bits, percent), _POSTS)
         order = Window.partitionBy("token").orderBy("pos", "sig")
@@ -240,17 +241,17 @@ class NgramJoin:
         met = pairs.join(side("a"), "a").join(side("b"), "b").where("a_rep <> b_rep")
         met = met.where(self._alike("a_n", "a_bits", "b_n", "b_bits")).select("a", "b", "a_rep", "b_rep")
         met = self.scratch.table(met, "candidates")
-        ids = met.select(F.col("a_rep").alias("doc_id")).union(met.select("b_rep")).distinct()
+        ids = met.select(F.col("a_rep").alias("row_key")).union(met.select("b_rep")).distinct()
         ids = self.scratch.table(ids, "ids")
-        sets = keep_ids(self.docs, ids, "doc_id").mapInArrow(_sets(self.width), "doc_id long, sig long, hashes binary")
-        sets = self.scratch.table(sets, "sets").dropDuplicates(["doc_id", "sig"])
+        sets = keep_ids(self.docs.select("row_key", "text"), ids, "row_key").mapInArrow(_sets(self.width), "row_key long, hashes binary")
+        sets = self.scratch.table(sets, "sets").dropDuplicates(["row_key"])
         for x in "ab":
-            met = met.join(sets.select(F.col("doc_id").alias(f"{x}_rep"), F.col("sig").alias(x), F.col("hashes").alias(f"{x}_set")), [f"{x}_rep", x])
+            met = met.join(sets.select(F.col("row_key").alias(f"{x}_rep"), F.col("hashes").alias(f"{x}_set")), f"{x}_rep")
         checked = met.select("a_rep", "b_rep", "a_set", "b_set").mapInArrow(_verify(self.percent), "a long, b long, both long, either long")
         return self.scratch.table(checked, "links")
 
     def components(self) -> DataFrame:
-        """doc_id, n_shingles, component_id of every row."""
+        """doc_id, n_shingles, component_id, row_key, stays (whether it is its component's row to keep) of every row."""
         first = self.scratch.table(self.leads(), "leads")
         links = self.verified(first).select("a", "b")
         parts = self.scratch.table(connected(self.scratch, links), "parts")
@@ -258,18 +259,34 @@ class NgramJoin:
         if not rest.isEmpty():
             more = self.verified(rest).select("a", "b")
             parts = self.scratch.table(connected(self.scratch, links.unionByName(more)), "parts")
-        of = self.classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "sig2", "n", F.coalesce("component", "rep").alias("component_id"))
+        # The smallest doc_id of each component of several classes, and its row.
+        ends = parts.withColumnRenamed("node", "rep").join(self.classes.select("rep", "low"), "rep").groupBy("component").agg(F.min(F.struct("low", "rep")).alias("end"))
+        ends = self.scratch.table(ends.select("component", F.col("end.low").alias("component_id"), F.col("end.rep").alias("stays")), "ends")
+        few = ends.count() <= BROADCAST_ROWS
+        parts = parts.join(F.broadcast(ends) if few else ends, "component").drop("component")
+        of = self.classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+        of = of.select("sig", "sig2", "n", F.coalesce("component_id", "low").alias("component_id"), F.coalesce("stays", "rep").alias("stays"))
         out = self.info.join(of, ["sig", "sig2", "n"], "left")
-        return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+        named = F.col("doc_id").isNotNull()
+        return out.select(
+            "doc_id",
+            F.col("n").cast("long").alias("n_shingles"),
+            F.when(named, F.coalesce("component_id", "doc_id")).alias("component_id"),
+            "row_key",
+            (~named | F.coalesce(F.col("stays") == F.col("row_key"), F.lit(True))).alias("stays"),
+        )
 
     def pairs(self) -> DataFrame:
-        """a, b, both, either: every linked pair of class representatives."""
+        """a, b, both, either: every linked pair of classes, by the smallest doc_id of each."""
         alone = self.classes.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
-        return self.verified(self.across(alone))
+        found = self.verified(self.across(alone))
+        for x in "ab":
+            found = found.withColumnRenamed(x, "rep").join(self.classes.select("rep", F.col("low").alias(x)), "rep").drop("rep")
+        return found.select("a", "b", "both", "either")
 
     def membership(self) -> DataFrame:
         """doc_id, representative of every row with words."""
-        return self.info.join(self.classes.drop("bits"), ["sig", "sig2", "n"]).select("doc_id", F.col("rep").alias("representative"))
+        return self.info.join(self.classes.drop("bits"), ["sig", "sig2", "n"]).select("doc_id", F.col("low").alias("representative"))
 
 
 def ngram_components(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

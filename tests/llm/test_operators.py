@@ -1,6 +1,7 @@
 """Each corpus operator against a brute-force version, and on awkward input."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -17,7 +18,8 @@ from epilens.llm.exact_dedup import exact_dedup, exact_groups
 from epilens.llm.ngram_join import ngram_components, similar_pairs
 from epilens.llm.packing import best_fit, cut, pack
 from epilens.llm.pii import find_pii, luhn, pii_digest, spans_of
-from epilens.llm.quality import score_quality
+from epilens.llm.common import Scratch
+from epilens.llm.quality import CoTraining, _sure, features, score_quality, text_features
 from epilens.llm.sharding import difference, shard
 from epilens.llm.sstable import lookup, read_tables, write_tables
 from epilens.llm.toxicity import hash_words, score_toxicity, train
@@ -168,6 +170,60 @@ def test_quality_cases(spark, docs, empty):
     assert score_quality(spark, empty, one).count() == 0
 
 
+@pytest.mark.parametrize("teacher", ["text_score", "meta_score"])
+def test_views_teach_each_other(spark, teacher):
+    """A view that knows the class makes the other better than its few labels do; both give lessons in every round."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(1500):
+        good = rng.random() < 0.5
+        word = lambda: f"w{rng.randrange(60) + (12 if good else 0) * (teacher == 'meta_score')}"  # noqa: E731, B023
+        text = " ".join(word() for _ in range(12)) + (" fine text here" if good and teacher == "text_score" else "")
+        source = f"s{2 * rng.randrange(12) + good}" if teacher == "text_score" else ("yes" if good else "no")
+        rows.append((i, text, source, good))
+    d = spark.createDataFrame([(i, t, s) for i, t, s, _ in rows], "doc_id long, text string, source string")
+    lab = spark.createDataFrame([(i, int(g)) for i, _, _, g in rows[:60]], "doc_id long, quality int")
+    table = features(d).cache()
+    pupil = "meta_score" if teacher == "text_score" else "text_score"
+    right = []
+    for rounds in (0, 2):
+        model = CoTraining(Scratch(spark), table, lab, rounds, 1000, 1000)
+        scores = {r.doc_id: r[pupil] for r in model.score(table, 0.5).collect()}
+        right.append(sum((scores[i] >= 0.5) == g for i, _, _, g in rows[60:]) / len(rows[60:]))
+    assert right[1] > right[0] + 0.02
+    assert [t[:2] for t in model.taught] == [(0, "text_view"), (0, "meta_view"), (1, "text_view"), (1, "meta_view")]
+    assert all(good + bad > 0 for *_, good, bad in model.taught)
+
+
+def test_surest_documents(spark):
+    """The histogram's choice against sorting."""
+    rng = random.Random(9)
+    rows = [(i, 7 * i, rng.gauss(0, 3), [1.0], [2.0]) for i in range(3000)]
+    pool = spark.createDataFrame(rows, "doc_id long, row_key long, s double, text_view array<float>, meta_view array<float>")
+    got = {r.doc_id for r in _sure(pool, pool, "s", 0.7, 500).collect()}
+    order = sorted(rows, key=lambda r: r[2])
+    clear = {r[0] for r in order[:150] if r[2] < order[149][2] - 1 / 64} | {r[0] for r in order[-350:] if r[2] > order[-350][2] + 1 / 64}
+    loose = {r[0] for r in order if r[2] < order[149][2] + 1 / 64} | {r[0] for r in order if r[2] > order[-350][2] - 1 / 64}
+    assert clear <= got <= loose and abs(len(got) - 500) < 15
+    weights = [r.weight for r in _sure(pool, pool, "s", 0.7, 500).where("y = 1").collect()]
+    assert all(0 <= w <= 0.3 for w in weights)
+
+
+def test_text_features(spark):
+    texts = ["", "One two two TWO!", "a | b | c 12\n", BASE]
+    data = "".join(texts).encode()
+    import numpy as np
+
+    x = text_features(np.frombuffer(data, np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)]))
+    for row, t in zip(x, texts, strict=True):
+        w, n = t.split(), max(1, len(t))
+        assert row[0] == pytest.approx(math.log1p(len(w)))
+        assert row[1] == pytest.approx(sum("A" <= c <= "Z" for c in t) / n) and row[3] == pytest.approx(sum(c in "0123456789" for c in t) / n)
+        assert row[11] == pytest.approx(sum(a == b for a, b in zip(w, w[1:], strict=False)) / max(1, len(w)))
+        assert row[12] == pytest.approx(max(Counter(w).values(), default=0) / max(1, len(w)))
+        assert sum(v * v for v in row[16:]) == pytest.approx(1 if w else 0)
+
+
 # 4 ---------------------------------------------------------------------------------------------------
 
 

@@ -3,8 +3,8 @@
 Quality classifier, exact deduplication, n-gram Jaccard join, benchmark
 decontamination and best-fit packing. Each stage takes what its predecessor
 kept, written as Parquet and reread; all but the last return the columns of
-documents. Rows are named by doc_id: rows without one pass the quality and
-decontamination stages, for nothing could name them as rejected.
+documents. Rows are dropped by a hash of all their columns, so a doc_id that
+is null or repeats costs no other row.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from epilens.llm.common import Scratch, keep_ids
+from epilens.llm.common import Scratch, keep_ids, row_key
 from epilens.llm.decontam import contaminated, find_contamination
 from epilens.llm.exact_dedup import exact_dedup
 from epilens.llm.ngram_join import ngram_components
@@ -20,9 +20,11 @@ from epilens.llm.packing import pack
 from epilens.llm.quality import score_quality
 
 
-def _without(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    ids = Scratch(spark).table(ids.select("doc_id").where("doc_id is not null").distinct(), "dropped")
-    return keep_ids(docs, ids, "doc_id", "left_anti").select(docs.columns)
+def _without(spark: SparkSession, docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs less the rows that the operator's result names by row_key."""
+    rows = Scratch(spark).table(rows.select("row_key").distinct(), "dropped")
+    keyed = docs.withColumn("row_key", row_key(docs))
+    return keep_ids(keyed, rows, "row_key", "left_anti").select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +41,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a 5-word Jaccard similarity of 0.8 or more, the smallest doc_id."""
     groups = ngram_components(spark, docs, width=5, percent=80)
-    return _without(spark, docs, groups.where("doc_id <> component_id"))
+    return _without(spark, docs, groups.where("not stays"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -175,7 +175,7 @@ def test_views_teach_each_other(spark, teacher):
     """A view that knows the class makes the other better than its few labels do; both give lessons in every round."""
     rng = random.Random(5)
     rows = []
-    for i in range(1500):
+    for i in range(6000):
         good = rng.random() < 0.5
         word = lambda: f"w{rng.randrange(60) + (12 if good else 0) * (teacher == 'meta_score')}"  # noqa: E731, B023
         text = " ".join(word() for _ in range(12)) + (" fine text here" if good and teacher == "text_score" else "")

@@ -1,10 +1,11 @@
 """Duplicate candidates of signals.
 
-A signal's candidates are the 300 newest signals of its disease within seven
-days on either side. They are found without pairing a disease with itself:
-signals are numbered by time within their disease, a range window tells how
-far an anchor's window reaches, and only the blocks of numbers below that
-point are joined.
+A signal's candidates are the 300 newest signals of its disease, or of any
+disease if it has none, within seven days on either side. They are found
+without pairing a disease with itself: signals are numbered along time, a
+count up to the end of an anchor's window tells where its candidates end, and
+only the blocks of numbers below that point are joined. Numbers and counts are
+made hour by hour, so no task holds a disease.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql.types import DoubleType
 
 from epilens.functions.numeric import ladder
 from epilens.functions.text import title_text
+from epilens.operators.timeline import counted, numbered, previous
 from epilens.registry import query
 from epilens.sources.adapter import Tables, sql
 
@@ -23,30 +25,91 @@ NEWEST = 300
 DAYS = 7
 
 
-def candidates(signals: DataFrame, anchors: Column, newest: int = NEWEST, days: int = DAYS) -> DataFrame:
-    """Pairs (a_*, b_*) of anchors with their newest neighbours in time, themselves excluded."""
-    second = F.unix_seconds(F.col("published_at").cast("timestamp"))
-    rows = signals.where("status <> 'noise'").withColumn("folded", F.lower("disease_tag")).withColumn("at", second)
-    order = Window.partitionBy("folded").orderBy("at", "created_at", "id")
-    reach = Window.partitionBy("folded").orderBy("at").rangeBetween(Window.unboundedPreceding, days * 86400)
-    rows = rows.withColumns({"num": F.row_number().over(order), "last": F.count("*").over(reach)})
-    named = lambda x: rows.select("folded", *[F.col(c).alias(f"{x}_{c}") for c in rows.columns if c != "folded"])
-    b = named("b").withColumn("block", F.expr(f"b_num div {newest + 1}"))
-    a = named("a").where(anchors).withColumn("block", F.explode(F.sequence(F.expr(f"greatest(0, (a_last - {newest}) div {newest + 1})"), F.expr(f"a_last div {newest + 1}"))))
-    near = a.join(b, ["folded", "block"]).where(f"a_id <> b_id and b_num <= a_last and b_num >= a_last - {newest} and b_at >= a_at - {days * 86400}")
+ANY = "*"
+
+
+def candidates(signals: DataFrame, anchors: str, newest: int = NEWEST, days: int = DAYS) -> DataFrame:
+    """Pairs (a_*, b_*) of anchors with their newest neighbours in time, themselves excluded; anchors is a condition on signals."""
+    at = F.unix_seconds(F.col("published_at").cast("timestamp"))
+    rows = signals.where("status <> 'noise'").withColumns({"at": at, "tag": F.lower("disease_tag")})
+    # Every signal stands under its disease, and under ANY for the anchors without one.
+    own = F.when(F.col("tag") == "", F.lit(ANY)).otherwise(F.col("tag"))
+    keyed = rows.withColumn("key", F.explode(F.array_distinct(F.array(own, F.lit(ANY)))))
+    b = numbered(keyed.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns], "key"), ["key"], ["b_at", "b_created_at", "b_id"], "b_at").withColumnRenamed("num", "b_num")
+    a = rows.where(anchors).withColumn("key", own)
+    ends = counted(keyed.select("key", "at"), a.select("key", F.col("id").alias("probe"), (F.col("at") + days * 86400).alias("at")), ["key"])
+    a = a.select("key", *[F.col(c).alias(f"a_{c}") for c in rows.columns]).join(ends.select(F.col("probe").alias("a_id"), F.col("n").alias("last")), "a_id")
+    a = a.withColumn("block", F.explode(F.sequence(F.expr(f"greatest(0, (last - {newest}) div {newest + 1})"), F.expr(f"last div {newest + 1}"))))
+    b = b.withColumn("block", F.expr(f"b_num div {newest + 1}"))
+    near = a.join(b, ["key", "block"]).where(f"a_id <> b_id and b_num <= last and b_num >= last - {newest} and b_at >= a_at - {days * 86400}")
     # The anchor itself is among the last numbers or not: then one more than wanted is here.
-    return near.withColumn("k", F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("b_num")))).where(F.col("k") <= newest).drop("block", "k")
+    return near.withColumn("k", F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("b_num")))).where(F.col("k") <= newest).drop("block", "k", "last")
+
+
+def profile(signals: DataFrame, t: Tables) -> DataFrame:
+    """signals with place: ids, city codes and names, province codes and names of the primary places and the admin columns, the raw text, and whether there is any."""
+    own = t.location.select(F.col("id").alias("location_id"), "level", "city_code", "province_code", "parent_id", dedup_name(F.col("name")).alias("name"))
+    parents = t.location.select(F.col("id").alias("parent_id"), dedup_name(F.col("name")).alias("parent"))
+    links = t.link.where("is_primary").join(own, "location_id").join(parents, "parent_id", "left").withColumn("is_city", F.col("level") != "province")
+    gather = lambda c: F.array_sort(F.collect_set(F.nullif(c, F.lit(""))))
+    g = links.groupBy(F.col("signal_id").alias("id")).agg(
+        F.array_sort(F.collect_set("location_id")).alias("ids"),
+        gather(F.when(F.col("is_city"), F.col("city_code"))).alias("cities"),
+        gather(F.when(F.col("is_city"), F.col("name"))).alias("city_names"),
+        gather(F.col("province_code")).alias("provinces"),
+        gather(F.when(F.col("is_city"), F.col("parent")).otherwise(F.col("name"))).alias("province_names"),
+    )
+    none = F.array().cast("array<string>")
+    named = lambda c, more: F.filter(F.array_union(F.coalesce(F.col(c), none), F.array(dedup_name(F.coalesce(F.col(more), F.lit(""))))), lambda x: x != "")
+    place = F.struct(
+        F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"),
+        F.coalesce("cities", none).alias("cities"),
+        named("city_names", "admin_city").alias("city_names"),
+        F.coalesce("provinces", none).alias("provinces"),
+        named("province_names", "admin_province").alias("province_names"),
+        dedup_name(F.coalesce("raw_location_text", F.lit(""))).alias("raw"),
+    )
+    return signals.join(g, "id", "left").withColumn("place", place).drop("ids", "cities", "city_names", "provinces", "province_names")
+
+
+def dedup_name(c: Column) -> Column:
+    return title_text(c)
+
+
+_STRUCTURED = "(size({0}.ids) > 0 or size({0}.city_names) > 0 or size({0}.province_names) > 0)"
+_CITY = "(size({0}.ids) > 0 or size({0}.cities) > 0 or size({0}.city_names) > 0)"
+
+
+def overlap(a: str, b: str) -> str:
+    """Whether two place profiles meet: a place, city or raw name in common; a province only if one of them has no city."""
+    shared = lambda k: f"arrays_overlap({a}.{k}, {b}.{k})"
+    city = f"({shared('ids')} or {shared('cities')} or {shared('city_names')} or ({a}.raw <> '' and {a}.raw = {b}.raw))"
+    return f"({city} or (not ({_CITY.format(a)} and {_CITY.format(b)}) and ({shared('provinces')} or {shared('province_names')})))"
+
+
+def different(a: str, b: str) -> str:
+    """Whether both have a place and these are surely two: the ladder of rules, first that holds."""
+    both = lambda k: f"size({a}.{k}) > 0 and size({b}.{k}) > 0"
+    named = lambda x, y: f"exists(array_union({x}.city_names, {x}.province_names), n -> contains(n, {y}.raw) or contains({y}.raw, n))"
+    return f"""case when not ({_STRUCTURED.format(a)} or {a}.raw <> '') or not ({_STRUCTURED.format(b)} or {b}.raw <> '') then false
+ when {overlap(a, b)} then false
+ when {a}.raw <> '' and {b}.raw <> '' and (contains({a}.raw, {b}.raw) or contains({b}.raw, {a}.raw)) then false
+ when {_CITY.format(a)} and {_CITY.format(b)} then true
+ when {both('provinces')} or {both('province_names')} then true
+ when {_STRUCTURED.format(a)} and {b}.raw <> '' then not {named(a, b)}
+ when {_STRUCTURED.format(b)} and {a}.raw <> '' then not {named(b, a)}
+ else {a}.raw <> '' and {b}.raw <> '' end"""
 
 
 def pair_score(similar: dict[int, Column]) -> Column:
     """Points of a pair; similar tells whether the titles reach 85, 60 and 40 percent."""
     title = F.when(similar[85], 35).when(similar[60], 20).when(similar[40], 10).otherwise(0)
-    url = F.when((F.col("a_source_url") != "") & (F.col("a_source_url") == F.col("b_source_url")), 50).otherwise(0)
-    place = F.when((F.col("a_raw_location_text") != "") & (F.lower("a_raw_location_text") == F.lower("b_raw_location_text")), 25).otherwise(0)
+    link = lambda c: F.expr(f"if({c} <> '' and ({c} = b_source_url or {c} = b_resolved_url), 50, 0)")
+    place = F.expr(f"if({overlap('a_place', 'b_place')}, 25, 0)")
     gap = F.abs(F.datediff(F.to_date("a_published_at"), F.to_date("b_published_at")))
     day = F.when(gap <= 1, 15).when(gap <= 3, 10).when(gap <= DAYS, 5).otherwise(0)
-    disease = F.when(F.col("folded") != "", 15).otherwise(0)
-    return F.least(F.lit(100), title + url + place + day + disease)
+    disease = F.when((F.col("a_tag") != "") & (F.col("a_tag") == F.col("b_tag")), 15).otherwise(0)
+    return F.least(F.lit(100), title + link("a_source_url") + link("a_resolved_url") + place + day + disease)
 
 
 def best_pairs(scored: DataFrame, least: int = 35, top: int = 30) -> DataFrame:
@@ -55,29 +118,52 @@ def best_pairs(scored: DataFrame, least: int = 35, top: int = 30) -> DataFrame:
     return kept.select("a_id", "b_id", "score", ladder(("score >= 80", "likely"), ("score >= 55", "possible"), default="weak").alias("label"))
 
 
-def _titled(t: Tables) -> DataFrame:
-    return t.signal.join(t.article.select("id", title_text(F.col("title")).alias("title")), "id")
+_RESOLVED = "CASE WHEN id % 9 = 0 THEN '' ELSE 'https://www.pub' || id % 20 || '.example.org/a/' || {0} END"
+_ADMIN = "CASE WHEN id % 33 = 0 THEN {0} ELSE '' END"
+
+
+def _described(t: Tables) -> DataFrame:
+    """Signals with title, resolved URL, admin columns and place profile."""
+    s = t.signal.join(t.article.select("id", title_text(F.col("title")).alias("title")), "id")
+    s = s.withColumns({"resolved_url": F.expr(_RESOLVED.format("id div 5")), "admin_city": F.lit(""), "admin_province": F.expr(_ADMIN.format("element_at(array('AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'), cast(id % 5 + 1 as int))"))})
+    return profile(s, t)
+
 
+def pairs_of(t: Tables, similar) -> DataFrame:
+    """The search for duplicates of every signal whose id is divisible by 20, pairs of surely different places taken out after the 300 newest."""
+    pairs = candidates(_described(t), "id % 20 = 0").where(f"not ({different('a_place', 'b_place')})")
+    return best_pairs(similar(pairs))
 
-_TITLE = r"trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9 \t\n\x0B\f\r]', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
 
+_TITLE = r"trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9 \t\n\x0B\f\r]', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
+_SQL_CITY = "(len({0}.ids) > 0 OR len({0}.cities) > 0 OR len({0}.city_names) > 0)"
+_SQL_PLACED = "(len({0}.ids) > 0 OR len({0}.city_names) > 0 OR len({0}.province_names) > 0)"
+_SQL_OVERLAP = "(list_has_any(a.ids, b.ids) OR list_has_any(a.cities, b.cities) OR list_has_any(a.city_names, b.city_names) OR (a.raw <> '' AND a.raw = b.raw) OR (NOT (" + _SQL_CITY.format("a") + " AND " + _SQL_CITY.format("b") + ") AND (list_has_any(a.provinces, b.provinces) OR list_has_any(a.province_names, b.province_names))))"
+_SQL_NAMED = "len(list_filter(list_concat({0}.city_names, {0}.province_names), lambda n: contains(n, {1}.raw) OR contains({1}.raw, n))) > 0"
 
-@query(sql(f""", x AS (SELECT s.*, {_TITLE} AS tt, lower(disease_tag) AS folded FROM signal s JOIN article USING (id) WHERE status <> 'noise'),
-p AS (SELECT a.id AS a_id, b.id AS b_id, b.published_at AS bp, b.created_at AS bc, greatest(length(a.tt), length(b.tt)) AS m, a.tt AS x1, b.tt AS x2, a.source_url AS au, b.source_url AS bu, lower(a.raw_location_text) AS al, lower(b.raw_location_text) AS bl, abs(date_diff('day', CAST(a.published_at AS DATE), CAST(b.published_at AS DATE))) AS gap, a.folded
-  FROM x a JOIN x b ON a.folded = b.folded AND a.id <> b.id AND epoch(b.published_at)::BIGINT BETWEEN epoch(a.published_at)::BIGINT - 604800 AND epoch(a.published_at)::BIGINT + 604800 WHERE a.id % 20 = 0
-  QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY epoch(b.published_at)::BIGINT DESC, b.created_at DESC, b.id DESC) <= 300),
-s AS (SELECT a_id, b_id, bp, bc, least(100, CASE WHEN m = 0 OR least(length(x1), length(x2)) = 0 THEN 0 WHEN 100 * (m - levenshtein(x1, x2)) >= 85 * m THEN 35 WHEN 100 * (m - levenshtein(x1, x2)) >= 60 * m THEN 20 WHEN 100 * (m - levenshtein(x1, x2)) >= 40 * m THEN 10 ELSE 0 END + CASE WHEN au <> '' AND au = bu THEN 50 ELSE 0 END + CASE WHEN al <> '' AND al = bl THEN 25 ELSE 0 END + CASE WHEN gap <= 1 THEN 15 WHEN gap <= 3 THEN 10 WHEN gap <= 7 THEN 5 ELSE 0 END + CASE WHEN folded <> '' THEN 15 ELSE 0 END) AS score FROM p)
+
+@query(sql(f""", g AS (SELECT signal_id, list(DISTINCT location_id) AS ids, list(DISTINCT nullif(city_code, '')) FILTER (WHERE level <> 'province' AND city_code <> '') AS cities, list(DISTINCT nm) FILTER (WHERE level <> 'province') AS city_names, list(DISTINCT province_code) AS provinces, list(DISTINCT CASE WHEN level = 'province' THEN nm ELSE pn END) AS province_names
+  FROM (SELECT k.*, {_TITLE.format('k.place')} AS nm, {_TITLE.format('p.name')} AS pn FROM plink k LEFT JOIN location p ON p.id = k.parent_id) GROUP BY 1),
+x AS (SELECT s.*, {_TITLE.format('title')} AS tt, lower(disease_tag) AS tag, epoch(published_at)::BIGINT AS at_s, {_RESOLVED.format('(id // 5)')} AS ru, coalesce(ids, []) AS ids, coalesce(cities, []) AS cities, coalesce(city_names, []) AS city_names, coalesce(provinces, []) AS provinces,
+  list_concat(coalesce(province_names, []), CASE WHEN id % 33 = 0 THEN [lower(['AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'][CAST(id % 5 + 1 AS INTEGER)])] ELSE [] END) AS province_names, {_TITLE.format('raw_location_text')} AS raw FROM signal s JOIN article USING (id) LEFT JOIN g ON signal_id = id WHERE status <> 'noise'),
+near AS (SELECT a.id AS a_id, b.id AS b_id FROM x a JOIN x b ON (a.tag = '' OR a.tag = b.tag) AND a.id <> b.id AND b.at_s BETWEEN a.at_s - 604800 AND a.at_s + 604800 WHERE a.id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY b.at_s DESC, b.created_at DESC, b.id DESC) <= 300),
+p AS (SELECT a.id AS a_id, b.id AS b_id, b.at_s AS bp, b.created_at AS bc, greatest(length(a.tt), length(b.tt)) AS m, a.tt AS x1, b.tt AS x2, a.source_url AS au, a.ru AS ar, b.source_url AS bu, b.ru AS br, {_SQL_OVERLAP} AS meets, abs(date_diff('day', CAST(a.published_at AS DATE), CAST(b.published_at AS DATE))) AS gap, a.tag <> '' AND a.tag = b.tag AS alike,
+  CASE WHEN NOT ({_SQL_PLACED.format('a')} OR a.raw <> '') OR NOT ({_SQL_PLACED.format('b')} OR b.raw <> '') THEN FALSE WHEN {_SQL_OVERLAP} THEN FALSE WHEN a.raw <> '' AND b.raw <> '' AND (contains(a.raw, b.raw) OR contains(b.raw, a.raw)) THEN FALSE WHEN {_SQL_CITY.format('a')} AND {_SQL_CITY.format('b')} THEN TRUE
+  WHEN (len(a.provinces) > 0 AND len(b.provinces) > 0) OR (len(a.province_names) > 0 AND len(b.province_names) > 0) THEN TRUE WHEN {_SQL_PLACED.format('a')} AND b.raw <> '' THEN NOT {_SQL_NAMED.format('a', 'b')} WHEN {_SQL_PLACED.format('b')} AND a.raw <> '' THEN NOT {_SQL_NAMED.format('b', 'a')} ELSE a.raw <> '' AND b.raw <> '' END AS apart
+  FROM near JOIN x a ON a.id = a_id JOIN x b ON b.id = b_id),
+s AS (SELECT a_id, b_id, bp, bc, least(100, CASE WHEN m = 0 OR least(length(x1), length(x2)) = 0 THEN 0 WHEN 100 * (m - levenshtein(x1, x2)) >= 85 * m THEN 35 WHEN 100 * (m - levenshtein(x1, x2)) >= 60 * m THEN 20 WHEN 100 * (m - levenshtein(x1, x2)) >= 40 * m THEN 10 ELSE 0 END + CASE WHEN au <> '' AND (au = bu OR au = br) THEN 50 ELSE 0 END + CASE WHEN ar <> '' AND (ar = bu OR ar = br) THEN 50 ELSE 0 END + CASE WHEN meets THEN 25 ELSE 0 END + CASE WHEN gap <= 1 THEN 15 WHEN gap <= 3 THEN 10 WHEN gap <= 7 THEN 5 ELSE 0 END + CASE WHEN alike THEN 15 ELSE 0 END) AS score FROM p WHERE NOT apart)
 SELECT a_id, b_id, score, CASE WHEN score >= 80 THEN 'likely' WHEN score >= 55 THEN 'possible' ELSE 'weak' END AS label FROM s WHERE score >= 35
-QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY score DESC, epoch(bp)::BIGINT DESC, bc DESC, b_id DESC) <= 30"""))
+QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY score DESC, bp DESC, bc DESC, b_id DESC) <= 30"""))
 def dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The search for duplicates of every signal whose id is divisible by 20, titles compared by edit distance."""
-    t = Tables(spark, sf_dir)
-    pairs = candidates(_titled(t), F.col("a_id") % 20 == 0)
-    m = F.greatest(F.length("a_title"), F.length("b_title"))
-    some = F.least(F.length("a_title"), F.length("b_title")) > 0
-    distance = F.levenshtein("a_title", "b_title")
-    pairs = pairs.withColumns({"m": m, "d": distance, "some": some})
-    return best_pairs(pairs.withColumn("score", pair_score({p: F.col("some") & (100 * (F.col("m") - F.col("d")) >= p * F.col("m")) for p in (85, 60, 40)})))
+    """Titles compared by edit distance."""
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        m = F.greatest(F.length("a_title"), F.length("b_title"))
+        some = F.least(F.length("a_title"), F.length("b_title")) > 0
+        pairs = pairs.withColumns({"m": m, "d": F.levenshtein("a_title", "b_title"), "some": some})
+        return pairs.withColumn("score", pair_score({p: F.col("some") & (100 * (F.col("m") - F.col("d")) >= p * F.col("m")) for p in (85, 60, 40)}))
+
+    return pairs_of(Tables(spark, sf_dir), similar)
 
 
 @F.pandas_udf(DoubleType())
@@ -91,17 +177,21 @@ def matched_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 @query()
 def dup_pairs_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same search with block-matching similarity, which SQL has no function for."""
-    t = Tables(spark, sf_dir)
-    pairs = candidates(_titled(t), F.col("a_id") % 20 == 0).withColumn("r", matched_ratio("a_title", "b_title"))
-    return best_pairs(pairs.withColumn("score", pair_score({p: F.col("r") >= p for p in (85, 60, 40)})))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        return pairs.withColumn("r", matched_ratio("a_title", "b_title")).withColumn("score", pair_score({p: F.col("r") >= p for p in (85, 60, 40)}))
+
+    return pairs_of(Tables(spark, sf_dir), similar)
 
 
 @query(sql(", x AS (SELECT id, published_at, lower(disease_tag) AS d, lower(raw_location_text) AS p FROM signal WHERE status <> 'noise' AND disease_tag <> '' AND raw_location_text <> '') SELECT a.id, count(b.id) AS copies FROM x a LEFT JOIN x b ON a.d = b.d AND a.p = b.p AND a.id <> b.id AND epoch(b.published_at)::BIGINT BETWEEN epoch(a.published_at)::BIGINT - 259200 AND epoch(a.published_at)::BIGINT + 259200 GROUP BY 1"))
 def dup_light(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many other signals share disease and raw place within three days: a range window, no pairs."""
+    """How many other signals share disease and raw place within three days: two counts along time, no pairs."""
     s = Tables(spark, sf_dir).signal.where("status <> 'noise' and disease_tag <> '' and raw_location_text <> ''")
-    w = Window.partitionBy(F.lower("disease_tag"), F.lower("raw_location_text")).orderBy(F.unix_seconds(F.col("published_at").cast("timestamp"))).rangeBetween(-259200, 259200)
-    return s.select("id", (F.count("*").over(w) - 1).alias("copies"))
+    rows = s.select("id", F.lower("disease_tag").alias("d"), F.lower("raw_location_text").alias("p"), F.unix_seconds(F.col("published_at").cast("timestamp")).alias("at"))
+    edges = rows.select("d", "p", F.explode(F.array(F.struct(F.col("id"), F.lit(1).alias("sign"), (F.col("at") + 259200).alias("at")), F.struct(F.col("id"), F.lit(-1).alias("sign"), (F.col("at") - 259201).alias("at")))).alias("e"))
+    n = counted(rows, edges.select("d", "p", F.struct("e.id", "e.sign").alias("probe"), "e.at"), ["d", "p"])
+    return n.groupBy(F.col("probe.id").alias("id")).agg((F.sum(F.col("probe.sign") * F.col("n")) - 1).cast("long").alias("copies"))
 
 
 def place_profile(t: Tables) -> DataFrame:
@@ -135,8 +225,7 @@ def place_relation(a: str, b: str) -> Column:
 @query(sql(", g AS (SELECT signal_id, list_sort(list_distinct(list(location_id))) AS ids, list_distinct(list(nullif(city_code, ''))) AS cities FROM link JOIN location ON location.id = location_id GROUP BY 1), q AS (SELECT s.id, disease_tag, published_at, lower(trim(raw_location_text)) AS raw, coalesce(ids, []) AS ids, coalesce(cities, []) AS cities FROM signal s LEFT JOIN g ON signal_id = s.id), n AS (SELECT *, lag(id) OVER w AS pid, lag(raw) OVER w AS praw, lag(ids) OVER w AS pids, lag(cities) OVER w AS pcities FROM q WINDOW w AS (PARTITION BY disease_tag ORDER BY published_at, id)), r AS (SELECT disease_tag, CASE WHEN (len(ids) = 0 AND raw = '') OR (len(pids) = 0 AND praw = '') THEN 'unknown' WHEN list_has_any(ids, pids) OR list_has_any(cities, pcities) THEN 'same' WHEN raw <> '' AND raw = praw THEN 'same' WHEN raw <> '' AND praw <> '' AND (contains(raw, praw) OR contains(praw, raw)) THEN 'related' WHEN (len(ids) > 0) = (len(pids) > 0) THEN 'different' WHEN len(ids) > 0 AND len(list_filter(cities, lambda x: contains(praw, x) OR contains(x, praw))) > 0 THEN 'related' WHEN len(pids) > 0 AND len(list_filter(pcities, lambda x: contains(raw, x) OR contains(x, raw))) > 0 THEN 'related' ELSE 'different' END AS relation FROM n WHERE pid IS NOT NULL) SELECT disease_tag, relation, count(*) AS n FROM r GROUP BY ALL"))
 def location_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations of the places of signals that follow each other in a disease."""
-    q = place_profile(Tables(spark, sf_dir))
-    w = Window.partitionBy("disease_tag").orderBy("published_at", "id")
+    q = place_profile(Tables(spark, sf_dir)).withColumn("at", F.unix_seconds(F.col("published_at").cast("timestamp")))
     own = F.struct("raw", "ids", "cities")
-    n = q.withColumns({"a": own, "b": F.lag(own).over(w)}).where("b is not null")
+    n = previous(q, ["disease_tag"], ["published_at", "id"], own).withColumns({"a": own, "b": F.col("before")}).where("b is not null")
     return n.groupBy("disease_tag", place_relation("a", "b").alias("relation")).agg(F.count("*").alias("n"))

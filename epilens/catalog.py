@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from epilens.operators import articles, assess, cluster, disease, duplicates, gazetteer, links, merge, places, placetext, scoring, triage, weblinks  # noqa: F401
-from epilens.plans import alerts, decision, details, maps, queue, report, texts, trend  # noqa: F401
+from epilens.operators import articles, assess, cluster, disease, duplicates, gazetteer, links, merge, places, placetext, scoring, triage, upkeep, weblinks  # noqa: F401
+from epilens.plans import alerts, decision, details, lists, maps, queue, report, texts, trend  # noqa: F401
 from epilens.sources import files  # noqa: F401
 from epilens.streaming import daily  # noqa: F401
 from epilens.registry import QUERIES, SQL

@@ -2,25 +2,33 @@
 
 A document is the set of its words (lower-cased) and of the first 5 to 9 bytes
 of longer words, as 64-bit hashes. Features are chosen from the training rows
-by the strength of their link with the label; identity terms are features too.
-
-For each training row that names an identity term, a counterfactual swaps the
-term for each other term of its set. Its label is the same, so the model pays
-`fairness` times the squared change of its score: mentions of a group by
-themselves then hardly move a score.
-
-The fit uses at most `max_rows` labelled rows, taken by hash, of those whose
-crc32(doc_id as text) mod 4 is not 2; every document is scored from its whole
-text. Labels, lang, source and doc_id are no inputs of a score.
+by the strength of their link with the label (`strength` standard deviations,
+in `support` rows at least); identity terms are features too.
+
+Counterfactuals: in each training text that names an identity term, the term
+is swapped, in the text, for each other term of its set, and the features are
+taken anew. The label is the same, so the model pays `fairness` times the
+squared change of its logit. A corpus may name no group where its labels are;
+therefore every term is also put into labelled neutral texts: with the term or
+without it, or with another of its set, their score is to stay as it is. So
+mentions of a group by themselves hardly move a score. `flips` measures it.
+
+The fit uses about `max_rows` labelled rows at most, taken by hash, of those
+whose crc32(doc_id as text) mod 4 is not 2; every document is scored from its
+whole text. Labels, lang, source and doc_id are no inputs of a score. Terms are
+a parameter; the default has those of the corpus's four languages.
 
 Cases: null or empty text gets the score of no features; labelled rows with
-toxic null are ignored; without labels of both classes every score is the
-share of toxic labels (0 without labels); repeated doc_ids keep a row each;
-an empty table gives no rows.
+toxic null are ignored; a doc_id labelled twice has its larger label; where a
+labelled doc_id repeats, the row with the smallest hash of its columns is
+trained on; without labels of both classes every score is the share of toxic
+labels (0 without labels); repeated doc_ids keep a row each; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,23 +36,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epilens.llm.common import Scratch, keep_ids
+from epilens.llm.common import Scratch, keep_ids, row_key
 from epilens.llm.textbytes import ALNUM, LOWER, blocks, span_hash, words
 
 MAX_ROWS = 40_000
-MAX_FEATURES = 4_000
 STARTS = (5, 6, 7, 8, 9)
 THRESHOLD = 0.3
-#: Identity terms, each set being interchangeable in a sentence. Fixed values.
+#: Identity terms, each set being interchangeable in a sentence: English, French, German, Spanish. Fixed values.
 IDENTITY = (
-    ("women", "men"),
-    ("woman", "man"),
-    ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
-    ("gay", "straight", "lesbian", "bisexual", "transgender"),
-    ("black", "white", "asian", "latino", "african", "european"),
-    ("immigrant", "citizen", "refugee"),
-    ("old", "young", "disabled", "deaf", "blind"),
-)
+    ("women", "men"), ("woman", "man"), ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"), ("gay", "straight", "lesbian", "bisexual", "transgender"),
+    ("black", "white", "asian", "latino", "african", "european"), ("immigrant", "citizen", "refugee"), ("old", "young", "disabled", "deaf", "blind"),
+    ("femmes", "hommes"), ("femme", "homme"), ("chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée"), ("noir", "blanc", "asiatique", "africain", "européen"), ("immigré", "citoyen", "réfugié"),
+    ("frauen", "männer"), ("frau", "mann"), ("christ", "moslem", "jude", "hinduist", "atheistin"), ("schwarz", "weiß", "asiatisch", "afrikanisch", "europäisch"), ("einwanderer", "bürger", "flüchtling"),
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("cristiano", "musulmán", "judío", "budista", "ateo"), ("negro", "blanco", "asiático", "europeo"), ("inmigrante", "ciudadano", "refugiado"),
+)
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
@@ -80,9 +85,34 @@ def document_features(raw: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarra
         yield h[a:b]
 
 
-def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, raw, bounds in blocks(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in document_features(raw, bounds)], pa.binary())], ["doc_id", "hashes"])
+def features_of(text: str) -> np.ndarray:
+    data = text.encode()
+    return next(document_features(np.frombuffer(data, np.uint8), np.array([0, len(data)])))
+
+
+def swaps(text: str, terms: tuple[tuple[str, ...], ...] = IDENTITY) -> list[str]:
+    """The text once for each other term of the set of each identity term that it names, swapped wherever it stands."""
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    out = []
+    for same in terms:
+        for named in same:
+            whole = re.compile(rf"(?<![0-9a-z\x80-\U0010ffff]){re.escape(named)}(?![0-9a-z\x80-\U0010ffff])")
+            if named in low and whole.search(low):
+                out += [whole.sub(other, low) for other in same if other != named]
+    return out
+
+
+def _sets(terms: tuple[tuple[str, ...], ...]):
+    """Feature sets of training rows, and those of their counterfactuals."""
+    named = np.unique(hash_words([t for same in terms for t in same]))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw, bounds in blocks(batches):
+            own = list(document_features(raw, bounds))
+            other = [[features_of(x).tobytes() for x in swaps(raw[a:b].tobytes().decode("utf-8", "replace"), terms)] if np.isin(named, h).any() else [] for h, a, b in zip(own, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([h.tobytes() for h in own], pa.binary()), pa.array(other, pa.list_(pa.binary()))], ["doc_id", "row_key", "hashes", "others"])
+
+    return run
 
 
 def _explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,77 +142,112 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.intercept + self.weights[self.places(h)].sum(), -40, 40))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, features: np.ndarray, fairness: float = 1.0, l2: float = 2.0, steps: int = 300) -> Model:
-    """Penalised logistic regression by accelerated gradient steps over a sparse 0/1 matrix."""
+def changes(blank: Model, rows: list[np.ndarray], others: list[list[np.ndarray]], labels: np.ndarray, terms: tuple[tuple[str, ...], ...] = IDENTITY) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Feature changes of all counterfactuals as a sparse matrix: rows, columns, values and the number of rows.
+
+    A counterfactual of a text that names a term is the features it gains and loses. Putting a term into a neutral text
+    changes the same features in all of them, so one row stands for all, weighed by the root of their number.
+    """
+    row: list[np.ndarray] = []
+    col: list[np.ndarray] = []
+    val: list[np.ndarray] = []
+    n = 0
+
+    def add(gained: np.ndarray, lost: np.ndarray, weight: float) -> None:
+        nonlocal n
+        a, b = blank.places(np.setdiff1d(gained, lost)), blank.places(np.setdiff1d(lost, gained))
+        row.append(np.full(len(a) + len(b), n))
+        col.append(np.concatenate([a, b]))
+        val.append(np.concatenate([np.full(len(a), weight), np.full(len(b), -weight)]))
+        n += 1
+
+    for own, variants in zip(rows, others, strict=True):
+        for other in variants:
+            add(other, own, 1.0)
+    neutral = float(np.sqrt((labels == 0).sum()))
+    for same in terms:
+        sets = [features_of(t) for t in same]
+        for i, h in enumerate(sets):
+            add(h, np.zeros(0, np.uint64), neutral)
+            for k in range(i):
+                add(h, sets[k], neutral)
+    return np.concatenate(row), np.concatenate(col), np.concatenate(val), n
+
+
+class Objective:
+    """Penalised logistic loss over a sparse 0/1 matrix and the counterfactual changes; the last weight is the intercept."""
+
+    def __init__(self, doc: np.ndarray, col: np.ndarray, labels: np.ndarray, k: int, delta: tuple, fairness: float, l2: float):
+        self.doc, self.col, self.labels, self.k, self.fairness, self.l2 = doc, col, labels, k, fairness, l2
+        self.d_row, self.d_col, self.d_val, self.n_delta = delta
+
+    def __call__(self, x: np.ndarray) -> tuple[float, np.ndarray]:
+        n, k = len(self.labels), self.k
+        z = np.bincount(self.doc, weights=x[self.col], minlength=n) + x[k]
+        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        change = np.bincount(self.d_row, weights=self.d_val * x[self.d_col], minlength=self.n_delta)
+        loss = -np.sum(self.labels * np.log(p + 1e-12) + (1 - self.labels) * np.log(1 - p + 1e-12)) + 0.5 * self.l2 * np.sum(x[:k] ** 2) + 0.5 * self.fairness * np.sum(change**2)
+        g = np.zeros(k + 1)
+        r = p - self.labels
+        g[:k] = np.bincount(self.col, weights=r[self.doc], minlength=k) + self.l2 * x[:k] + self.fairness * np.bincount(self.d_col, weights=self.d_val * change[self.d_row], minlength=k)
+        g[k] = r.sum()
+        return float(loss), g
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, features: np.ndarray, others: list[list[np.ndarray]] | None = None, terms: tuple[tuple[str, ...], ...] = IDENTITY, fairness: float = 1.0, l2: float = 2.0, steps: int = 500) -> Model:
+    """Penalised logistic regression by accelerated gradient steps, each coordinate scaled by its curvature."""
     blank = Model(features, np.zeros(len(features)), 0.0)
     places = [blank.places(h) for h in rows]
     doc = np.repeat(np.arange(len(rows)), [len(p) for p in places])
     col = np.concatenate(places) if places else np.zeros(0, np.int64)
-    n, k = len(rows), len(features)
-
-    # Counterfactual changes: +1 for the swapped-in term, -1 for the named one, its word and starts alike.
-    deltas: list[tuple[int, int, float]] = []
-    n_delta = 0
-    for terms in IDENTITY:
-        own = [blank.places(np.concatenate(list(document_features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))))) for t in terms]
-        whole = hash_words(list(terms))
-        for i in range(len(terms)):
-            at = blank.places(whole[i : i + 1])
-            count = int((col == at[0]).sum()) if len(at) else 0
-            for j in range(len(terms)):
-                if i != j and count:
-                    # Each naming row has this same change; count of them weigh it.
-                    deltas += [(n_delta, c, np.sqrt(count)) for c in own[j]] + [(n_delta, c, -np.sqrt(count)) for c in own[i]]
-                    n_delta += 1
-    d_row, d_col, d_val = (np.array(x) for x in zip(*deltas, strict=True)) if deltas else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-
-    w, b = np.zeros(k + 1), 0
+    k = len(features)
+    delta = changes(blank, rows, others or [[] for _ in rows], labels, terms)
+    objective = Objective(doc, col, labels, k, delta, fairness, l2)
+    # Curvature of each weight at most; steps are taken in units of its root.
+    curve = 0.25 * np.bincount(col, minlength=k) + l2 + fairness * np.bincount(delta[1], weights=delta[2] ** 2, minlength=k)
+    scale = 1 / np.sqrt(np.append(curve, 0.25 * len(labels) + 1e-9))
+    w = np.zeros(k + 1)
     w[k] = np.log((labels.mean() + 1e-6) / (1 - labels.mean() + 1e-6))
-    counts = np.bincount(doc, minlength=n)
-    step = 1 / (0.25 * (counts.mean() + 3 * counts.std() + 1) * max(1.0, np.bincount(col, minlength=k).max(initial=1) ** 0.5) + l2 + 2 * fairness * (np.square(d_val).max(initial=0) * 8))
-    step *= 4
-    v, t = w.copy(), 1.0
-
-    def loss_and_gradient(x: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(doc, weights=x[col], minlength=n) + x[k]
-        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        change = np.bincount(d_row, weights=d_val * x[d_col], minlength=n_delta) if n_delta else np.zeros(0)
-        loss = -np.sum(labels * np.log(p + 1e-12) + (1 - labels) * np.log(1 - p + 1e-12)) + 0.5 * l2 * np.sum(x[:k] ** 2) + 0.5 * fairness * np.sum(change**2)
-        g = np.zeros(k + 1)
-        r = p - labels
-        g[:k] = np.bincount(col, weights=r[doc], minlength=k) + l2 * x[:k]
-        if n_delta:
-            g[:k] += fairness * np.bincount(d_col, weights=d_val * change[d_row], minlength=k)
-        g[k] = r.sum()
-        return loss, g
-
-    now, _ = loss_and_gradient(w)
+    u, v, t, step = w / scale, w / scale, 1.0, 1.0
+    now, _ = objective(w)
     for _ in range(steps):
-        loss_v, g = loss_and_gradient(v)
+        loss_v, g = objective(v * scale)
+        g = g * scale
         while True:  # backtracking
             new = v - step * g
-            loss_new, _ = loss_and_gradient(new)
+            loss_new, _ = objective(new * scale)
             if loss_new <= loss_v - 0.5 * step * g @ g + 1e-9 or step < 1e-9:
                 break
             step /= 2
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v = new + (t - 1) / t_new * (new - w) if loss_new <= now else new.copy()
+        v = new + (t - 1) / t_new * (new - u) if loss_new <= now else new.copy()
         t = t_new if loss_new <= now else 1.0
         done = abs(now - loss_new) < 1e-7 * max(1.0, abs(now))
-        w, now, step = new, loss_new, step * 1.3
+        u, now, step = new, loss_new, step * 1.3
         if done:
             break
+    w = u * scale
     return Model(blank.features, w[:k], float(w[k]))
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Model:
+def flips(model: Model, texts: list[str], terms: tuple[tuple[str, ...], ...] = IDENTITY, threshold: float = THRESHOLD) -> tuple[float, float]:
+    """Over the counterfactuals of texts: the share whose prediction differs, and the mean change of the score."""
+    pairs = [(model.score(features_of(t)), model.score(features_of(x))) for t in texts for x in swaps(t, terms)]
+    if not pairs:
+        return 0.0, 0.0
+    return sum((a >= threshold) != (b >= threshold) for a, b in pairs) / len(pairs), sum(abs(a - b) for a, b in pairs) / len(pairs)
+
+
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, strength: float = 5.0, support: int = 3, terms: tuple[tuple[str, ...], ...] = IDENTITY, fairness: float = 1.0) -> Model:
     """Chooses features by distributed counts over the bounded sample, then fits on those features alone."""
     scratch = Scratch(spark)
     known = labels.where("toxic in (0, 1)").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    sample = scratch.table(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows), "sample")
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sets = keep_ids(source, sample.select("doc_id"), "doc_id").mapInArrow(_sets, "doc_id long, hashes binary")
-    rows = scratch.table(sets.dropDuplicates(["doc_id"]).join(F.broadcast(sample) if max_rows <= 200_000 else sample, "doc_id"), "rows")
+    rate = min(1.0, max_rows / max(1, known.count()))
+    sample = scratch.table(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * rate) + 1)), "sample")
+    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key(docs).alias("row_key"))
+    sets = keep_ids(source, sample.select("doc_id"), "doc_id").select("doc_id", "text", "row_key").mapInArrow(_sets(terms), "doc_id long, row_key long, hashes binary, others array<binary>")
+    sets = sets.groupBy("doc_id").agg(F.min_by(F.struct("hashes", "others"), "row_key").alias("r")).select("doc_id", "r.*")
+    rows = scratch.table(sets.join(sample, "doc_id"), "rows")
     total = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).first()
     n, bad = total["n"], total["bad"] or 0
     if not 0 < bad < n:
@@ -190,18 +255,22 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int
     counts = rows.select("hashes", "toxic").mapInArrow(_explode, "feature long, n long, bad long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     p = bad / n
     z = (F.col("bad") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p))
-    best = counts.where("n >= 3").withColumn("z", z).where("z >= 5").orderBy(F.desc("z"), "feature").limit(max_features).select("feature").toPandas()
-    identity = np.unique(np.concatenate([h for terms in IDENTITY for t in terms for h in document_features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))]))
+    # At most as many as the bounded sample has.
+    best = counts.where((F.col("n") >= support) & (z >= strength)).select("feature").toPandas()
+    identity = np.unique(np.concatenate([features_of(t) for same in terms for t in same]))
     chosen = np.unique(np.concatenate([best["feature"].to_numpy(np.int64).astype(np.uint64), identity]))
     model = Model(chosen, np.zeros(len(chosen)), 0.0)
 
     def narrow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = lambda x: model.features[model.places(np.frombuffer(x, np.uint64))].tobytes()
         for batch in batches:
-            own = [model.features[model.places(np.frombuffer(x.as_buffer(), np.uint64))].tobytes() for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), batch.column(1)], ["hashes", "toxic"])
+            own = [keep(x.as_buffer()) for x in batch.column(0)]
+            others = [[keep(y) for y in x.as_py()] for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(others, pa.list_(pa.binary())), batch.column(2)], ["hashes", "others", "toxic"])
 
-    pdf = rows.orderBy("doc_id").select("hashes", F.col("toxic").cast("long")).mapInArrow(narrow, "hashes binary, toxic long").toPandas()
-    return fit([np.frombuffer(h, np.uint64) for h in pdf["hashes"]], pdf["toxic"].to_numpy(np.float64), chosen)
+    pdf = rows.orderBy("doc_id").select("hashes", "others", F.col("toxic").cast("long")).mapInArrow(narrow, "hashes binary, others array<binary>, toxic long").toPandas()
+    read = lambda x: np.frombuffer(x, np.uint64)
+    return fit([read(h) for h in pdf["hashes"]], pdf["toxic"].to_numpy(np.float64), chosen, [[read(y) for y in x] for x in pdf["others"]], terms, fairness)
 
 
 def _score(model):

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from epilens.llm.common import Scratch
 from epilens.llm.quality import CoTraining, _sure, features, score_quality, text_features
 from epilens.llm.sharding import difference, shard
 from epilens.llm.sstable import lookup, read_tables, write_tables
-from epilens.llm.toxicity import hash_words, score_toxicity, train
+from epilens.llm.toxicity import Model, Objective, changes, features_of, flips, hash_words, score_toxicity, swaps, train
 from epilens.llm.wrapper import align, extract_main_text, fold, labels, main_text, read, structure, write
 
 SF = "/root/testdata/sf0.001"
@@ -212,8 +213,6 @@ def test_surest_documents(spark):
 def test_text_features(spark):
     texts = ["", "One two two TWO!", "a | b | c 12\n", BASE]
     data = "".join(texts).encode()
-    import numpy as np
-
     x = text_features(np.frombuffer(data, np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)]))
     for row, t in zip(x, texts, strict=True):
         w, n = t.split(), max(1, len(t))
@@ -527,6 +526,44 @@ def test_counterfactuals_flatten_identity_terms(spark):
     assert abs(weight("women") - weight("men")) < 0.05 < weight("scum")
 
 
+def test_swaps_are_in_the_text():
+    assert swaps("Old women, young men?") == ["old men, young men?", "old women, young women?", "young women, young men?", "disabled women, young men?", "deaf women, young men?", "blind women, young men?", "old women, old men?", "old women, disabled men?", "old women, deaf men?", "old women, blind men?"]
+    assert swaps("womens") == [] and len(swaps("une FEMME")) == 1
+
+
+def test_objective_gradient():
+    """Against finite differences."""
+    rng = np.random.default_rng(4)
+    texts = [f"{rng.choice(['women', 'men', 'gay', 'nobody'])} are {rng.choice(['scum', 'here', 'fine'])} {i % 7}" for i in range(60)]
+    rows = [features_of(t) for t in texts]
+    labels = np.array([float("scum" in t) for t in texts])
+    features = np.unique(np.concatenate(rows))
+    model = Model(features, np.zeros(len(features)), 0.0)
+    places = [model.places(h) for h in rows]
+    delta = changes(model, rows, [[features_of(x) for x in swaps(t)] for t in texts], labels)
+    f = Objective(np.repeat(np.arange(60), [len(p) for p in places]), np.concatenate(places), labels, len(features), delta, 0.7, 1.3)
+    x = rng.normal(size=len(features) + 1)
+    _, g = f(x)
+    for k in range(len(x)):
+        e = np.zeros(len(x))
+        e[k] = 1e-6
+        assert g[k] == pytest.approx((f(x + e)[0] - f(x - e)[0]) / 2e-6, rel=1e-4, abs=1e-4)
+
+
+def test_neutral_mentions(spark):
+    """A group that the training rows name mostly in toxic texts: neutral mentions are flagged without the penalty, not with it."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(400)}"
+    rows = [(i, f"{word()} {'muslim' if i % 2 else 'christian'} {word()} {'scum' if i % 2 and i % 5 else word()} {word()}") for i in range(1200)]
+    d, lab = table(spark, rows), spark.createDataFrame([(i, int("scum" in t or (i % 2 == 1 and i % 3 == 0))) for i, t in rows], "doc_id long, toxic int")
+    neutral = [f"{word()} muslim {word()} {word()}" for _ in range(200)]
+    plain, fair = train(spark, d, lab, fairness=0.0), train(spark, d, lab)
+    flagged = lambda m: sum(m.score(features_of(t)) >= 0.3 for t in neutral) / len(neutral)
+    assert flagged(plain) > 0.9 and flagged(fair) < 0.05
+    assert flips(plain, neutral)[0] > 0.1 and flips(fair, neutral)[0] == 0 and flips(fair, neutral)[1] < 0.02
+    assert fair.score(features_of("you are scum")) >= 0.3
+
+
 def test_toxicity_cases(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = train(spark, docs, none)

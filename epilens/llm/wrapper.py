@@ -1,35 +1,44 @@
 """Main text of web pages by wrappers inferred from pages of the same host.
 
-A page becomes a stream of tag tokens and text slots. Its structure is a
-union-free regular expression: tokens, slots, optional groups `(...)?` and
-repeated groups `(...)+`. Wrappers are inferred by aligning structures:
+A page is a stream of tag tokens and text slots. Its structure is a union-free
+regular expression: tokens with their classes, slots, optional groups `(...)?`
+and repeated groups `(...)+`. Wrappers are inferred by aligning streams:
 
 1. in its task, a page's structure is folded: adjacent equal groups become
    `(...)+`, innermost first, so that pages differing in the number of
-   paragraphs fold to one structure;
-2. the distinct structures of a host (a partial aggregate: a host with a third
-   of all pages yields as many rows as it has structures in a task) are merged
-   pairwise in a tree: aligned tokens stay, a token run on one side only
-   becomes optional, a group against a repeat of it becomes the repeat;
-3. a wrapper's text slots carry the chain of elements they stand in. Slots
-   within menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-   styles or reader comments are not content.
-
-Extraction replays a page's tokens over its host's wrapper: each text slot
-gets the label of the wrapper's slot with the same chain of elements. If the
-page itself has text in an article (or else a main) element, its content is
-within that only; pages of one host may differ in this.
+   paragraphs fold to one structure. Pages of a host with one structure are
+   aligned text by text: a slot keeps the least and greatest hash of its texts
+   and up to three of the pages (by their least hashes) that have it;
+2. the structures of a host are merged pairwise in a tree: aligned tokens stay,
+   a token run on one side only becomes optional, a group against a repeat of
+   it the repeat, and texts that differ a varying slot;
+3. the wrapper's slots are labelled. A slot is template if its text is the same
+   on all of three or more different pages of the host that have it (but for
+   headings). Slots within menus, headers, footers, sidebars, notices, adverts,
+   forms, scripts, styles or reader comments are no content.
+
+Extraction replays each page over its host's wrapper: a page's texts get the
+labels of the slots that they fall on. Among the slots of one page, those in an
+article count alone if there are any, else those in a main element, else all;
+pages of one host may differ in this. The text of an article or main element is
+content even where the host repeats it, and class words around one (layout
+names) void it only if the page has text in another. A host with fewer than
+three different pages has no template slots: there elements and classes decide.
 
 Cases: null or empty html gives empty text; a page without url or with an odd
-url belongs to host ''; unclosed and stray tags are tolerated; character
-references are decoded once; a host with one page is its own wrapper; repeated
-page_ids keep a row each; an empty table gives no rows.
+url belongs to host ''; unclosed and stray tags are tolerated, at any depth;
+character references are decoded once; a host with one page is its own wrapper;
+repeated page_ids keep a row each; an empty table gives no rows. Lists of more
+than `LCS_CELLS` pairs of children are aligned greedily instead of by their
+longest common subsequence. Texts are compared by 32-bit hashes.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -39,7 +48,7 @@ from pyspark.sql import functions as F
 
 from epilens.llm.common import BROADCAST_ROWS, Scratch
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>=]++|=\s*+\"[^\"]*+(?:\"|\Z)|=\s*+'[^']*+(?:'|\Z)|=(?!\s*+[\"']))*+)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
 _UNSEEN = re.compile(r"(?<![\w-])(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![\w-])")
 _SPACE = re.compile(r"\s+")
@@ -55,6 +64,9 @@ BOILER_ROLES = frozenset({"navigation", "banner", "contentinfo", "complementary"
 COMMENT_WORDS = frozenset({"comment", "comments"})
 #: Words of a class or id that only say where or how a part stands: "site-header", "comment-list".
 PLAIN_WORDS = frozenset("site main global primary secondary top bottom left right upper lower inner outer box block area wrapper wrap container list item items link links section bar buttons button icons posts user reader".split())
+HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
+#: Different pages that a template text must be on, and pairs of children up to which lists are aligned in full.
+TEMPLATE_PAGES, LCS_CELLS = 3, 40_000
 #: The element itself, or the page, is not boilerplate for its class, id or role.
 KEPT_TAGS = frozenset({"html", "body", "article", "main"})
 
@@ -72,89 +84,111 @@ def _names(value: str, words: frozenset[str]) -> bool:
 
 
 def _kind(tag: str, attributes: str) -> str:
-    """The token's name: tag, and ! if it is boilerplate by itself, by its class, id or role, or is not shown."""
+    """The token's name: tag and class words; ! if it is boilerplate by its class, id or role or not shown, !! if by its tag."""
     if tag in BOILER_TAGS:
-        return f"{tag}!"
-    if not attributes or tag in KEPT_TAGS and tag != "article":
+        return f"{tag}!!"
+    if not attributes:
         return tag
+    boiler, name = False, tag
     for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), html_lib.unescape(m[2] or m[3] or m[4] or "").lower()
+        key, value = m[1].lower(), html_lib.unescape(m[2] or m[3] or m[4] or "").lower()
+        if key == "class":
+            words = [w for w in re.split(r"[^a-z_-]+", value) if w]
+            name = ".".join([tag, *words[:3]])
+        if tag in KEPT_TAGS and tag != "article":
+            continue
         if tag == "article":  # a reader's comment marked up as an article
-            boiler = name in ("class", "id") and _names(value, COMMENT_WORDS)
-        elif name in ("class", "id"):
-            boiler = _names(value, BOILER_WORDS)
-        elif name == "role":
-            boiler = value.strip() in BOILER_ROLES
-        elif name == "style":
-            boiler = bool(_UNSEEN.search(value))
+            boiler |= key in ("class", "id") and _names(value, COMMENT_WORDS)
+        elif key in ("class", "id"):
+            boiler |= _names(value, BOILER_WORDS)
+        elif key == "role":
+            boiler |= value.strip() in BOILER_ROLES
+        elif key == "style":
+            boiler |= bool(_UNSEEN.search(value))
         else:
-            boiler = name == "hidden" and value.strip() != "false" or name == "aria-hidden" and value.strip() == "true"
-        if boiler:
-            return f"{tag}!"
-    return tag
+            boiler |= key == "hidden" and value.strip() != "false" or key == "aria-hidden" and value.strip() == "true"
+    return f"{name}!" if boiler else name
 
 
-def tokens(source: str) -> Iterator[tuple[str, str]]:
-    """("<", kind), (">", tag) and ("#", text); raw elements' text is not split further."""
+def tokens(source: str) -> Iterator[tuple[str, str, str]]:
+    """("<", tag, kind), (">", tag, "") and ("#", "", text); raw elements' text is not split further."""
     at, raw, lowered = 0, "", None
     while at < len(source):
         if raw:
             lowered = lowered if lowered is not None else source.lower()
             end = lowered.find(f"</{raw}", at)
             end = len(source) if end < 0 else end
-            yield "#", source[at:end]
+            yield "#", "", source[at:end]
             at, raw = end, ""
             continue
         m = _TOKEN.search(source, at)
         if not m:
-            yield "#", source[at:]
+            yield "#", "", source[at:]
             return
         if m.start() > at:
-            yield "#", source[at : m.start()]
+            yield "#", "", source[at : m.start()]
         at = m.end()
         if m[0].startswith("<![CDATA["):
-            yield "#", m[0][9:-3] if m[0].endswith("]]>") else m[0][9:]
+            yield "#", "", m[0][9:-3] if m[0].endswith("]]>") else m[0][9:]
         elif m[2]:
             tag = m[2].lower()
             if m[1]:
-                yield ">", tag
+                yield ">", tag, ""
             else:
-                yield "<", _kind(tag, m[3])
+                yield "<", tag, _kind(tag, m[3])
                 if tag in RAW and not m[3].rstrip().endswith("/"):
                     raw = tag
 
 
-def slots(source: str) -> Iterator[tuple[str, tuple[str, ...], str]]:
-    """The page as events: ("<", chain, kind), (">", chain, kind) and ("#", chain, text).
+class Element:
+    """An element of a page: kids are elements and texts."""
 
-    chain is the open elements. Block tags that HTML closes by itself are closed here.
-    """
-    open_: list[str] = []
-    for sign, value in tokens(source):
+    __slots__ = ("tag", "kind", "kids")
+
+    def __init__(self, tag: str, kind: str):
+        self.tag, self.kind, self.kids = tag, kind, []
+
+
+def parse(source: str) -> Element:
+    """The page as a tree. Block tags that HTML closes by itself are closed here; each token costs a constant time."""
+    root = Element("", "")
+    stack, blocks, places = [root], [], {}
+
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            tag = stack.pop().tag
+            places[tag].pop()
+            if tag in BLOCK:
+                blocks.pop()
+
+    for sign, tag, value in tokens(source):
         if sign == "#":
-            yield "#", tuple(open_), value
-            continue
-        tag = value.rstrip("!")
-        if sign == "<":
-            while True:
-                below = next((k for k in range(len(open_) - 1, -1, -1) if open_[k].rstrip("!") in BLOCK), None)
-                if below is None or tag not in CLOSES.get(open_[below].rstrip("!"), ()):
-                    break
-                while len(open_) > below:
-                    yield ">", tuple(open_), open_.pop()
-            yield "<", tuple(open_), value
+            stack[-1].kids.append(value)
+        elif sign == "<":
+            while blocks and tag in CLOSES.get(stack[blocks[-1]].tag, ()):
+                close(blocks[-1])
+            element = Element(tag, value)
+            stack[-1].kids.append(element)
             if tag not in VOID:
-                open_.append(value)
-        else:
-            k = next((k for k in range(len(open_) - 1, -1, -1) if open_[k].rstrip("!") == tag), None)
-            if k is not None:
-                while len(open_) > k:
-                    yield ">", tuple(open_), open_.pop()
+                places.setdefault(tag, []).append(len(stack))
+                if tag in BLOCK:
+                    blocks.append(len(stack))
+                stack.append(element)
+        elif places.get(tag):
+            close(places[tag][-1])
+    return root
 
 
-# A structure is a tuple of nodes: (kind, children, mark), mark being "" once, "?" optional, "+" repeated
-# and "*" both; kind "#" is a text slot.
-Node = tuple
+class Node:
+    """A node of a structure: kind "#" is a text slot; mark is "" once, "?" optional, "+" repeated, "*" both.
+
+    slot is (least text hash, greatest text hash, least hashes of the pages that have it).
+    """
+
+    __slots__ = ("kind", "kids", "mark", "slot", "label", "index")
+
+    def __init__(self, kind: str, kids: list[Node] | None = None, mark: str = "", slot: tuple | None = None):
+        self.kind, self.kids, self.mark, self.slot, self.label, self.index = kind, kids if kids is not None else [], mark, slot, None, None
 
 
 def _mark(a: str, b: str = "") -> str:
@@ -164,164 +198,286 @@ def _mark(a: str, b: str = "") -> str:
     return "+" if "+" in both else "?" if "?" in both else ""
 
 
-def fold(nodes: list[Node]) -> tuple[Node, ...]:
-    """Adjacent nodes of one kind become one repeated node that covers each of them."""
+def _slot(a: tuple | None, b: tuple | None) -> tuple | None:
+    if a is None or b is None:
+        return a or b
+    return min(a[0], b[0]), max(a[1], b[1]), a[2] if a[2] == b[2] else tuple(sorted({*a[2], *b[2]})[:TEMPLATE_PAGES])
+
+
+def _pairs(a: list[Node], b: list[Node]) -> list[tuple[Node | None, Node | None]]:
+    """Nodes of common kinds in order (longest common subsequence), the others alone."""
+    low = 0
+    while low < min(len(a), len(b)) and a[low].kind == b[low].kind:
+        low += 1
+    high = 0
+    while high < min(len(a), len(b)) - low and a[-1 - high].kind == b[-1 - high].kind:
+        high += 1
+    x, y = a[low : len(a) - high], b[low : len(b) - high]
+    middle: list[tuple[Node | None, Node | None]] = []
+    n, m = len(x), len(y)
+    if n * m <= LCS_CELLS:
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if x[i].kind == y[j].kind else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        while i < n or j < m:
+            if i < n and j < m and x[i].kind == y[j].kind:
+                middle.append((x[i], y[j]))
+                i, j = i + 1, j + 1
+            elif i < n and (j == m or best[i + 1][j] >= best[i][j + 1]):
+                middle.append((x[i], None))
+                i += 1
+            else:
+                middle.append((None, y[j]))
+                j += 1
+    else:
+        where: dict[str, list[int]] = {}
+        for j, node in enumerate(y):
+            where.setdefault(node.kind, []).append(j)
+        j = 0
+        for node in x:
+            at = where.get(node.kind, [])
+            k = bisect_left(at, j)
+            if k < len(at):
+                middle += [(None, other) for other in y[j : at[k]]]
+                middle.append((node, y[at[k]]))
+                j = at[k] + 1
+            else:
+                middle.append((node, None))
+        middle += [(None, other) for other in y[j:]]
+    return [*zip(a[:low], b[:low], strict=True), *middle, *zip(a[len(a) - high :], b[len(b) - high :], strict=True)]
+
+
+def align(a: list[Node], b: list[Node]) -> list[Node]:
+    """One structure that covers both."""
+    result: list[Node] = []
+    work = [(a, b, result)]
+    while work:
+        a, b, out = work.pop()
+        for x, y in _pairs(a, b):
+            if x is None or y is None:
+                one = x or y
+                out.append(Node(one.kind, one.kids, _mark(one.mark, "?"), one.slot))
+            else:
+                node = Node(x.kind, [], _mark(x.mark, y.mark), _slot(x.slot, y.slot))
+                out.append(node)
+                if x.kids is y.kids:
+                    node.kids = x.kids
+                elif x.kids or y.kids:
+                    work.append((x.kids, y.kids, node.kids))
+    return result
+
+
+def fold(nodes: Iterable[Node]) -> list[Node]:
+    """Adjacent equal runs of up to four kinds become one run whose members are repeated."""
     out: list[Node] = []
     for node in nodes:
-        if out and out[-1][0] == node[0]:
-            out[-1] = (node[0], align(out[-1][1], node[1]), _mark(out[-1][2] + node[2], "+") if node[0] != "#" else "")
-        else:
-            out.append(node)
-    # Adjacent equal runs of kinds: ab ab -> (ab)+, shown as its members repeated.
-    width = 1
-    while width <= len(out) // 2 and width <= 4:
-        i = 0
-        while i + 2 * width <= len(out):
-            if [n[0] for n in out[i : i + width]] == [n[0] for n in out[i + width : i + 2 * width]]:
+        out.append(node)
+        width = 1
+        while width <= 4 and 2 * width <= len(out):
+            if all(out[-width + k].kind == out[-2 * width + k].kind for k in range(width)):
                 for k in range(width):
-                    a, b = out[i + k], out[i + width + k]
-                    out[i + k] = (a[0], align(a[1], b[1]), _mark(a[2] + b[2], "+"))
-                del out[i + width : i + 2 * width]
+                    x, y = out[-2 * width + k], out[-width + k]
+                    out[-2 * width + k] = Node(x.kind, align(x.kids, y.kids), "" if x.kind == "#" else _mark(x.mark + y.mark, "+"), _slot(x.slot, y.slot))
+                del out[-width:]
+                width = 1
             else:
-                i += 1
-        width += 1
-    return tuple(out)
-
-
-def align(a: tuple[Node, ...], b: tuple[Node, ...]) -> tuple[Node, ...]:
-    """One structure that covers both: common kinds in order (longest common subsequence), the rest optional."""
-    if a == b:
-        return a
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0] and best[i][j] == best[i + 1][j + 1] + 1:
-            out.append((a[i][0], align(a[i][1], b[j][1]), _mark(a[i][2], b[j][2])))
-            i, j = i + 1, j + 1
-        elif i < n and (j == m or best[i + 1][j] >= best[i][j + 1]):
-            out.append((a[i][0], a[i][1], _mark(a[i][2], "?")))
-            i += 1
-        else:
-            out.append((b[j][0], b[j][1], _mark(b[j][2], "?")))
-            j += 1
-    return tuple(out)
+                width += 1
+    return out
 
 
-def structure(source: str) -> tuple[Node, ...]:
+def structure(page: Element, digest: int = 0) -> list[Node]:
     """The folded structure of a page."""
-    stack: list[list[Node]] = [[]]
-    kinds: list[str] = []
-    for sign, _, value in slots(source):
-        if sign == "#":
-            if value.strip() and not (stack[-1] and stack[-1][-1][0] == "#"):
-                stack[-1].append(("#", (), ""))
-        elif sign == ">":
-            children = fold(stack.pop())
-            stack[-1].append((kinds.pop(), children, ""))
-        elif value.rstrip("!") not in VOID:
-            stack.append([])
-            kinds.append(value)
-    while kinds:
-        children = fold(stack.pop())
-        stack[-1].append((kinds.pop(), children, ""))
-    return fold(stack[0])
-
-
-def write(nodes: tuple[Node, ...]) -> str:
-    return "".join(f"{k}{'(' + write(c) + ')' if c else ''}{m}," for k, c, m in nodes)
+    order = [page]
+    for element in order:
+        order += [k for k in element.kids if isinstance(k, Element) and k.tag not in VOID]
+    built: dict[int, Node] = {}
+    for element in reversed(order):
+        kids: list[Node] = []
+        for kid in element.kids:
+            if isinstance(kid, Element):
+                if kid.tag not in VOID:
+                    kids.append(built.pop(id(kid)))
+            elif words := kid.split():
+                h = zlib.crc32(" ".join(words).encode("utf-8", "replace"))
+                kids.append(Node("#", slot=(h, h, (digest,))))
+        built[id(element)] = Node(element.kind, fold(kids))
+    return built[id(page)].kids
+
+
+def write(nodes: list[Node]) -> tuple[str, list[tuple]]:
+    """The structure as text, and its slots in order."""
+    parts: list[str] = []
+    slots: list[tuple] = []
+    work: list[Node | str] = list(reversed(nodes))
+    while work:
+        node = work.pop()
+        if isinstance(node, str):
+            parts.append(node)
+        elif node.kids:
+            parts.append(f"{node.kind}(")
+            work += [f"){node.mark},", *reversed(node.kids)]
+        else:
+            parts.append(f"{node.kind}{node.mark},")
+            if node.kind == "#":
+                slots.append(node.slot)
+    return "".join(parts), slots
 
 
-def read(text: str) -> tuple[Node, ...]:
+def read(text: str, slots: Iterable[tuple]) -> list[Node]:
     """The inverse of write."""
     stack: list[list[Node]] = [[]]
-    names: list[str] = []
+    closed = False
+    following = iter(slots)
     for m in re.finditer(r"([^(),]*)([(),])", text):
         name, end = m[1], m[2]
         if end == "(":
-            names.append(name)
-            stack.append([])
+            stack[-1].append(Node(name))
+            stack.append(stack[-1][-1].kids)
         elif end == ")":
-            children = tuple(stack.pop())
-            stack[-1].append((names.pop(), children, ""))
-        elif text[m.start() - 1 : m.start()] == ")":  # the mark that follows a group
-            k, c, _ = stack[-1].pop()
-            stack[-1].append((k, c, name))
+            stack.pop()
+            closed = True
+            continue
+        elif closed:  # the mark that follows a group
+            stack[-1][-1].mark = name
         else:
-            mark = name[-1] if name[-1:] in "?+*" and name else ""
-            stack[-1].append((name[: len(name) - len(mark)], (), mark))
-    return tuple(stack[0])
-
-
-def labels(nodes: tuple[Node, ...]) -> dict[tuple[str, ...], bool]:
-    """Whether the text slots below each chain of elements are content."""
-    chains: list[tuple[str, ...]] = []
+            mark = name[-1] if name[-1:] in ("?", "+", "*") else ""
+            kind = name[: len(name) - len(mark)]
+            stack[-1].append(Node(kind, [], mark, next(following) if kind == "#" else None))
+        closed = False
+    return stack[0]
+
+
+#: Label bits of a slot: content, content but for class words around its article or main, within an article, a main.
+CLEAN, SOFT, ARTICLE, MAIN = 1, 2, 4, 8
+
+
+def label(nodes: list[Node]) -> list[Node]:
+    """Labels the slots of a wrapper."""
+    # Of the chain so far: a boilerplate tag, a boilerplate word since the last article or main, one before it, their bits, a heading.
+    work = [(node, (False, False, False, 0, False)) for node in nodes]
+    while work:
+        node, (by_tag, by_word, before, bits, heading) = work.pop()
+        if node.kind == "#":
+            template = not bits and not heading and node.slot[0] == node.slot[1] and len(node.slot[2]) >= TEMPLATE_PAGES
+            node.label = bits | (0 if by_tag or by_word or template else SOFT if before else CLEAN)
+            continue
+        tag = re.split(r"[.!]", node.kind, maxsplit=1)[0]
+        if tag in ("article", "main") and not node.kind.endswith("!"):
+            by_word, before, bits = False, before or by_word, bits | (ARTICLE if tag == "article" else MAIN)
+        by_tag |= node.kind.endswith("!!")
+        by_word |= node.kind.endswith("!")
+        work += [(kid, (by_tag, by_word, before, bits, heading or tag in HEADINGS)) for kid in node.kids]
+    return nodes
+
+
+def replay(page: Element, wrapper: list[Node]) -> Iterator[tuple[str, int]]:
+    """The page over its wrapper, in order: (text, label of its slot), and ("", -1) where a block begins or ends."""
+    root = Node("", wrapper)
+    work: list[tuple[object, Node | None] | None] = [(page, root)]
+    while work:
+        item = work.pop()
+        if item is None:
+            yield "", -1
+            continue
+        kid, node = item
+        if isinstance(kid, str):
+            yield kid, node.label if node is not None else 0
+            continue
+        if kid.tag == "br":
+            yield " ", ARTICLE | MAIN | CLEAN
+            continue
+        if node is not None and node.index is None:
+            node.index = {}
+            for k, below in enumerate(node.kids):
+                node.index.setdefault(below.kind, []).append(k)
+        matched, at = [], 0
+        for below in kid.kids:
+            text = isinstance(below, str)
+            found = None
+            if node is not None and (below.strip() if text else below.tag not in VOID):
+                places = node.index.get("#" if text else below.kind)
+                if places:
+                    k = bisect_left(places, at)
+                    at = places[k] if k < len(places) else places[0]
+                    found = node.kids[at]
+            matched.append((below, found))
+        block = kid.tag in BLOCK
+        if block:
+            yield "", -1
+            work.append(None)
+        work += reversed(matched)
+
+
+def main_text(page: Element, wrapper: list[Node]) -> str:
+    """Blocks of the texts on content slots, white space in a block as one space."""
+    events = list(replay(page, wrapper))
+    seen = {bits for text, bits in events if bits > 0 and text.strip()}
+    ways = [(CLEAN, ARTICLE), (CLEAN, MAIN), (SOFT, ARTICLE), (SOFT, MAIN), (CLEAN, 0)]
+    state, root = next(((s, r) for s, r in ways if any(bits & s and bits & r == r for bits in seen)), (CLEAN, 0))
+    found: list[str] = []
+    now: list[str] = []
+    for text, bits in [*events, ("", -1)]:
+        if bits >= 0:
+            if bits & (state | CLEAN) and bits & root == root:
+                now.append(text)
+        elif now:
+            block = _SPACE.sub(" ", html_lib.unescape("".join(now))).strip()
+            if block:
+                found.append(block)
+            now.clear()
+    return "\n\n".join(found)
 
-    def walk(nodes: tuple[Node, ...], chain: tuple[str, ...]) -> None:
-        for kind, children, _ in nodes:
-            if kind == "#":
-                chains.append(chain)
-            else:
-                walk(children, (*chain, kind))
 
-    walk(nodes, ())
-    return {c: not any(k.endswith("!") for k in c) for c in set(chains)}
+_SHAPES = "host string, shape string, low array<long>, high array<long>, pages array<array<long>>"
 
 
-def main_text(source: str, content: dict[tuple[str, ...], bool]) -> str:
-    """Blocks of the slots that are content, white space in a block as one space."""
-    events = list(slots(source))
-    seen = {k for sign, chain, value in events if sign == "#" and content.get(chain, False) and value.strip() for k in chain}
-    root = next((r for r in ("article", "main") if r in seen), None)
-    found: list[str] = []
-    now: list[str] = []
+def _rows(hosts: dict[tuple[str, str], list[tuple]]) -> list[list]:
+    return [[h for h, _ in hosts], [s for _, s in hosts], *([[x[k] for x in slots] for slots in hosts.values()] for k in range(3))]
 
-    def close() -> None:
-        text = _SPACE.sub(" ", html_lib.unescape("".join(now))).strip()
-        if text:
-            found.append(text)
-        now.clear()
 
-    for sign, chain, value in events:
-        if sign == "#":
-            if content.get(chain, False) and (root is None or root in chain):
-                now.append(value)
-        elif value.rstrip("!") in BLOCK:
-            close()
-        elif value == "br" and content.get(chain, True):
-            now.append(" ")
-    close()
-    return "\n\n".join(found)
+def _merge_equal(known: dict, key: tuple[str, str], slots: list[tuple]) -> None:
+    known[key] = [_slot(a, b) for a, b in zip(known[key], slots, strict=True)] if key in known else slots
 
 
 def _fold_pages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each host and structure of a batch."""
+    kinds = [pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))]
     for batch in batches:
-        seen = {(h.as_py(), write(structure(s.as_py() or ""))) for h, s in zip(batch.column(0), batch.column(1), strict=True)}
-        hosts, shapes = zip(*sorted(seen), strict=True) if seen else ([], [])
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(shapes, pa.string())], ["host", "shape"])
+        known: dict[tuple[str, str], list[tuple]] = {}
+        for host, source in zip(batch.column(0), batch.column(1), strict=True):
+            source = source.as_py() or ""
+            data = source.encode("utf-8", "replace")
+            shape, slots = write(structure(parse(source), zlib.crc32(data) << 20 | zlib.adler32(data) & 0xFFFFF))
+            _merge_equal(known, (host.as_py(), shape), slots)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(_rows(known), kinds, strict=True)], ["host", "shape", "low", "high", "pages"])
 
 
 def _merge_shapes(pdf: pd.DataFrame) -> pd.DataFrame:
-    shapes = [read(s) for s in sorted(pdf["shape"])]
+    known: dict[tuple[str, str], list[tuple]] = {}
+    for host, shape, low, high, pages in pdf.sort_values("shape").itertuples(index=False):
+        _merge_equal(known, (host, shape), [(int(a), int(b), tuple(map(int, p))) for a, b, p in zip(low, high, pages, strict=True)])
+    shapes = [read(shape, slots) for (_, shape), slots in known.items()]
     while len(shapes) > 1:
-        shapes = [fold(list(align(shapes[i], shapes[i + 1]))) if i + 1 < len(shapes) else shapes[i] for i in range(0, len(shapes), 2)]
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "shape": [write(shapes[0])]})
+        shapes = [fold(align(shapes[i], shapes[i + 1])) if i + 1 < len(shapes) else shapes[i] for i in range(0, len(shapes), 2)]
+    shape, slots = write(shapes[0])
+    columns = _rows({(pdf["host"].iloc[0], shape): slots})
+    return pd.DataFrame(dict(zip(["host", "shape", "low", "high", "pages"], columns, strict=True)))
 
 
 def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, dict] = {}
+    known: dict[tuple[str, str], list[Node]] = {}
     for batch in batches:
         texts = []
-        for source, shape in zip(batch.column(2), batch.column(3), strict=True):
-            s, key = source.as_py() or "", shape.as_py() or ""
+        for source, shape, template in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
+            key = shape.as_py() or "", template.as_py() or ""
             if key not in known:
                 if len(known) > 2000:
                     known.clear()
-                known[key] = labels(read(key))
-            texts.append(main_text(s, known[key]))
+                pages = {"1": tuple(range(TEMPLATE_PAGES)), "0": ()}
+                known[key] = label(read(key[0], [(0, 0, pages[c]) for c in key[1]]))
+            texts.append(main_text(parse(source.as_py() or ""), known[key]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), batch.column(3)], ["page_id", "url", "text", "wrapper"])
 
 
@@ -330,29 +486,32 @@ def host_of(url: str = "url") -> F.Column:
 
 
 def infer_wrappers(scratch: Scratch, pages: DataFrame, group: int = 64) -> DataFrame:
-    """host, shape: one wrapper for each host, from all its pages.
+    """host, shape, template: one wrapper for each host, from all its pages; template has a 1 for each slot whose text the host repeats.
 
-    A host's distinct structures are merged `group` at a time, so that no task
-    holds all structures of a large host.
+    A host's structures are merged `group` at a time, so that no task holds all structures of a large host.
     """
-    shapes = pages.select(host_of().alias("host"), F.col("html").cast("string")).mapInArrow(_fold_pages, "host string, shape string")
-    shapes = scratch.table(shapes.distinct(), "shapes")
+    shapes = pages.select(host_of().alias("host"), F.col("html").cast("string")).mapInArrow(_fold_pages, _SHAPES)
+    shapes = scratch.table(shapes, "shapes")
     while True:
         most = shapes.groupBy("host").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
         if most <= 1:
-            return shapes
-        salt = F.pmod(F.xxhash64("shape"), F.lit(-(-most // group)))
-        shapes = shapes.withColumn("salt", salt).groupBy("host", "salt").applyInPandas(lambda pdf: _merge_shapes(pdf), "host string, shape string")
-        shapes = scratch.table(shapes.distinct(), "shapes")
+            break
+        salt = F.pmod(F.xxhash64("shape", "low"), F.lit(-(-most // group)))
+        shapes = scratch.table(shapes.withColumn("salt", salt).groupBy("host", "salt").applyInPandas(lambda pdf: _merge_shapes(pdf.drop(columns="salt")), _SHAPES), "shapes")
+    same = F.zip_with(F.zip_with("low", "high", lambda a, b: a == b), "pages", lambda x, p: F.when(x & (F.size(p) >= TEMPLATE_PAGES), "1").otherwise("0"))
+    return shapes.select("host", "shape", F.array_join(same, "").alias("template"))
 
 
 def extract_main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, wrapper of every page."""
     scratch = Scratch(spark)
-    wrappers = infer_wrappers(scratch, pages)
-    size = wrappers.agg(F.count("*"), F.sum(F.octet_length("shape"))).first()
-    small = size[0] <= BROADCAST_ROWS and (size[1] or 0) <= 16 << 20
+    wrappers = scratch.table(infer_wrappers(scratch, pages), "wrappers")
+    size = wrappers.agg(F.count("*"), F.sum(F.octet_length("shape") + F.octet_length("template"))).first()
     source = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host_of().alias("host"))
-    joined = source.join(F.broadcast(wrappers) if small else wrappers, "host", "left").select("page_id", "url", "html", "shape")
-    out = joined.mapInArrow(_extract, "page_id long, url string, text string, wrapper string")
+    if size[0] <= BROADCAST_ROWS and (size[1] or 0) <= 16 << 20:
+        joined = source.join(F.broadcast(wrappers), "host", "left")
+    else:  # a large host's pages meet its wrapper in as many tasks as there are copies of it
+        copies = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
+        joined = source.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(64)).cast("int")).join(copies, ["host", "salt"], "left")
+    out = joined.select("page_id", "url", "html", "shape", "template").mapInArrow(_extract, "page_id long, url string, text string, wrapper string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "wrapper")

@@ -24,7 +24,7 @@ from epilens.llm.quality import CoTraining, _sure, features, score_quality, text
 from epilens.llm.sharding import difference, shard
 from epilens.llm.sstable import lookup, read_tables, write_tables
 from epilens.llm.toxicity import Model, Objective, changes, features_of, flips, hash_words, score_toxicity, swaps, train
-from epilens.llm.wrapper import align, extract_main_text, fold, labels, main_text, read, structure, write
+from epilens.llm.wrapper import Node, align, extract_main_text, fold, label, main_text, parse, read, structure, write
 
 SF = "/root/testdata/sf0.001"
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -106,16 +106,75 @@ def test_shard_empty(spark, empty):
 PAGE = '<html><body><header><h1>Site</h1></header><div class="cookie-notice">We use</div><article><h1>Tit &amp;amp; le</h1><p>One <b>two</b>\n three<p>Four<br>five<ul><li>a<li>b</ul><form><p>x</p></form><div class="comments"><p>me</p></div><aside>s</aside>tail</article><footer>f</footer>'
 
 
+def text_of(html):
+    """The text of a page that is its own wrapper."""
+    return main_text(parse(html), label(structure(parse(html))))
+
+
 def test_main_text():
-    assert main_text(PAGE, labels(structure(PAGE))) == "Tit &amp; le\n\nOne two three\n\nFour five\n\na\n\nb\n\ntail"
+    assert text_of(PAGE) == "Tit &amp; le\n\nOne two three\n\nFour five\n\na\n\nb\n\ntail"
 
 
 def test_structures_fold_and_align():
-    a, b = structure("<ul><li>1<li>2<li>3</ul><p>x</p>"), structure("<ul><li>1</ul><hr><div>y</div><p>x</p>")
-    assert read(write(a)) == a and read(write(align(a, b))) == align(a, b)
-    assert write(a) == "ul(li(#,)+,),p(#,),"
-    assert write(align(a, b)) == "ul(li(#,)+,),div(#,)?,p(#,),"
-    assert fold([("p", (), ""), ("p", (), "")]) == (("p", (), "+"),)
+    a, b = structure(parse("<ul><li>1<li>2<li>3</ul><p>x</p>"), 7), structure(parse("<ul><li>1</ul><hr><div class='b x1'>y</div><p>x</p>"), 3)
+    for nodes in (a, align(a, b)):
+        assert write(read(*write(nodes))) == write(nodes)
+    assert write(a)[0] == "ul(li(#,)+,),p(#,),"
+    shape, slots = write(align(a, b))
+    assert shape == "ul(li(#,)+,),div.b.x(#,)?,p(#,),"
+    assert [s[0] == s[1] for s in slots] == [False, True, True] and [s[2] for s in slots] == [(3, 7), (3,), (3, 7)]
+    assert write(fold([Node("p"), Node("p")]))[0] == "p+," and write(fold([Node(k) for k in "abcabcabd"]))[0] == "a+,b+,c+,a,b,d,"
+    long = [Node(f"k{i % 7}{i % 11}") for i in range(700)]
+    assert len(align(long, long[::-1])) <= 1400 and [n.kind for n in align(long, long)] == [n.kind for n in long]
+
+
+def test_deep_and_unclosed_pages():
+    deep = "<article>" + "<div>" * 5000 + "deep" + "</div>" * 5000
+    assert text_of(deep) == "deep" and write(read(*write(structure(parse(deep))))) == write(structure(parse(deep)))
+    assert text_of("<article>" + "<b>x" * 250_000) == "x" * 250_000  # 1 MB
+    assert text_of("<article><p title=it's>one</p><p>two's</p></article>") == "one\n\ntwo's"
+
+
+@pytest.mark.parametrize("around", ["has-sidebar", "no-sidebar", "overflow-hidden", "content-with-ad", "post related", "main-menu-open", "page-header-fixed", "related"])
+def test_class_words_around_an_article(around):
+    assert text_of(f'<div class="{around}"><article><p>text</p></article></div>') == "text"
+    if around == "related":
+        assert text_of('<article><p>text</p></article><div class="related"><article>teaser</article></div>') == "text"
+    assert text_of("<aside><article>teaser</article></aside><p>text</p>") == "text"
+
+
+def template_pages(n):
+    body = lambda i: f'<div class="qq"><h2>Same heading</h2><p>Body number {i} of it</p><p>{"more " * i}</p></div>'
+    return [(i, f"http://t.example/{i}", f'<div class="xq1">Home World</div>{body(i)}<div class="zz">Copyright</div>') for i in range(1, n + 1)]
+
+
+def brute_template(pages):
+    """Texts (but for headings) that stand in one place on three and more different pages and are always the same."""
+    texts = defaultdict(set)
+    for _, _, html in pages:
+        for where, text in re.findall(r'<(div class="(?:xq1|zz)"|p|h2)>([^<]*)', html):
+            texts[where].add((text, html))
+    return {t for where, seen in texts.items() if where != "h2" and len({t for t, _ in seen}) == 1 and len({h for _, h in seen}) >= 3 for t, _ in seen}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7])
+def test_wrapper_finds_repeated_texts(spark, n):
+    """What every page of a host repeats is template from three pages on, not before; copies of a page are one page."""
+    rows = template_pages(n) + [(100 + i, *template_pages(n)[0][1:]) for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in extract_main_text(spark, pages).collect()}
+    template = brute_template(rows)
+    assert (len(template) == 2) == (n >= 3)
+    for i, _, html in rows:
+        want = [re.sub(r"\s+", " ", t).strip() for t in re.findall(r">([^<]+)<", html) if t not in template]
+        assert got[i] == "\n\n".join(w for w in want if w)
+
+
+def test_wrapper_copies_join(spark, monkeypatch):
+    """Beyond the broadcast limit the wrappers are joined by shuffle, with the same texts."""
+    monkeypatch.setattr("epilens.llm.wrapper.BROADCAST_ROWS", 0)
+    pages = spark.createDataFrame(template_pages(4), "page_id long, url string, html string")
+    assert {r.text.split("\n\n")[0] for r in extract_main_text(spark, pages).collect()} == {"Same heading"}
 
 
 def test_pages(spark):
@@ -141,15 +200,15 @@ def test_pages_of_mixed_templates(spark):
 @pytest.mark.parametrize("attributes", ['style="overflow:hidden"', 'class="overflow-hidden"', 'class="content has-sidebar"', "id=no-footer", 'data-state="hidden"', 'title="hidden"', 'class="layout-with-header"', 'hidden="false"', 'data-class="ad"'])
 def test_layout_attributes_are_content(attributes):
     page = f"<div {attributes}><p>text</p></div>"
-    assert main_text(page, labels(structure(page))) == "text"
+    assert text_of(page) == "text"
     page = f"<article {attributes.replace('sidebar', 'comments')}><p>text</p></article>"
-    assert main_text(page, labels(structure(page))) == "text"
+    assert text_of(page) == "text"
 
 
 @pytest.mark.parametrize("attributes", ["hidden", "aria-hidden=true", 'style="color:red; display : none"', 'style="visibility:hidden"', 'class="box ad"', 'class="cookie-notice"', 'id="site-header"', 'class="ad-300x250"', "role=navigation"])
 def test_boilerplate_attributes(attributes):
     page = f"<div {attributes}><p>menu</p></div><p>text</p>"
-    assert main_text(page, labels(structure(page))) == "text"
+    assert text_of(page) == "text"
 
 
 # 3 ---------------------------------------------------------------------------------------------------

@@ -21,8 +21,13 @@ never paired with each other.
 4. Verified links give components. What is left to find are links between
    components: for each list, rows outside its most frequent component are
    paired with rows of other components, filtered and verified as before.
+   A pair has to be met at its first common shingle only, which bounds its
+   overlap by what follows; so each row tells the sizes of sets that it may
+   link with from there, and rows are joined on both sets' size classes.
    A list of n similar documents costs about n pairs rather than n squared,
-   and no link between components goes unseen.
+   as do sets that share much but less than a link needs, and no link between
+   components goes unseen. Left to the parity filter alone are lists whose sets
+   share one rare shingle and then differ in shingles that are more frequent.
 
 `similar_pairs` verifies all pairs of step 2's lists instead and returns them.
 
@@ -220,6 +225,16 @@ class NgramJoin:
         near = self.posts.where("lead.sig <> sig").where(self._passes("n", "pos", "lead.n", "lead.pos"))
         return near.select(F.least("sig", "lead.sig").alias("a"), F.greatest("sig", "lead.sig").alias("b")).distinct()
 
+    def _sized(self, rows: DataFrame, n: str, pos: str) -> DataFrame:
+        """rows with size, the class of their own size, and sizes, those of all sets that a set of size n may link with by its first common shingle at pos.
+
+        Joined on both classes, sets of a list meet only if each allows the other's size.
+        """
+        t = self.percent
+        klass = lambda x: f"cast(floor(ln({x}) / ln(1.05)) as int)"
+        low, high = f"greatest(1, ceil({t} * {n} / 100))", f"least(floor(100 * {n} / {t}), floor(({100 + t} * ({n} - {pos}) - {t} * {n}) / {t}))"
+        return rows.withColumns({"size": F.expr(klass(n)), "low": F.expr(low), "high": F.expr(high)}).where("low <= high").withColumn("sizes", F.expr(f"sequence({klass('low')}, {klass('high')})")).drop("low", "high")
+
     def across(self, components: DataFrame) -> DataFrame:
         """(a, b) signatures of all candidates that lie in different components."""
         of = self.classes.select("sig", "rep", "bits").join(components.select(F.col("node").alias("rep"), "component"), "rep", "left")
@@ -230,9 +245,13 @@ class NgramJoin:
         most = counts.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.count("*").alias("cs")).where("cs > 1").drop("cs")
         rows = self.scratch.table(rows.join(most, "token"), "mixed")
         others = rows.where("c <> most").select("token", F.col("sig").alias("sig1"), F.col("n").alias("n1"), F.col("pos").alias("pos1"), F.col("c").alias("c1"), F.col("bits").alias("bits1"), F.col("prev").alias("prev1"))
-        # Sets that share the shingle before this one met there: a pair meets where their lists begin to agree.
+        # A pair is met at its first common shingle: none before it is shared, so the shingles from it on bound the overlap.
+        others = self._sized(others, "n1", "pos1").select("*", F.col("size").alias("size1"), F.explode("sizes").alias("size0")).drop("size", "sizes")
+        rows = self._sized(rows, "n", "pos").select("*", F.col("size").alias("size0"), F.explode("sizes").alias("size1")).drop("size", "sizes")
         first = "prev is null or prev1 is null or prev <> prev1"
-        met = others.join(rows, "token").where("c <> c1").where(first).where(self._passes("n", "pos", "n1", "pos1")).where(self._alike("n", "bits", "n1", "bits1"))
+        t = self.percent
+        bound = f"100 * least(n, n1) >= {t} * greatest(n, n1) and {100 + t} * least(n - pos, n1 - pos1) >= {t} * (n + n1)"
+        met = others.join(rows, ["token", "size0", "size1"]).where("c <> c1").where(first).where(bound).where(self._alike("n", "bits", "n1", "bits1"))
         return met.select(F.least("sig", "sig1").alias("a"), F.greatest("sig", "sig1").alias("b")).distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:

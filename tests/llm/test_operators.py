@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from epilens.llm.decontam import contaminated, find_contamination
 import epilens.llm.exact_dedup as exact_dedup_module
 from epilens.llm.exact_dedup import exact_dedup, exact_groups
-from epilens.llm.ngram_join import ngram_components, similar_pairs
+from epilens.llm.ngram_join import NgramJoin, ngram_components, similar_pairs
 from epilens.llm.packing import best_fit, cut, pack
 from epilens.llm.pii import find_pii, luhn, pii_digest, spans_of
 from epilens.llm.common import Scratch
@@ -483,6 +483,18 @@ def test_components(spark, width, percent):
     assert {(min(r.a, r.b), max(r.a, r.b)) for r in found.collect()} == {(min(rep[i], rep[j]), max(rep[i], rep[j])) for i, j in pairs if rep[i] != rep[j]}
 
 
+def test_passage_just_under_the_threshold(spark):
+    """Many documents share a passage of nine tenths of their shingles, which is too little: no quadratic number of pairs meets."""
+    n, passage = 300, " ".join(f"shared{i}" for i in range(93))
+    rows = [(i, f"{passage} {' '.join(f'own{i}x{k}' for k in range(10))}") for i in range(n)]
+    join = NgramJoin(spark, table(spark, rows), 4, 85)
+    alone = join.classes.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
+    assert join.across(alone).count() < n
+    assert {r.component_id for r in join.components().collect()} == set(range(n))
+    linked = [(i, f"{passage} {' '.join(f'own{i}x{k}' for k in range(4))}") for i in range(60)]
+    assert {r.component_id for r in ngram_components(spark, table(spark, linked), 4, 85).collect()} == {0}
+
+
 def test_components_cases(spark, docs, empty):
     assert ngram_components(spark, empty).count() == 0
     rows = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_components(spark, table(spark, [(None, BASE), (1, BASE), (2, BASE), (2, BASE)])).collect()}

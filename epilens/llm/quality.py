@@ -129,6 +129,28 @@ def _fit(rows: DataFrame, column: str, l2: float = 1e-3) -> tuple[np.ndarray, fl
     return model.coefficients.toArray(), float(model.intercept)
 
 
+def newton(x: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic model on a few standardised columns: mean loss plus l2 / 2 times the squared weights."""
+    middle, scale = x.mean(axis=0), x.std(axis=0)
+    scale = np.where(scale > 0, scale, 1.0)
+    z = np.column_stack([(x - middle) / scale, np.ones(len(x))])
+    penalty = np.append(np.full(x.shape[1], l2), 0.0)
+    loss = lambda w: np.logaddexp(0, z @ w).mean() - (y * (z @ w)).mean() + 0.5 * penalty @ w**2
+    w = np.zeros(z.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
+        g = z.T @ (p - y) / len(y) + penalty * w
+        h = (z * (p * (1 - p))[:, None]).T @ z / len(y) + np.diag(penalty + 1e-9)
+        step, size = np.linalg.solve(h, g), 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-8:
+            break
+    weights = w[:-1] / scale
+    return weights, float(w[-1] - weights @ middle)
+
+
 VIEWS = ("text_view", "meta_view")
 #: Penalty of each view's weights: most of the text view's are hashed words, of which few labels say little.
 PENALTY = {"text_view": 1e-2, "meta_view": 1e-3}
@@ -183,10 +205,10 @@ class CoTraining:
     def __init__(self, scratch: Scratch, table: DataFrame, labels: DataFrame, rounds: int, max_labels: int, max_pseudo: int):
         self.taught: list[tuple[int, str, str, int, int]] = []
         self.prior: float | None = None
-        known = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("y"))
-        n_known = known.count()
+        rated = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("y"))
+        n_known = rated.count()
         place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-        bounded = scratch.table(known.where(place < F.lit(int((1 << 30) * min(1.0, max_labels / max(1, n_known))) + 1)), "known")
+        bounded = scratch.table(rated.where(place < F.lit(int((1 << 30) * min(1.0, max_labels / max(1, n_known))) + 1)), "known")
         rows = table.join(F.broadcast(bounded), "doc_id")
         rows = rows.groupBy("doc_id").agg(F.min_by(F.struct("y", *VIEWS), "row_key").alias("r")).select("doc_id", "r.*")
         rows = scratch.table(rows.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0).withColumn("weight", F.lit(1.0)), "labelled")
@@ -195,13 +217,16 @@ class CoTraining:
             self.prior = 1.0 if share[0] is None else float(share[0])
             return
         good, seed, held = float(share[2]), rows.where("not held").drop("held"), rows.where("held").drop("held")
+        # About a quarter of max_labels rows: calibration is a matter of the driver.
+        pdf = held.orderBy("doc_id").toPandas()
+        known = {v: np.array(pdf[v].tolist(), np.float64) for v in VIEWS} | {"y": pdf["y"].to_numpy(np.float64)}
         lessons: dict[str, DataFrame] = {}
         self.models: dict[str, tuple[np.ndarray, float]] = {}
         unlabelled = table.join(F.broadcast(rows.select("doc_id")), "doc_id", "left_anti")
         n_pool = unlabelled.count()
         for r in range(rounds + 1):
             for view in VIEWS:
-                self.models[view] = self._calibrated(seed.unionByName(lessons[view].select(seed.columns)) if view in lessons else seed, held, view)
+                self.models[view] = self._calibrated(seed.unionByName(lessons[view].select(seed.columns)) if view in lessons else seed, known, view)
             if r == rounds or not n_pool:
                 break
             take = min(max_pseudo, max(20, n_pool // 20)) * (r + 1) // rounds
@@ -211,15 +236,13 @@ class CoTraining:
                 lessons[pupil] = scratch.table(_sure(scores, pool, teacher.replace("view", "logit"), good, take), "lessons")
                 given = lessons[pupil].groupBy("doc_id").agg((F.sum(F.when(F.col("y") == 1, F.col("weight")).otherwise(-F.col("weight"))) > 0).alias("g")).agg(F.count_if("g"), F.count_if(~F.col("g"))).first()
                 self.taught.append((r, teacher, pupil, given[0], given[1]))
-        sides = _scored(held.drop("weight"), self.models).select("y", F.array("text_logit", "meta_logit").alias("two"), F.lit(1.0).alias("weight"))
-        self.both = _fit(sides, "two")
+        self.both = newton(np.column_stack([known[v] @ self.models[v][0] + self.models[v][1] for v in VIEWS]), known["y"])
 
     @staticmethod
-    def _calibrated(rows: DataFrame, held: DataFrame, view: str) -> tuple[np.ndarray, float]:
+    def _calibrated(rows: DataFrame, held: dict[str, np.ndarray], view: str) -> tuple[np.ndarray, float]:
         """A model whose logit is that of the fit on rows, calibrated on the held-out labels."""
         weights, intercept = _fit(rows, view, PENALTY[view])
-        logit = F.aggregate(F.zip_with(view, F.array(*[F.lit(float(w)) for w in weights]), lambda x, w: x * w), F.lit(intercept), lambda a, x: a + x)
-        slope, start = _fit(held.withColumn("one", F.array(logit)), "one")
+        slope, start = newton((held[view] @ weights + intercept)[:, None], held["y"])
         return weights * slope[0], start + intercept * slope[0]
 
     def score(self, table: DataFrame, threshold: float) -> DataFrame:

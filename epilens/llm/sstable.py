@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from epilens.llm.common import Scratch
 from epilens.llm.textbytes import blocks
-from epilens.llm.tokens import PartEncoder
+from epilens.llm.tokens import BLOCK, PartEncoder
 
 BLOCK_BYTES = 64 << 10
 FILE_TOKENS = 16 << 20
@@ -186,7 +186,7 @@ def _writer(folder: str, vocabulary: str, end_id: int, file_tokens: int):
             files.move(f"{base}/.{name}", f"{base}/{name}")
             done.append((name, low, len(done), writer.entries, writer.tokens))
 
-        for batch, raw, bounds in blocks(batches):
+        for batch, raw, bounds in blocks(batches, limit=BLOCK):
             ids, at = encoder.encode(raw, bounds)
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
                 repeat = repeat + 1 if writer and doc_id == last else 0

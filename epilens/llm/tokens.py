@@ -17,9 +17,11 @@ import numpy as np
 
 from epilens.llm.textbytes import span_hash
 
-#: Distinct parts kept per process (about 60 bytes each); beyond it only those met again stay.
-CACHE_PARTS = 1_000_000
-_TABLE = 1 << 21
+#: Distinct parts kept per process (about 50 bytes each); beyond it only those met again stay.
+CACHE_PARTS = 500_000
+_TABLE = 1 << 20
+#: Bytes of text encoded at a time.
+BLOCK = 1 << 18
 #: Parts joined into one text for the library.
 _JOIN = 256
 
@@ -50,7 +52,7 @@ def part_starts(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _ranges(data: np.ndarray, begin: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The items of data at begin, begin + 1, ... for each begin and length, one range after the other."""
-    after = np.cumsum(lens)
+    after = np.cumsum(lens, dtype=np.int64)
     return data[np.repeat(begin - (after - lens), lens) + np.arange(int(after[-1]) if len(after) else 0)]
 
 
@@ -80,8 +82,8 @@ class PartEncoder:
         self.keys = np.zeros(_TABLE, np.uint64)
         self.slots = np.zeros(_TABLE, np.int32)
         self.hashes = np.zeros(1 << 12, np.uint64)
-        self.begin = np.zeros(1 << 12, np.int64)
-        self.length = np.zeros(1 << 12, np.int64)
+        self.begin = np.zeros(1 << 12, np.int32)
+        self.length = np.zeros(1 << 12, np.int32)
         self.again = np.zeros(1 << 12, bool)
         self.flat = np.zeros(1 << 14, np.uint32)
         self.parts = self.used = 0
@@ -182,7 +184,7 @@ class PartEncoder:
                     return self._whole(raw, bounds)
             self._store(fresh, *self._tokenise(raw, starts[new[first]], ends[new[first]]))
             slot = self._find(keys)
-        lens = self.length[slot]
+        lens = self.length[slot].astype(np.int64)
         after = np.cumsum(lens)
         return _ranges(self.flat, self.begin[slot], lens), np.concatenate(([0], after))[np.searchsorted(starts, bounds)]
 

@@ -20,7 +20,7 @@ from epilens.llm.ngram_join import NgramJoin, ngram_components, similar_pairs
 from epilens.llm.packing import best_fit, cut, pack
 from epilens.llm.pii import find_pii, luhn, pii_digest, spans_of
 from epilens.llm.common import Scratch
-from epilens.llm.quality import CoTraining, _sure, features, score_quality, text_features
+from epilens.llm.quality import CoTraining, _sure, features, newton, score_quality, text_features
 from epilens.llm.sharding import difference, shard
 from epilens.llm.sstable import lookup, read_tables, write_tables
 from epilens.llm.toxicity import Model, Objective, changes, features_of, flips, hash_words, score_toxicity, swaps, train
@@ -255,6 +255,16 @@ def test_views_teach_each_other(spark, teacher):
     assert all(good + bad > 0 for *_, good, bad in model.taught)
 
 
+def test_newton():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(4000, 2)) * [3, 0.1] + [5, 1]
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(x @ [0.8, -9] + 5)))).astype(float)
+    w, b = newton(x, y, 0.0)
+    p = 1 / (1 + np.exp(-(x @ w + b)))
+    assert np.abs(x.T @ (p - y)).max() < 1e-4 and abs((p - y).sum()) < 1e-4  # the likelihood's gradient
+    assert np.isfinite(newton(np.array([[0.0], [1.0]]), np.array([0.0, 1.0]))[0]).all()
+
+
 def test_surest_documents(spark):
     """The histogram's choice against sorting."""
     rng = random.Random(9)

@@ -70,20 +70,21 @@ def labels(text: Column, terms: dict[str, list[str]]) -> Column:
     return F.array_compact(F.array(*[F.when(any_of(text, variants), F.lit(label)) for label, variants in terms.items()]))
 
 
-def _present(text: Column, terms: dict[str, int]) -> Column:
-    """(term, weight) of the terms in the text, in table order. text should be a plain column: it is read once for each term."""
-    table = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(w).alias("weight")) for t, w in terms.items()])
-    return F.filter(table, lambda x: F.contains(text, x["term"]))
-
-
 def weights(text: Column, terms: dict[str, int]) -> Column:
-    """The summed weights of the terms in the text."""
-    return F.aggregate(_present(text, terms), F.lit(0), lambda a, x: a + x["weight"])
+    """The summed weights of the terms in the text, a plain column: it is read once for each term."""
+    out = F.lit(0)
+    for t, w in terms.items():
+        out = out + F.when(F.contains(text, F.lit(t)), w).otherwise(0)
+    return out
 
 
 def first_weight(text: Column, terms: dict[str, int]) -> Column:
     """(term, weight) of the first term in table order that the text has; null without one."""
-    return F.get(_present(text, terms), F.lit(0))
+    out = None
+    for t, w in terms.items():
+        row = F.struct(F.lit(t).alias("term"), F.lit(w).alias("weight"))
+        out = F.when(F.contains(text, F.lit(t)), row) if out is None else out.when(F.contains(text, F.lit(t)), row)
+    return out
 
 
 # The same in DuckDB.

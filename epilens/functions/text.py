@@ -22,7 +22,7 @@ def squeeze(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def fold(c: Column) -> Column:

@@ -114,7 +114,7 @@ m AS (SELECT page_id, {_meta_sql('og:title', 'twitter:title')} AS title, {_meta_
 SELECT page_id, title, description, canonical_url, md5(jsonld) AS jsonld, CAST(len(paras) AS BIGINT) AS paragraphs, md5(left({_SQUEEZE.format("concat_ws(' ', title, description, jsonld, array_to_string(paras, ' '))")}, 18000)) AS text FROM m""")
 def article_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata and digests of JSON-LD and text of every page, some of them with metadata put in."""
-    h = Tables(spark, sf_dir).raw("pages").select("page_id", F.expr(_PAGE).alias("h"))
+    h = Tables(spark, sf_dir).texts("pages").select("page_id", F.expr(_PAGE).alias("h"))
     x = h.select("page_id", extract_article(F.col("h")).alias("a"), jsonld_text(F.col("h")).alias("j"), F.size(paragraphs(F.col("h"))).cast("long").alias("paragraphs"))
     digest = lambda c: F.md5(F.encode(c, "UTF-8"))
     return x.select("page_id", "a.title", "a.description", "a.canonical_url", digest("j").alias("jsonld"), "paragraphs", digest("a.text").alias("text"))
@@ -136,7 +136,7 @@ _CLEAN_TITLE = f"CASE WHEN contains({_TITLE}, ' - ') THEN left({_TITLE}, length(
 def fallback_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as the texts of their first line; every third from a trusted URL."""
     title = F.substring(F.substring_index("text", "\n", 1), 1, 80)
-    return Tables(spark, sf_dir).raw("documents").select("doc_id", is_fallback(F.col("text"), title, F.col("doc_id") % 3 == 0).alias("fallback"))
+    return Tables(spark, sf_dir).texts("documents").select("doc_id", is_fallback(F.col("text"), title, F.col("doc_id") % 3 == 0).alias("fallback"))
 
 
 #: What an assessment says where it has no answer.
@@ -183,7 +183,7 @@ CAST(CASE WHEN low THEN 0 ELSE len(list_filter(s, lambda x: regexp_matches(' ' |
 @query(_ASSESS)
 def assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assessments from documents as fetched pages; every fourth fetch failed, every seventh signal has no content."""
-    d = Tables(spark, sf_dir).raw("documents").where("text is not null")
+    d = Tables(spark, sf_dir).texts("documents").where("text is not null")
     t = squeeze(F.col("text"))
     rows = d.select(
         F.col("doc_id").alias("key"),

@@ -112,21 +112,27 @@ def geocode_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy(geocode_status("p", "c").alias("status")).agg(F.count("*").alias("n"))
 
 
+#: First words of forms up to which they are tested in the texts, before words become rows.
+FEW_WORDS = 200
+
+
 def phrases(texts: DataFrame, forms_: DataFrame, key: str, text: str) -> DataFrame:
     """(key, form, location_id, priority, hits): forms that stand as whole words in the text.
 
-    Texts are cut into words once; runs of as many words as a form has are joined on equality,
-    which is what a word-bounded search finds. Longest form is a bound of the gazetteer, not of the text.
+    Texts are cut into words once. Only places where a form's first word stands become rows; they are joined with the
+    forms on it, and the words that follow are compared, which is what a word-bounded search finds.
     """
-    sizes = [r[0] for r in forms_.select(F.size(F.split("form", " ")).alias("n")).distinct().collect()]
+    forms_ = forms_.withColumns({"first": F.element_at(F.split("form", " "), 1), "size": F.size(F.split("form", " "))})
+    firsts = [r[0] for r in forms_.select("first").distinct().limit(FEW_WORDS + 1).collect()]
+    longest = forms_.agg(F.max("size")).first()[0] or 0
     words = texts.select(key, F.split(search_text(F.col(text)), " ").alias("w"))
-    runs = F.flatten(F.array(*[F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), _run(n))).otherwise(F.array().cast("array<string>")) for n in sizes]))
-    grams = words.select(key, F.explode(runs).alias("form"))
-    return grams.join(F.broadcast(forms_), "form").groupBy(key, "form", "location_id", "priority").agg(F.count("*").alias("hits"))
-
-
-def _run(n: int):
-    return lambda i: F.array_join(F.slice(F.col("w"), i, n), " ")
+    if len(firsts) <= FEW_WORDS:
+        at = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.element_at("w", i).isin(firsts))
+    else:
+        at = F.sequence(F.lit(1), F.size("w"))
+    spots = words.select(key, F.explode(F.transform(at, lambda i: F.slice("w", i, F.lit(longest)))).alias("run")) if longest else words.select(key, F.col("w").alias("run")).limit(0)
+    met = spots.withColumn("first", F.element_at("run", 1)).join(forms_, "first").where(F.array_join(F.slice("run", F.lit(1), F.col("size")), " ") == F.col("form"))
+    return met.groupBy(key, "form", "location_id", "priority").agg(F.count("*").alias("hits"))
 
 
 #: Forms that occur in the test texts.
@@ -136,14 +142,14 @@ TEST_FORMS = [("apache license", 1, 4), ("the and", 2, 3), ("license", 3, 2), ("
 @query("WITH f(form, location_id, priority) AS (VALUES " + ", ".join(f"('{a}', {b}, {c})" for a, b, c in TEST_FORMS) + r"), d AS (SELECT doc_id, ' ' || replace(trim(regexp_replace(replace(lower(text), '&', ' dan '), '[^a-z0-9]+', ' ', 'g')), ' ', '  ') || ' ' AS x FROM documents), h AS (SELECT doc_id, form, location_id, priority, (length(x) - length(replace(x, ' ' || replace(form, ' ', '  ') || ' ', ''))) // (length(form) + 2 + length(form) - length(replace(form, ' ', ''))) AS hits FROM d, f) SELECT doc_id, form, CAST(location_id AS BIGINT) AS location_id, priority, CAST(hits AS BIGINT) AS hits FROM h WHERE hits > 0")
 def place_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = spark.createDataFrame(TEST_FORMS, "form string, location_id long, priority int")
-    return phrases(Tables(spark, sf_dir).raw("documents"), f, "doc_id", "text")
+    return phrases(Tables(spark, sf_dir).texts("documents"), f, "doc_id", "text")
 
 
 @query("WITH f(form, location_id, priority) AS (VALUES " + ", ".join(f"('{a}', {b}, {c})" for a, b, c in TEST_FORMS) + r"), d AS (SELECT doc_id, ' ' || trim(regexp_replace(replace(lower(text), '&', ' dan '), '[^a-z0-9]+', ' ', 'g')) || ' ' AS x FROM documents), h AS (SELECT * FROM d JOIN f ON contains(x, ' ' || form || ' ')) SELECT doc_id, CAST(arg_max(location_id, (priority, length(form), form)) AS BIGINT) AS location_id, CASE WHEN max(priority) >= 3 THEN 0.9 ELSE 0.75 END::DOUBLE AS confidence FROM h GROUP BY 1")
 def extract_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best place of a text: higher level first, then the longer form; .90 for cities, .75 for provinces."""
     f = spark.createDataFrame(TEST_FORMS, "form string, location_id long, priority int")
-    hits = phrases(Tables(spark, sf_dir).raw("documents"), f, "doc_id", "text")
+    hits = phrases(Tables(spark, sf_dir).texts("documents"), f, "doc_id", "text")
     best = hits.groupBy("doc_id").agg(F.max(F.struct("priority", F.length("form").alias("n"), "form", "location_id")).alias("b"))
     return best.select("doc_id", F.col("b.location_id").alias("location_id"), F.when(F.col("b.priority") >= 3, 0.9).otherwise(0.75).alias("confidence"))
 

@@ -27,7 +27,7 @@ _CAND = "flatten([" + ", ".join(f"regexp_extract_all(text, '{p}', 1)" for p in [
 def place_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With words of the test texts as lead and administrative words."""
     c = candidates(F.col("text"), "the", ("The", "Of", "And"))
-    return Tables(spark, sf_dir).raw("documents").select("doc_id", F.size(c).cast("long").alias("n"), F.array_join(F.slice(c, 1, 5), "|").alias("first"))
+    return Tables(spark, sf_dir).texts("documents").select("doc_id", F.size(c).cast("long").alias("n"), F.array_join(F.slice(c, 1, 5), "|").alias("first"))
 
 
 def candidate_confidence(origin: str, is_alias: str, level: str) -> Column:

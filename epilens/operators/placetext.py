@@ -84,7 +84,7 @@ _CANDIDATES = "flatten([" + ", ".join(f"regexp_extract_all(text, '{p}', 1)" for
 @query(f"WITH c AS (SELECT doc_id, list_filter(list_transform({_CANDIDATES}, lambda x: regexp_replace(regexp_replace(x, '(?is){_B}(?:{'|'.join(TEST_STOPS)})(?:[^A-Za-z0-9_].*)?\\z', ''), '^[{_TRIM}]+|[{_TRIM}]+$', '', 'g')), lambda x: length(x) >= 3) AS c FROM documents), f AS (SELECT doc_id, c, list_transform(c, lambda x: {_SP.format('x')}) AS f FROM c), d AS (SELECT doc_id, list_filter(c, lambda x, i: list_position(f, f[i]) = i) AS c FROM f) SELECT doc_id, CAST(len(c) AS BIGINT) AS n, md5(array_to_string(c, '|')) AS digest FROM d")
 def place_names_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = text_candidates(F.col("text"), TEST_LEADS, TEST_KINDS, TEST_STOPS)
-    return Tables(spark, sf_dir).raw("documents").select("doc_id", c.alias("c")).select("doc_id", F.size("c").cast("long").alias("n"), F.md5(F.encode(F.array_join("c", "|"), "UTF-8")).alias("digest"))
+    return Tables(spark, sf_dir).texts("documents").select("doc_id", c.alias("c")).select("doc_id", F.size("c").cast("long").alias("n"), F.md5(F.encode(F.array_join("c", "|"), "UTF-8")).alias("digest"))
 
 
 def search_forms(place: Column) -> Column:
@@ -151,7 +151,7 @@ _PATTERN = "coalesce(" + ", ".join(f"nullif(regexp_extract(text, '{p}', 1), '')"
 @query(f"WITH x AS (SELECT doc_id, trim(regexp_replace(regexp_replace({_PATTERN}, '^[ ,.;:()-]+|[ ,.;:()-]+$', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS f FROM documents) SELECT doc_id, CASE WHEN length(f) >= 3 THEN trim(regexp_replace(f, '(?s){_B}(?:Is|It)(?:[^A-Za-z0-9_].*)?\\z', '')) ELSE '' END AS place FROM x")
 def place_by_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With words of the test texts as lead, administrative and calendar words."""
-    return Tables(spark, sf_dir).raw("documents").select("doc_id", pattern_place(F.col("text"), ["the", "of"], ["In", "The"], ["Is", "It"]).alias("place"))
+    return Tables(spark, sf_dir).texts("documents").select("doc_id", pattern_place(F.col("text"), ["the", "of"], ["In", "The"], ["Is", "It"]).alias("place"))
 
 
 def place_of_text(hits: DataFrame, names: DataFrame, pattern: DataFrame, key: str) -> DataFrame:

@@ -19,13 +19,17 @@ def _folded(texts: DataFrame, text: str) -> DataFrame:
 
 def with_entities(texts: DataFrame, text: str = "text") -> DataFrame:
     """texts with diseases, events (labels in table order) and severity."""
+    return _entities(texts, text).drop("_low", "_number")
+
+
+def _entities(texts: DataFrame, text: str) -> DataFrame:
     x = _folded(texts, text)
     low = F.col("_low")
     x = x.withColumns({"diseases": L.labels(low, L.DISEASE_TERMS), "events": L.labels(low, L.EVENT_TERMS)})
     severity = F.lit(10) + F.when(F.col("_number"), 5).otherwise(0)
     for event, weight in L.EVENT_SEVERITY.items():
         severity = severity + F.when(F.array_contains("events", event), weight).otherwise(0)
-    return x.withColumn("severity", F.least(severity, F.lit(100))).drop("_low", "_number")
+    return x.withColumn("severity", F.least(severity, F.lit(100)))
 
 
 def with_threat(texts: DataFrame, text: str = "text", keywords: dict[str, int] | None = None) -> DataFrame:
@@ -34,7 +38,7 @@ def with_threat(texts: DataFrame, text: str = "text", keywords: dict[str, int] |
     20, the first disease term's weight, the weights of events and of risk keywords, 5 for a
     number; the severity if that is more; clamped. A detected disease's label counts as text.
     """
-    x = with_entities(texts, text).withColumns({"_low": F.lower(text), "_number": F.size(numbers(F.col(text))) > 0})
+    x = _entities(texts, text).withColumn("_low", F.lower(text))
     x = x.withColumn("_labelled", F.concat_ws(" ", "_low", F.lower(F.array_join("diseases", "\n"))))
     x = x.withColumns({"_first": L.first_weight(F.col("_labelled"), L.DISEASE_SCORE), "_keywords": L.weights(F.col("_low"), keywords or L.KEYWORD_SCORE)})
     events = F.lit(0)
@@ -57,7 +61,7 @@ _BASE = f"WITH d AS (SELECT doc_id, text, {_LOW} AS low, {_NUMBER} AS num FROM d
 
 @query(_BASE + " SELECT doc_id, array_to_string(diseases, '|') AS diseases, array_to_string(events, '|') AS events, severity FROM e")
 def entity_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = with_entities(Tables(spark, sf_dir).raw("documents"))
+    e = with_entities(Tables(spark, sf_dir).texts("documents"))
     return e.select("doc_id", F.array_join("diseases", "|").alias("diseases"), F.array_join("events", "|").alias("events"), "severity")
 
 
@@ -82,7 +86,7 @@ SELECT doc_id, disease_term, raw_score, least(100, raw_score) AS score, CASE WHE
 
 @query(_score_sql(L.KEYWORD_SCORE | EXTRA))
 def threat_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = with_threat(Tables(spark, sf_dir).raw("documents"), keywords=L.KEYWORD_SCORE | EXTRA)
+    s = with_threat(Tables(spark, sf_dir).texts("documents"), keywords=L.KEYWORD_SCORE | EXTRA)
     return s.select("doc_id", "disease_term", "raw_score", "score", risk_level().alias("risk_level"))
 
 
@@ -101,5 +105,5 @@ def scoring_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.lower("text")
     ordered = sorted(RULES, key=lambda r: (-r[1], r[0]))
     hits = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(k)), F.struct(F.lit(k).alias("k"), F.lit(w).alias("w"))) for k, w in ordered]))
-    docs = Tables(spark, sf_dir).raw("documents").select("doc_id", hits.alias("h"))
+    docs = Tables(spark, sf_dir).texts("documents").select("doc_id", hits.alias("h"))
     return docs.select("doc_id", F.size("h").cast("long").alias("rules"), F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a + x["w"]).alias("weight"), F.array_join(F.transform("h", lambda x: F.concat(x["k"], F.lit("(+"), x["w"], F.lit(")"))), ", ").alias("reason"))

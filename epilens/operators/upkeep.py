@@ -358,7 +358,7 @@ def rule_scores(texts: DataFrame, rules: DataFrame, settings: DataFrame, key: st
 def rule_table_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(TEST_RULES, "kind string, keyword string, weight long, active boolean")
     settings = spark.createDataFrame(TEST_SETTINGS, "name string, value string")
-    return rule_scores(Tables(spark, sf_dir).raw("documents").select("doc_id", "text"), rules, settings, "doc_id", "text")
+    return rule_scores(Tables(spark, sf_dir).texts("documents").select("doc_id", "text"), rules, settings, "doc_id", "text")
 
 
 @query(sql(", p AS (SELECT id, province_code, regexp_replace(province_code, '[^a-z0-9]', '', 'g') AS g, 3 AS geo FROM location WHERE level = 'province' UNION ALL SELECT id + 5000, replace(province_code, '_', ' '), regexp_replace(province_code, '[^a-z0-9]', '', 'g'), 0 FROM location WHERE level = 'province'), k AS (SELECT g, first(id ORDER BY CASE WHEN contains(province_code, '_') THEN 10 ELSE 0 END + CASE WHEN contains(province_code, ' ') THEN 0 ELSE 5 END + geo DESC, id) AS keep_id FROM p GROUP BY 1), m AS (SELECT p.id, keep_id FROM p JOIN k USING (g)) SELECT l.id, keep_id AS parent_id FROM location l JOIN m ON m.id = l.parent_id + CASE WHEN l.id % 2 = 0 THEN 5000 ELSE 0 END WHERE level <> 'province'"))

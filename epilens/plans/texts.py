@@ -41,14 +41,14 @@ _NORMS = {
 @query("SELECT doc_id, " + ", ".join(f"md5({s}) AS {k}" for k, (_, s) in _NORMS.items()) + " FROM documents")
 def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each normaliser over whole texts."""
-    docs = Tables(spark, sf_dir).raw("documents")
+    docs = Tables(spark, sf_dir).texts("documents")
     return docs.select("doc_id", *[F.md5(F.encode(f(F.col("text")), "UTF-8")).alias(k) for k, (f, _) in _NORMS.items()])
 
 
 @query("SELECT doc_id, sha256(concat_ws(' | ', " + _SQ("regexp_replace(lower(" + _ST("text") + r"), '[^a-z0-9 \t\n\x0B\f\r]', ' ', 'g')") + ", lang)) AS fingerprint, count(*) OVER (PARTITION BY " + _SQ("regexp_replace(lower(" + _ST("text") + r"), '[^a-z0-9 \t\n\x0B\f\r]', ' ', 'g')") + ", lang) AS copies FROM documents")
 def fingerprint_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the fingerprint of text and language, and how many share it."""
-    docs = Tables(spark, sf_dir).raw("documents")
+    docs = Tables(spark, sf_dir).texts("documents")
     marked = docs.select("doc_id", F.sha2(F.concat_ws(" | ", T.title_text(F.col("text")), "lang"), 256).alias("fingerprint"))
     return marked.join(marked.groupBy("fingerprint").agg(F.count("*").alias("copies")), "fingerprint")
 
@@ -59,13 +59,13 @@ _S = "list_filter(string_split(regexp_replace(" + _SQ("text") + r", '([.!?]) ',
 @query(f"SELECT doc_id, CAST(len({_S}) AS BIGINT) AS n, md5(array_to_string({_S}, chr(10))) AS digest FROM documents")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = T.sentences(F.col("text"))
-    return Tables(spark, sf_dir).raw("documents").select("doc_id", F.size(s).cast("long").alias("n"), F.md5(F.encode(F.array_join(s, "\n"), "UTF-8")).alias("digest"))
+    return Tables(spark, sf_dir).texts("documents").select("doc_id", F.size(s).cast("long").alias("n"), F.md5(F.encode(F.array_join(s, "\n"), "UTF-8")).alias("digest"))
 
 
 @query(r"SELECT doc_id, CAST(len(x) AS BIGINT) AS n, array_to_string(list_slice(x, 1, 10), ',') AS first_numbers FROM (SELECT doc_id, regexp_extract_all(' ' || regexp_replace(text, '[^0-9A-Za-z_]', '  ', 'g') || ' ', ' ([0-9]+) ', 1) AS x FROM documents)")
 def number_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = T.numbers(F.col("text"))
-    return Tables(spark, sf_dir).raw("documents").select("doc_id", F.size(n).cast("long").alias("n"), F.array_join(F.slice(n, 1, 10), ",").alias("first_numbers"))
+    return Tables(spark, sf_dir).texts("documents").select("doc_id", F.size(n).cast("long").alias("n"), F.array_join(F.slice(n, 1, 10), ",").alias("first_numbers"))
 
 
 _HOST = r"regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '^www\.', '')"
@@ -75,20 +75,20 @@ _QUERY = r"lower(regexp_extract(url, '^[^?#]*\?([^#]*)', 1))"
 
 @query(f"SELECT page_id, {_HOST} AS host, CASE WHEN {_HOST} = '' THEN 'none' WHEN {any_sql(_HOST, U.BLOCKED)} THEN 'blocked' WHEN {any_sql(_PATH, U.NOT_ARTICLE)} OR (length(regexp_replace({_PATH}, '/+$', '')) = 0 AND regexp_matches({_QUERY}, '(^|&)(s|q|search|query)=')) THEN 'not_article' WHEN {any_sql(_PATH, U.HINTS)} THEN 'article' ELSE 'other' END AS kind FROM pages")
 def url_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Tables(spark, sf_dir).raw("pages").select("page_id", U.host(F.col("url")).alias("host"), U.url_class(F.col("url")).alias("kind"))
+    return Tables(spark, sf_dir).texts("pages").select("page_id", U.host(F.col("url")).alias("host"), U.url_class(F.col("url")).alias("kind"))
 
 
 @query(f"SELECT {_HOST} AS host, count(*) AS pages, count(DISTINCT {_PATH}) AS paths, count(*) FILTER (WHERE {_QUERY} <> '') AS with_query FROM pages GROUP BY 1")
 def url_host_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("url")
-    return Tables(spark, sf_dir).raw("pages").groupBy(U.host(u).alias("host")).agg(F.count("*").alias("pages"), F.countDistinct(F.lower(U.path(u))).alias("paths"), F.count_if(U.query_part(u) != "").alias("with_query"))
+    return Tables(spark, sf_dir).texts("pages").groupBy(U.host(u).alias("host")).agg(F.count("*").alias("pages"), F.countDistinct(F.lower(U.path(u))).alias("paths"), F.count_if(U.query_part(u) != "").alias("with_query"))
 
 
 @query("SELECT page_id, CAST(len(u) AS BIGINT) AS n, array_to_string(list_slice(u, 1, 5), ' ') AS first_urls FROM (SELECT page_id, list_filter(x, lambda v, i: list_position(x, v) = i) AS u FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"#]+)\"', 1) AS x FROM pages))")
 def url_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct link targets of a page in page order."""
     found = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"#]+)"'), 1))
-    return Tables(spark, sf_dir).raw("pages").select("page_id", F.size(found).cast("long").alias("n"), F.array_join(F.slice(found, 1, 5), " ").alias("first_urls"))
+    return Tables(spark, sf_dir).texts("pages").select("page_id", F.size(found).cast("long").alias("n"), F.array_join(F.slice(found, 1, 5), " ").alias("first_urls"))
 
 
 _ART = "regexp_extract(regexp_replace(html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g'), '(?is)<article[^>]*>(.*?)</article>', 1)"
@@ -98,7 +98,7 @@ _PLAIN = r"replace(replace(replace(replace(regexp_replace(" + _ART + r", '<[^>]+
 @query("SELECT page_id, CAST(length(b) AS BIGINT) AS n_chars, md5(CASE WHEN length(b) > 6000 THEN regexp_replace(substr(b, 1, 6000), '" + _W + "+$', '') || '...' ELSE b END) AS digest FROM (SELECT page_id, " + _SQ(_PLAIN) + " AS b FROM pages)")
 def article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of the first article element, else of the whole page, tags and scripts removed, cut at 6000 characters as stored."""
-    return Tables(spark, sf_dir).raw("pages").select("page_id", article_body(F.col("html")).alias("b")).select("page_id", F.length("b").cast("long").alias("n_chars"), F.md5(F.encode(T.truncate(F.col("b"), 6000), "UTF-8")).alias("digest"))
+    return Tables(spark, sf_dir).texts("pages").select("page_id", article_body(F.col("html")).alias("b")).select("page_id", F.length("b").cast("long").alias("n_chars"), F.md5(F.encode(T.truncate(F.col("b"), 6000), "UTF-8")).alias("digest"))
 
 
 def article_body(html: F.Column) -> F.Column:

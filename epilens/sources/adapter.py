@@ -25,6 +25,11 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def texts(self, name: str) -> DataFrame:
+        """raw, dealt over the cluster's cores where its files make fewer tasks than that: for queries that work long on each text."""
+        df, cores = self.raw(name), self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     @cached_property
     def location(self) -> DataFrame:
         """Provinces from regions and cities or regencies from nations: at most a few thousand rows in any gazetteer."""

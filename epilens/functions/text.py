@@ -6,7 +6,9 @@ of the composed Latin letters; what is left of non-ASCII text is dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WS = r"[ \t\n\x0B\f\r]"
@@ -118,3 +120,13 @@ def distinct_folded(c: Column) -> Column:
     items = F.filter(F.transform(c, lambda x: strip(x)), lambda x: x != "")
     folded = F.transform(items, lambda x: F.lower(x))
     return F.filter(items, lambda x, i: F.array_position(folded, F.lower(x)) == i + 1)
+
+
+def first_of_each(rows: DataFrame, items: Column, key: Callable[[Column], Column], name: str) -> DataFrame:
+    """rows with the items of which none before has the same key, in order, as a column.
+
+    The keys are a column of their own: an expression inside a lambda is computed for every item.
+    """
+    rows = rows.withColumn("_keyed", F.transform(items, lambda x: F.struct(x.alias("item"), key(x).alias("key"))))
+    first = F.filter("_keyed", lambda x, i: F.array_position(F.col("_keyed.key"), x["key"]) == i + 1)
+    return rows.withColumn(name, F.transform(first, lambda x: x["item"])).drop("_keyed")

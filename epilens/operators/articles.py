@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from epilens.functions.lexicon import any_of, any_sql
 from epilens.functions.numeric import ladder
-from epilens.functions.text import headline, numbers, sentences, squeeze
+from epilens.functions.text import first_of_each, headline, numbers, sentences, squeeze
 from epilens.operators.assess import QUESTIONS, SUMMARY_WORDS, first_sentence, summary
 from epilens.registry import query
 from epilens.sources.adapter import Tables, sql
@@ -52,28 +52,27 @@ def jsonld_text(html: Column) -> Column:
     return squeeze(F.array_join(F.filter(F.concat(said(items), said(graphs)), lambda t: t.isNotNull() & (t != "")), " "))
 
 
-def paragraphs(html: Column) -> Column:
-    """Paragraphs and list items of 35 characters and more of the article and of named containers, boilerplate left out, each once by its first 140 characters.
+def with_article(rows: DataFrame, html: str, limit: int = 18000) -> DataFrame:
+    """rows with title, description, canonical_url, jsonld, paragraphs and article_text (these in one, cut at limit characters) of the page.
 
-    A container reaches to the end of the page and an unclosed paragraph to the next one; a page without either is taken whole.
+    Paragraphs are the paragraphs and list items of 35 characters and more of the article and of named containers,
+    boilerplate left out, each once by its first 140 characters. A container reaches to the end of the page and an
+    unclosed paragraph to the next one; a page without either is taken whole.
     """
+    page = F.col(html)
+    x = rows.withColumns({"title": meta(page, "og:title", "twitter:title"), "description": meta(page, "og:description", "description", "twitter:description"), "canonical_url": canonical_url(page), "jsonld": jsonld_text(page)})
+    clean = page
     for tag in DROPPED:
-        html = F.regexp_replace(html, rf"(?is)<{tag}[ >].*?</{tag}>", " ")
-    article = F.regexp_extract(html, r"(?is)<article[^>]*>(.*?)</article>", 1)
-    container = F.regexp_extract(html, rf"(?is)<(?:div|main|section)\s[^>]*(?:class|id)=\"[^\"]*(?:{CONTAINERS})[^\"]*\"[^>]*>(.*)\z", 1)
-    scope = F.when((article == "") & (container == ""), html).otherwise(F.concat(article, F.lit("</article>"), container))
-    pieces = F.split(scope, r"(?i)<(?:p|li)(?:\s[^>]*)?>")
-    text = lambda x: squeeze(unescape(F.regexp_replace(F.regexp_replace(x, r"(?is)</(?:p|li|article|div|section|main|ul|ol)>.*\z", ""), "<[^>]*>", " ")))
-    kept = F.filter(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), text), lambda t: (F.length(t) >= 35) & ~any_of(F.lower(t), BOILERPLATE))
-    heads = F.transform(kept, lambda t: F.left(F.lower(t), F.lit(140)))
-    return F.filter(kept, lambda t, i: F.array_position(heads, F.left(F.lower(t), F.lit(140))) == i + 1)
-
-
-def extract_article(html: Column, limit: int = 18000) -> Column:
-    """A struct of title, description, canonical_url and text: metadata, JSON-LD and paragraphs, cut at limit characters."""
-    title, description = meta(html, "og:title", "twitter:title"), meta(html, "og:description", "description", "twitter:description")
-    text = squeeze(F.concat_ws(" ", title, description, jsonld_text(html), F.array_join(paragraphs(html), " ")))
-    return F.struct(title.alias("title"), description.alias("description"), canonical_url(html).alias("canonical_url"), F.left(text, F.lit(limit)).alias("text"))
+        clean = F.regexp_replace(clean, rf"(?is)<{tag}[ >].*?</{tag}>", " ")
+    x = x.withColumn("_clean", clean)
+    x = x.withColumns({"_article": F.regexp_extract("_clean", r"(?is)<article[^>]*>(.*?)</article>", 1), "_container": F.regexp_extract("_clean", rf"(?is)<(?:div|main|section)\s[^>]*(?:class|id)=\"[^\"]*(?:{CONTAINERS})[^\"]*\"[^>]*>(.*)\z", 1)})
+    scope = F.when((F.col("_article") == "") & (F.col("_container") == ""), F.col("_clean")).otherwise(F.concat("_article", F.lit("</article>"), "_container"))
+    x = x.withColumn("_pieces", F.split(scope, r"(?i)<(?:p|li)(?:\s[^>]*)?>"))
+    text = lambda t: squeeze(unescape(F.regexp_replace(F.regexp_replace(t, r"(?is)</(?:p|li|article|div|section|main|ul|ol)>.*\z", ""), "<[^>]*>", " ")))
+    kept = F.filter(F.transform(F.slice("_pieces", F.lit(2), F.size("_pieces")), text), lambda t: (F.length(t) >= 35) & ~any_of(F.lower(t), BOILERPLATE))
+    x = first_of_each(x, kept, lambda t: F.left(F.lower(t), F.lit(140)), "paragraphs").drop("_clean", "_article", "_container", "_pieces")
+    whole = squeeze(F.concat_ws(" ", "title", "description", "jsonld", F.array_join("paragraphs", " ")))
+    return x.withColumn("article_text", F.left(whole, F.lit(limit)))
 
 
 # Pages of the test with metadata, JSON-LD as object, graph and list, and a container in place of the article.
@@ -114,10 +113,9 @@ m AS (SELECT page_id, {_meta_sql('og:title', 'twitter:title')} AS title, {_meta_
 SELECT page_id, title, description, canonical_url, md5(jsonld) AS jsonld, CAST(len(paras) AS BIGINT) AS paragraphs, md5(left({_SQUEEZE.format("concat_ws(' ', title, description, jsonld, array_to_string(paras, ' '))")}, 18000)) AS text FROM m""")
 def article_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata and digests of JSON-LD and text of every page, some of them with metadata put in."""
-    h = Tables(spark, sf_dir).texts("pages").select("page_id", F.expr(_PAGE).alias("h"))
-    x = h.select("page_id", extract_article(F.col("h")).alias("a"), jsonld_text(F.col("h")).alias("j"), F.size(paragraphs(F.col("h"))).cast("long").alias("paragraphs"))
-    digest = lambda c: F.md5(F.encode(c, "UTF-8"))
-    return x.select("page_id", "a.title", "a.description", "a.canonical_url", digest("j").alias("jsonld"), "paragraphs", digest("a.text").alias("text"))
+    x = with_article(Tables(spark, sf_dir).texts("pages").select("page_id", F.expr(_PAGE).alias("h")), "h")
+    digest = lambda c: F.md5(F.encode(c, "UTF-8")).alias(c)
+    return x.select("page_id", "title", "description", "canonical_url", digest("jsonld"), F.size("paragraphs").cast("long").alias("paragraphs"), digest("article_text").alias("text"))
 
 
 def is_fallback(text: Column, title: Column, trusted: Column) -> Column:

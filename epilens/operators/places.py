@@ -6,28 +6,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epilens.functions.numeric import clamp, ladder
-from epilens.functions.text import distinct_folded
+from epilens.functions.text import first_of_each, strip
 from epilens.registry import query
 from epilens.sources.adapter import Tables, sql
 
 _NAME = r"[A-Z][A-Za-z0-9_-]+(?: [A-Z][A-Za-z0-9_-]+){0,4}"
 
 
-def candidates(text: Column, lead: str = "di", kinds: tuple[str, ...] = ("Kota", "Kabupaten", "Provinsi")) -> Column:
-    """Capitalised names after the lead word or an administrative word, distinct in any case, in pattern order."""
+def candidates(rows: DataFrame, text: str, lead: str = "di", kinds: tuple[str, ...] = ("Kota", "Kabupaten", "Provinsi")) -> DataFrame:
+    """rows with names: capitalised names after the lead word or an administrative word, distinct in any case, in pattern order."""
     patterns = [rf"(?:^|[^A-Za-z0-9_]){lead} +({k} {_NAME})" for k in kinds[:2]] + [rf"(?:^|[^A-Za-z0-9_]){lead} +({_NAME})"] + [rf"(?:^|[^A-Za-z0-9_])({k} {_NAME})" for k in kinds]
-    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), 1) for p in patterns]))
-    return F.filter(distinct_folded(found), lambda x: F.length(x) >= 3)
+    found = F.flatten(F.array(*[F.regexp_extract_all(F.col(text), F.lit(p), 1) for p in patterns]))
+    items = F.filter(F.transform(found, lambda x: strip(x)), lambda x: F.length(x) >= 3)
+    return first_of_each(rows, items, lambda x: F.lower(x), "names")
 
 
 _CAND = "flatten([" + ", ".join(f"regexp_extract_all(text, '{p}', 1)" for p in [rf"(?:^|[^A-Za-z0-9_])the +({k} {_NAME})" for k in ("The", "Of")] + [rf"(?:^|[^A-Za-z0-9_])the +({_NAME})"] + [rf"(?:^|[^A-Za-z0-9_])({k} {_NAME})" for k in ("The", "Of", "And")]) + "])"
 
 
-@query("WITH c AS (SELECT doc_id, list_filter(list_transform(" + _CAND + ", lambda x: trim(x)), lambda x: x <> '') AS c FROM documents), d AS (SELECT doc_id, list_filter(list_filter(c, lambda x, i: list_position(list_transform(c, lambda y: lower(y)), lower(x)) = i), lambda x: length(x) >= 3) AS c FROM c) SELECT doc_id, CAST(len(c) AS BIGINT) AS n, array_to_string(list_slice(c, 1, 5), '|') AS first FROM d")
+@query("WITH c AS (SELECT doc_id, list_filter(list_transform(" + _CAND + ", lambda x: trim(x)), lambda x: x <> '') AS c FROM documents), d AS (SELECT doc_id, list_filter(list_filter(c, lambda x, i: list_position(list_transform(c, lambda y: lower(y)), lower(x)) = i), lambda x: length(x) >= 3) AS c FROM c) SELECT doc_id, CAST(len(c) AS BIGINT) AS n, md5(array_to_string(c, '|')) AS digest FROM d")
 def place_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With words of the test texts as lead and administrative words."""
-    c = candidates(F.col("text"), "the", ("The", "Of", "And"))
-    return Tables(spark, sf_dir).texts("documents").select("doc_id", F.size(c).cast("long").alias("n"), F.array_join(F.slice(c, 1, 5), "|").alias("first"))
+    x = candidates(Tables(spark, sf_dir).texts("documents"), "text", "the", ("The", "Of", "And"))
+    return x.select("doc_id", F.size("names").cast("long").alias("n"), F.md5(F.encode(F.array_join("names", "|"), "UTF-8")).alias("digest"))
 
 
 def candidate_confidence(origin: str, is_alias: str, level: str) -> Column:

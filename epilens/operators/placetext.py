@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epilens.functions.numeric import ladder
-from epilens.functions.text import region_code, resolver_key, squeeze
+from epilens.functions.text import first_of_each, region_code, resolver_key, squeeze
 from epilens.operators.gazetteer import PROVINCE_ALIASES, aliases, validity
 from epilens.operators.places import candidate_confidence
 from epilens.registry import query
@@ -67,13 +67,12 @@ def _cut(c: Column, stops: list[str]) -> Column:
     return F.regexp_replace(padded, rf"^[{_TRIM}]+|[{_TRIM}]+$", "")
 
 
-def text_candidates(text: Column, leads: list[str] = LEADS, kinds: tuple[list[str], list[str]] = (["Kabupaten", r"Kab\.", "Kab", "Kota", "Provinsi"], ["Kecamatan", r"Kec\.", "Kelurahan", "Desa"]), stops: list[str] = STOPS) -> Column:
-    """Capitalised names after a lead word or with an administrative one, cut at stop words, of three characters and more, each once in its normal form."""
+def text_candidates(rows: DataFrame, text: str, leads: list[str] = LEADS, kinds: tuple[list[str], list[str]] = (["Kabupaten", r"Kab\.", "Kab", "Kota", "Provinsi"], ["Kecamatan", r"Kec\.", "Kelurahan", "Desa"]), stops: list[str] = STOPS) -> DataFrame:
+    """rows with candidates: capitalised names after a lead word or with an administrative one, cut at stop words, of three characters and more, each once in its normal form."""
     patterns = [rf"{_B}(?:{'|'.join(leads)})[ \t\n\x0B\f\r]+({_NAME})", *[rf"{_B}((?:{'|'.join(k)})[ \t\n\x0B\f\r]+{_NAME})" for k in kinds]]
-    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), 1) for p in patterns]))
+    found = F.flatten(F.array(*[F.regexp_extract_all(F.col(text), F.lit(p), 1) for p in patterns]))
     cut = F.filter(F.transform(found, lambda x: _cut(x, stops)), lambda x: F.length(x) >= 3)
-    forms = F.transform(cut, spaced)
-    return F.filter(cut, lambda x, i: F.array_position(forms, spaced(x)) == i + 1)
+    return first_of_each(rows, cut, spaced, "candidates")
 
 
 #: Lead, administrative and stop words that occur in the test texts.
@@ -83,8 +82,8 @@ _CANDIDATES = "flatten([" + ", ".join(f"regexp_extract_all(text, '{p}', 1)" for
 
 @query(f"WITH c AS (SELECT doc_id, list_filter(list_transform({_CANDIDATES}, lambda x: regexp_replace(regexp_replace(x, '(?is){_B}(?:{'|'.join(TEST_STOPS)})(?:[^A-Za-z0-9_].*)?\\z', ''), '^[{_TRIM}]+|[{_TRIM}]+$', '', 'g')), lambda x: length(x) >= 3) AS c FROM documents), f AS (SELECT doc_id, c, list_transform(c, lambda x: {_SP.format('x')}) AS f FROM c), d AS (SELECT doc_id, list_filter(c, lambda x, i: list_position(f, f[i]) = i) AS c FROM f) SELECT doc_id, CAST(len(c) AS BIGINT) AS n, md5(array_to_string(c, '|')) AS digest FROM d")
 def place_names_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = text_candidates(F.col("text"), TEST_LEADS, TEST_KINDS, TEST_STOPS)
-    return Tables(spark, sf_dir).texts("documents").select("doc_id", c.alias("c")).select("doc_id", F.size("c").cast("long").alias("n"), F.md5(F.encode(F.array_join("c", "|"), "UTF-8")).alias("digest"))
+    x = text_candidates(Tables(spark, sf_dir).texts("documents"), "text", TEST_LEADS, TEST_KINDS, TEST_STOPS)
+    return x.select("doc_id", F.size("candidates").cast("long").alias("n"), F.md5(F.encode(F.array_join("candidates", "|"), "UTF-8")).alias("digest"))
 
 
 def search_forms(place: Column) -> Column:

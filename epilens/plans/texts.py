@@ -84,11 +84,11 @@ def url_host_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).texts("pages").groupBy(U.host(u).alias("host")).agg(F.count("*").alias("pages"), F.countDistinct(F.lower(U.path(u))).alias("paths"), F.count_if(U.query_part(u) != "").alias("with_query"))
 
 
-@query("SELECT page_id, CAST(len(u) AS BIGINT) AS n, array_to_string(list_slice(u, 1, 5), ' ') AS first_urls FROM (SELECT page_id, list_filter(x, lambda v, i: list_position(x, v) = i) AS u FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"#]+)\"', 1) AS x FROM pages))")
+@query("SELECT page_id, CAST(len(u) AS BIGINT) AS n, md5(array_to_string(u, ' ')) AS urls FROM (SELECT page_id, list_filter(x, lambda v, i: list_position(x, v) = i) AS u FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"#]+)\"', 1) AS x FROM pages))")
 def url_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct link targets of a page in page order."""
     found = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"#]+)"'), 1))
-    return Tables(spark, sf_dir).texts("pages").select("page_id", F.size(found).cast("long").alias("n"), F.array_join(F.slice(found, 1, 5), " ").alias("first_urls"))
+    return Tables(spark, sf_dir).texts("pages").select("page_id", F.size(found).cast("long").alias("n"), F.md5(F.encode(F.array_join(found, " "), "UTF-8")).alias("urls"))
 
 
 _ART = "regexp_extract(regexp_replace(html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g'), '(?is)<article[^>]*>(.*?)</article>', 1)"

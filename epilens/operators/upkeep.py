@@ -183,15 +183,15 @@ def article_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cluster_texts(rows: DataFrame) -> DataFrame:
     """Cluster rows with summary, recommendation (code) and reason lines."""
-    one = lambda c: F.format_string("%.1f", F.col(c).cast("double"))
+    one = lambda c: F.format_string("%.2f", F.col(c).cast("double"))
     disease, place = (F.element_at(F.split("cluster_key", "[|]"), k) for k in (1, 2))
     summary = F.concat_ws(" ", F.col("signal_count").cast("string"), disease, F.lit("at"), place, F.col("date_start").cast("string"), F.lit("to"), F.col("date_end").cast("string"), F.lit("avg"), one("avg_score"), F.lit("max"), one("max_score"), F.lit("confidence"), one("avg_confidence"))
     reason = F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), F.col(k).cast("string")) for k in ("signal_count", "raw_count", "validated_count", "verified_count", "noise_count")], *[F.concat(F.lit(f"{k}: "), one(k)) for k in ("avg_score", "max_score", "avg_confidence")])
     return rows.select("cluster_key", summary.alias("summary"), ladder(("priority in ('urgent', 'high')", "PRIORITISE"), ("priority = 'medium'", "REVIEW"), default="LATER").alias("recommendation"), reason.alias("reason"))
 
 
-@query(sql(_KEY + r"""SELECT cluster_key, signal_count || ' ' || split_part(cluster_key, '|', 1) || ' at ' || split_part(cluster_key, '|', 2) || ' ' || date_start || ' to ' || date_end || ' avg ' || printf('%.1f', avg_score) || ' max ' || printf('%.1f', CAST(max_score AS DOUBLE)) || ' confidence ' || printf('%.1f', avg_confidence) AS summary, CASE WHEN priority IN ('urgent', 'high') THEN 'PRIORITISE' WHEN priority = 'medium' THEN 'REVIEW' ELSE 'LATER' END AS recommendation,
- 'signal_count: ' || signal_count || chr(10) || 'raw_count: ' || raw_count || chr(10) || 'validated_count: ' || validated_count || chr(10) || 'verified_count: ' || verified_count || chr(10) || 'noise_count: ' || noise_count || chr(10) || 'avg_score: ' || printf('%.1f', avg_score) || chr(10) || 'max_score: ' || printf('%.1f', CAST(max_score AS DOUBLE)) || chr(10) || 'avg_confidence: ' || printf('%.1f', avg_confidence) AS reason FROM clp"""))
+@query(sql(_KEY + r"""SELECT cluster_key, signal_count || ' ' || split_part(cluster_key, '|', 1) || ' at ' || split_part(cluster_key, '|', 2) || ' ' || date_start || ' to ' || date_end || ' avg ' || printf('%.2f', avg_score) || ' max ' || printf('%.2f', CAST(max_score AS DOUBLE)) || ' confidence ' || printf('%.2f', avg_confidence) AS summary, CASE WHEN priority IN ('urgent', 'high') THEN 'PRIORITISE' WHEN priority = 'medium' THEN 'REVIEW' ELSE 'LATER' END AS recommendation,
+ 'signal_count: ' || signal_count || chr(10) || 'raw_count: ' || raw_count || chr(10) || 'validated_count: ' || validated_count || chr(10) || 'verified_count: ' || verified_count || chr(10) || 'noise_count: ' || noise_count || chr(10) || 'avg_score: ' || printf('%.2f', avg_score) || chr(10) || 'max_score: ' || printf('%.2f', CAST(max_score AS DOUBLE)) || chr(10) || 'avg_confidence: ' || printf('%.2f', avg_confidence) AS reason FROM clp"""))
 def cluster_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     rows = clusters(cluster_rows(t, t.signal))

@@ -53,7 +53,7 @@ def difference(parts: list[list[int]], k: int) -> np.ndarray:
     heap = []
     for i, sums in enumerate(parts):
         sums = [*sums, *[0] * (k - len(sums))]
-        live.append((sums, [[(i, j)] for j in range(k)] if sums[1] else [[(i, 0)], *[[] for _ in range(k - 1)]]))
+        live.append((sums, [[(i, j)] for j in range(k)] if k == 1 or sums[1] else [[(i, 0)], *[[] for _ in range(k - 1)]]))
         heap.append((sums[-1] - sums[0], i))
     heapq.heapify(heap)
     while len(heap) > 1:
@@ -91,7 +91,7 @@ def _difference_parts(k: int):
         for batch, own in pdf.groupby("batch", sort=True):
             own = own.sort_values(["bytes", "slot"], ascending=[False, True])
             parts.append((batch, own["slot"].tolist(), own["bytes"].tolist()))
-        where = difference([p[2] if len(p[2]) > 1 else [*p[2], 0] for p in parts], k)
+        where = difference([p[2] for p in parts], k)
         rows = [(b, s, int(pdf["parent"].iloc[0]), int(where[i, j]), int(x)) for i, (b, slots, sums) in enumerate(parts) for j, (s, x) in enumerate(zip(slots, sums, strict=True))]
         return pd.DataFrame(rows, columns=["batch", "slot", "parent", "up", "bytes"])
 
@@ -130,10 +130,13 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = 40, batch: int = B
         sums = up.groupBy(F.col("parent").alias("batch"), F.col("up").alias("slot")).agg(F.sum("bytes").alias("bytes"))
         n = math.ceil(n / FAN)
     steps = scratch.table(steps.select(F.col("first").alias("batch"), F.col("first_slot").alias("slot0"), F.col("slot").alias("shard")), "steps")
-    places = items.withColumnRenamed("slot", "slot0").join(steps, ["batch", "slot0"]).select("key", "shard")
+    places = scratch.table(items.withColumnRenamed("slot", "slot0").join(steps, ["batch", "slot0"]).select("key", "shard", (F.col("batch") < 0).alias("large")), "places")
+    # The large groups are at most HEAVY * shards: their rows stay where they are.
+    few = F.broadcast(places.where("large").drop("large"))
+    placed = rows.join(few, "key").unionByName(rows.join(few, "key", "left_anti").join(places.where("not large").drop("large"), "key"))
 
     # Slots: rows of a shard are counted in chunks, so that no task numbers a whole shard.
-    placed = rows.join(places, "key").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "key"), F.lit(max(1, math.ceil(rows.count() / (shards * 20_000))))))
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "key"), F.lit(max(1, math.ceil(rows.count() / (shards * 20_000))))))
     placed = scratch.table(placed, "placed")
     counts = placed.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")

@@ -76,6 +76,20 @@ def test_difference_balances():
     assert difference([], 4).shape == (0, 4)
 
 
+@pytest.mark.parametrize("shards", [1, 2, 30])
+def test_shard_numbers(spark, docs, empty, shards):
+    """Any number of shards, more than there are rows too; sizes at most the largest group apart."""
+    rows = shard(spark, docs, shards, batch=3).collect()
+    assert len(rows) == len(TEXTS) and {r.shard for r in rows} <= set(range(shards))
+    sizes = Counter({k: 0 for k in range(shards)})
+    for r in rows:
+        sizes[r.shard] += r.size
+    assert max(sizes.values()) - min(sizes.values()) <= max(Counter({r.text_crc32: r.size for r in rows}).values()) * 3
+    assert shard(spark, empty, shards).count() == 0
+    nulls = shard(spark, table(spark, [(None, "a"), (None, "a"), (1, None), (2, "")]), shards).collect()
+    assert Counter(r.doc_id for r in nulls) == Counter([None, None, 1, 2]) and len({r.shard for r in nulls if r.doc_id is None}) == 1
+
+
 @pytest.mark.parametrize("batch", [2, 4096])
 def test_shard(spark, docs, batch):
     rows = shard(spark, docs, 5, batch=batch).collect()
@@ -588,6 +602,24 @@ def test_near_against_brute_force(spark, monkeypatch, marks):
     assert got == {d: {k for k, item in items if brute_near(t, item)} for d, t in texts}
 
 
+NULLS = [(None, "one two three"), (None, "one two three"), (None, None), (1, "mail a@b.org now"), (2, "")]
+
+
+def test_null_ids(spark):
+    """Rows without a doc_id keep a row each in every operator that returns rows by document."""
+    d = table(spark, NULLS)
+    bench, lab = spark.createDataFrame([(1, "one two three")], "item_id long, text string"), spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    ids = lambda df: Counter(r.doc_id for r in df.collect())
+    want = Counter(i for i, _ in NULLS)
+    folder, manifest = write_tables(spark, d, WORD)
+    assert ids(read_tables(spark, folder, manifest)) == want
+    assert ids(pii_digest(find_pii(spark, d))) == want
+    assert ids(pack(spark, d, BYTE, end_id=0, capacity=8)) == want
+    assert ids(find_contamination(spark, d, bench)) == want
+    assert ids(score_quality(spark, d, lab)) == want
+    assert ids(score_toxicity(spark, d, train(spark, d, lab))) == want
+
+
 # 10 --------------------------------------------------------------------------------------------------
 
 

@@ -17,7 +17,7 @@ def cluster_rows(t: Tables, signals: DataFrame) -> DataFrame:
     One link is chosen before anything is grouped, so a signal with two primary links counts once.
     """
     place = t.location.select(F.col("id").alias("location_id"), F.col("name").alias("place"))
-    first = t.link.join(F.broadcast(place), "location_id").groupBy(F.col("signal_id").alias("id")).agg(F.min_by("place", F.struct(~F.col("is_primary"), -F.unix_micros(F.col("created_at").cast("timestamp")), "slot")).alias("place"))
+    first = t.link.join(place, "location_id").groupBy(F.col("signal_id").alias("id")).agg(F.min_by("place", F.struct(~F.col("is_primary"), -F.unix_micros(F.col("created_at").cast("timestamp")), "slot")).alias("place"))
     x = signals.join(first, "id", "left").withColumn("place", F.expr("coalesce(place, nullif(raw_location_text, ''))"))
     day = F.coalesce(F.date_format("published_at", "yyyy-MM-dd"), F.lit("unknown_date"))
     key = F.concat_ws("|", slug(F.coalesce("disease_tag", F.lit("")), "unknown-disease"), slug(F.coalesce("place", F.lit("")), "unknown-location"), day)

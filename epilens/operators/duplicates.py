@@ -197,7 +197,7 @@ def dup_light(spark: SparkSession, sf_dir: str) -> DataFrame:
 def place_profile(t: Tables) -> DataFrame:
     """ids, city codes, province codes of a signal's places, and its raw text."""
     place = t.location.select(F.col("id").alias("location_id"), "city_code", "province_code")
-    g = t.link.join(F.broadcast(place), "location_id").groupBy(F.col("signal_id").alias("id")).agg(F.array_sort(F.collect_set("location_id")).alias("ids"), F.array_sort(F.collect_set(F.nullif("city_code", F.lit("")))).alias("cities"), F.array_sort(F.collect_set(F.nullif("province_code", F.lit("")))).alias("provinces"))
+    g = t.link.join(place, "location_id").groupBy(F.col("signal_id").alias("id")).agg(F.array_sort(F.collect_set("location_id")).alias("ids"), F.array_sort(F.collect_set(F.nullif("city_code", F.lit("")))).alias("cities"), F.array_sort(F.collect_set(F.nullif("province_code", F.lit("")))).alias("provinces"))
     s = t.signal.select("id", "disease_tag", "published_at", F.lower(F.trim("raw_location_text")).alias("raw"))
     none = lambda kind: F.array().cast(kind)
     return s.join(g, "id", "left").withColumns({"ids": F.coalesce("ids", none("array<bigint>")), "cities": F.coalesce("cities", none("array<string>")), "provinces": F.coalesce("provinces", none("array<string>"))})

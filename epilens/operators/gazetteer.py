@@ -59,15 +59,15 @@ def resolve(texts: DataFrame, places: DataFrame, text: str = "raw") -> DataFrame
     good = places.where("is_active and not is_false_positive").select("id", "level", resolver_key(F.col("name")).alias("name_key"))
     abbreviation = F.create_map(*[F.lit(v) for kv in PROVINCE_ALIASES.items() for v in kv])
     provinces = places.where("level = 'province' and is_active").select(F.col("id").alias("r1"), resolver_key(F.col("name")).alias("_full"))
-    x = x.withColumn("_full", abbreviation[F.col("_key")]).join(F.broadcast(provinces), "_full", "left")
+    x = x.withColumn("_full", abbreviation[F.col("_key")]).join(provinces, "_full", "left")
     names = good.groupBy(F.col("name_key").alias("_key")).agg(F.min("id").alias("r2"))
-    x = x.join(F.broadcast(names), "_key", "left")
+    x = x.join(names, "_key", "left")
     alias = aliases(places.where("is_active and not is_false_positive")).groupBy(F.regexp_replace("normalized", " ", "_").alias("_key")).agg(F.min("location_id").alias("r3"))
-    x = x.join(F.broadcast(alias), "_key", "left")
+    x = x.join(alias, "_key", "left")
     level = good.groupBy(F.col("name_key").alias("_bare"), F.col("level").alias("_level")).agg(F.min("id").alias("r4"))
-    x = x.join(F.broadcast(level), ["_bare", "_level"], "left")
+    x = x.join(level, ["_bare", "_level"], "left")
     generic = good.groupBy(F.col("name_key").alias("_bare")).agg(F.count("*").alias("_n"), F.min("id").alias("r5"))
-    x = x.join(F.broadcast(generic), "_bare", "left")
+    x = x.join(generic, "_bare", "left")
     rungs = [("_key = ''", "empty", 0.0, None), ("r1 is not null", "province_alias", 0.95, "r1"), ("r2 is not null", "name", 0.95, "r2"), ("r3 is not null", "alias", 0.93, "r3"), ("r4 is not null", "prefix", 0.90, "r4"), ("_n = 1", "generic", 0.80, "r5"), ("_n > 1", "ambiguous", 0.20, None)]
     pick = lambda k, none: ladder(*((r[0], F.expr(r[3]) if k == 3 and r[3] else (F.lit(None).cast("long") if k == 3 else r[k])) for r in rungs), default=none)
     return x.withColumns({"method": pick(1, "not_found"), "confidence": pick(2, 0.0), "location_id": pick(3, F.lit(None).cast("long"))}).drop("_key", "_bare", "_level", "_full", "_n", *[f"r{k}" for k in range(1, 6)])
@@ -87,7 +87,7 @@ SELECT event_id, method, CAST(CASE method WHEN 'province_alias' THEN 0.95 WHEN '
 def resolve_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     nation = t.raw("nation").select(F.col("n_nationkey").cast("long").alias("nk"), F.col("n_name").alias("name"))
-    raw = t.raw("events").withColumn("nk", F.col("user_id") % 25).join(F.broadcast(nation), "nk").select("event_id", F.expr(_RAW).alias("raw"))
+    raw = t.raw("events").withColumn("nk", F.col("user_id") % 25).join(nation, "nk").select("event_id", F.expr(_RAW).alias("raw"))
     return resolve(raw, t.location).select("event_id", "method", "confidence", "location_id")
 
 
@@ -165,7 +165,7 @@ def dedupe_provinces(places: DataFrame) -> tuple[DataFrame, DataFrame]:
     ranked = p.withColumn("score", score)
     keep = ranked.groupBy("group").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("keep_id"), F.count("*").alias("copies"))
     mapping = ranked.select("id", "group").join(keep, "group")
-    moved = places.where("level <> 'province'").join(F.broadcast(mapping.select(F.col("id").alias("parent_id"), "keep_id")), "parent_id", "left").withColumn("parent_id", F.coalesce("keep_id", "parent_id")).drop("keep_id")
+    moved = places.where("level <> 'province'").join(mapping.select(F.col("id").alias("parent_id"), "keep_id"), "parent_id", "left").withColumn("parent_id", F.coalesce("keep_id", "parent_id")).drop("keep_id")
     return mapping.select("id", "keep_id", "copies"), moved
 
 

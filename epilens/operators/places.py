@@ -42,7 +42,7 @@ def candidate_confidence(origin: str, is_alias: str, level: str) -> Column:
 def best_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surest candidate place of each signal; the earliest of equals."""
     t = Tables(spark, sf_dir)
-    x = t.link.join(F.broadcast(t.location.select(F.col("id").alias("location_id"), "level")), "location_id").withColumn("origin", F.expr("case slot when 1 then 'raw' when 2 then 'title' else 'content' end"))
+    x = t.link.join(t.location.select(F.col("id").alias("location_id"), "level"), "location_id").withColumn("origin", F.expr("case slot when 1 then 'raw' when 2 then 'title' else 'content' end"))
     x = x.withColumn("confidence", candidate_confidence("origin", "location_id % 2 = 0", "level"))
     best = x.groupBy("signal_id").agg(F.min_by(F.struct("location_id", "confidence"), F.struct(-F.col("confidence"), "slot")).alias("b"))
     return best.select("signal_id", F.col("b.location_id").alias("location_id"), F.col("b.confidence").alias("confidence"))
@@ -59,7 +59,7 @@ def query_variants(place: Column, province: Column, level: Column) -> Column:
 def geocode_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = Tables(spark, sf_dir).location
     parents = places.select(F.col("id").alias("parent_id"), F.col("name").alias("province"))
-    return places.join(F.broadcast(parents), "parent_id", "left").select("id", F.array_join(query_variants(F.col("name"), F.coalesce("province", F.lit("")), F.col("level")), "|").alias("variants"))
+    return places.join(parents, "parent_id", "left").select("id", F.array_join(query_variants(F.col("name"), F.coalesce("province", F.lit("")), F.col("level")), "|").alias("variants"))
 
 
 @query(sql(", m AS (SELECT id AS signal_id, CASE WHEN id % 2 = 0 THEN id % 25 END AS city, 1000 + id % 5 AS province FROM signal WHERE id % 3 = 0) SELECT signal_id, CAST(coalesce(city, province) AS BIGINT) AS location_id, l.level AS location_level, CASE WHEN l.level = 'province' THEN l.name ELSE p.name END AS admin_province, CASE WHEN l.level = 'province' THEN '' ELSE l.name END AS admin_city, 'manual' AS geocode_status FROM m JOIN location l ON l.id = coalesce(city, province) LEFT JOIN location p ON p.id = l.parent_id"))
@@ -69,7 +69,7 @@ def manual_geocode(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = t.signal.where("id % 3 = 0").select(F.col("id").alias("signal_id"), F.expr("coalesce(if(id % 2 = 0, id % 25, null), 1000 + id % 5)").alias("location_id"))
     parents = t.location.select(F.col("id").alias("parent_id"), F.col("name").alias("parent"))
     place = t.location.select(F.col("id").alias("location_id"), "name", "level", "parent_id").join(parents, "parent_id", "left")
-    x = m.join(F.broadcast(place), "location_id")
+    x = m.join(place, "location_id")
     return x.select("signal_id", "location_id", F.col("level").alias("location_level"), F.expr("if(level = 'province', name, parent)").alias("admin_province"), F.expr("if(level = 'province', '', name)").alias("admin_city"), F.lit("manual").alias("geocode_status"))
 
 

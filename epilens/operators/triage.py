@@ -63,7 +63,7 @@ TEST_LOW = ["license", "pathetic"]
 def triage_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     flags = t.disease.select(F.lower("name").alias("folded"), "report_24h", "emerging_watchlist")
-    s = with_place(t, t.signal).withColumn("folded", F.lower("disease_tag")).join(F.broadcast(flags), "folded", "left").join(t.article, "id")
+    s = with_place(t, t.signal).withColumn("folded", F.lower("disease_tag")).join(flags, "folded", "left").join(t.article, "id")
     text = F.lower(F.concat_ws(" ", "title", "content"))
     x = s.select("id", F.col("threat_score").alias("s"), confidence().alias("c"), (F.col("disease_tag") != "").alias("d"), F.col("placed").alias("p"), any_of(text, LOW_WORDS + TEST_LOW).alias("low"), F.coalesce("report_24h", F.lit(False)).alias("report_24h"), F.coalesce("emerging_watchlist", F.lit(False)).alias("emerging_watchlist"))
     priority, recommendation = triage()

@@ -124,7 +124,7 @@ def new_disease_place(t: Tables, s: Settings) -> DataFrame:
 def _with_disease(t: Tables, s: Settings) -> DataFrame:
     """Recent verified signals of a catalogued disease, with its flags."""
     d = t.disease.select(F.col("id").alias("disease_id"), F.lower("name").alias("folded"), "alert_rule", "disease_type", "report_24h", "emerging_watchlist", "reemerging_watch")
-    return t.signal.where(_SIGNALS).withColumn("folded", F.lower("disease_tag")).join(F.broadcast(d), "folded")
+    return t.signal.where(_SIGNALS).withColumn("folded", F.lower("disease_tag")).join(d, "folded")
 
 
 def priority_disease(t: Tables, s: Settings) -> DataFrame:

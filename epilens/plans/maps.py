@@ -154,4 +154,4 @@ def map_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     top = _linked(t, t.primary, t.signal.where("status = 'approved' and threat_score >= 35")).orderBy(F.desc("published_at"), "signal_id", "slot").limit(2000)
     place = t.location.select(F.col("id").alias("location_id"), F.round("lat", 4).alias("lat"), "lon")
-    return top.join(F.broadcast(place), "location_id").select("signal_id", "location_id", "threat_score", "disease_tag", "lat", "lon")
+    return top.join(place, "location_id").select("signal_id", "location_id", "threat_score", "disease_tag", "lat", "lon")

@@ -29,10 +29,10 @@ def search(t: Tables, signals: DataFrame, text: str = "", province_id: int | Non
         own = F.lit(False)
         for c in ("disease_tag", "raw_location_text", "source_url", "status", "geocode_status"):
             own = own | F.contains(F.lower(c), needle)
-        by_place = t.link.join(F.broadcast(t.location.where(F.contains(F.lower("name"), needle)).select(F.col("id").alias("location_id"))), "location_id").select(F.col("signal_id").alias("id")).distinct().withColumn("_found", F.lit(True))
+        by_place = t.link.join(t.location.where(F.contains(F.lower("name"), needle)).select(F.col("id").alias("location_id")), "location_id").select(F.col("signal_id").alias("id")).distinct().withColumn("_found", F.lit(True))
         signals = signals.join(by_place, "id", "left").where(own | F.col("_found").isNotNull()).drop("_found")
     if province_id is not None:
-        inside = t.link.join(F.broadcast(t.location.where((F.col("id") == province_id) | (F.col("parent_id") == province_id)).select(F.col("id").alias("location_id"))), "location_id")
+        inside = t.link.join(t.location.where((F.col("id") == province_id) | (F.col("parent_id") == province_id)).select(F.col("id").alias("location_id")), "location_id")
         signals = signals.join(inside.select(F.col("signal_id").alias("id")), "id", "left_semi")
     return signals
 

@@ -38,7 +38,7 @@ class Tables:
         provinces = region.select(
             (F.col("r_regionkey") + 1000).cast("long").alias("id"), F.col("r_name").alias("name"), F.lit("province").alias("level"), F.lit(None).cast("long").alias("parent_id"), code("r_name").alias("province_code"), F.lit("").alias("city_code")
         )
-        cities = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select(
+        cities = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
             F.col("n_nationkey").cast("long").alias("id"),
             F.col("n_name").alias("name"),
             F.when(F.col("n_nationkey") % 2 == 0, "city").otherwise("regency").alias("level"),
@@ -119,13 +119,13 @@ class Tables:
     def primary(self) -> DataFrame:
         """Primary links with their place: id, name, level, parent."""
         place = self.location.select(F.col("id").alias("location_id"), F.col("name").alias("place"), "level", "parent_id", "province_code", "city_code")
-        return self.link.where("is_primary").join(F.broadcast(place), "location_id")
+        return self.link.where("is_primary").join(place, "location_id")
 
     @cached_property
     def promoted(self) -> DataFrame:
         """Primary links with the province they belong to; links without one are left out."""
         parent = self.location.where("level = 'province'").select(F.col("id").alias("province_id"), F.col("name").alias("province"))
-        return self.primary.withColumn("province_id", F.expr("case when level = 'province' then location_id else parent_id end")).join(F.broadcast(parent), "province_id")
+        return self.primary.withColumn("province_id", F.expr("case when level = 'province' then location_id else parent_id end")).join(parent, "province_id")
 
 
 #: The same tables for DuckDB, as the head of a WITH clause.

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parents[1]
+#: Rows of an Arrow batch at most: texts may be long, and tasks hold several copies of a batch.
+BATCH_ROWS = 2_000
 #: Rows up to which a table of ids may be broadcast (16 MB of longs); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -48,6 +50,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         self.path = f"{shared_root(spark).rstrip('/')}/epilens-{uuid.uuid4().hex}"
         ship(spark)
         jvm = spark.sparkContext._jvm

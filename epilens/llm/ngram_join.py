@@ -231,7 +231,7 @@ class NgramJoin:
         Joined on both classes, sets of a list meet only if each allows the other's size.
         """
         t = self.percent
-        klass = lambda x: f"cast(floor(ln({x}) / ln(1.05)) as int)"
+        klass = lambda x: f"cast(floor(ln({x}) / ln(1.1)) as int)"
         low, high = f"greatest(1, ceil({t} * {n} / 100))", f"least(floor(100 * {n} / {t}), floor(({100 + t} * ({n} - {pos}) - {t} * {n}) / {t}))"
         return rows.withColumns({"size": F.expr(klass(n)), "low": F.expr(low), "high": F.expr(high)}).where("low <= high").withColumn("sizes", F.expr(f"sequence({klass('low')}, {klass('high')})")).drop("low", "high")
 

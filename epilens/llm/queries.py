@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from epilens.llm.decontam import contaminated, find_contamination
 from epilens.llm.exact_dedup import exact_groups
+from epilens.llm.lexical import ranked_search
+from epilens.llm.negatives import hard_negatives
 from epilens.llm.ngram_join import ngram_components
 from epilens.llm.packing import pack
 from epilens.llm.pii import find_pii, pii_digest
@@ -66,7 +68,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(spark, docs, train(spark, docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_shard, op2_html, op3_quality, op4_exact_dedup, op5_sstable, op6_pii, op7_ngram_join, op8_pack, op9_decontaminate, op10_toxicity)}
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(spark, vectors.withColumn("label", moved), every=50, positives=5, negatives=3, low=50, high=95)
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), top=50)
+
+
+QUERIES = {f.__name__: f for f in (op1_shard, op2_html, op3_quality, op4_exact_dedup, op5_sstable, op6_pii, op7_ngram_join, op8_pack, op9_decontaminate, op10_toxicity, op11_negatives, op13_search)}
 
 SQL = {
     "op4_exact_dedup": r"""
@@ -92,5 +104,39 @@ items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op11_negatives": r"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a, e b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 3
+""",
+    "op13_search": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), c AS (SELECT count(*) AS n_all, CAST(sum(len(t)) AS BIGINT) AS l_all FROM d WHERE len(t) > 0),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY ALL),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_all) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, c GROUP BY term),
+m AS (SELECT doc_id, 50 + (50 * len(t) * n_all) // l_all AS m FROM d, c WHERE len(t) > 0),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+QUALIFY row_number() OVER w <= 50
 """,
 }

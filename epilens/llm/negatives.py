@@ -140,7 +140,7 @@ class PivotTable:
         self.dims = self.dims or 0
         order = [F.xxhash64("vec_id", "v"), "vec_id", "v"]
         sample = [r.v for r in rows.orderBy(*order).select("v").limit(PIVOT_SAMPLE).toLocalIterator()]
-        self.pivots = Pivots(np.array([v + [0] * (self.dims - len(v)) for v in sample], np.int64).reshape(-1, self.dims), largest or 0.0, pivots)
+        self.pivots = Pivots(np.array([v + [0] * (self.dims - len(v)) for v in sample], np.int64).reshape(len(sample), self.dims), largest or 0.0, pivots)
         measured = rows.mapInArrow(_measured(spark.sparkContext.broadcast(self.pivots), self.dims), "vec_id long, label long, v array<long>, d array<double>, pivot int, near double")
         placed = measured.repartitionByRange("label", "pivot", "near", "vec_id").sortWithinPartitions("label", "pivot", "near", "vec_id")
         blocks = placed.mapInArrow(_blocked(self.dims), "label long, ids array<long>, v binary, d binary, low binary, high binary")

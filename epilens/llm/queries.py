@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from epilens.llm.decontam import contaminated, find_contamination
 from epilens.llm.exact_dedup import exact_groups
 from epilens.llm.lexical import ranked_search
+from epilens.llm.licenses import find_licenses, license_digest
 from epilens.llm.negatives import hard_negatives
 from epilens.llm.ngram_join import ngram_components
 from epilens.llm.packing import pack
@@ -74,11 +75,15 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(spark, vectors.withColumn("label", moved), every=50, positives=5, negatives=3, low=50, high=95)
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(find_licenses(spark, _table(spark, sf_dir, "documents")))
+
+
 def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), top=50)
 
 
-QUERIES = {f.__name__: f for f in (op1_shard, op2_html, op3_quality, op4_exact_dedup, op5_sstable, op6_pii, op7_ngram_join, op8_pack, op9_decontaminate, op10_toxicity, op11_negatives, op13_search)}
+QUERIES = {f.__name__: f for f in (op1_shard, op2_html, op3_quality, op4_exact_dedup, op5_sstable, op6_pii, op7_ngram_join, op8_pack, op9_decontaminate, op10_toxicity, op11_negatives, op12_licenses, op13_search)}
 
 SQL = {
     "op4_exact_dedup": r"""

@@ -9,10 +9,12 @@ is null or repeats costs no other row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from epilens.llm.common import Scratch, keep_ids, row_key
+from epilens.llm.common import Scratch, intermediates, keep_ids, row_key, unused
 from epilens.llm.decontam import contaminated, find_contamination
 from epilens.llm.exact_dedup import exact_dedup
 from epilens.llm.ngram_join import ngram_components
@@ -20,34 +22,36 @@ from epilens.llm.packing import pack
 from epilens.llm.quality import score_quality
 
 
-def _without(spark: SparkSession, docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs less the rows that the operator's result names by row_key."""
-    rows = Scratch(spark).table(rows.select("row_key").distinct(), "dropped")
-    keyed = docs.withColumn("row_key", row_key(docs))
-    return keep_ids(keyed, rows, "row_key", "left_anti").select(docs.columns)
+def _without(spark: SparkSession, docs: DataFrame, find: Callable[[], DataFrame]) -> DataFrame:
+    """docs less the rows that the operator's result names by row_key. What the operator wrote on the way is deleted."""
+    scratch = Scratch(spark)
+    with intermediates():
+        rows = scratch.table(find().select("row_key").distinct(), "dropped")
+    key = unused(docs, "row_key")
+    keyed = docs.withColumn(key, row_key(docs))
+    return keep_ids(keyed, rows.withColumnRenamed("row_key", key), key, "left_anti").select([f"`{c}`" for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _without(spark, docs, score_quality(spark, docs, labels).where("not kept"))
+    return _without(spark, docs, lambda: score_quality(spark, docs, labels).where("not kept"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the one with the smallest doc_id."""
-    return exact_dedup(spark, docs).select(docs.columns)
+    return exact_dedup(spark, docs).select([f"`{c}`" for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a 5-word Jaccard similarity of 0.8 or more, the smallest doc_id."""
-    groups = ngram_components(spark, docs, width=5, percent=80)
-    return _without(spark, docs, groups.where("not stays"))
+    return _without(spark, docs, lambda: ngram_components(spark, docs, width=5, percent=80).where("not stays"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark windows cover less than a twentieth."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(spark, docs, contaminated(find_contamination(spark, docs, benchmark)).where("contaminated"))
+    return _without(spark, docs, lambda: contaminated(find_contamination(spark, docs, benchmark)).where("contaminated"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +48,22 @@ def shared_root(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir")
 
 
+_scope: ContextVar[list | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def intermediates() -> Iterator[None]:
+    """Deletes, in the end, the scratch folders opened meanwhile: what was built from them has to be written by then."""
+    opened: list[Scratch] = []
+    token = _scope.set(opened)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for scratch in opened:
+            scratch.close()
+
+
 class Scratch:
     """Tables written to the shared folder, removed when the JVM ends."""
 
@@ -60,6 +79,20 @@ class Scratch:
         fs.mkdirs(where)
         fs.deleteOnExit(where)
         self.path = str(fs.makeQualified(where))
+        self._remove = lambda path: fs.delete(jvm.org.apache.hadoop.fs.Path(path), True)
+        if (opened := _scope.get()) is not None:
+            opened.append(self)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes written tables that nothing is read from any more."""
+        for t in tables:
+            for path in {f.rpartition("/")[0] for f in t.inputFiles()}:
+                if path.startswith(self.path):
+                    self._remove(path)
+
+    def close(self) -> None:
+        """Deletes all tables: for intermediates of a result that has been written."""
+        self._remove(self.path)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and returns it as read back: its lineage ends here."""
@@ -69,8 +102,16 @@ class Scratch:
 
 
 def row_key(docs: DataFrame) -> Column:
-    """A hash of a row's doc_id and all its other columns: names a row where doc_id alone may repeat or be null."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    """A hash of all of a row's columns: names a row where doc_id alone may repeat or be null. Maps, which have no hash, count as JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(f"`{c}`")) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes])
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """name, with as many underscores as it takes not to be a column of docs."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi") -> DataFrame:

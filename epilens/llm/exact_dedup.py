@@ -21,7 +21,7 @@ run of ASCII white space became one space; null counts as empty.
 Cases: null or empty text forms one group; a doc_id that is null is kept only
 in groups without any number, and keep_id is null there; of rows that repeat
 the smallest doc_id of their group one is kept; an empty table gives no rows;
-other columns are ignored.
+other columns are ignored, of any type and name.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from epilens.llm.common import BROADCAST_ROWS, Scratch
+from epilens.llm.common import BROADCAST_ROWS, Scratch, intermediates, row_key
 
 CAPACITY = 50_000
 #: Directory bits up to which it is broadcast: 2**18 slots of 24 bytes.
@@ -143,13 +143,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     It is the one with the smallest doc_id; rows that repeat it are compared by a hash of all columns.
     """
     scratch = Scratch(spark)
-    groups = exact_groups(spark, docs).where("group_size > 1").groupBy("key", "text_sha256").agg(F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"))
-    groups = scratch.table(groups.withColumnRenamed("text_sha256", "digest"), "groups")
+    with intermediates():
+        groups = exact_groups(spark, docs).where("group_size > 1").groupBy("key", "text_sha256").agg(F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"))
+        groups = scratch.table(groups.withColumnRenamed("text_sha256", "digest"), "groups")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     norm = normalised(F.col("text"))
-    rows = docs.select(row.alias("doc"), F.xxhash64(norm).alias("key"), F.sha2(norm, 256).alias("text_sha256"))
+    rows = docs.select(row.alias("doc"), row_key(docs).alias("doc_key"), F.xxhash64(norm).alias("key"), F.sha2(norm, 256).alias("text_sha256"))
     found = _attach(rows, groups, groups.agg(F.sum("group_size")).first()[0] or 0)
     alone = found.where("group_size is null").select("doc.*")
-    best = F.min_by("doc", F.struct(F.xxhash64("doc"), F.hash("doc")))
+    best = F.min_by("doc", "doc_key")
     chosen = found.where("group_size > 1 and doc.doc_id <=> keep_id").groupBy("key", "text_sha256").agg(best.alias("doc"))
     return alone.unionByName(chosen.select("doc.*"))

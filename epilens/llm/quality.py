@@ -4,11 +4,12 @@ View 1, the text: shares of character classes, word statistics, repetition and
 hashed word shares, from the whole text. View 2, the page's metadata: hashed
 source and lang, and the recorded length. Each view has a logistic model whose
 logit is calibrated on held-out labels. In each round both models score all
-documents; for each class, the documents of which a view is surest become
-training rows of the other view: with the class's label at the weight of the
-calibrated probability, and with the other label at the rest. So both views
-teach in every round, each by as much as its calibration earns: a view without
-signal teaches the class shares. At the end both views are calibrated and a
+documents; for each class, the documents of which a view is surest, and whose
+calibrated probability of that class is a half or more, become training rows of
+the other view: with the class's label at the weight of that probability, and
+with the other label at the rest. A view teaches by as much as its calibration
+earns, and a class that it is never sure of not at all: `taught` has no rows of
+it. At the end both views are calibrated and a
 logistic model on the held-out labels combines them.
 
 The features of all documents are one written table of a few numbers a row;
@@ -175,7 +176,7 @@ def _scored(table: DataFrame, models: dict[str, tuple[np.ndarray, float]]) -> Da
 
 
 def _sure(scores: DataFrame, pool: DataFrame, logit: str, share: float, take: int) -> DataFrame:
-    """The rows of pool of which the view is surest, as training rows: y, weight.
+    """The rows of pool of which the view is surest, as training rows: y, weight; none of a class that no row is likelier to have.
 
     scores has the calibrated logits of all of pool. For each class the cut lies in
     a cell of a histogram; of that cell's rows a share is taken by hash.
@@ -185,15 +186,14 @@ def _sure(scores: DataFrame, pool: DataFrame, logit: str, share: float, take: in
     place = F.pmod(F.xxhash64("row_key"), F.lit(1 << 30))
     cell = F.floor(F.least(F.lit(30.0), F.greatest(F.lit(-30.0), F.col(logit))) / CELL)
     for down, wanted in ((True, max(1, round(take * share))), (False, max(1, round(take * (1 - share))))):
-        left = wanted
-        for c in sorted(cells, reverse=down):
+        left, confident = wanted, cell >= 0 if down else cell < 0
+        for c in sorted((c for c in cells if (c >= 0) == down), reverse=down):
             if cells[c] >= left:
                 beyond = cell > c if down else cell < c
-                chosen = chosen | beyond | ((cell == c) & (place <= F.lit(int((1 << 30) * left / cells[c]))))
+                confident = beyond | ((cell == c) & (place <= F.lit(int((1 << 30) * left / cells[c]))))
                 break
             left -= cells[c]
-        else:
-            chosen = F.lit(True)
+        chosen = chosen | confident
     p = 1 / (1 + F.exp(-F.col(logit)))
     both = pool.where(chosen).withColumn("lesson", F.array(F.struct(F.lit(1).alias("y"), (TRUST * p).alias("weight")), F.struct(F.lit(0).alias("y"), (TRUST * (1 - p)).alias("weight"))))
     return both.select("doc_id", *VIEWS, F.explode("lesson").alias("lesson")).select("doc_id", *VIEWS, "lesson.*")

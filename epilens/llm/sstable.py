@@ -18,8 +18,9 @@ runs again after a lost executor replaces nothing half-written; only files
 named in the tasks' results are read.
 
 Cases: null text is empty and has the end id alone; rows with doc_id null come
-first, before any number, and their key is flagged; repeated doc_ids all stay;
-an empty table writes no file.
+first, before any number, and their key is flagged; rows that repeat a doc_id,
+or have none, all stay, in order of a 64-bit hash of their texts; an empty table
+writes no file; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -152,10 +153,10 @@ class TableReader:
         for _, at, n in self.index:
             yield from self._block(at, n)
 
-    def get(self, doc_id: int) -> list[np.ndarray]:
-        """The ids of each row with this doc_id."""
+    def get(self, doc_id: int | None) -> list[np.ndarray]:
+        """The ids of each row with this doc_id; the filter counts a row without one as 0."""
         bloom = np.unpackbits(np.frombuffer(self._read(self.bloom_at, (self.bits + 7) // 8), np.uint8))
-        if not bloom[_probes(np.array([doc_id], np.int64), self.bits)[0].astype(np.int64)].all():
+        if not bloom[_probes(np.array([doc_id or 0], np.int64), self.bits)[0].astype(np.int64)].all():
             return []
         low, found = key_of(doc_id), []
         for _, at, n in self.index[bisect_left(self.index, (low,)) :]:
@@ -178,20 +179,20 @@ def _writer(folder: str, vocabulary: str, end_id: int, file_tokens: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, (files, base) = PartEncoder.of(vocabulary), open_fs(folder)
         sink = writer = None
-        name, last, repeat, low, done = "", None, 0, None, []
+        name, last, repeat, low, low_tie, done = "", None, 0, None, 0, []
 
         def close() -> None:
             writer.close()
             sink.close()
             files.move(f"{base}/.{name}", f"{base}/{name}")
-            done.append((name, low, len(done), writer.entries, writer.tokens))
+            done.append((name, low, low_tie, len(done), writer.entries, writer.tokens))
 
         for batch, raw, bounds in blocks(batches, limit=BLOCK):
             ids, at = encoder.encode(raw, bounds)
-            for i, doc_id in enumerate(batch.column(0).to_pylist()):
+            for i, (doc_id, tie) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 repeat = repeat + 1 if writer and doc_id == last else 0
                 if writer is None:
-                    name, low = f"{uuid.uuid4().hex}.sst", doc_id
+                    name, low, low_tie = f"{uuid.uuid4().hex}.sst", doc_id, tie
                     sink = files.open_output_stream(f"{base}/.{name}")
                     writer = TableWriter(sink)
                     repeat = 0
@@ -202,25 +203,28 @@ def _writer(folder: str, vocabulary: str, end_id: int, file_tokens: int):
                     writer = None
         if writer is not None:
             close()
-        columns = list(zip(*done, strict=True)) if done else [[]] * 5
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["file", "low", "at", "entries", "tokens"])
+        columns = list(zip(*done, strict=True)) if done else [[]] * 6
+        kinds = [pa.string(), *[pa.int64()] * 5]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["file", "low", "tie", "at", "entries", "tokens"])
 
     return run
 
 
 def write_tables(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 1, folder: str | None = None, file_tokens: int = FILE_TOKENS) -> tuple[str, DataFrame]:
-    """Writes the files; returns their folder and one row per file: file, low, at, entries, tokens; key order is by (low, at).
+    """Writes the files; returns their folder and one row per file: file, low, tie, at, entries, tokens; key order is by (low, tie, at).
 
-    Files with the same lowest doc_id come from one task, which numbers its files.
+    Rows of one doc_id, or without one, are in order of a hash of their texts, and
+    may be spread over tasks; files that begin alike come from one task, which
+    numbers its files, or hold one text.
     """
     scratch = Scratch(spark)
     folder = folder or f"{scratch.path}/sst"
     files, base = open_fs(folder)
     files.create_dir(base, recursive=True)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
-    listed = ordered.mapInArrow(_writer(folder, vocabulary, end_id, file_tokens), "file string, low long, at long, entries long, tokens long")
+    order = [F.asc_nulls_first("doc_id"), F.asc("tie")]
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("tie")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    listed = ordered.mapInArrow(_writer(folder, vocabulary, end_id, file_tokens), "file string, low long, tie long, at long, entries long, tokens long")
     return folder, scratch.table(listed, "manifest")
 
 
@@ -253,20 +257,23 @@ def read_tables(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
 
     The window over the manifest orders files, not rows: about one row for 64 MB of ids.
     """
-    order = Window.orderBy(F.asc_nulls_first("low"), "at")
+    order = Window.orderBy(F.asc_nulls_first("low"), "tie", "at")
     starts = manifest.where("entries > 0").select("file", F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return starts.repartition(parts).mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
-def lookup(folder: str, manifest_rows: Iterable[tuple[str, int]], doc_id: int) -> list[np.ndarray]:
-    """The ids of one document: bisects the files' lowest keys, given as (file, low), then one file."""
-    rows = sorted(manifest_rows, key=lambda r: r[1])
+def lookup(folder: str, manifest_rows: Iterable[tuple[str, int | None]], doc_id: int | None) -> list[np.ndarray]:
+    """The ids of each row with this doc_id, or without one: bisects the files' lowest keys, given as (file, low), then the files that may hold it."""
+    rows = sorted(((key_of(low), name) for name, low in manifest_rows))
     files, base = open_fs(folder)
-    first = max(0, bisect_left([r[1] for r in rows], doc_id) - 1)
+    key = key_of(doc_id)
+    first = bisect_left(rows, (key,))
+    if first:  # the file that begins before the key, and others that begin like it
+        first = bisect_left(rows, (rows[first - 1][0],))
     found: list[np.ndarray] = []
-    for name, low in rows[first:]:
-        if low > doc_id:
+    for low, name in rows[first:]:
+        if low > key:
             break
         with files.open_input_file(f"{base}/{name}") as source:
             found += TableReader(source).get(doc_id)

@@ -18,12 +18,15 @@ and repeated groups `(...)+`. Wrappers are inferred by aligning streams:
    forms, scripts, styles or reader comments are no content.
 
 Extraction replays each page over its host's wrapper: a page's texts get the
-labels of the slots that they fall on. Among the slots of one page, those in an
-article count alone if there are any, else those in a main element, else all;
-pages of one host may differ in this. The text of an article or main element is
-content even where the host repeats it, and class words around one (layout
-names) void it only if the page has text in another. A host with fewer than
-three different pages has no template slots: there elements and classes decide.
+labels of the slots that they fall on, and the text on the slots that are left
+decides where the content is (`content_root`): in the articles, in the main
+element, or all over the page; pages of one host may differ in this. The text of
+an article or main element is content even where the host repeats it, and class
+words around one (layout names) void it only if the page has text in another. A
+header in an article goes as any header does, and readers' comments go with the
+articles in them. Class words on elements of running text (a span) void nothing.
+A host with fewer than three different pages has no template slots: there
+elements and classes decide.
 
 Cases: null or empty html gives empty text; a page without url or with an odd
 url belongs to host ''; unclosed and stray tags are tolerated, at any depth;
@@ -61,7 +64,12 @@ CLOSES = {"p": BLOCK, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "d
 BOILER_TAGS = frozenset({"nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "head", "title", "button", "select", "option", "textarea", "menu", "dialog", "input", "label", "fieldset", "svg", "canvas", "object", "xmp", "noframes"})
 BOILER_WORDS = frozenset("ad ads advert adverts advertisement advertising adslot banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer sidebar aside rail widget related recommended comment comments commentlist disqus reply replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social pagination pager toolbar toc hidden".split())
 BOILER_ROLES = frozenset({"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "note"})
-COMMENT_WORDS = frozenset({"comment", "comments"})
+#: What readers wrote: it is no content, articles in it included.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond responses response feedback discussion".split())
+#: Words that may stand beside those: "article-comments".
+_BESIDE = frozenset("article post posts thread form area section user reader".split())
+#: Elements of running text: a class word doesn't make them boilerplate.
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
 #: Words of a class or id that only say where or how a part stands: "site-header", "comment-list".
 PLAIN_WORDS = frozenset("site main global primary secondary top bottom left right upper lower inner outer box block area wrapper wrap container list item items link links section bar buttons button icons posts user reader".split())
 HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
@@ -71,25 +79,25 @@ TEMPLATE_PAGES, LCS_CELLS = 3, 40_000
 KEPT_TAGS = frozenset({"html", "body", "article", "main"})
 
 
-def _names(value: str, words: frozenset[str]) -> bool:
+def _names(value: str, words: frozenset[str], beside: frozenset[str] = frozenset()) -> bool:
     """Whether a class or id token is one of the words, or is made of them and of plain words.
 
     "has-sidebar" and "overflow-hidden" are layout: their other word is neither.
     """
     for token in value.split():
         parts = [w for w in re.split(r"[^a-z]+", token) if len(w) > 1]
-        if any(w in words for w in parts) and all(w in words or w in BOILER_WORDS or w in PLAIN_WORDS for w in parts):
+        if any(w in words for w in parts) and all(w in words or w in BOILER_WORDS or w in PLAIN_WORDS or w in beside for w in parts):
             return True
     return False
 
 
 def _kind(tag: str, attributes: str) -> str:
-    """The token's name: tag and class words; ! if it is boilerplate by its class, id or role or not shown, !! if by its tag."""
+    """The token's name: tag and class words; ! if it is boilerplate by its class, id or role or not shown, !! if by its tag or as readers' comments."""
     if tag in BOILER_TAGS:
         return f"{tag}!!"
     if not attributes:
         return tag
-    boiler, name = False, tag
+    boiler, comment, name = False, False, tag
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), html_lib.unescape(m[2] or m[3] or m[4] or "").lower()
         if key == "class":
@@ -97,17 +105,19 @@ def _kind(tag: str, attributes: str) -> str:
             name = ".".join([tag, *words[:3]])
         if tag in KEPT_TAGS and tag != "article":
             continue
-        if tag == "article":  # a reader's comment marked up as an article
-            boiler |= key in ("class", "id") and _names(value, COMMENT_WORDS)
-        elif key in ("class", "id"):
-            boiler |= _names(value, BOILER_WORDS)
+        if key in ("class", "id"):
+            if tag not in INLINE:
+                comment |= _names(value, COMMENT_WORDS, _BESIDE)
+                boiler |= tag != "article" and _names(value, BOILER_WORDS)
+        elif tag == "article":
+            continue
         elif key == "role":
             boiler |= value.strip() in BOILER_ROLES
         elif key == "style":
             boiler |= bool(_UNSEEN.search(value))
         else:
             boiler |= key == "hidden" and value.strip() != "false" or key == "aria-hidden" and value.strip() == "true"
-    return f"{name}!" if boiler else name
+    return f"{name}!!" if comment else f"{name}!" if boiler else name
 
 
 def tokens(source: str) -> Iterator[tuple[str, str, str]]:
@@ -410,12 +420,46 @@ def replay(page: Element, wrapper: list[Node]) -> Iterator[tuple[str, int]]:
         work += reversed(matched)
 
 
+def _articles(page: Element) -> int:
+    order = [page]
+    for element in order:
+        order += [k for k in element.kids if isinstance(k, Element)]
+    return sum(e.tag == "article" for e in order)
+
+
+def content_root(events: list[tuple[str, int]], articles: int) -> tuple[int, int]:
+    """The state and the root of a page's content: whose slots count.
+
+    The slots that the wrapper leaves, without templates and boilerplate, are weighed by
+    their text. Articles beside a main element that has none are teasers if the
+    average one of them has less text than it. Articles
+    count alone if they hold a quarter of the text of the main element around them,
+    or of the page; else, and without articles, the main element does, or all slots.
+    """
+    mass: dict[int, int] = {}
+    for text, bits in events:
+        if bits > 0 and (n := len("".join(text.split()))):
+            mass[bits] = mass.get(bits, 0) + n
+    for state in (CLEAN, SOFT):
+        total = sum(n for bits, n in mass.items() if bits & state)
+        main = sum(n for bits, n in mass.items() if bits & state and bits & MAIN)
+        inside = sum(n for bits, n in mass.items() if bits & state and bits & MAIN and bits & ARTICLE)
+        article = sum(n for bits, n in mass.items() if bits & state and bits & ARTICLE)
+        if main and not inside and main * max(1, articles) >= article or inside and 4 * inside < main:
+            return state, MAIN
+        if article and (state == SOFT or 4 * article >= (main if inside else total)):
+            return state, ARTICLE
+        if main:
+            return state, MAIN
+        if total and state == CLEAN and article:
+            return CLEAN, 0
+    return CLEAN, 0
+
+
 def main_text(page: Element, wrapper: list[Node]) -> str:
     """Blocks of the texts on content slots, white space in a block as one space."""
     events = list(replay(page, wrapper))
-    seen = {bits for text, bits in events if bits > 0 and text.strip()}
-    ways = [(CLEAN, ARTICLE), (CLEAN, MAIN), (SOFT, ARTICLE), (SOFT, MAIN), (CLEAN, 0)]
-    state, root = next(((s, r) for s, r in ways if any(bits & s and bits & r == r for bits in seen)), (CLEAN, 0))
+    state, root = content_root(events, _articles(page))
     found: list[str] = []
     now: list[str] = []
     for text, bits in [*events, ("", -1)]:
@@ -478,7 +522,7 @@ def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pages = {"1": tuple(range(TEMPLATE_PAGES)), "0": ()}
                 known[key] = label(read(key[0], [(0, 0, pages[c]) for c in key[1]]))
             texts.append(main_text(parse(source.as_py() or ""), known[key]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), batch.column(3)], ["page_id", "url", "text", "wrapper"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
 def host_of(url: str = "url") -> F.Column:
@@ -503,7 +547,7 @@ def infer_wrappers(scratch: Scratch, pages: DataFrame, group: int = 64) -> DataF
 
 
 def extract_main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, wrapper of every page."""
+    """page_id, url, text, n_chars of every page; infer_wrappers has the wrappers."""
     scratch = Scratch(spark)
     wrappers = scratch.table(infer_wrappers(scratch, pages), "wrappers")
     size = wrappers.agg(F.count("*"), F.sum(F.octet_length("shape") + F.octet_length("template"))).first()
@@ -513,5 +557,5 @@ def extract_main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     else:  # a large host's pages meet its wrapper in as many tasks as there are copies of it
         copies = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
         joined = source.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(64)).cast("int")).join(copies, ["host", "salt"], "left")
-    out = joined.select("page_id", "url", "html", "shape", "template").mapInArrow(_extract, "page_id long, url string, text string, wrapper string")
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "wrapper")
+    out = joined.select("page_id", "url", "html", "shape", "template").mapInArrow(_extract, "page_id long, url string, text string")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

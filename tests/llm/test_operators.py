@@ -685,3 +685,59 @@ def test_toxicity_cases(spark, docs, empty):
     held = {r.doc_id for r in score_toxicity(spark, docs, model).where("held_out").collect()}
     assert held == {i for i, _ in TEXTS if zlib.crc32(str(i).encode()) % 4 == 2}
     assert docs.select(F.col("doc_id")).count() == len(TEXTS)
+
+
+# Mended cases -----------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<main><div class="body"><h1>T</h1><p>long story text</p></div></main><section><article>teaser one</article><article>teaser two</article></section>', "T\n\nlong story text"),
+        ('<div class="body">' + "a story " * 20 + '</div><div class="cards"><article>teaser one</article></div>', "a story " * 19 + "a story\n\nteaser one"),
+        ('<article><p>story</p><section id="respond"><p>great post!</p></section><div class="user-feedback">first!</div></article>', "story"),
+        ('<article><p>story</p><ol class="responses"><li><article><p>nice</p></article></li></ol></article>', "story"),
+        ('<article><p>text about <span class="share">share</span> prices</p></article>', "text about share prices"),
+        ("<main><p>" + "much text " * 30 + "</p><article>teaser</article></main><p>x</p>", "much text " * 29 + "much text\n\nteaser"),
+        ('<article><header><h1>dropped</h1></header><p>kept</p></article><div class="trend">' + "x" * 10 + "</div>", "kept"),
+    ],
+)
+def test_content_root(page, text):
+    assert text_of(page) == text
+
+
+def test_token_tables_order_repeats(spark):
+    """Null and repeated ids are looked up, and start alike in any partitioning."""
+    rows = [(None, f"none {k}") for k in range(40)] + [(5, f"five {k % 9}") for k in range(60)] + [(7, None), (-3, "minus"), (0, "zero")]
+    found = []
+    for parts, seed in ((1, 0), (7, 1)):
+        random.Random(seed).shuffle(rows)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        folder, manifest = write_tables(spark, table(spark, rows).repartition(parts), WORD, file_tokens=30)
+        found.append([tuple(r)[:4] for r in read_tables(spark, folder, manifest).orderBy("start").collect()])
+        files = [(r.file, r.low) for r in manifest.collect()]
+        for i in (None, 5, 7, -3, 0):
+            assert sorted(x.tolist() for x in lookup(folder, files, i)) == sorted(ids_of(WORD, t, 1) for j, t in rows if j == i)
+        assert lookup(folder, files, 6) == [] and lookup(folder, [f for f in files if f[1] is not None], None) == []
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1] and [r[0] for r in found[0]] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert [r[1] for r in found[0]] == [sum(x[2] for x in found[0][:k]) for k in range(len(found[0]))]
+
+
+def test_only_confident_labels_are_taught(spark):
+    """A class that no row is likelier to have gets no row; the other gives those it has."""
+    rows = [(i, i, 0.5 + i / 1000, [1.0], [2.0]) for i in range(300)]
+    pool = spark.createDataFrame(rows, "doc_id long, row_key long, s double, text_view array<float>, meta_view array<float>")
+    got = _sure(pool, pool, "s", 0.5, 100).collect()
+    assert 40 <= len({r.doc_id for r in got}) <= 60 and min(r.doc_id for r in got) > 200
+    assert all(r.weight > 0.15 for r in got if r.y == 1)
+    few = pool.withColumn("s", F.when(F.col("doc_id") < 5, -1.0).otherwise(-F.lit(0.0)))
+    assert {r.doc_id for r in _sure(few, few, "s", 0.1, 100).collect()} >= set(range(5))
+
+
+def test_exact_dedup_with_a_map_column(spark):
+    rows = [(1, "a  b", {"k": 1}, "r", 0), (2, "a b", {"k": 2}, "r", 0), (3, None, None, None, None), (1, "a b", {"k": 3}, "q", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, row_key string, doc int")
+    kept = exact_dedup(spark, docs).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3] and kept[0].__fields__ == docs.columns
+    assert {tuple(r) for r in kept} <= {tuple(r) for r in docs.collect()} if all(r.m is None for r in kept) else len(kept) == 2

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from epilens.functions.text import listed, region_code
+from epilens.operators.phraseindex import needles_in
 from epilens.registry import query
 from epilens.sources.adapter import Tables, sql
 
@@ -16,37 +17,33 @@ def needles(catalogue: DataFrame) -> DataFrame:
     return catalogue.select("id", "name", F.posexplode(values).alias("pos", "needle")).withColumn("needle", F.lower(F.trim("needle")))
 
 
-def match(signals: DataFrame, catalogue: DataFrame, tag: str = "disease_tag", text: str = "text") -> DataFrame:
+def match(signals: DataFrame, catalogue: DataFrame, key: str, tag: str = "disease_tag", text: str = "text") -> DataFrame:
     """signals with disease_id and how: exact name, equal alias, or the longest needle in the text.
 
-    An alias equal to the tag wins at once, diseases in name order; among substrings the
-    longest wins, the first of equals. The catalogue is a small master table: its needles
-    are one literal array, so nothing is joined or shuffled.
+    A name or alias equal to the tag wins at once, diseases in name order; among substrings the longest wins, the first of
+    equals. Tags meet codes by equi-joins; needles are found by `needles_in`. `key` names a signal.
     """
-    rows = [r.asDict() for r in needles(catalogue).orderBy("name", "pos").collect()]
-    code = region_code(F.col(tag))
-    exact = alias = found = F.lit(None).cast("long")
-    for r in reversed([r for r in rows if r["pos"] == 0]):
-        exact = F.when((code != "") & (code == region_code(F.lit(r["name"]))), F.lit(r["id"])).otherwise(exact)
-    for r in reversed(rows):
-        alias = F.when((code != "") & (code == region_code(F.lit(r["needle"]))), F.lit(r["id"])).otherwise(alias)
-    hay = F.lower(F.concat_ws(" ", tag, text))
-    for r in sorted(enumerate(rows), key=lambda x: (len(x[1]["needle"]), -x[0])):
-        found = F.when(F.contains(hay, F.lit(r[1]["needle"])), F.lit(r[1]["id"])).otherwise(found)
-    how = F.when(exact.isNotNull(), "exact").when(alias.isNotNull(), "alias").when(found.isNotNull(), "text").otherwise("none")
-    return signals.withColumns({"disease_id": F.coalesce(exact, alias, found), "how": how})
+    n = needles(catalogue).where("needle <> ''").withColumn("code", region_code(F.col("needle")))
+    first = lambda rows, name: rows.where("code <> ''").groupBy(F.col("code").alias("_code")).agg(F.min_by("id", F.struct("name", "pos")).alias(name))
+    found = needles_in(signals, n, key, F.concat_ws(" ", tag, text))
+    order = F.struct((-F.length("needle")).alias("n"), "name", "pos")
+    found = found.join(n, "needle").groupBy(key).agg(F.min_by("id", order).alias("_found"))
+    x = signals.withColumn("_code", region_code(F.col(tag)))
+    x = x.join(first(n.where("pos = 0"), "_exact"), "_code", "left").join(first(n, "_alias"), "_code", "left").join(found, key, "left")
+    how = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_alias").isNotNull(), "alias").when(F.col("_found").isNotNull(), "text").otherwise("none")
+    return x.withColumns({"disease_id": F.coalesce("_exact", "_alias", "_found"), "how": how}).drop("_code", "_exact", "_alias", "_found")
 
 
 #: A catalogue whose needles occur in the test texts.
-TEST_ROWS = [(1, "Stupid", "idiot;scum"), (2, "Loser", "trash,worthless\nclown"), (3, "Moron", "pathetic"), (4, "Token", "license")]
-_CAT = "c(id, name, needle, o) AS (VALUES (1, 'Stupid', 'stupid', 6), (1, 'Stupid', 'idiot', 7), (1, 'Stupid', 'scum', 8), (2, 'Loser', 'loser', 1), (2, 'Loser', 'trash', 2), (2, 'Loser', 'worthless', 3), (2, 'Loser', 'clown', 4), (3, 'Moron', 'moron', 4.5), (3, 'Moron', 'pathetic', 5), (4, 'Token', 'token', 9), (4, 'Token', 'license', 10))"
+TEST_ROWS = [(1, "Stupid", "idiot;scum"), (2, "Loser", "trash,worthless\nclown"), (3, "Moron", "pathetic"), (4, "Token", "licen;# ;License, Version 2;. #"), (5, "Zulu", "the the;of")]
+_CAT = "c(id, name, needle, o) AS (VALUES (1, 'Stupid', 'stupid', 6), (1, 'Stupid', 'idiot', 7), (1, 'Stupid', 'scum', 8), (2, 'Loser', 'loser', 1), (2, 'Loser', 'trash', 2), (2, 'Loser', 'worthless', 3), (2, 'Loser', 'clown', 4), (3, 'Moron', 'moron', 4.5), (3, 'Moron', 'pathetic', 5), (4, 'Token', 'token', 9), (4, 'Token', 'licen', 10), (4, 'Token', '#', 11), (4, 'Token', 'license', 12), (4, 'Token', 'version 2', 13), (4, 'Token', '. #', 14), (5, 'Zulu', 'zulu', 15), (5, 'Zulu', 'the the', 16), (5, 'Zulu', 'of', 17))"
 
 
 @query("WITH " + _CAT + ", d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Moron' WHEN doc_id % 7 = 1 THEN 'CLOWN' ELSE '' END AS tag, text FROM documents), m AS (SELECT doc_id, CASE WHEN tag = 'Moron' THEN 3 WHEN tag = 'CLOWN' THEN 2 ELSE (SELECT first(id ORDER BY length(needle) DESC, o) FROM c WHERE contains(lower(text), needle)) END AS did, CASE WHEN tag = 'Moron' THEN 'exact' WHEN tag = 'CLOWN' THEN 'alias' END AS h FROM d) SELECT doc_id, CAST(did AS BIGINT) AS disease_id, coalesce(h, CASE WHEN did IS NULL THEN 'none' ELSE 'text' END) AS how FROM m")
 def disease_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     docs = t.raw("documents").withColumn("disease_tag", F.expr("case doc_id % 7 when 0 then 'Moron' when 1 then 'CLOWN' else '' end"))
-    return match(docs, spark.createDataFrame(TEST_ROWS, "id long, name string, aliases string")).select("doc_id", "disease_id", "how")
+    return match(docs, spark.createDataFrame(TEST_ROWS, "id long, name string, aliases string"), "doc_id").select("doc_id", "disease_id", "how")
 
 
 def crawl_queries(catalogue: DataFrame, per_disease: int = 4) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from epilens.functions.numeric import ladder
 from epilens.functions.text import resolver_key, search_text, strip_admin
+from epilens.operators.phraseindex import mentions
 from epilens.registry import query
 from epilens.sources.adapter import Tables, sql
 
@@ -112,27 +113,10 @@ def geocode_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy(geocode_status("p", "c").alias("status")).agg(F.count("*").alias("n"))
 
 
-#: First words of forms up to which they are tested in the texts, before words become rows.
-FEW_WORDS = 200
-
-
 def phrases(texts: DataFrame, forms_: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, form, location_id, priority, hits): forms that stand as whole words in the text.
-
-    Texts are cut into words once. Only places where a form's first word stands become rows; they are joined with the
-    forms on it, and the words that follow are compared, which is what a word-bounded search finds.
-    """
-    forms_ = forms_.withColumns({"first": F.element_at(F.split("form", " "), 1), "size": F.size(F.split("form", " "))})
-    firsts = [r[0] for r in forms_.select("first").distinct().limit(FEW_WORDS + 1).collect()]
-    longest = forms_.agg(F.max("size")).first()[0] or 0
-    words = texts.select(key, F.split(search_text(F.col(text)), " ").alias("w"))
-    if len(firsts) <= FEW_WORDS:
-        at = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.element_at("w", i).isin(firsts))
-    else:
-        at = F.sequence(F.lit(1), F.size("w"))
-    spots = words.select(key, F.explode(F.transform(at, lambda i: F.slice("w", i, F.lit(longest)))).alias("run")) if longest else words.select(key, F.col("w").alias("run")).limit(0)
-    met = spots.withColumn("first", F.element_at("run", 1)).join(forms_, "first").where(F.array_join(F.slice("run", F.lit(1), F.col("size")), " ") == F.col("form"))
-    return met.groupBy(key, "form", "location_id", "priority").agg(F.count("*").alias("hits"))
+    """(key, form, location_id, priority, hits): forms that stand as whole words in the text."""
+    counts = mentions(texts, forms_, key, text).groupBy(key, "form").agg(F.count("*").alias("hits"))
+    return counts.join(forms_, "form").select(key, "form", "location_id", "priority", "hits")
 
 
 #: Forms that occur in the test texts.

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epilens.functions.numeric import ladder
-from epilens.functions.text import first_of_each, region_code, resolver_key, squeeze
-from epilens.operators.gazetteer import PROVINCE_ALIASES, aliases, validity
-from epilens.operators.places import candidate_confidence
+from epilens.functions.text import first_of_each, region_code, resolver_key, search_text, squeeze
+from epilens.operators.gazetteer import JUNK, PROVINCE_ALIASES, RISK_WORDS, TOO_GENERAL, aliases, forms, validity
+from epilens.operators.phraseindex import leftmost_longest, mentions
+from epilens.operators.places import candidate_confidence, candidates
 from epilens.registry import query
 from epilens.sources.adapter import Tables, sql
 
@@ -153,35 +154,88 @@ def place_by_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).texts("documents").select("doc_id", pattern_place(F.col("text"), ["the", "of"], ["In", "The"], ["Is", "It"]).alias("place"))
 
 
-def place_of_text(hits: DataFrame, names: DataFrame, pattern: DataFrame, key: str) -> DataFrame:
-    """key, place, level, confidence: the gazetteer's best form, else the pattern's name at .55 unless it is no place.
+def candidate_hits(names: DataFrame, forms_: DataFrame, key: str) -> DataFrame:
+    """key, form: forms that equal a candidate name, stand in it, or that it stands in, word for word.
 
-    hits: key, location_id, priority, length and whether a candidate gave it (candidates decide alone if any hits).
+    names: key, name. Both directions are one phrase index each, over the distinct names.
     """
-    best = hits.groupBy(key).agg(F.max(F.struct(F.col("by_candidate").cast("int").alias("c"), "priority", "length", "location_id")).alias("b")).select(key, "b.location_id", "b.priority")
-    x = pattern.join(best, key, "left").join(names, "location_id", "left")
-    usable = (F.col("pattern") != "") & (validity("pattern") == "")
-    confidence = F.when(F.col("priority") >= 3, 0.9).when(F.col("priority").isNotNull(), 0.75).when(usable, 0.55).otherwise(0.0)
-    level = F.when(F.col("priority").isNotNull(), F.col("level")).when(usable, "unknown").otherwise("none")
-    return x.select(key, F.when(F.col("priority").isNotNull(), F.col("name")).when(usable, F.col("pattern")).otherwise("").alias("place"), level.alias("level"), confidence.alias("confidence"))
+    n = names.select(key, search_text(F.col("name")).alias("name")).where("name <> ''").distinct().persist()  # a few names a text, read by both indexes
+    known = n.select("name").distinct()
+    own = forms_.select("form").distinct()
+    inside = mentions(known, own, "name", "name").select("name", "form")
+    around = mentions(own.withColumnRenamed("form", "whole"), known, "whole", "whole", form="name").select(F.col("form").alias("name"), F.col("whole").alias("form"))
+    return n.join(inside.unionByName(around).distinct(), "name").select(key, "form").distinct()
+
 
+def text_place(texts: DataFrame, places: DataFrame, key: str, text: str, lead: str = "di", kinds: tuple[str, ...] = ("Kota", "Kabupaten", "Provinsi")) -> DataFrame:
+    """key, place, level, confidence, admin_province, admin_city of each text.
 
-@query(sql(r""", f AS (SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN n_nationkey WHEN 1 THEN 1000 + n_regionkey END AS g, event_id % 3 = 0 AS both_, CASE event_id % 5 WHEN 0 THEN 'Indonesia' WHEN 1 THEN '' WHEN 2 THEN 'Kasus Baru' ELSE 'Desa ' || n_name END AS pattern, n_regionkey FROM events JOIN nation ON n_nationkey = user_id % 25),
-h AS (SELECT id, CASE WHEN both_ AND g IS NOT NULL THEN 1000 + n_regionkey ELSE g END AS a, g FROM f), p AS (SELECT f.id, coalesce(h.a, NULL) AS loc, pattern FROM f JOIN h USING (id))
-SELECT p.id, CASE WHEN l.id IS NOT NULL THEN l.name WHEN pattern IN ('Indonesia', '', 'Kasus Baru') THEN '' ELSE pattern END AS place, CASE WHEN l.id IS NOT NULL THEN l.level WHEN pattern IN ('Indonesia', '', 'Kasus Baru') THEN 'none' ELSE 'unknown' END AS level, CAST(CASE WHEN l.level IN ('city', 'regency') THEN 0.9 WHEN l.id IS NOT NULL THEN 0.75 WHEN pattern IN ('Indonesia', '', 'Kasus Baru') THEN 0 ELSE 0.55 END AS DOUBLE) AS confidence FROM p LEFT JOIN location l ON l.id = loc"""))
+    Forms that meet a candidate name decide, else forms that stand in the text: the higher level, then the longer form,
+    then the place with the longest form, then the smallest id. A city or regency has .90, a province .75. Without any
+    the first name by pattern has .55, unless it is no place.
+    """
+    good = places.where("is_active and not is_false_positive")
+    known = forms(good).withColumn("length", F.length("form"))
+    known = known.join(known.groupBy("location_id").agg(F.max("length").alias("most")), "location_id")
+    rows = texts.select(key, F.col(text).alias("text"))
+    named = candidates(rows, "text", lead, kinds).select(key, F.explode_outer("names").alias("name")).where("name is not null")
+    hits = candidate_hits(named, known, key).withColumn("by_name", F.lit(1)).unionByName(mentions(rows, known, key, "text").select(key, "form").distinct().withColumn("by_name", F.lit(0)))
+    order = F.struct("by_name", "priority", "length", "most", (-F.col("location_id")).alias("o"), "location_id")
+    best = hits.join(known, "form").groupBy(key).agg(F.max(order).alias("b")).select(key, F.col("b.location_id").alias("location_id"))
+    parent = good.where("level = 'province'").select(F.col("id").alias("parent_id"), F.col("name").alias("parent"))
+    place = good.select(F.col("id").alias("location_id"), "name", "level", "parent_id").join(parent, "parent_id", "left").drop("parent_id")
+    x = rows.withColumn("pattern", pattern_place(F.col("text"), [lead], list(kinds))).drop("text").join(best, key, "left").join(place, "location_id", "left")
+    hit, province = F.col("location_id").isNotNull(), F.col("level") == "province"
+    usable = (F.col("pattern") != "") & (validity("pattern") == "")
+    admin_province, admin_city = F.when(~hit, "").when(province, F.col("name")).otherwise(F.coalesce("parent", F.lit(""))), F.when(hit & ~province, F.col("name")).otherwise("")
+    joined = F.when(hit & ~province & F.col("parent").isNotNull(), F.concat("name", F.lit(", "), "parent")).when(hit, F.col("name")).when(usable, F.col("pattern")).otherwise("")
+    return x.select(
+        key,
+        F.regexp_replace(squeeze(F.regexp_replace(joined, r"(?i)(?:,\s*indonesia)+\s*$", "")), "^[ ,]+|[ ,]+$", "").alias("place"),
+        F.when(hit, F.col("level")).when(usable, "unknown").otherwise("none").alias("level"),
+        F.when(hit & ~province, 0.9).when(hit, 0.75).when(usable, 0.55).otherwise(0.0).alias("confidence"),
+        admin_province.alias("admin_province"),
+        admin_city.alias("admin_city"),
+    )
+
+
+_NORM = "trim(regexp_replace(replace(lower({0}), '&', ' dan '), '[^a-z0-9]+', ' ', 'g'))"
+_G = f"""fr AS (SELECT id, name, level, parent_id, unnest(CASE level WHEN 'province' THEN ['', 'Provinsi ', 'Prov. '] WHEN 'city' THEN ['', 'Kota ', 'Kodya '] ELSE ['', 'Kabupaten ', 'Kab. '] END) || name AS alias FROM location WHERE id NOT IN (23, 24)),
+g AS (SELECT *, {_NORM.format('alias')} AS form, CASE level WHEN 'city' THEN 4 WHEN 'regency' THEN 3 ELSE 2 END AS priority FROM fr)"""
+_N4 = "[A-Z][A-Za-z0-9_-]+(?: [A-Z][A-Za-z0-9_-]+){0,4}"
+_NAMES = "flatten([" + ", ".join(f"regexp_extract_all(text, '{p}', 1)" for p in [*(rf"{_B}di +({k} {_N4})" for k in ("Kota", "Kabupaten")), rf"{_B}di +({_N4})", *(rf"{_B}({k} {_N4})" for k in ("Kota", "Kabupaten", "Provinsi"))]) + "])"
+_KINDS = "(?:Kota|Kabupaten|Provinsi)"
+_FALLBACK = "coalesce(" + ", ".join(f"nullif(regexp_extract(text, '{p}', 1), '')" for p in [rf"{_B}(?:di)\s+{_KINDS}\s+{_PN}", rf"{_B}(?:di)\s+{_PN}", rf"{_B}{_KINDS}\s+{_PN}"]) + ", '')"
+_VALID = " AND ".join(["pattern <> ''", "length(lower(pattern)) >= 4", "lower(pattern) NOT IN (" + ", ".join(f"'{w}'" for w in [*TOO_GENERAL, *JUNK]) + ")", *[f"NOT contains(lower(pattern), '{w}')" for w in RISK_WORDS], "length(lower(pattern)) - length(replace(lower(pattern), 'indonesia', '')) < 18"])
+
+
+@query(sql(f""", {_G}, t AS (SELECT doc_id, title || '. ' || content AS text FROM report), n AS (SELECT doc_id, text, ' ' || {_NORM.format('text')} || ' ' AS x FROM t),
+c AS (SELECT doc_id, {_NORM.format('c')} AS c FROM (SELECT doc_id, unnest({_NAMES}) AS c FROM t) WHERE length(trim(c)) >= 3),
+ch AS (SELECT doc_id, id, priority, length(form) AS n FROM (SELECT DISTINCT * FROM c WHERE c <> '') JOIN g ON contains(' ' || c || ' ', ' ' || form || ' ') OR contains(' ' || form || ' ', ' ' || c || ' ')),
+h AS (SELECT * FROM ch UNION ALL SELECT doc_id, id, priority, length(form) FROM n JOIN g ON contains(x, ' ' || form || ' ') WHERE doc_id NOT IN (SELECT doc_id FROM ch)),
+b AS (SELECT doc_id, arg_max(id, (priority, n, most, -id)) AS id FROM h JOIN (SELECT id, max(length(form)) AS most FROM g GROUP BY 1) USING (id) GROUP BY 1),
+f AS (SELECT doc_id, trim(regexp_replace(regexp_replace({_FALLBACK}, '^[ ,.;:()-]+|[ ,.;:()-]+$', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS f FROM t),
+k AS (SELECT doc_id, CASE WHEN length(f) >= 3 THEN trim(regexp_replace(f, '(?s){_B}(?:{'|'.join(CALENDAR)})(?:[^A-Za-z0-9_].*)?\\z', '')) ELSE '' END AS pattern FROM f),
+o AS (SELECT k.doc_id, l.name, l.level, p.name AS parent, {_VALID} AS usable, pattern FROM k LEFT JOIN b USING (doc_id) LEFT JOIN location l ON l.id = b.id LEFT JOIN location p ON p.id = l.parent_id)
+SELECT doc_id, trim(CASE WHEN name IS NULL THEN CASE WHEN usable THEN pattern ELSE '' END WHEN level = 'province' THEN name ELSE name || ', ' || parent END, ' ,') AS place, CASE WHEN name IS NOT NULL THEN level WHEN usable THEN 'unknown' ELSE 'none' END AS level,
+ CAST(CASE WHEN level = 'province' THEN 0.75 WHEN name IS NOT NULL THEN 0.9 WHEN usable THEN 0.55 ELSE 0 END AS DOUBLE) AS confidence, CASE WHEN name IS NULL THEN '' WHEN level = 'province' THEN name ELSE parent END AS admin_province, CASE WHEN level <> 'province' THEN name ELSE '' END AS admin_city FROM o"""))
 def text_to_place(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gazetteer hits of two kinds and patterns made into one place: a candidate's province beats a city that only the text holds."""
+    """Places of whole reports by candidate names, gazetteer forms and the pattern fallback."""
+    t = Tables(spark, sf_dir)
+    return text_place(t.report.select("doc_id", F.concat("title", F.lit(". "), "content").alias("text")), t.location, "doc_id", "text")
+
+
+_SPOTS = f"""{_G}, w AS (SELECT doc_id, string_split({_NORM.format("title || ' ' || content")}, ' ') AS w FROM report), s0 AS (SELECT w.doc_id, w, form, len(string_split(form, ' ')) AS n FROM w JOIN (SELECT DISTINCT form FROM g) ON contains(' ' || array_to_string(w, ' ') || ' ', ' ' || form || ' ')),
+s AS (SELECT doc_id, form, i - 1 AS s, i - 1 + n AS e FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM s0) WHERE array_to_string(list_slice(w, i, i + n - 1), ' ') = form),
+m AS (SELECT doc_id, s, max(e) AS e, arg_max(form, e) AS form FROM s GROUP BY ALL), x AS (SELECT m.doc_id, m.s, m.e, m.form, min(y.s) AS next FROM m LEFT JOIN m y ON y.doc_id = m.doc_id AND y.s >= m.e GROUP BY ALL)"""
+
+
+@query(sql(f", {_SPOTS}, r AS (WITH RECURSIVE k AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s) = 1 UNION ALL SELECT x.* FROM k JOIN x ON x.doc_id = k.doc_id AND x.s = k.next) SELECT * FROM k) SELECT doc_id, form, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\" FROM r"))
+def place_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where reports name places: leftmost-longest mentions, in words."""
     t = Tables(spark, sf_dir)
-    nation = t.raw("nation").select(F.col("n_nationkey").cast("long").alias("nk"), F.col("n_name").alias("nation"), (F.col("n_regionkey") + 1000).cast("long").alias("province"))
-    e = t.raw("events").withColumn("nk", F.col("user_id") % 25).join(nation, "nk").withColumn("id", F.col("event_id"))
-    g = F.expr("case id % 4 when 0 then nk when 1 then province end")
-    own = e.select("id", g.alias("location_id"), F.lit(False).alias("by_candidate")).where("location_id is not null")
-    more = e.where("id % 3 = 0 and id % 4 in (0, 1)").select("id", F.col("province").alias("location_id"), F.lit(True).alias("by_candidate"))
-    names = t.location.select(F.col("id").alias("location_id"), "name", "level")
-    priority = F.expr("case level when 'city' then 4 when 'regency' then 3 else 2 end")
-    hits = own.unionByName(more).join(names, "location_id").select("id", "location_id", "by_candidate", priority.alias("priority"), F.length("name").alias("length"))
-    pattern = e.select("id", F.expr("case id % 5 when 0 then 'Indonesia' when 1 then '' when 2 then 'Kasus Baru' else concat('Desa ', nation) end").alias("pattern"))
-    return place_of_text(hits, names, pattern, "id")
+    found = mentions(t.report, forms(t.location.where("is_active and not is_false_positive")), "doc_id", F.concat("title", F.lit(" "), "content"))
+    return leftmost_longest(found, "doc_id")
 
 
 def extractor_scores(found: DataFrame) -> DataFrame:
@@ -194,13 +248,28 @@ def extractor_scores(found: DataFrame) -> DataFrame:
     return best.select("id", F.col("b.display").alias("raw"), F.when(F.col("b.a") == 1, "alias_match").otherwise("location_match").alias("method"), F.when(F.col("b.a") == 1, 0.85).otherwise(0.8).alias("confidence"))
 
 
-@query(sql(", x AS (SELECT signal_id AS id, l.slot = 1 AS is_alias, level, CASE level WHEN 'city' THEN 'Kota ' WHEN 'regency' THEN 'Kabupaten ' ELSE '' END || name AS matched, name AS display FROM link l JOIN location ON location.id = location_id), p AS (SELECT *, CASE WHEN is_alias THEN 50 ELSE 40 END + CASE WHEN level <> 'province' THEN 20 ELSE 0 END + CASE WHEN length(CASE WHEN is_alias THEN matched ELSE display END) >= 8 THEN 5 ELSE 0 END AS points FROM x), b AS (SELECT id, arg_max(display, (points, length(display), is_alias, display)) AS raw, arg_max(is_alias, (points, length(display), is_alias, display)) AS a FROM p GROUP BY 1) SELECT id, raw, CASE WHEN a THEN 'alias_match' ELSE 'location_match' END AS method, CAST(CASE WHEN a THEN 0.85 ELSE 0.8 END AS DOUBLE) AS confidence FROM b"))
+def extracted_place(texts: DataFrame, places: DataFrame, key: str, text: str | Column) -> DataFrame:
+    """id, raw, method, confidence of every text with an active alias or name in it, word for word.
+
+    An administrative word before it changes nothing: the name stands there without it as well.
+    """
+    good = places.where("is_active and not is_false_positive").select(F.col("id").alias("location_id"), "level", F.col("name").alias("display"))
+    called = aliases(places).join(good, "location_id").select("location_id", "level", "display", F.col("alias").alias("matched"), F.col("normalized").alias("form"), F.lit(True).alias("is_alias"))
+    own = good.select("location_id", "level", "display", F.col("display").alias("matched"), search_text(F.col("display")).alias("form"), F.lit(False).alias("is_alias"))
+    known = called.unionByName(own)
+    found = mentions(texts, known, key, text).select(key, "form").distinct().join(known, "form")
+    return extractor_scores(found.withColumnRenamed(key, "id"))
+
+
+@query(sql(f""", {_G}, a AS (SELECT id, name AS display, level, form, alias AS matched, TRUE AS is_alias FROM g UNION ALL SELECT id, name, level, form, name, FALSE FROM g WHERE alias = name),
+t AS (SELECT doc_id, ' ' || {_NORM.format("title || ' ' || content")} || ' ' AS x FROM report), f AS (SELECT DISTINCT doc_id, a.* FROM t JOIN a ON contains(x, ' ' || form || ' ')),
+p AS (SELECT *, CASE WHEN is_alias THEN 50 ELSE 40 END + CASE WHEN level <> 'province' THEN 20 ELSE 0 END + CASE WHEN length(CASE WHEN is_alias THEN matched ELSE display END) >= 8 THEN 5 ELSE 0 END AS points FROM f),
+b AS (SELECT doc_id, arg_max(display, (points, length(display), is_alias, display)) AS raw, arg_max(is_alias, (points, length(display), is_alias, display)) AS a FROM p GROUP BY 1)
+SELECT doc_id AS id, raw, CASE WHEN a THEN 'alias_match' ELSE 'location_match' END AS method, CAST(CASE WHEN a THEN 0.85 ELSE 0.8 END AS DOUBLE) AS confidence FROM b"""))
 def place_extractor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of found aliases and names; here the links of signals, the first slot as aliases."""
+    """The best-scored alias or name in the title and content of reports."""
     t = Tables(spark, sf_dir)
-    place = t.location.select(F.col("id").alias("location_id"), "level", "name")
-    x = t.link.join(place, "location_id").select(F.col("signal_id").alias("id"), (F.col("slot") == 1).alias("is_alias"), "level", F.concat(F.expr("case level when 'city' then 'Kota ' when 'regency' then 'Kabupaten ' else '' end"), "name").alias("matched"), F.col("name").alias("display"))
-    return extractor_scores(x)
+    return extracted_place(t.report, t.location, "doc_id", F.concat("title", F.lit(" "), "content"))
 
 
 def resolve_fully(texts: DataFrame, places: DataFrame, names: DataFrame, text: str = "raw") -> DataFrame:

@@ -9,6 +9,7 @@ from epilens.functions.numeric import ladder, ratio2
 from epilens.functions.text import dedup_text, region_code, squeeze, truncate
 from epilens.operators.cluster import _KEY, cluster_rows, clusters
 from epilens.operators.placetext import _nicks, _nine, resolve_fully, without_prefix
+from epilens.operators.phraseindex import needles_in
 from epilens.registry import query
 from epilens.sources.adapter import AS_OF, Tables, r2, sql
 
@@ -335,26 +336,28 @@ def box_legends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Rules and settings of scoring as rows, as users keep them: kind, keyword, weight, active; a parameter of `rule_scores`.
-TEST_RULES = [("keyword", "idiot", 20, True), ("keyword", "license", 5, True), ("event", "scum", 30, True), ("keyword", "the", 50, False), ("event", "stupid", 15, True)]
+TEST_RULES = [("keyword", "idiot", 20, True), ("keyword", "licens", 5, True), ("event", "scum", 30, True), ("keyword", "the", 50, False), ("event", "stupid", 15, True), ("keyword", "# ", 3, True), ("event", " Apache License, Version 2", 4, True), ("keyword", "th", 1, True), ("keyword", "...", 2, True), ("event", "scum", 1, True), ("keyword", " ", 9, True)]
 TEST_SETTINGS = [("base_score", "10"), ("cap", "45"), ("broken", "many")]
 
 
 def rule_scores(texts: DataFrame, rules: DataFrame, settings: DataFrame, key: str, text: str) -> DataFrame:
     """key, points, matched: scores by a table of active rules and a table of settings.
 
-    Rules are a table as large as users make it: its rows meet the texts through the words they contain, and rules of
-    several words are tested after their first.
+    A rule holds where its keyword is anywhere in the text in lower case, also within a word. Rules are a table as large
+    as users make it: they meet the texts by `needles_in`, and no text is copied for a word.
     """
     value = lambda name, default: F.coalesce(F.max(F.when(F.col("name") == name, F.expr("try_cast(value as int)"))), F.lit(default))
-    base, cap = settings.agg(value("base_score", 0), value("cap", 100)).first()
-    active = rules.where("active").withColumns({"keyword": F.lower(F.trim("keyword"))}).where("keyword <> ''").withColumn("first", F.element_at(F.split("keyword", "[^a-z0-9]+"), 1))
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    words = texts.select(key, low.alias("low"), F.explode(F.array_distinct(F.split(low, "[^a-z0-9]+"))).alias("first"))
-    met = words.join(active, "first").where(F.contains("low", F.col("keyword"))).groupBy(key).agg(F.sum("weight").alias("w"), F.array_join(F.array_sort(F.collect_set("keyword")), "|").alias("matched"))
-    return texts.select(key).join(met, key, "left").select(key, F.least(F.lit(cap), F.lit(base) + F.coalesce("w", F.lit(0))).cast("long").alias("points"), F.coalesce("matched", F.lit("")).alias("matched"))
+    limits = settings.agg(value("base_score", 0).alias("base"), value("cap", 100).alias("cap"))
+    active = rules.where("active").withColumn("keyword", F.lower(F.trim("keyword"))).where("keyword <> ''")
+    hits = needles_in(texts, active, key, text, "keyword").withColumnRenamed("needle", "keyword")
+    by_word = active.groupBy("keyword").agg(F.sum("weight").alias("weight"))
+    met = hits.join(by_word, "keyword").groupBy(key).agg(F.sum("weight").alias("w"), F.array_join(F.array_sort(F.collect_set("keyword")), "|").alias("matched"))
+    # limits is one row.
+    out = texts.select(key).join(met, key, "left").crossJoin(F.broadcast(limits))
+    return out.select(key, F.least(F.col("cap"), F.col("base") + F.coalesce("w", F.lit(0))).cast("long").alias("points"), F.coalesce("matched", F.lit("")).alias("matched"))
 
 
-@query("WITH r(kind, k, w, a) AS (VALUES " + ", ".join(f"('{k}', '{w}', {n}, {a})" for k, w, n, a in TEST_RULES) + r"), m AS (SELECT doc_id, sum(w) AS w, string_agg(k, '|' ORDER BY k) AS matched FROM documents JOIN r ON a AND list_contains(string_split_regex(lower(text), '[^a-z0-9]+'), k) GROUP BY 1) SELECT doc_id, CAST(least(45, 10 + coalesce(w, 0)) AS BIGINT) AS points, coalesce(matched, '') AS matched FROM documents LEFT JOIN m USING (doc_id)")
+@query("WITH r(kind, k, w, a) AS (SELECT kind, lower(trim(k)), w, a FROM (VALUES " + ", ".join(f"('{k}', '{w}', {n}, {a})" for k, w, n, a in TEST_RULES) + r") v(kind, k, w, a) WHERE trim(k) <> ''), m AS (SELECT doc_id, sum(w) AS w, string_agg(DISTINCT k, '|' ORDER BY k) AS matched FROM documents JOIN r ON a AND contains(lower(text), k) GROUP BY 1) SELECT doc_id, CAST(least(45, 10 + coalesce(w, 0)) AS BIGINT) AS points, coalesce(matched, '') AS matched FROM documents LEFT JOIN m USING (doc_id)")
 def rule_table_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(TEST_RULES, "kind string, keyword string, weight long, active boolean")
     settings = spark.createDataFrame(TEST_SETTINGS, "name string, value string")

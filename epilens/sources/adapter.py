@@ -97,6 +97,18 @@ class Tables:
         ids = self.raw("events").select(F.col("event_id").alias("id"), (F.col("event_id") % n).alias("doc_id"))
         return ids.join(docs, "doc_id").select("id", F.substring(F.substring_index("content", "\n", 1), 1, 80).alias("title"), "content")
 
+    @cached_property
+    def report(self) -> DataFrame:
+        """doc_id, title, content: the documents as reports that name places, in several spellings and with traps."""
+        nation = self.raw("nation").select(F.col("n_nationkey").cast("long").alias("nk"), "n_name")
+        region = self.raw("region").select(F.col("r_regionkey").cast("long").alias("rk"), "r_name")
+        i = F.col("doc_id")
+        x = self.texts("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"nk": i * 7 % 25, "rk": i % 5, "nk2": i % 25})
+        x = x.join(nation, "nk").join(region, "rk").join(nation.select(F.col("nk").alias("nk2"), F.lower("n_name").alias("other")), "nk2")
+        title = "case doc_id % 6 when 0 then '' when 1 then concat('Kasus di Kota ', n_name, ' naik') when 2 then concat('Wabah: ', lower(n_name), '!') when 3 then concat('di Provinsi ', r_name, ' waspada') when 4 then concat('di ', split_part(n_name, ' ', 1), ' dan sekitarnya') else concat('x', n_name, 'y di Nowhere Land') end"
+        content = "concat(text, case doc_id % 4 when 0 then concat(' Laporan dari ', other, '.') when 1 then concat(' Kab. ', r_name) else '' end)"
+        return x.select("doc_id", F.expr(title).alias("title"), F.expr(content).alias("content"))
+
     @cached_property
     def link(self) -> DataFrame:
         """Places of signals: some primary, some doubly primary, some absent."""
@@ -173,6 +185,11 @@ WITH location AS (
   SELECT x.*, q.id AS province_id, q.name AS province FROM plink x JOIN location q ON q.id = CASE WHEN x.level = 'province' THEN x.location_id ELSE x.parent_id END AND q.level = 'province'
 ), article AS (
   SELECT event_id AS id, substr(split_part(text, chr(10), 1), 1, 80) AS title, text AS content FROM events JOIN documents ON doc_id = event_id % (SELECT count(*) FROM documents)
+), report AS (
+  SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'Kasus di Kota ' || a.n_name || ' naik' WHEN 2 THEN 'Wabah: ' || lower(a.n_name) || '!' WHEN 3 THEN 'di Provinsi ' || r_name || ' waspada'
+    WHEN 4 THEN 'di ' || split_part(a.n_name, ' ', 1) || ' dan sekitarnya' ELSE 'x' || a.n_name || 'y di Nowhere Land' END AS title,
+    coalesce(text, '') || CASE doc_id % 4 WHEN 0 THEN ' Laporan dari ' || lower(b.n_name) || '.' WHEN 1 THEN ' Kab. ' || r_name ELSE '' END AS content
+  FROM documents JOIN nation a ON a.n_nationkey = doc_id * 7 % 25 JOIN region ON r_regionkey = doc_id % 5 JOIN nation b ON b.n_nationkey = doc_id % 25
 )
 """
 

@@ -6,7 +6,10 @@ of the composed Latin letters; what is left of non-ASCII text is dropped.
 
 from __future__ import annotations
 
+import html
+import json
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,3 +133,34 @@ def first_of_each(rows: DataFrame, items: Column, key: Callable[[Column], Column
     rows = rows.withColumn("_keyed", F.transform(items, lambda x: F.struct(x.alias("item"), key(x).alias("key"))))
     first = F.filter("_keyed", lambda x, i: F.array_position(F.col("_keyed.key"), x["key"]) == i + 1)
     return rows.withColumn(name, F.transform(first, lambda x: x["item"])).drop("_keyed")
+
+
+#: Numbers below 256 whose reference is not the character of that code: controls and the Windows letters.
+_ODD_CODES = {str(i): html.unescape(f"&#{i};") for i in range(256) if html.unescape(f"&#{i};") != chr(i)}
+
+
+def unescape(c: Column) -> Column:
+    """The text with its character references decoded as HTML 5 says: all names, with and without semicolon, and numbers.
+
+    The standard's tables are two literal maps; a text is cut before each ampersand and only what follows one is looked up.
+    """
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    odd = F.from_json(F.lit(json.dumps(_ODD_CODES)), "map<string,string>")
+
+    def decoded(piece: Column) -> Column:
+        token = F.regexp_extract(piece, r"^&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)", 1)
+        rest = F.substring(piece, F.length(token) + 2, F.length(piece))
+        digits = F.regexp_replace(F.rtrim(token, F.lit(";")), "^#[xX]?0*", "")
+        is_hex = F.lower(F.substring(token, 2, 1)) == "x"
+        large = F.length(digits) > F.when(is_hex, 6).otherwise(7)
+        code = F.when(large, F.lit(1 << 30)).when(digits == "", F.lit(0)).otherwise(F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).cast("long"))
+        code = code.cast("long")
+        none = ((code >= 0xFDD0) & (code <= 0xFDEF)) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+        letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        number = F.when((code > 0x10FFFF) | ((code >= 0xD800) & (code <= 0xDFFF)), F.lit("\ufffd")).when(F.map_contains_key(odd, code.cast("string")), odd[code.cast("string")]).when(none, "").otherwise(letter)
+        # A name without its semicolon may have letters of the text behind it.
+        short = [F.when(F.length(token) > n, F.concat(names[F.left(token, F.lit(n))], F.substring(token, n + 1, 40))) for n in range(6, 1, -1)]
+        named = F.coalesce(names[token], *short, F.concat(F.lit("&"), token))
+        return F.when(token == "", piece).when(F.startswith(token, F.lit("#")), F.concat(number, rest)).otherwise(F.concat(named, rest))
+
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(F.split(c, "(?=&)"), decoded), "")).otherwise(c)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from epilens.functions.lexicon import any_of, any_sql
 from epilens.functions.numeric import ladder
-from epilens.functions.text import first_of_each, headline, numbers, sentences, squeeze
+from epilens.functions.text import first_of_each, headline, numbers, sentences, squeeze, unescape
 from epilens.operators.assess import QUESTIONS, SUMMARY_WORDS, first_sentence, summary
 from epilens.registry import query
 from epilens.sources.adapter import Tables, sql
@@ -20,12 +20,6 @@ ENTITIES = [("&nbsp;", " "), ("&#160;", " "), ("&quot;", '"'), ("&#39;", "'"), (
 _JSONLD = "array<struct<articleBody:string,description:string,headline:string,`@graph`:array<struct<articleBody:string,description:string,headline:string>>>>"
 
 
-def unescape(c: Column) -> Column:
-    for entity, plain in ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(plain))
-    return c
-
-
 def meta(html: Column, *names: str) -> Column:
     """The content of the first of the named meta elements that has one, property before name; ''."""
     tags = F.regexp_extract_all(html, F.lit(r"(?is)(<meta\s[^>]*>)"), 1)
@@ -52,12 +46,35 @@ def jsonld_text(html: Column) -> Column:
     return squeeze(F.array_join(F.filter(F.concat(said(items), said(graphs)), lambda t: t.isNotNull() & (t != "")), " "))
 
 
+def inside(pieces: Column, mark: str, limit: int) -> Column:
+    """The pieces of a page within the outermost of its first `limit` marked elements, each up to where it closes.
+
+    pieces: kind (element name, '' before the first), step (1 opens, -1 closes), mark and text. One fold keeps the kind
+    of the element that is open and how deep elements of that kind lie in it.
+    """
+    none = F.struct(F.lit("").alias("kind"), F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.array().cast("array<string>").alias("kept"))
+
+    def step(a: Column, x: Column) -> Column:
+        seen = a["seen"] + x[mark]
+        depth = a["depth"] + F.when(x["kind"] == a["kind"], x["step"]).otherwise(0)
+        state = lambda kind, depth, kept: F.struct(kind.alias("kind"), depth.alias("depth"), seen.alias("seen"), kept.alias("kept"))
+        still = state(a["kind"], depth, F.when(depth > 0, F.concat(a["kept"], F.array(x["text"]))).otherwise(a["kept"]))
+        opens = state(x["kind"], F.lit(1), F.concat(a["kept"], F.array(x["text"])))
+        return F.when(a["depth"] > 0, still).when((x[mark] == 1) & (a["seen"] < limit), opens).otherwise(state(a["kind"], F.lit(0), a["kept"]))
+
+    return F.array_join(F.aggregate(pieces, none, step, lambda a: a["kept"]), "")
+
+
+_PARTS = "div|main|section|article"
+_NAMED = rf"(?is)^<(?:div|main|section)\s[^>]*{{0}}=\"[^\"]*(?:{CONTAINERS})[^\"]*\""
+
+
 def with_article(rows: DataFrame, html: str, limit: int = 18000) -> DataFrame:
     """rows with title, description, canonical_url, jsonld, paragraphs and article_text (these in one, cut at limit characters) of the page.
 
-    Paragraphs are the paragraphs and list items of 35 characters and more of the article and of named containers,
-    boilerplate left out, each once by its first 140 characters. A container reaches to the end of the page and an
-    unclosed paragraph to the next one; a page without either is taken whole.
+    Paragraphs are the paragraphs and list items of 35 characters and more of the first article, then of the first six
+    containers named by class, then by id, each up to where it closes; boilerplate left out, each once by its first 140
+    characters. A page without any of these is taken whole. An unclosed paragraph ends at the next one.
     """
     page = F.col(html)
     x = rows.withColumns({"title": meta(page, "og:title", "twitter:title"), "description": meta(page, "og:description", "description", "twitter:description"), "canonical_url": canonical_url(page), "jsonld": jsonld_text(page)})
@@ -65,12 +82,17 @@ def with_article(rows: DataFrame, html: str, limit: int = 18000) -> DataFrame:
     for tag in DROPPED:
         clean = F.regexp_replace(clean, rf"(?is)<{tag}[ >].*?</{tag}>", " ")
     x = x.withColumn("_clean", clean)
-    x = x.withColumns({"_article": F.regexp_extract("_clean", r"(?is)<article[^>]*>(.*?)</article>", 1), "_container": F.regexp_extract("_clean", rf"(?is)<(?:div|main|section)\s[^>]*(?:class|id)=\"[^\"]*(?:{CONTAINERS})[^\"]*\"[^>]*>(.*)\z", 1)})
-    scope = F.when((F.col("_article") == "") & (F.col("_container") == ""), F.col("_clean")).otherwise(F.concat("_article", F.lit("</article>"), "_container"))
+    kind = lambda t: F.lower(F.regexp_extract(t, rf"(?i)^</?({_PARTS})[\s>/]", 1))
+    mark = lambda c, name: F.when(c, 1).otherwise(0).alias(name)
+    part = lambda t: F.struct(kind(t).alias("kind"), F.when(F.startswith(t, F.lit("</")), -1).otherwise(1).alias("step"), mark(t.rlike(r"(?i)^<article[\s>/]"), "article"), *(mark(t.rlike(_NAMED.format(a)), a) for a in ("class", "id")), t.alias("text"))
+    x = x.withColumn("_parts", F.transform(F.split("_clean", rf"(?i)(?=</?(?:{_PARTS})[\s>/])"), part))
+    x = x.withColumns({"_article": inside(F.col("_parts"), "article", 1), "_class": inside(F.col("_parts"), "class", 6), "_id": inside(F.col("_parts"), "id", 6)})
+    scopes = F.concat_ws("</article>", "_article", "_class", "_id")
+    scope = F.when((F.col("_article") == "") & (F.col("_class") == "") & (F.col("_id") == ""), F.col("_clean")).otherwise(scopes)
     x = x.withColumn("_pieces", F.split(scope, r"(?i)<(?:p|li)(?:\s[^>]*)?>"))
     text = lambda t: squeeze(unescape(F.regexp_replace(F.regexp_replace(t, r"(?is)</(?:p|li|article|div|section|main|ul|ol)>.*\z", ""), "<[^>]*>", " ")))
     kept = F.filter(F.transform(F.slice("_pieces", F.lit(2), F.size("_pieces")), text), lambda t: (F.length(t) >= 35) & ~any_of(F.lower(t), BOILERPLATE))
-    x = first_of_each(x, kept, lambda t: F.left(F.lower(t), F.lit(140)), "paragraphs").drop("_clean", "_article", "_container", "_pieces")
+    x = first_of_each(x, kept, lambda t: F.left(F.lower(t), F.lit(140)), "paragraphs").drop("_clean", "_parts", "_article", "_class", "_id", "_pieces")
     whole = squeeze(F.concat_ws(" ", "title", "description", "jsonld", F.array_join("paragraphs", " ")))
     return x.withColumn("article_text", F.left(whole, F.lit(limit)))
 
@@ -79,7 +101,8 @@ def with_article(rows: DataFrame, html: str, limit: int = 18000) -> DataFrame:
 _PAGE = """CASE page_id % 4
  WHEN 0 THEN '<meta property="og:title" content="Head ' || page_id || ' &amp; more"><meta name="description" content="A short text"><link rel="canonical" href="https://c.example/' || page_id || '"><script type="application/ld+json">{"@graph":[{"headline":"H' || page_id || '","articleBody":"Body of it"}],"description":"D"}</script>' || html
  WHEN 1 THEN '<script type="application/ld+json">[{"headline":"A"},{"description":"B"}]</script><script type="application/ld+json">broken {</script><meta name="twitter:title" content="T"><meta property="og:url" content="https://o.example/' || page_id || '">' || html
- WHEN 2 THEN replace(replace(html, '<article>', '<div class="story-body">'), '</article>', '</div>') ELSE html END"""
+ WHEN 2 THEN replace(replace(html, '<article>', '<DIV class="story-body"><div>'), '</article>', '</div></div><p>A paragraph after the container, which is long enough to count as one.</p>') || '<section id="news"><section><p>A second container by id, long enough to count as well &amp; more.</p></section></section><p>And once more text that is behind it, of some length.</p>'
+ ELSE '<main><div class="post"><p>A first post that is outside of the article and counts after it.</p></div></main>' || html END"""
 _SQUEEZE = r"trim(regexp_replace({0}, '[ \t\n\x0B\f\r]+', ' ', 'g'))"
 
 
@@ -100,12 +123,20 @@ def _dropped_sql(c: str) -> str:
     return c
 
 
+def _fold_sql(mark: str, limit: int) -> str:
+    depth = "a.d + CASE WHEN x.k = a.k THEN x.s ELSE 0 END"
+    state = lambda k, d, o: f"struct_pack(k := {k}, d := {d}, n := a.n + x.{mark}, o := {o})"
+    step = f"CASE WHEN a.d > 0 THEN {state('a.k', depth, f'CASE WHEN {depth} > 0 THEN list_append(a.o, x.t) ELSE a.o END')} WHEN x.{mark} = 1 AND a.n < {limit} THEN {state('x.k', '1', 'list_append(a.o, x.t)')} ELSE {state('a.k', '0', 'a.o')} END"
+    return f"array_to_string((list_reduce(parts, lambda a, x: {step}, struct_pack(k := '', d := 0, n := 0, o := CAST([] AS VARCHAR[])))).o, '')"
+
+
 _TEXT = _SQUEEZE.format(_unescape_sql(r"regexp_replace(regexp_replace(x, '(?is)</(?:p|li|article|div|section|main|ul|ol)>.*\z', ''), '<[^>]*>', ' ', 'g')"))
 
 
 @query(rf"""WITH p AS (SELECT page_id, {_PAGE} AS h FROM pages), t AS (SELECT page_id, h, regexp_extract_all(h, '(?is)<meta\s[^>]*>') AS tags, regexp_extract_all(h, '(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>', 1) AS scripts, {_dropped_sql('h')} AS c FROM p),
-s AS (SELECT *, regexp_extract(c, '(?is)<article[^>]*>(.*?)</article>', 1) AS a, regexp_extract(c, '(?is)<(?:div|main|section)\s[^>]*(?:class|id)="[^"]*(?:{CONTAINERS})[^"]*"[^>]*>(.*)\z', 1) AS b FROM t),
-k AS (SELECT *, list_filter(list_transform(string_split_regex(CASE WHEN a = '' AND b = '' THEN c ELSE a || '</article>' || b END, '(?i)<(?:p|li)(?:\s[^>]*)?>')[2:], lambda x: {_TEXT}), lambda t: length(t) >= 35 AND NOT {any_sql('lower(t)', BOILERPLATE)}) AS kept,
+y AS (SELECT *, list_transform(string_split(regexp_replace(c, '(?i)(</?(?:{_PARTS})[\s>/])', chr(1) || '\1', 'g'), chr(1)), lambda t: struct_pack(k := lower(regexp_extract(t, '(?i)^</?({_PARTS})[\s>/]', 1)), s := CASE WHEN starts_with(t, '</') THEN -1 ELSE 1 END, m0 := CAST(regexp_matches(t, '(?i)^<article[\s>/]') AS INTEGER), m1 := CAST(regexp_matches(t, '{_NAMED.format('class')}') AS INTEGER), m2 := CAST(regexp_matches(t, '{_NAMED.format('id')}') AS INTEGER), t := t)) AS parts FROM t),
+s AS (SELECT *, {_fold_sql('m0', 1)} AS a, {_fold_sql('m1', 6)} AS b1, {_fold_sql('m2', 6)} AS b2 FROM y),
+k AS (SELECT *, list_filter(list_transform(string_split_regex(CASE WHEN a = '' AND b1 = '' AND b2 = '' THEN c ELSE a || '</article>' || b1 || '</article>' || b2 END, '(?i)<(?:p|li)(?:\s[^>]*)?>')[2:], lambda x: {_TEXT}), lambda t: length(t) >= 35 AND NOT {any_sql('lower(t)', BOILERPLATE)}) AS kept,
   flatten(list_transform(list_filter(scripts, lambda s: json_valid(trim(s))), lambda s: CASE WHEN json_type(trim(s)) = 'ARRAY' THEN CAST(trim(s) AS JSON[]) ELSE [CAST(trim(s) AS JSON)] END)) AS items FROM s),
 j AS (SELECT *, list_filter(kept, lambda t, i: list_position(list_transform(kept, lambda y: left(lower(y), 140)), left(lower(t), 140)) = i) AS paras,
   list_concat(flatten(list_transform(items, lambda x: [x->>'$.articleBody', x->>'$.description', x->>'$.headline'])), flatten(list_transform(flatten(list_transform(items, lambda x: coalesce(CAST(x->'$."@graph"' AS JSON[]), []))), lambda x: [x->>'$.articleBody', x->>'$.description', x->>'$.headline']))) AS said FROM k),

@@ -106,9 +106,7 @@ def article_body(html: F.Column) -> F.Column:
     article = r"(?is)<article[^>]*>(.*?)</article>"
     scope = F.when(clean.rlike(article), F.regexp_extract(clean, article, 1)).otherwise(clean)
     inner = F.regexp_replace(scope, "<[^>]+>", " ")
-    for entity, plain in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        inner = F.replace(inner, F.lit(entity), F.lit(plain))
-    return T.squeeze(inner)
+    return T.squeeze(T.unescape(inner))
 
 
 @query(sql("SELECT id, md5(title) AS title, CASE WHEN contains(title, ' - ') THEN string_split(title, ' - ')[-1] ELSE '' END AS publisher, CASE WHEN length(content) > 5000 THEN length(regexp_replace(substr(content, 1, 5000), '" + _W + "+$', '')) + 25 ELSE length(content) END AS stored FROM article"))

@@ -1,5 +1,7 @@
 """Ladders at their boundaries, exact numbers, and invariants."""
 
+import random
+import re
 from fractions import Fraction
 
 import pytest
@@ -132,3 +134,79 @@ def test_snapshot_collects_at_most_three_members(spark):
 
     rows = spark.range(500).selectExpr("if(id % 2 = 0, 'a', 'b') as cluster_key", "struct(-id as a, id as b) as o", "concat('w', id) as w")
     assert {r.cluster_key: r.what for r in _first_three(rows, "w", "what").collect()} == {"a": "w498; w496; w494", "b": "w499; w497; w495"}
+
+
+def test_unescape_equals_the_standard(spark):
+    """All names with and without semicolon, decimal and hexadecimal numbers, and broken references."""
+    import html
+    from html.entities import html5
+
+    from epilens.functions.text import unescape
+
+    texts = [f"a&{n}b" for n in html5] + [f"&{n}" for n in html5] + [f"x&#{i};y" for i in [*range(300), 8364, 55296, 57343, 64976, 65534, 65535, 131070, 1114111, 1114112, 99999999999999999999]]
+    texts += ["&#x41;&#X41z&#x0;&#xD800;&#x10FFFF;&#x110000;&#x1F600;", "&#65 &#065;&#;&#x;&;&& &amp;amp; &nosuch; &notit; &AMP &amp", "plain", "", "&lt;p&gt;", "é&eacute;日&#26085;"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r.u for r in df.select("i", unescape(F.col("t")).alias("u")).orderBy("i").collect()]
+    assert got == [html.unescape(t) for t in texts]
+
+
+class _Scopes(__import__("html.parser", fromlist=["HTMLParser"]).HTMLParser):
+    """Texts of paragraphs and the scopes around them, by the standard parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.found, self.now = [], [], None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "p":
+            self.now = []
+        elif tag in ("div", "main", "section", "article"):
+            a = dict(attrs)
+            named = [k for k in ("class", "id") if tag != "article" and re.search("article|content|detail|post|entry|read|news|body|story", a.get(k) or "")]
+            self.stack.append((tag, "article" if tag == "article" else "".join(named[:1])))
+
+    def handle_endtag(self, tag):
+        if tag == "p" and self.now is not None:
+            self.found.append(("".join(self.now), [s for _, s in self.stack if s]))
+            self.now = None
+        elif any(t == tag for t, _ in self.stack):
+            while self.stack.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if self.now is not None:
+            self.now.append(data)
+
+
+def test_containers_end_where_they_close(spark):
+    """Random nesting of elements against a parser with a stack."""
+    from epilens.operators.articles import with_article
+
+    rng = random.Random(5)
+    pages = []
+    for k in range(40):
+        out, n = [], 0
+
+        def block(depth):
+            nonlocal n
+            for _ in range(rng.randint(1, 3)):
+                if depth < 4 and rng.random() < 0.6:
+                    tag = rng.choice(["div", "main", "section", "DIV"])
+                    name = rng.choice(["", "", ' class="story"', ' id="content"', ' class="menu"'])
+                    out.append(f"<{tag}{name}>")
+                    block(depth + 1)
+                    out.append(f"</{tag}>")
+                else:
+                    n += 1
+                    out.append(f"<p>Paragraph number {k}.{n} of a page with enough letters.</p>")
+
+        block(0)
+        pages.append((k, "".join(out)))
+    got = {r.i: r.paragraphs for r in with_article(spark.createDataFrame(pages, "i int, h string"), "h").collect()}
+    for k, page in pages:
+        p = _Scopes()
+        p.feed(page)
+        named = {kind: [t for t, s in p.found if kind in s] for kind in ("class", "id")}
+        few = page.count('class="story"') <= 6 and page.count('id="content"') <= 6
+        want = list(dict.fromkeys(named["class"] + named["id"])) or [t for t, _ in p.found]
+        assert not few or got[k] == want, page

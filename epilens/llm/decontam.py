@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epilens.llm.common import Scratch, row_key
-from epilens.llm.textbytes import ALNUM, LOWER, blocks, span_hash, words
+from epilens.llm.textbytes import ALNUM, LOWER, blocks, release, span_hash, words
 
 WINDOW = 13
 BENCHMARK_BLOCK = 2 << 20
@@ -284,6 +284,7 @@ def _search(queries, slop: int):
                     ],
                     ["row", "doc_id", "row_key", "n_words", "runs", "items", "near"],
                 )
+        release()
 
     return run
 

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from epilens.llm.common import BROADCAST_ROWS, Scratch, connected, keep_ids, row_key
-from epilens.llm.textbytes import LOWER, NOT_SPACE, blocks, mix, sequence_hash, span_hash, words
+from epilens.llm.textbytes import LOWER, NOT_SPACE, blocks, mix, release, sequence_hash, span_hash, words
 
 #: Hash cells: 16 for each document within these powers of two; one byte each when broadcast.
 CELL_BITS = (20, 22)
@@ -88,27 +88,17 @@ _INFO = "doc_id long, row_key long, n int, sig long, sig2 long, bits array<long>
 
 def _describe(width: int, bits: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, waiting, pending = np.zeros(1 << bits, np.uint32), [], 0
+        cells = np.zeros(1 << bits, np.uint32)
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
         names = [x.split()[0] for x in _INFO.split(", ")]
 
-        def count() -> None:
-            if waiting:
-                cells[:] += np.bincount((np.concatenate(waiting) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
-                waiting.clear()
-
         for batch, raw, bounds in blocks(batches):
             rows = []
             for doc_id, key, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(raw, bounds, width), strict=True):
                 a, b = signature(s)
                 rows.append((doc_id, key, len(s), a, b, parity_bitmap(s), None, None))
-                waiting.append(s)
-                pending += len(s)
-            if pending > 4 << 20:
-                count()
-                pending = 0
+                np.add.at(cells, (s >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-        count()
         for c, part in enumerate(cells.reshape(-1, 1 << CHUNK_BITS)):
             if part.any():
                 row = (None, None, None, None, None, None, c, zlib.compress(part.tobytes(), 1))
@@ -184,6 +174,7 @@ def _verify(percent: int):
                 union.append(len(x) + len(y) - both)
                 keep.append(100 * both >= percent * union[-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "both", "either"]).filter(pa.array(keep, pa.bool_()))
+        release(kept=False)
 
     return run
 

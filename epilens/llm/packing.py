@@ -72,7 +72,7 @@ def _encode_and_pack(vocabulary: str, end_id: int, capacity: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PartEncoder.of(vocabulary)
         doc, piece, start, length, crc = [], [], [], [], []
-        for batch, raw, bounds in blocks(batches, limit=BLOCK):
+        for batch, raw, bounds in blocks(batches, limit=BLOCK, keep=True):
             ids, at = encoder.encode(raw, bounds)
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
                 own = np.append(ids[at[i] : at[i + 1]], np.uint32(end_id)).astype("<u4")

@@ -187,7 +187,7 @@ def _writer(folder: str, vocabulary: str, end_id: int, file_tokens: int):
             files.move(f"{base}/.{name}", f"{base}/{name}")
             done.append((name, low, low_tie, len(done), writer.entries, writer.tokens))
 
-        for batch, raw, bounds in blocks(batches, limit=BLOCK):
+        for batch, raw, bounds in blocks(batches, limit=BLOCK, keep=True):
             ids, at = encoder.encode(raw, bounds)
             for i, (doc_id, tie) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 repeat = repeat + 1 if writer and doc_id == last else 0

@@ -6,13 +6,15 @@ size and find, hash and count words with numpy, with no Python loop per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
+_AT_ONCE = 1 << 17
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -68,8 +70,31 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches with at most limit bytes of text (or one row), their bytes and bounds."""
+#: What a process keeps over its tasks, as functions that let go of it.
+KEPT: list[Callable[[], None]] = []
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release(kept: bool = True) -> None:
+    """Gives memory that is free back to the system, which other processes of the executor need; what is kept as well."""
+    for let_go in KEPT if kept else []:
+        let_go()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES, keep: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches with at most limit bytes of text (or one row), their bytes and bounds.
+
+    A task with keep goes on with what its process kept; another one lets go of it.
+    """
+    release(kept=not keep)
+    yield from _blocks(batches, column, limit)
+    release(kept=False)
+
+
+def _blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -107,11 +132,20 @@ def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     if not len(starts):
         return np.zeros(0, np.uint64)
     lens = ends - starts
-    first = np.cumsum(lens) - lens
-    at = np.arange(int(lens.sum())) - np.repeat(first, lens)
-    with np.errstate(over="ignore"):
-        values = _BYTE[raw[at + np.repeat(starts, lens)]] * weights(int(lens.max()))[at]
-        return mix(np.add.reduceat(values, first) + lens.astype(np.uint64) * _GOLD)
+    after = np.cumsum(lens)
+    out = np.empty(len(starts), np.uint64)
+    w = weights(int(lens.max()))
+    i = 0
+    while i < len(starts):  # a few bytes at a time: each takes some 40 of memory meanwhile
+        j = max(i + 1, int(np.searchsorted(after, (after[i - 1] if i else 0) + _AT_ONCE, "right")))
+        n = lens[i:j]
+        first = np.cumsum(n) - n
+        at = np.arange(int(n.sum())) - np.repeat(first, n)
+        with np.errstate(over="ignore"):
+            values = _BYTE[raw[at + np.repeat(starts[i:j], n)]] * w[at]
+            out[i:j] = np.add.reduceat(values, first) + n.astype(np.uint64) * _GOLD
+        i = j
+    return mix(out)
 
 
 def prefix_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:

@@ -15,7 +15,7 @@ from itertools import chain
 
 import numpy as np
 
-from epilens.llm.textbytes import span_hash
+from epilens.llm.textbytes import KEPT, span_hash
 
 #: Distinct parts kept per process (about 50 bytes each); beyond it only those met again stay.
 CACHE_PARTS = 500_000
@@ -191,3 +191,6 @@ class PartEncoder:
     def _whole(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = [np.array(self.tokenizer.encode(raw[a:b].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         return np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+
+
+KEPT.append(PartEncoder._kept.clear)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 PACKAGE = Path(__file__).resolve().parents[1]
 #: Rows of an Arrow batch at most: texts may be long, and tasks hold several copies of a batch.
 BATCH_ROWS = 2_000
+#: Bytes of an Arrow batch at most: index segments and sets of shingles are large rows.
+BATCH_BYTES = 4 << 20
 #: Rows up to which a table of ids may be broadcast (16 MB of longs); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -69,8 +72,10 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        # Frames run after this returns, so these stay set in the session; a user's lower values stay too.
+        for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+            if not 0 < int(re.sub("[^0-9-].*", "", spark.conf.get(key))) <= most:
+                spark.conf.set(key, most)
         self.path = f"{shared_root(spark).rstrip('/')}/epilens-{uuid.uuid4().hex}"
         ship(spark)
         jvm = spark.sparkContext._jvm

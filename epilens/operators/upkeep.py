@@ -12,6 +12,7 @@ from epilens.operators.placetext import _nicks, _nine, resolve_fully, without_pr
 from epilens.operators.phraseindex import needles_in
 from epilens.registry import query
 from epilens.sources.adapter import AS_OF, Tables, r2, sql
+from epilens.sources.files import folder
 
 #: What an action needs and makes: the statuses it applies to (None: any), the new status, and approved_for_mapping (None: as it was).
 ACTIONS = {
@@ -88,12 +89,22 @@ def storage_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def get_or_create(known: DataFrame, names: DataFrame) -> DataFrame:
-    """name, id, created: known sources by name, then new ones numbered on in order of name."""
+    """name, id, created: known sources by name, then new ones numbered on in order of name.
+
+    New names are written in ranges, so that each range can be numbered by a task of its own, from the sizes of those before.
+    """
+    spark = known.sparkSession
+    path = folder(spark)
     new = names.where("name is not null and name <> ''").select("name").distinct().join(known, "name", "left_anti")
+    new.repartitionByRange("name").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    new = spark.read.schema("name string, part int").parquet(path)
+    # A row for each range: as many as shuffle partitions.
+    sizes = new.groupBy("part").agg(F.count("*").alias("n"))
     last = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    # One row for each new source; broadcasting the single row of the last number is bounded.
-    numbered = new.crossJoin(F.broadcast(last)).select("name", (F.row_number().over(Window.orderBy("name")) + F.col("last")).cast("long").alias("id"), F.lit(True).alias("created"))
-    return known.select("name", "id", F.lit(False).alias("created")).unionByName(numbered)
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("part", F.coalesce(before, F.lit(0)).alias("before")).withColumn("start", F.col("before") + last.scalar())
+    numbered = new.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("name"))).join(F.broadcast(starts), "part")
+    return known.select("name", "id", F.lit(False).alias("created")).unionByName(numbered.select("name", (F.col("k") + F.col("start")).cast("long").alias("id"), F.lit(True).alias("created")))
 
 
 @query(sql(", k AS (SELECT 'src' || i AS name, CAST(i AS BIGINT) AS id FROM range(0, 12) r(i)), n AS (SELECT DISTINCT source AS name FROM documents UNION SELECT 'Unknown' ), w AS (SELECT name FROM n WHERE name IS NOT NULL AND name <> '' AND name NOT IN (SELECT name FROM k)) SELECT name, id, FALSE AS created FROM k UNION ALL SELECT name, 11 + row_number() OVER (ORDER BY name), TRUE FROM w"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from epilens.functions.text import listed, region_code
+from epilens.functions.text import listed, region_code, squeeze
 from epilens.operators.phraseindex import needles_in
 from epilens.registry import query
-from epilens.sources.adapter import Tables, sql
+from epilens.sources.adapter import Tables
+from epilens.sources.files import folder
+from epilens.sources.masterdata import CATALOGUE_SQL, catalogue
 
 
 def needles(catalogue: DataFrame) -> DataFrame:
@@ -46,21 +48,57 @@ def disease_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match(docs, spark.createDataFrame(TEST_ROWS, "id long, name string, aliases string"), "doc_id").select("doc_id", "disease_id", "how")
 
 
-def crawl_queries(catalogue: DataFrame, per_disease: int = 4) -> DataFrame:
-    """Search terms: aliases, else the name; distinct over all diseases in any case, in name order, at most per_disease each."""
-    terms = F.when(F.size(listed("aliases")) > 0, listed("aliases")).otherwise(F.array("name"))
-    rows = catalogue.select("id", "name", F.posexplode(terms).alias("pos", "term")).withColumn("folded", F.lower("term"))
-    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("folded").orderBy("name", "pos"))).where("k = 1")
-    return first.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("pos"))).where(F.col("k") <= per_disease).select("id", "name", "term", F.col("k").cast("long").alias("k"))
+def crawl_queries(rows: DataFrame, per_disease: int = 4) -> DataFrame:
+    """name, term, k: search terms of active diseases, aliases and keywords, else the name; at most per_disease each.
 
-
-@query(sql(", a AS (SELECT id, name, unnest(list_filter(list_transform(string_split(replace(replace(aliases, ';', ','), chr(10), ','), ','), lambda x: trim(x)), lambda x: x <> '')) AS term, generate_subscripts(list_filter(list_transform(string_split(replace(replace(aliases, ';', ','), chr(10), ','), ','), lambda x: trim(x)), lambda x: x <> ''), 1) AS pos FROM disease) SELECT id, name, term, row_number() OVER (PARTITION BY id ORDER BY pos) AS k FROM a QUALIFY k <= 4"))
+    In name order each disease takes its first terms that none before it took, in any case; a term beyond its share stays
+    free. Found in rounds: a disease takes what no earlier one took in the round before, until a round changes nothing. After
+    r rounds the first r diseases are right, but a round is only needed where a term passes on, so a few do. Rows without a
+    name are passed over; names are unique.
+    """
+    spark = rows.sparkSession
+    listing = F.concat(*[listed(F.coalesce(c, F.lit(""))) for c in ("aliases", "keyword_id", "keyword_en")])
+    terms = F.when(F.size(listing) > 0, listing).otherwise(F.array("name"))
+    x = rows.where("is_active and name is not null").select("name", F.posexplode(F.transform(terms, squeeze)).alias("pos", "term")).where("term <> ''").withColumn("folded", F.lower("term"))
+    x = x.groupBy("name", "folded").agg(F.min(F.struct("pos", "term")).alias("t")).select("name", "folded", "t.*")
+    path, number, before = folder(spark), 0, None
+    x.write.parquet(f"{path}/terms")
+    x = spark.read.parquet(f"{path}/terms")
+    share = F.row_number().over(Window.partitionBy("name").orderBy("pos"))
+    while True:
+        free = x
+        if number:
+            first = spark.read.parquet(f"{path}/{number - 1}").groupBy("folded").agg(F.min("name").alias("by"))
+            free = x.join(first, "folded", "left").where("by is null or by >= name").drop("by")
+        free.withColumn("k", share).where(F.col("k") <= per_disease).write.parquet(f"{path}/{number}")
+        taken = spark.read.parquet(f"{path}/{number}")
+        now = taken.agg(F.count("*"), F.sum(F.xxhash64("name", "folded").cast("decimal(38,0)"))).first()
+        if now == before:
+            return taken.select("name", "term", F.col("k").cast("long").alias("k"))
+        number, before = number + 1, now
+
+
+_TERMS = CATALOGUE_SQL + """, a0 AS (SELECT name, list_filter(list_transform(string_split(replace(replace(aliases || ',' || keyword_id || ',' || keyword_en, ';', ','), chr(10), ','), ','), lambda x: trim(regexp_replace(x, '[ ]+', ' ', 'g'))), lambda x: x <> '') AS l FROM c WHERE is_active),
+a1 AS (SELECT name, CASE WHEN len(l) > 0 THEN l ELSE [name] END AS l FROM a0), a2 AS (SELECT name, unnest(l) AS term, generate_subscripts(l, 1) AS pos FROM a1), x AS MATERIALIZED (SELECT name, lower(term) AS folded, min(pos) AS pos, arg_min(term, pos) AS term FROM a2 GROUP BY ALL)"""
+#: Rounds that the SQL unrolls: more than the test tables need.
+_ROUNDS = 12
+
+
+def _rounds() -> str:
+    first = ", r0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY name ORDER BY pos) AS k FROM x QUALIFY k <= 4)"
+    step = ", r{1} AS MATERIALIZED (SELECT x.*, row_number() OVER (PARTITION BY x.name ORDER BY pos) AS k FROM x LEFT JOIN (SELECT folded, min(name) AS first FROM r{0} GROUP BY 1) USING (folded) WHERE first IS NULL OR first >= x.name QUALIFY k <= 4)"
+    return first + "".join(step.format(i, i + 1) for i in range(_ROUNDS))
+
+
+@query(_TERMS + _rounds() + f" SELECT name, term, k FROM r{_ROUNDS}")
 def disease_crawl_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl_queries(Tables(spark, sf_dir).disease)
+    return crawl_queries(catalogue(Tables(spark, sf_dir)))
+
+
+#: The labels of a disease, and when it has them, in order.
+LABELS = [("skdr_priority", "SKDR Priority"), ("report_24h", "Immediate 24h"), ("emerging_watchlist", "Emerging"), ("reemerging_watch", "Re-emerging Watch"), ("alert_rule = 'unknown_cluster' or disease_type = 'unknown_cluster'", "Unknown Cluster")]
 
 
-@query(sql("SELECT id, name, concat_ws('|', CASE WHEN skdr_priority THEN 'SKDR' END, CASE WHEN report_24h THEN '24H' END, CASE WHEN emerging_watchlist THEN 'EMERGING' END, CASE WHEN reemerging_watch THEN 'REEMERGING' END, CASE WHEN disease_type = 'unknown_cluster' THEN 'UNKNOWN' END) AS labels FROM disease"))
+@query(CATALOGUE_SQL + "SELECT name, concat_ws('|', " + ", ".join(f"CASE WHEN {c} THEN '{v}' END" for c, v in LABELS) + ") AS labels FROM c")
 def disease_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Tables(spark, sf_dir).disease
-    flags = [("skdr_priority", "SKDR"), ("report_24h", "24H"), ("emerging_watchlist", "EMERGING"), ("reemerging_watch", "REEMERGING"), ("disease_type = 'unknown_cluster'", "UNKNOWN")]
-    return d.select("id", "name", F.concat_ws("|", *[F.when(F.expr(c), F.lit(v)) for c, v in flags]).alias("labels"))
+    return catalogue(Tables(spark, sf_dir)).select("name", F.concat_ws("|", *[F.when(F.expr(c), F.lit(v)) for c, v in LABELS]).alias("labels"))

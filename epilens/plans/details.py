@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epilens.functions.numeric import ladder, ratio2
+from epilens.functions.text import region_code
 from epilens.operators.cluster import _KEY, cluster_rows
 from epilens.plans.alerts import Settings, disease_city
 from epilens.registry import query
 from epilens.sources.adapter import Tables, r2, sql
+from epilens.sources.masterdata import CATALOGUE_SQL, catalogue
 
 # Stored spellings of geocode statuses and their canonical form.
 STATUS_FORMS = {"OK": "ok", "MATCHED": "matched", "MANUAL": "manual", "GAZETTEER_ONLY": "gazetteer_only", "EMPTY_LOC": "empty_loc", "NOT_FOUND": "not_found", "NET_ERR": "net_err", "SKIP_LOW_CONF": "skip_low_conf", "SKIP_TOO_GENERAL": "skip_too_general", "PENDING": "pending"}
@@ -81,7 +85,42 @@ def province_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.where("level = 'province'").join(cities, "id", "left").select("id", "name", "province_code", F.coalesce("cities", F.lit(0)).alias("cities"), "city_names")
 
 
-@query(sql("SELECT count(*) AS total, count(*) FILTER (WHERE skdr_priority) AS priority, count(*) FILTER (WHERE report_24h) AS immediate, count(*) FILTER (WHERE emerging_watchlist) AS emerging, count(*) FILTER (WHERE reemerging_watch) AS reemerging FROM disease"))
+@query(CATALOGUE_SQL + "SELECT count(*) AS total, count(*) FILTER (WHERE skdr_priority AND is_active) AS priority, count(*) FILTER (WHERE report_24h AND is_active) AS immediate, count(*) FILTER (WHERE emerging_watchlist AND is_active) AS emerging, count(*) FILTER (WHERE reemerging_watch AND is_active) AS reemerging FROM c")
 def disease_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Tables(spark, sf_dir).disease
-    return d.agg(F.count("*").alias("total"), F.count_if("skdr_priority").alias("priority"), F.count_if("report_24h").alias("immediate"), F.count_if("emerging_watchlist").alias("emerging"), F.count_if("reemerging_watch").alias("reemerging"))
+    """All diseases of the catalogue, and the active ones of each class."""
+    active = lambda c, n: F.count_if(F.col(c) & F.col("is_active")).alias(n)
+    return catalogue(Tables(spark, sf_dir)).agg(F.count("*").alias("total"), active("skdr_priority", "priority"), active("report_24h", "immediate"), active("emerging_watchlist", "emerging"), active("reemerging_watch", "reemerging"))
+
+
+def disease_list(rows: DataFrame, q: str = "", classification: str = "", disease_type: str = "", alert_rule: str = "", is_active: str = "") -> DataFrame:
+    """The catalogue's list in name order: q is anywhere in a name, its code, aliases or keywords in any case; unknown classes
+    and flags filter nothing."""
+    from epilens.plans.lists import tri_state
+
+    flags = {"skdr": "skdr_priority", "24h": "report_24h", "emerging": "emerging_watchlist", "reemerging": "reemerging_watch"}
+    x = rows
+    if q.strip():
+        hay = [F.col("name"), region_code(F.col("name")), *map(F.col, ("aliases", "keyword_id", "keyword_en", "skdr_code"))]
+        found = [F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(q.strip().lower())) for c in hay]
+        x = x.where(reduce(lambda a, b: a | b, found))
+    x = x.where(F.col(flags[classification])) if classification in flags else x
+    x = x.where(F.col("disease_type") == disease_type) if disease_type else x
+    x = x.where(F.col("alert_rule") == alert_rule) if alert_rule else x
+    return tri_state(x, "is_active", is_active).orderBy("name")
+
+
+_LISTS = {
+    "text": (dict(q=" RING "), "contains(lower(name), 'ring') OR contains(lower(aliases), 'ring') OR contains(lower(keyword_id), 'ring') OR contains(lower(keyword_en), 'ring')"),
+    "code": (dict(q="blue_bolt"), "contains(replace(lower(name), ' ', '_'), 'blue_bolt')"),
+    "class": (dict(classification="24h", is_active="yes"), "report_24h AND is_active"),
+    "rule": (dict(alert_rule="unknown_cluster", disease_type="other", is_active="no"), "alert_rule = 'unknown_cluster' AND disease_type = 'other' AND NOT is_active"),
+    "any": (dict(classification="odd", is_active="any"), "TRUE"),
+}
+
+
+@query(CATALOGUE_SQL + " UNION ALL ".join(f"SELECT '{n}' AS list, name FROM c WHERE {where}" for n, (_, where) in _LISTS.items()))
+def disease_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue's list under several filters."""
+    rows = catalogue(Tables(spark, sf_dir))
+    parts = [disease_list(rows, **asked).select(F.lit(n).alias("list"), "name") for n, (asked, _) in _LISTS.items()]
+    return reduce(DataFrame.unionByName, parts)

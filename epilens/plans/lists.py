@@ -11,6 +11,7 @@ from epilens.plans.queue import page
 from epilens.plans.report import PLACED
 from epilens.registry import query
 from epilens.sources.adapter import AS_OF, Tables, r2, sql
+from epilens.sources.masterdata import CATALOGUE_SQL, catalogue
 
 _EMPTY = "coalesce(assessment_summary, '') = ''"
 _FAILED = "(assessment_status in ('failed', 'fallback') or coalesce(assessment_error, '') <> '')"
@@ -139,10 +140,10 @@ def tri_state(rows: DataFrame, flag: str, asked: str) -> DataFrame:
     return rows.where(F.col(flag)) if asked == "yes" else rows.where(~F.col(flag)) if asked == "no" else rows
 
 
-@query(sql("SELECT a AS asked, count(*) AS n, string_agg(name, '|' ORDER BY name) AS names FROM disease JOIN (VALUES ('yes'), ('no'), ('any')) v(a) ON a = 'any' OR (a = 'yes') = report_24h GROUP BY 1"))
+@query(CATALOGUE_SQL + "SELECT a AS asked, name FROM c JOIN (VALUES ('yes'), ('no'), ('any')) v(a) ON a = 'any' OR (a = 'yes') = report_24h")
 def flag_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Tables(spark, sf_dir).disease
-    parts = [tri_state(d, "report_24h", a).agg(F.lit(a).alias("asked"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("name")), "|").alias("names")) for a in ("yes", "no", "any")]
+    d = catalogue(Tables(spark, sf_dir))
+    parts = [tri_state(d, "report_24h", a).select(F.lit(a).alias("asked"), "name") for a in ("yes", "no", "any")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

@@ -14,9 +14,11 @@ from epilens.sources.masterdata import CATALOGUE_SQL, catalogue
 
 
 def needles(catalogue: DataFrame) -> DataFrame:
-    """(disease id, name, place in list, needle): name first, then the listed aliases, in order."""
-    values = F.concat(F.array(F.col("name")), listed(F.coalesce("aliases", F.lit(""))))
-    return catalogue.select("id", "name", F.posexplode(values).alias("pos", "needle")).withColumn("needle", F.lower(F.trim("needle")))
+    """(disease id, name, place in list, needle): name first, then the listed aliases and keywords, in order; of active diseases."""
+    lists = [c for c in ("aliases", "keyword_id", "keyword_en") if c in catalogue.columns]
+    values = F.concat(F.array(F.col("name")), *[listed(F.coalesce(c, F.lit(""))) for c in lists])
+    active = catalogue.where("is_active") if "is_active" in catalogue.columns else catalogue
+    return active.select("id", "name", F.posexplode(values).alias("pos", "needle")).withColumn("needle", F.lower(F.trim("needle")))
 
 
 def match(signals: DataFrame, catalogue: DataFrame, key: str, tag: str = "disease_tag", text: str = "text") -> DataFrame:
@@ -95,6 +97,21 @@ def disease_crawl_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl_queries(catalogue(Tables(spark, sf_dir)))
 
 
+@query("WITH RECURSIVE " + CATALOGUE_SQL[len("WITH "):] + """, n0 AS (SELECT name, list_concat([name], list_filter(list_transform(string_split(replace(replace(aliases || ',' || keyword_id || ',' || keyword_en, ';', ','), chr(10), ','), ','), lambda x: trim(x)), lambda x: x <> '')) AS l FROM c WHERE is_active AND (change IN ('created', 'updated') OR aliases = '')),
+n AS MATERIALIZED (SELECT name, pos, lower(trim(needle)) AS needle FROM (SELECT name, unnest(l) AS needle, generate_subscripts(l, 1) AS pos FROM n0)),
+d AS (SELECT doc_id, lower(text) AS h, CASE doc_id % 4 WHEN 0 THEN ' dbd' WHEN 1 THEN 'campak ' WHEN 2 THEN 'MERS-CoV' ELSE '' END AS tag, CASE doc_id % 5 WHEN 0 THEN ' kasus gigitan anthrax dan flu' WHEN 1 THEN ' Ebola Virus Disease' ELSE '' END AS more FROM documents),
+b AS (SELECT doc_id, first(name ORDER BY length(needle) DESC, name, pos) AS name FROM d JOIN n ON contains(lower(concat_ws(' ', tag, coalesce(h, '') || more)), needle) GROUP BY 1)
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Demam Dengue' WHEN 1 THEN 'Campak' WHEN 2 THEN 'MERS-CoV' ELSE b.name END AS disease, CASE doc_id % 4 WHEN 0 THEN 'alias' WHEN 1 THEN 'exact' WHEN 2 THEN 'exact' ELSE CASE WHEN b.name IS NULL THEN 'none' ELSE 'text' END END AS how FROM d LEFT JOIN b USING (doc_id)""")
+def seed_disease_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents matched to the seeded catalogue, without the parts that have aliases; most carry a tag, some a disease's name."""
+    t = Tables(spark, sf_dir)
+    rows = catalogue(t).where("change in ('created', 'updated') or aliases = ''").withColumn("id", F.col("name"))
+    tag = "case doc_id % 4 when 0 then ' dbd' when 1 then 'campak ' when 2 then 'MERS-CoV' else '' end"
+    text = "concat(coalesce(text, ''), case doc_id % 5 when 0 then ' kasus gigitan anthrax dan flu' when 1 then ' Ebola Virus Disease' else '' end)"
+    docs = t.texts("documents").select("doc_id", F.expr(tag).alias("disease_tag"), F.expr(text).alias("text"))
+    return match(docs, rows, "doc_id").select("doc_id", F.col("disease_id").alias("disease"), "how")
+
+
 #: The labels of a disease, and when it has them, in order.
 LABELS = [("skdr_priority", "SKDR Priority"), ("report_24h", "Immediate 24h"), ("emerging_watchlist", "Emerging"), ("reemerging_watch", "Re-emerging Watch"), ("alert_rule = 'unknown_cluster' or disease_type = 'unknown_cluster'", "Unknown Cluster")]
 

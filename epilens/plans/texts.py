@@ -91,6 +91,31 @@ def url_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).texts("pages").select("page_id", F.size(found).cast("long").alias("n"), F.md5(F.encode(F.array_join(found, " "), "UTF-8")).alias("urls"))
 
 
+#: What a link in raw markup, data or scripts looks like, whole or as a path with an article's number.
+RAW_URL = r"""https?://[^ \t\n\x0B\f\r"'<>\\]+"""
+RAW_PATH = r"/[a-zA-Z0-9-]+/[a-zA-Z0-9-]+/[0-9]{5,}/[a-zA-Z0-9-]+"
+
+
+def raw_urls(html: F.Column, base: F.Column) -> F.Column:
+    """Distinct links anywhere in raw markup: whole ones in order, then numbered paths at base's host. None in null or empty markup."""
+    text = F.coalesce(html, F.lit(""))
+    origin = F.regexp_extract(F.coalesce(base, F.lit("")), "^(https?://[^/?#]+)", 1)
+    paths = F.transform(F.regexp_extract_all(text, F.lit(RAW_PATH), 0), lambda p: F.concat(origin, p))
+    return F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(RAW_URL), 0), paths))
+
+
+_MARKED = "html || ' <script>{\"u\":\"/kota-' || page_id % 7 || '/sehat/' || 10000 + page_id || '/judul-x\",\"v\":\"/a/b/1234/no\"}</script>'"
+_RAW = "list_concat(regexp_extract_all(h, '" + RAW_URL.replace("'", "''") + "', 0), list_transform(regexp_extract_all(h, '" + RAW_PATH + "', 0), lambda p: regexp_extract(url, '^(https?://[^/?#]+)', 1) || p))"
+
+
+@query("SELECT page_id, CAST(len(u) AS BIGINT) AS n, md5(array_to_string(u, ' ')) AS urls FROM (SELECT page_id, list_filter(x, lambda v, i: list_position(x, v) = i) AS u FROM (SELECT page_id, " + _RAW + " AS x FROM (SELECT page_id, url, " + _MARKED + " AS h FROM pages)))")
+def url_harvest_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct links of a page's raw markup, with a script that holds numbered paths."""
+    marked = F.expr("concat(html, ' <script>{\"u\":\"/kota-', page_id % 7, '/sehat/', 10000 + page_id, '/judul-x\",\"v\":\"/a/b/1234/no\"}</script>')")
+    pages = Tables(spark, sf_dir).texts("pages").select("page_id", raw_urls(marked, F.col("url")).alias("u"))
+    return pages.select("page_id", F.size("u").cast("long").alias("n"), F.md5(F.encode(F.array_join("u", " "), "UTF-8")).alias("urls"))
+
+
 _ART = "regexp_extract(regexp_replace(html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g'), '(?is)<article[^>]*>(.*?)</article>', 1)"
 _PLAIN = r"replace(replace(replace(replace(regexp_replace(" + _ART + r", '<[^>]+>', ' ', 'g'), '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
 

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from epilens.functions.text import truncate
 from epilens.registry import query
 from epilens.sources.adapter import Tables, sql
 
@@ -97,10 +98,13 @@ def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Feed entries by (title, link), the first by position: title, link, summary without tags, published_at; entries without title or link go."""
+    """Feed entries by (title, link), the first by position: title, link, summary without tags, published_at; entries without title or link go.
+
+    Titles are cut at 220 characters and summaries at 320, as `truncate` does; titles that are equal once cut are one.
+    """
     back = spark.read.format("xml").schema("position long, title string, link string, description string, pubDate string").option("rowTag", "item").load(path)
     squeezed = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[ \t\n\x0B\f\r]+", " "))
-    items = back.select("position", squeezed("title").alias("title"), squeezed("link").alias("link"), F.trim(F.regexp_replace(squeezed("description"), "<[^>]*>", "")).alias("summary"), parse_instant(F.col("pubDate")).alias("published_at"))
+    items = back.select("position", truncate(squeezed("title"), 220).alias("title"), squeezed("link").alias("link"), truncate(F.trim(F.regexp_replace(squeezed("description"), "<[^>]*>", "")), 320).alias("summary"), parse_instant(F.col("pubDate")).alias("published_at"))
     return items.where("title <> '' and link <> ''").groupBy("title", "link").agg(F.min_by(F.struct("summary", "published_at"), "position").alias("e")).select("title", "link", "e.*")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType
 
 from epilens.functions.numeric import ladder
 from epilens.functions.text import title_text
-from epilens.operators.timeline import counted, numbered, previous
+from epilens.operators.timeline import around, counted, numbered, previous
 from epilens.registry import query
 from epilens.sources.adapter import Tables, sql
 
@@ -231,9 +231,7 @@ def dup_light(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many other signals share disease and raw place within three days: two counts along time, no pairs."""
     s = Tables(spark, sf_dir).signal.where("status <> 'noise' and disease_tag <> '' and raw_location_text <> ''")
     rows = s.select("id", F.lower("disease_tag").alias("d"), F.lower("raw_location_text").alias("p"), F.unix_seconds(F.col("published_at").cast("timestamp")).alias("at"))
-    edges = rows.select("d", "p", F.explode(F.array(F.struct(F.col("id"), F.lit(1).alias("sign"), (F.col("at") + 259200).alias("at")), F.struct(F.col("id"), F.lit(-1).alias("sign"), (F.col("at") - 259201).alias("at")))).alias("e"))
-    n = counted(rows, edges.select("d", "p", F.struct("e.id", "e.sign").alias("probe"), "e.at"), ["d", "p"])
-    return n.groupBy(F.col("probe.id").alias("id")).agg((F.sum(F.col("probe.sign") * F.col("n")) - 1).cast("long").alias("copies"))
+    return around(rows, ["d", "p"], 259200).select("id", (F.col("n") - 1).cast("long").alias("copies"))
 
 
 def place_profile(t: Tables) -> DataFrame:

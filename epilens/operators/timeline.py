@@ -37,6 +37,22 @@ def counted(rows: DataFrame, probes: DataFrame, keys: list[str], at: str = "at",
     return inside.join(before, [*keys, "stretch"]).select(*keys, "probe", at, (F.col("_in") + F.col("before")).alias("n"))
 
 
+def around(rows: DataFrame, keys: list[str], span: int, at: str = "at", width: int = 6 * WIDTH) -> DataFrame:
+    """id, n: how many rows of the keys lie within span seconds of each row (id, keys, at), itself included.
+
+    n is what lies up to the later end less what lies before the earlier one. A row and both of its ends are marks of one
+    table, so that a single ordered pass over a stretch counts both.
+    """
+    mark = lambda t, sign: F.struct(t.alias("t"), F.lit(sign).alias("sign"))
+    marks = F.explode(F.array(mark(F.col(at), 0), mark(F.col(at) + span, 1), mark(F.col(at) - span - 1, -1)))
+    x = rows.select("id", *keys, marks.alias("m")).select("id", *keys, "m.*").withColumn("stretch", F.floor(F.col("t") / width))
+    one = F.when(F.col("sign") == 0, 1).otherwise(0)
+    before = _offsets(x.groupBy(*keys, "stretch").agg(F.sum(one).alias("n")), keys)
+    w = Window.partitionBy(*keys, "stretch").orderBy("t", F.abs("sign")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = x.withColumn("_in", F.sum(one).over(w)).where("sign <> 0").join(before, [*keys, "stretch"])
+    return ends.groupBy("id").agg(F.sum(F.col("sign") * (F.col("_in") + F.col("before"))).alias("n"))
+
+
 def previous(rows: DataFrame, keys: list[str], order: list[str], value: F.Column, at: str = "at", width: int = WIDTH) -> DataFrame:
     """rows with before: value of the row before along order within the keys, null for the first."""
     x = rows.withColumns({"stretch": F.floor(F.col(at) / width), "_value": value})

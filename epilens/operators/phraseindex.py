@@ -64,20 +64,35 @@ def _pieces(c: Column) -> Column:
     return F.array_distinct(F.concat(*[F.when(F.length(c) >= n, of(n)).otherwise(F.array().cast("array<string>")) for n in range(1, PIECE + 1)]))
 
 
+#: Bytes up to which a table is broadcast; beyond, the optimiser joins it.
+BROADCAST_BYTES = 16 << 20
+
+
+def measured(df: DataFrame) -> DataFrame:
+    """df, kept and counted: marked for broadcasting where its texts and 64 bytes a row are at most BROADCAST_BYTES."""
+    df = df.persist()
+    texts = [F.octet_length(f.name) for f in df.schema if f.dataType.simpleString() == "string"]
+    size = df.agg(F.sum(sum(texts, F.lit(64)))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def needles_in(texts: DataFrame, needles: DataFrame, key: str, text: str | Column, needle: str = "needle") -> DataFrame:
     """key, needle: each needle that is somewhere in the lower-cased text, also within words, once a text.
 
     A needle's longest token lies within one token of a text that has the needle. The distinct tokens of all texts are met
     with these on a piece of up to PIECE characters, so that work goes with the vocabulary; needles of several tokens are
-    then looked for in the texts that have their token.
+    then looked for in the texts that have their token. Needles, and the tokens that hold some, are measured: while they are
+    few, neither the vocabulary's pieces nor the texts' tokens are dealt by them.
     """
     low = F.lower(F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit("")))
     n = needles.select(F.col(needle).alias("needle")).where("trim(needle) <> ''").distinct().withColumn("tokens", _tokens(F.col("needle")))
     longest = F.array_max(F.transform("tokens", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
     n = n.withColumn("anchor", longest).where("anchor is not null").withColumn("piece", F.left("anchor", F.lit(PIECE))).drop("tokens")
+    n = measured(n)
     pairs = texts.select(key, F.explode_outer(F.array_distinct(_tokens(low))).alias("token"))
     vocabulary = pairs.select("token").distinct().withColumn("piece", F.explode_outer(_pieces(F.col("token"))))
-    holds = vocabulary.join(n, "piece").where(F.contains("token", F.col("anchor"))).select("token", "needle", (F.col("anchor") == F.col("needle")).alias("whole"))
+    holds = vocabulary.join(n, "piece").where(F.contains("token", F.col("anchor"))).select("token", "needle", (F.col("anchor") == F.col("needle")).alias("whole")).distinct()
+    holds = measured(holds)
     met = pairs.join(holds, "token").select(key, "needle", "whole").distinct()
     rest = met.where("not whole").join(texts.select(key, low.alias("low")), key).where(F.contains("low", F.col("needle")))
     return met.where("whole").select(key, "needle").unionByName(rest.select(key, "needle")).distinct()

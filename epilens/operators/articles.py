@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from epilens.functions.lexicon import any_of, any_sql
 from epilens.functions.numeric import ladder
-from epilens.functions.text import first_of_each, headline, numbers, sentences, squeeze, unescape
+from epilens.functions.text import WS, first_of_each, headline, numbers, single_spaced, squeeze, unescape
 from epilens.operators.assess import QUESTIONS, SUMMARY_WORDS, first_sentence, summary
 from epilens.registry import query
 from epilens.sources.adapter import Tables, sql
@@ -176,14 +176,16 @@ def assess(rows: DataFrame) -> DataFrame:
     """key, status, quality, summary, the six answers, numbers and error of each signal.
 
     rows: key, title, content, fetched (text of its page; null or '' if the fetch failed), fetch_error, trusted,
-    published_at, place. A fetched text is used unless it is only a fallback; else the stored content is. A source
-    that is only a fallback gives the low form; no source at all is a failure.
+    published_at, place. A fetched text is used unless it is only a fallback; else the stored content is, up to the
+    space that it may have been cut after. A source that is only a fallback gives the low form; no source at all is a
+    failure.
     """
     fetched = F.coalesce(squeeze(F.col("fetched")), F.lit(""))
     good = (fetched != "") & (~is_fallback(fetched, F.col("title"), F.lit(False)) | (F.col("trusted") & (F.length(fetched) >= 250)))
-    source = F.when(good, fetched).otherwise(F.coalesce(F.nullif(squeeze(F.col("content")), F.lit("")), squeeze(F.col("title")), F.lit("")))
+    stored = F.ltrim(F.regexp_replace("content", f"{WS}+", " "))
+    source = F.when(good, fetched).otherwise(F.coalesce(F.nullif(stored, F.lit("")), squeeze(F.col("title")), F.lit("")))
     x = rows.withColumns({"_good": good, "_source": source})
-    x = x.withColumns({"_low": is_fallback(F.col("_source"), F.col("title"), F.col("trusted")), "_found": sentences(F.col("_source"))})
+    x = x.withColumns({"_low": is_fallback(F.col("_source"), F.col("title"), F.col("trusted")), "_found": single_spaced(F.col("_source"))})
     x = x.withColumn("_s", F.when(F.size("_found") > 0, F.col("_found")).otherwise(F.array("title")))
     at = F.date_format("published_at", "yyyy-MM-dd HH:mm")
     default = {"when": at, "where": F.coalesce(F.nullif(F.col("place"), F.lit("")), F.lit(UNCLEAR))}

@@ -40,3 +40,12 @@ def test_article_text_keeps_broken_references(both):
     html = ["<article>one&amp; two &amp</article>", "<article>a &lt;b&gt; &quot;c&quot; &amp;lt; &middot; &copy</article>"]
     got, want = both("article_text", pages=([(i, f"u{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string"))
     assert got == want
+
+
+def test_assessment_of_a_text_cut_after_a_space(both):
+    """The stored content ends in a space at its 300th character, which belongs to its last sentence."""
+    first, last = "Short title here.", "the last one with "
+    texts = {12: f"{first} {'w' * (298 - len(first) - len(last))} {last}and more" + " more" * 20, 24: f"{first} Of the. the scum with  it"}
+    assert texts[12][299] == " "
+    got, want = both("assessment", documents=(list(texts.items()), "doc_id long, text string"))
+    assert got == want

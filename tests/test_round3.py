@@ -49,3 +49,12 @@ def test_assessment_of_a_text_cut_after_a_space(both):
     assert texts[12][299] == " "
     got, want = both("assessment", documents=(list(texts.items()), "doc_id long, text string"))
     assert got == want
+
+
+def test_dup_light_rounds_to_the_nearest_second(both):
+    """Three days apart but for parts of a second, before and after the half."""
+    start, parts = datetime(2024, 1, 5), (0, 499_999, 500_000, 500_001, 999_999)
+    times = [start + timedelta(days=d, seconds=s, microseconds=p) for d in (0, 3) for s in (0, 1) for p in parts]
+    rows = [(10 * i + 1, ts, 3, "view", 5.0, '{"k": 1}') for i, ts in enumerate(times) if (10 * i + 1) % 9]
+    got, want = both("dup_light", events=(rows, EVENTS), documents=([(0, "t")], "doc_id long, text string"), region=([(0, "R")], "r_regionkey int, r_name string"), nation=([(0, "N", 0)], "n_nationkey int, n_name string, n_regionkey int"))
+    assert got == want and len(got) > 10

@@ -63,9 +63,10 @@ TEST_LOW = ["license", "pathetic"]
 def triage_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     flags = t.disease.select(F.lower("name").alias("folded"), "report_24h", "emerging_watchlist")
-    s = with_place(t, t.signal).withColumn("folded", F.lower("disease_tag")).join(flags, "folded", "left").join(t.article, "id")
     text = F.lower(F.concat_ws(" ", "title", "content"))
-    x = s.select("id", F.col("threat_score").alias("s"), confidence().alias("c"), (F.col("disease_tag") != "").alias("d"), F.col("placed").alias("p"), any_of(text, LOW_WORDS + TEST_LOW).alias("low"), F.coalesce("report_24h", F.lit(False)).alias("report_24h"), F.coalesce("emerging_watchlist", F.lit(False)).alias("emerging_watchlist"))
+    low = t.articles(any_of(text, LOW_WORDS + TEST_LOW).alias("low"))
+    s = with_place(t, t.signal).withColumn("folded", F.lower("disease_tag")).join(flags, "folded", "left").join(low, "id")
+    x = s.select("id", F.col("threat_score").alias("s"), confidence().alias("c"), (F.col("disease_tag") != "").alias("d"), F.col("placed").alias("p"), "low", F.coalesce("report_24h", F.lit(False)).alias("report_24h"), F.coalesce("emerging_watchlist", F.lit(False)).alias("emerging_watchlist"))
     priority, recommendation = triage()
     return x.select("id", F.col("c").alias("confidence"), priority.alias("priority"), recommendation.alias("recommendation"))
 
@@ -75,7 +76,7 @@ def escalation_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals by status whose text has escalation words and low-value words."""
     t = Tables(spark, sf_dir)
     x = F.lower(F.concat_ws(" ", "title", "content"))
-    w = t.article.select("id", any_of(x, [*HIGH_WORDS, "idiot", "scum"]).alias("h"), any_of(x, LOW_WORDS + TEST_LOW).alias("l")).join(t.signal.select("id", "status"), "id")
+    w = t.articles(any_of(x, [*HIGH_WORDS, "idiot", "scum"]).alias("h"), any_of(x, LOW_WORDS + TEST_LOW).alias("l")).join(t.signal.select("id", "status"), "id")
     return w.groupBy("status").agg(F.count("*").alias("n"), F.count_if("h").alias("high"), F.count_if("l").alias("low"), F.count_if(F.col("h") & F.col("l")).alias("both_kinds"))
 
 

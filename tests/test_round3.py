@@ -66,3 +66,12 @@ def test_no_text_travels_with_an_event(spark, name):
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
     joins = [i for i, line in enumerate(plan) if "Join Inner" in line and "doc_id" in line]
     assert joins and not any("text#" in line or "content#" in line for line in plan[: max(joins) + 1])
+
+
+def test_normalisers_match_gaps_once(spark, both):
+    """Runs of marks, all white space, neighbouring administrative words; and one pattern for a gap, not one for each character of it."""
+    texts = ["  \t a  b\n\n c \x0b\f\r d ", "provinsi provinsi jawa", "x_provinsi,provinsi", "Érd / ÀÉ--_ é..", "https://a.b/c?d e--f https://", "", " ", "\n", "a \n b", "KAB. x; Prov y - z", "ab é c'd", "..-- --.."]
+    got, want = both("text_normalize", documents=([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert got == want
+    plan = catalog.QUERIES["text_normalize"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "[^a-z0-9]+" in plan and r"[^a-z0-9 \t\n\x0B\f\r]," not in plan

@@ -1,5 +1,6 @@
 """Queries against their SQL on rows made for the purpose."""
 
+import re
 from datetime import datetime, timedelta
 
 import duckdb
@@ -75,3 +76,13 @@ def test_normalisers_match_gaps_once(spark, both):
     assert got == want
     plan = catalog.QUERIES["text_normalize"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "[^a-z0-9]+" in plan and r"[^a-z0-9 \t\n\x0B\f\r]," not in plan
+
+
+@pytest.mark.parametrize("name", ["place_candidates", "place_names_in_text", "place_by_pattern"])
+def test_names_begin_where_no_word_character_stands(spark, both, name):
+    """Names that begin a text, follow each other or odd characters; the place before a word is looked at, not matched."""
+    texts = ["the The Foo-", "the Foo-the Bar the Baz", "The A1b Of C2d-Of E3f The'G", "😀the Foo xthe Bar _the Baz 9The Foo \u00e9The Foo -The Foo", "the  Foo the\nBar", "and Of The In Foo-Bar Is Ab", "\nThe Foo, Of Bar. The Foo's Of It", "of The Xy' In Zz` For Q-- the R", "Of Of Of The The In In Ab Cd Ef Gh Ij Kl Mn", "the", "", "The The"]
+    got, want = both(name, documents=([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert got == want
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?<![A-Za-z0-9_])" in plan and not re.search(r"regexp_extract[^ ]*\(text#\d+, \(\?:\^", plan)

@@ -137,7 +137,7 @@ def pattern_place(text: Column, leads: list[str], kinds: list[str], calendar: li
     """The first capitalised name after lead and administrative word, after a lead word, or after an administrative word; cut at a calendar word, '' below three characters."""
     name = r"([A-Z][A-Za-z0-9_.-]+(?:\s+[A-Z][A-Za-z0-9_.-]+){0,4})"
     lead, kind = "|".join(leads), "|".join(kinds)
-    patterns = [rf"{_B}(?:{lead})\s+(?:{kind})\s+{name}", rf"{_B}(?:{lead})\s+{name}", rf"{_B}(?:{kind})\s+{name}"]
+    patterns = [rf"{WORD_START}(?:{lead})\s+(?:{kind})\s+{name}", rf"{WORD_START}(?:{lead})\s+{name}", rf"{WORD_START}(?:{kind})\s+{name}"]
     found = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns], F.lit(""))
     found = squeeze(F.regexp_replace(found, "^[ ,.;:()-]+|[ ,.;:()-]+$", ""))
     cut = F.trim(F.regexp_replace(found, rf"(?s){_B}(?:{'|'.join(calendar)})(?:[^A-Za-z0-9_].*)?\z", ""))

@@ -121,5 +121,5 @@ def signal_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     x = t.signal.join(t.article.select("id", "title"), "id")
     title = F.expr("if(id % 2 = 0, concat('>> ', title, '  !'), concat(title, ' https://x.example/', id))")
-    marked = x.select("id", fingerprint(title, F.col("disease_tag"), F.col("raw_location_text"), F.expr("concat('Source-', source_id % 3)")).alias("fingerprint"))
+    marked = x.select("id", fingerprint(title, F.col("disease_tag"), F.col("raw_location_text"), F.expr("concat('Source-', source_id % 3)")).alias("fingerprint")).persist()  # a short row a signal, for the counts and the join
     return marked.join(marked.groupBy("fingerprint").agg(F.count("*").alias("copies")), "fingerprint")

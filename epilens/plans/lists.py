@@ -199,7 +199,8 @@ def readiness() -> dict[str, Column]:
 def related_signals(t: Tables, anchors: DataFrame, top: int = 10) -> DataFrame:
     """(id, related ids) of anchors: the riskiest signals of the anchor's disease whose primary place is the anchor's, its child or its parent.
 
-    Signals are ranked within disease and place first, top + 1 kept, so an anchor meets no more than that for each place near it.
+    Signals are ranked within disease and place first, then over the places near one, top + 1 kept, so an anchor meets one
+    row. An id is one anchor.
     """
     order = F.struct((-F.col("threat_score")).alias("a"), (-F.unix_micros(F.col("published_at").cast("timestamp"))).alias("b"), (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("c"), (-F.col("id")).alias("d"))
     rows = t.signal.where("status <> 'noise'").select("id", F.lower("disease_tag").alias("d"), order.alias("o"))
@@ -209,9 +210,12 @@ def related_signals(t: Tables, anchors: DataFrame, top: int = 10) -> DataFrame:
     place = t.location.select(F.col("id").alias("place"), "parent_id")
     near = place.select("place", F.col("place").alias("location_id"))
     near = near.unionByName(place.where("parent_id is not null").select("place", F.col("parent_id").alias("location_id"))).unionByName(place.where("parent_id is not null").select(F.col("parent_id").alias("place"), F.col("place").alias("location_id")))
-    met = anchors.join(near, "place").join(placed.select("d", "location_id", F.col("id").alias("other"), "o"), ["d", "location_id"]).where("id <> other").select("id", "other", "o").distinct()
-    best = met.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("o", "other"))), 1, top).alias("top"))
-    return best.select("id", F.transform("top", lambda x: x["other"]).alias("related"))
+    # An anchor's list is its disease's and place's, less itself: one more than wanted is made once for each of these.
+    met = near.join(placed.select("d", "location_id", F.col("id").alias("other"), "o"), "location_id").select("d", "place", "other", "o").distinct()
+    met = met.withColumn("k", F.row_number().over(Window.partitionBy("d", "place").orderBy("o"))).where(F.col("k") <= top + 1)
+    best = met.groupBy("d", "place").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "other"))), lambda x: x["other"]).alias("tops"))
+    others = F.slice(F.filter("tops", lambda x: x != F.col("id")), 1, top)
+    return anchors.join(best, ["d", "place"]).select("id", others.alias("related")).where(F.size("related") > 0)
 
 
 _BRIEF = f"""CASE WHEN threat_score >= 70 THEN 'HIGH_RISK' WHEN related >= 3 THEN 'CLUSTERED' WHEN copies > 0 THEN 'DUPLICATES' ELSE 'ROUTINE' END"""

@@ -93,3 +93,14 @@ def test_fingerprints_are_made_once(spark, name):
     """The rows and their counts come from one kept table."""
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().withCachedData().toString()
     assert plan.count("InMemoryRelation") == 2
+
+
+def test_an_anchor_meets_one_row(spark):
+    """Related signals are chosen for a disease and place, not for an anchor: its rows are not grouped."""
+    from epilens.plans.lists import related_signals
+    from epilens.sources.adapter import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    anchors = t.signal.where("disease_tag <> ''").selectExpr("id", "lower(disease_tag) as d", "user_id % 25 as place")
+    plan = related_signals(t, anchors)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join Inner")]

@@ -104,3 +104,11 @@ def test_an_anchor_meets_one_row(spark):
     anchors = t.signal.where("disease_tag <> ''").selectExpr("id", "lower(disease_tag) as d", "user_id % 25 as place")
     plan = related_signals(t, anchors)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Join Inner")]
+
+
+def test_titles_travel_without_their_texts(spark):
+    """A signal that is looked up by its title carries no text."""
+    plan = catalog.QUERIES["existing_signal"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    texts = [line.replace("raw_location_text#", "") for line in plan]
+    texts = [line for line in texts if "text#" in line or "content#" in line]
+    assert texts and all(re.search(r"- (Project \[doc_id#|Filter |Relation \[doc_id#)", line) for line in texts)

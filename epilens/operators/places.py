@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epilens.functions.numeric import clamp, ladder
-from epilens.functions.text import WORD_START, first_of_each, strip
+from epilens.functions.text import first_of_each, starting, strip
 from epilens.registry import query
 from epilens.sources.adapter import Tables, sql
 
@@ -15,7 +15,7 @@ _NAME = r"[A-Z][A-Za-z0-9_-]+(?: [A-Z][A-Za-z0-9_-]+){0,4}"
 
 def candidates(rows: DataFrame, text: str, lead: str = "di", kinds: tuple[str, ...] = ("Kota", "Kabupaten", "Provinsi")) -> DataFrame:
     """rows with names: capitalised names after the lead word or an administrative word, distinct in any case, in pattern order."""
-    patterns = [rf"{WORD_START}{lead} +({k} {_NAME})" for k in kinds[:2]] + [rf"{WORD_START}{lead} +({_NAME})"] + [rf"{WORD_START}({k} {_NAME})" for k in kinds]
+    patterns = [rf"{starting(lead)} +({k} {_NAME})" for k in kinds[:2]] + [rf"{starting(lead)} +({_NAME})"] + [rf"({starting(k)} {_NAME})" for k in kinds]
     found = F.flatten(F.array(*[F.regexp_extract_all(F.col(text), F.lit(p), 1) for p in patterns]))
     items = F.filter(F.transform(found, lambda x: strip(x)), lambda x: F.length(x) >= 3)
     return first_of_each(rows, items, lambda x: F.lower(x), "names")

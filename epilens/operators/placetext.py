@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epilens.functions.numeric import ladder
-from epilens.functions.text import WORD_START, first_of_each, region_code, resolver_key, search_text, squeeze
+from epilens.functions.text import first_of_each, region_code, resolver_key, search_text, squeeze, starting
 from epilens.operators.gazetteer import JUNK, PROVINCE_ALIASES, RISK_WORDS, TOO_GENERAL, aliases, forms, validity
 from epilens.operators.phraseindex import leftmost_longest, mentions
 from epilens.operators.places import candidate_confidence, candidates
@@ -70,7 +70,7 @@ def _cut(c: Column, stops: list[str]) -> Column:
 
 def text_candidates(rows: DataFrame, text: str, leads: list[str] = LEADS, kinds: tuple[list[str], list[str]] = (["Kabupaten", r"Kab\.", "Kab", "Kota", "Provinsi"], ["Kecamatan", r"Kec\.", "Kelurahan", "Desa"]), stops: list[str] = STOPS) -> DataFrame:
     """rows with candidates: capitalised names after a lead word or with an administrative one, cut at stop words, of three characters and more, each once in its normal form."""
-    patterns = [rf"{WORD_START}(?:{'|'.join(leads)})[ \t\n\x0B\f\r]+({_NAME})", *[rf"{WORD_START}((?:{'|'.join(k)})[ \t\n\x0B\f\r]+{_NAME})" for k in kinds]]
+    patterns = [rf"{starting(*leads)}[ \t\n\x0B\f\r]+({_NAME})", *[rf"({starting(*k)}[ \t\n\x0B\f\r]+{_NAME})" for k in kinds]]
     found = F.flatten(F.array(*[F.regexp_extract_all(F.col(text), F.lit(p), 1) for p in patterns]))
     cut = F.filter(F.transform(found, lambda x: _cut(x, stops)), lambda x: F.length(x) >= 3)
     return first_of_each(rows, cut, spaced, "candidates")
@@ -136,8 +136,7 @@ def best_candidate_place(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pattern_place(text: Column, leads: list[str], kinds: list[str], calendar: list[str] = CALENDAR) -> Column:
     """The first capitalised name after lead and administrative word, after a lead word, or after an administrative word; cut at a calendar word, '' below three characters."""
     name = r"([A-Z][A-Za-z0-9_.-]+(?:\s+[A-Z][A-Za-z0-9_.-]+){0,4})"
-    lead, kind = "|".join(leads), "|".join(kinds)
-    patterns = [rf"{WORD_START}(?:{lead})\s+(?:{kind})\s+{name}", rf"{WORD_START}(?:{lead})\s+{name}", rf"{WORD_START}(?:{kind})\s+{name}"]
+    patterns = [rf"{starting(*leads)}\s+(?:{'|'.join(kinds)})\s+{name}", rf"{starting(*leads)}\s+{name}", rf"{starting(*kinds)}\s+{name}"]
     found = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns], F.lit(""))
     found = squeeze(F.regexp_replace(found, "^[ ,.;:()-]+|[ ,.;:()-]+$", ""))
     cut = F.trim(F.regexp_replace(found, rf"(?s){_B}(?:{'|'.join(calendar)})(?:[^A-Za-z0-9_].*)?\z", ""))

@@ -112,3 +112,34 @@ def test_titles_travel_without_their_texts(spark):
     texts = [line.replace("raw_location_text#", "") for line in plan]
     texts = [line for line in texts if "text#" in line or "content#" in line]
     assert texts and all(re.search(r"- (Project \[doc_id#|Filter |Relation \[doc_id#)", line) for line in texts)
+
+
+def test_texts_of_phrases_are_taken_apart_once(spark):
+    """The places of phrases as found by looking, each text read once; texts that share a key make no phrase together."""
+    from pyspark.sql import functions as F
+
+    from epilens.operators.phraseindex import mentions
+
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        reads.add(1)
+        return text
+
+    texts = [(1, "a b a b c"), (2, "!b"), (2, "x B a"), (3, "c, c & C"), (4, ""), (5, "a a a a"), (6, "q b c dan")]
+    phrases = ["a b", "b a", "a", "c dan c", "a a a", "b x", "zz a", "q b c dan", "a b c"]
+    rows = spark.createDataFrame(texts, "k long, t string").repartition(1).select("k", read("t").alias("t"))
+    got = {tuple(r) for r in mentions(rows, spark.createDataFrame([(p,) for p in phrases], "form string"), "k", "t").select("k", "form", "start", "end").collect()}
+    want = set()
+    for k, t in texts:
+        w = re.sub("[^a-z0-9]+", " ", t.lower().replace("&", " dan ")).strip().split(" ")
+        want |= {(k, p, i, i + len(p.split(" "))) for p in phrases for i in range(len(w)) if w[i : i + len(p.split(" "))] == p.split(" ")}
+    assert got == want and reads.value == len(texts)
+
+
+@pytest.mark.parametrize("name", ["place_candidates", "place_names_in_text", "place_by_pattern", "text_to_place"])
+def test_names_are_sought_by_their_first_letters(spark, name):
+    """The look back stands behind the words, so that most places are passed over by a letter."""
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?<=(?<![A-Za-z0-9_])" in plan and not re.search(r"regexp_extract[^ ]*\([a-z]+#\d+, \(\?<!", plan)

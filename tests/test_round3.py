@@ -143,3 +143,24 @@ def test_names_are_sought_by_their_first_letters(spark, name):
     """The look back stands behind the words, so that most places are passed over by a letter."""
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "(?<=(?<![A-Za-z0-9_])" in plan and not re.search(r"regexp_extract[^ ]*\([a-z]+#\d+, \(\?<!", plan)
+
+
+def test_texts_of_needles_are_cut_twice(spark):
+    """Needles as found by looking; a text is read for the vocabulary, for its tokens, and for needles of several tokens."""
+    from pyspark.sql import functions as F
+
+    from epilens.operators.phraseindex import needles_in
+
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        reads.add(1)
+        return text
+
+    texts = [(1, "Flu burung, H5N1!"), (2, "aflu # b"), (3, "x...y é né 1.5"), (4, ""), (5, None), (6, "a . #b; #"), (7, "İnfluenza ab"), (8, "...")]
+    needles = ["flu", "flu burung", "#", ". #", "...", "é", "né", "a", "n1", "b; #", "h5n1!", "q", "fl", ";"]
+    rows = spark.createDataFrame(texts, "k long, t string").repartition(1).select("k", read("t").alias("t"))
+    got = sorted(tuple(r) for r in needles_in(rows, spark.createDataFrame([(n,) for n in needles], "needle string"), "k", "t").collect())
+    assert got == sorted((k, n) for k, t in texts for n in needles if n in (t or "").lower())
+    assert reads.value == 3 * len(texts)

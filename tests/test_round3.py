@@ -164,3 +164,16 @@ def test_texts_of_needles_are_cut_twice(spark):
     got = sorted(tuple(r) for r in needles_in(rows, spark.createDataFrame([(n,) for n in needles], "needle string"), "k", "t").collect())
     assert got == sorted((k, n) for k, t in texts for n in needles if n in (t or "").lower())
     assert reads.value == 3 * len(texts)
+
+
+@pytest.mark.parametrize("marks", ["#;.", "#;.:!?%&/()=+*-_<>|~"])
+def test_texts_are_cut_into_marks_only_for_many(spark, marks):
+    """A few marks are looked for; for many, texts are cut into theirs. Both find what is there."""
+    from epilens.operators.phraseindex import needles_in
+
+    texts = [(1, "a; b... (c)"), (2, ""), (3, "x & y #1 | ~"), (4, "no marks"), (5, "+-_:!?%/=*<>")]
+    needles = [*marks, "; b", ". ", "no"]
+    df = needles_in(spark.createDataFrame(texts, "k long, t string"), spark.createDataFrame([(n,) for n in needles], "needle string"), "k", "t")
+    assert sorted(map(tuple, df.collect())) == sorted({(k, n) for k, t in texts for n in needles if n.strip() and n in t})
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert (r"[a-z0-9\s]+" in plan) == (len(marks) > 16) and "regexp_extract_all(lower" not in plan

@@ -20,32 +20,48 @@ ENTITIES = [("&nbsp;", " "), ("&#160;", " "), ("&quot;", '"'), ("&#39;", "'"), (
 _JSONLD = "array<struct<articleBody:string,description:string,headline:string,`@graph`:array<struct<articleBody:string,description:string,headline:string>>>>"
 
 
-def meta(html: Column, *names: str) -> Column:
+def meta_tags(html: Column) -> Column:
+    """The meta elements of a page, in order."""
+    return F.regexp_extract_all(html, F.lit(r"(?is)(<meta\s[^>]*>)"), 1)
+
+
+def meta(tags: Column, *names: str) -> Column:
     """The content of the first of the named meta elements that has one, property before name; ''."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<meta\s[^>]*>)"), 1)
     found = []
     for name in names:
         for attribute in ("property", "name"):
             pattern = rf"(?i)\s{attribute}=.{name}."
             tag = F.get(F.filter(tags, lambda t: t.rlike(pattern)), F.lit(0))  # noqa: B023
-            found.append(F.nullif(squeeze(unescape(F.regexp_extract(tag, r"(?is)\scontent=\"([^\"]*)\"", 1))), F.lit("")))
-    return F.coalesce(*found, F.lit(""))
+            found.append(F.regexp_extract(tag, r"(?is)\scontent=\"([^\"]*)\"", 1))
+    plain = F.transform(F.array(*found), lambda c: squeeze(unescape(c)))
+    return F.coalesce(F.get(F.filter(plain, lambda c: c != ""), F.lit(0)), F.lit(""))
 
 
-def canonical_url(html: Column) -> Column:
+def canonical_url(html: Column, tags: Column) -> Column:
     link = F.regexp_extract(html, r"(?is)(<link\s[^>]*rel=\"canonical\"[^>]*>)", 1)
-    return F.coalesce(F.nullif(meta(html, "og:url"), F.lit("")), F.regexp_extract(link, r"(?is)\shref=\"([^\"]*)\"", 1))
+    return F.coalesce(F.nullif(meta(tags, "og:url"), F.lit("")), F.regexp_extract(link, r"(?is)\shref=\"([^\"]*)\"", 1))
 
 
-def jsonld_text(html: Column) -> Column:
-    """articleBody, description and headline of all JSON-LD items, those of the page's scripts first, then of their graphs; broken scripts count for nothing."""
+def jsonld_items(html: Column) -> Column:
+    """The items of a page's JSON-LD scripts; broken scripts count for nothing."""
     scripts = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*type=\"application/ld\+json\"[^>]*>(.*?)</script>"), 1)
-    items = F.flatten(F.filter(F.transform(scripts, lambda s: F.from_json(F.trim(s), _JSONLD)), lambda x: x.isNotNull()))
+    return F.flatten(F.filter(F.transform(scripts, lambda s: F.from_json(F.trim(s), _JSONLD)), lambda x: x.isNotNull()))
+
+
+def jsonld_text(items: Column) -> Column:
+    """articleBody, description and headline of all JSON-LD items, those of the page's scripts first, then of their graphs."""
     said = lambda xs: F.flatten(F.transform(xs, lambda x: F.array(x["articleBody"], x["description"], x["headline"])))
     graphs = F.flatten(F.filter(F.transform(items, lambda x: x["@graph"]), lambda g: g.isNotNull()))
     return squeeze(F.array_join(F.filter(F.concat(said(items), said(graphs)), lambda t: t.isNotNull() & (t != "")), " "))
 
 
+def without_dropped(html: Column) -> Column:
+    """The page without the elements that have no article text, one kind after the other."""
+    for tag in DROPPED:
+        html = F.regexp_replace(html, rf"(?is)<{tag}[ >].*?</{tag}>", " ")
+    return html
+
+
 def inside(pieces: Column, mark: str, limit: int) -> Column:
     """The pieces of a page within the outermost of its first `limit` marked elements, each up to where it closes.
 
@@ -77,11 +93,10 @@ def with_article(rows: DataFrame, html: str, limit: int = 18000) -> DataFrame:
     characters. A page without any of these is taken whole. An unclosed paragraph ends at the next one.
     """
     page = F.col(html)
-    x = rows.withColumns({"title": meta(page, "og:title", "twitter:title"), "description": meta(page, "og:description", "description", "twitter:description"), "canonical_url": canonical_url(page), "jsonld": jsonld_text(page)})
-    clean = page
-    for tag in DROPPED:
-        clean = F.regexp_replace(clean, rf"(?is)<{tag}[ >].*?</{tag}>", " ")
-    x = x.withColumn("_clean", clean)
+    # Elements and scripts are columns of their own: within coalesce and lambdas they would be sought for each use.
+    x = rows.withColumns({"_tags": meta_tags(page), "_items": jsonld_items(page), "_clean": without_dropped(page)})
+    tags = F.col("_tags")
+    x = x.withColumns({"title": meta(tags, "og:title", "twitter:title"), "description": meta(tags, "og:description", "description", "twitter:description"), "canonical_url": canonical_url(page, tags), "jsonld": jsonld_text(F.col("_items"))})
     kind = lambda t: F.lower(F.regexp_extract(t, rf"(?i)^</?({_PARTS})[\s>/]", 1))
     mark = lambda c, name: F.when(c, 1).otherwise(0).alias(name)
     part = lambda t: F.struct(kind(t).alias("kind"), F.when(F.startswith(t, F.lit("</")), -1).otherwise(1).alias("step"), mark(t.rlike(r"(?i)^<article[\s>/]"), "article"), *(mark(t.rlike(_NAMED.format(a)), a) for a in ("class", "id")), t.alias("text"))
@@ -92,7 +107,7 @@ def with_article(rows: DataFrame, html: str, limit: int = 18000) -> DataFrame:
     x = x.withColumn("_pieces", F.split(scope, r"(?i)<(?:p|li)(?:\s[^>]*)?>"))
     text = lambda t: squeeze(unescape(F.regexp_replace(F.regexp_replace(t, r"(?is)</(?:p|li|article|div|section|main|ul|ol)>.*\z", ""), "<[^>]*>", " ")))
     kept = F.filter(F.transform(F.slice("_pieces", F.lit(2), F.size("_pieces")), text), lambda t: (F.length(t) >= 35) & ~any_of(F.lower(t), BOILERPLATE))
-    x = first_of_each(x, kept, lambda t: F.left(F.lower(t), F.lit(140)), "paragraphs").drop("_clean", "_parts", "_article", "_class", "_id", "_pieces")
+    x = first_of_each(x, kept, lambda t: F.left(F.lower(t), F.lit(140)), "paragraphs").drop("_tags", "_items", "_clean", "_parts", "_article", "_class", "_id", "_pieces")
     whole = squeeze(F.concat_ws(" ", "title", "description", "jsonld", F.array_join("paragraphs", " ")))
     return x.withColumn("article_text", F.left(whole, F.lit(limit)))
 

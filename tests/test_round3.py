@@ -177,3 +177,13 @@ def test_texts_are_cut_into_marks_only_for_many(spark, marks):
     assert sorted(map(tuple, df.collect())) == sorted({(k, n) for k, t in texts for n in needles if n.strip() and n in t})
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert (r"[a-z0-9\s]+" in plan) == (len(marks) > 16) and "regexp_extract_all(lower" not in plan
+
+
+def test_meta_elements_are_sought_once(spark, both):
+    """A page is gone through once for its meta elements; the first that has a content counts, property before name."""
+    pages = ['<meta name="og:title" content="By name"><meta property="og:title" content="   ">', '<meta name="description" content="d &amp; e"><META property=\'og:description\' content="f  g">', '<meta property="twitter:title" content="t"><meta property="og:title"><meta property="og:title" content="second">', ""]
+    rows = [(4 * i + k, "u", p) for i, p in enumerate(pages) for k in range(4)]
+    got, want = both("article_extract", pages=(rows, "page_id long, url string, html string"))
+    assert got == want
+    plan = catalog.QUERIES["article_extract"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"<meta\s[^>]*>") == 1

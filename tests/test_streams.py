@@ -46,3 +46,14 @@ def test_late_and_repeated_events(spark):
     alert_stream(spark, source, log, state, late="60 days")
     want = contributions(events.unionByName(more.where("event_id >= 100000")))
     assert rows(log.totals()) == rows(merged(want))
+
+
+def test_a_feed_is_delivered_in_one_pass(spark):
+    """All its files come from one write, each with its events."""
+    spark.sparkContext.setJobGroup("delivered", "")
+    path = delivered(spark, SF)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("delivered")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    feed, events = spark.read.parquet(path), spark.read.schema(SCHEMA).parquet(f"{SF}/events.parquet")
+    assert len(feed.inputFiles()) == 4 and len(jobs) < 4
+    assert rows(feed) == rows(events.unionByName(events.where("event_id % 7 = 0")))

@@ -14,14 +14,16 @@ from epilens.sources.adapter import Tables, r2, sql
 def cluster_rows(t: Tables, signals: DataFrame) -> DataFrame:
     """signals with cluster_key; the place is the first link's (primary first, newest), else the raw text.
 
-    One link is chosen before anything is grouped, so a signal with two primary links counts once.
+    One link is chosen before anything is grouped, so a signal with two primary links counts once. The key's parts are made
+    below the join, the places' once for each place: above it they and the join are too much code for one compiled method.
     """
-    place = t.location.select(F.col("id").alias("location_id"), F.col("name").alias("place"))
-    first = t.link.join(place, "location_id").groupBy(F.col("signal_id").alias("id")).agg(F.min_by("place", F.struct(~F.col("is_primary"), -F.unix_micros(F.col("created_at").cast("timestamp")), "slot")).alias("place"))
-    x = signals.join(first, "id", "left").withColumn("place", F.expr("coalesce(place, nullif(raw_location_text, ''))"))
+    place = t.location.select(F.col("id").alias("location_id"), F.struct(F.col("name").alias("place"), slug(F.coalesce("name", F.lit("")), "unknown-location").alias("slug")).alias("_at"))
+    first = t.link.join(place, "location_id").groupBy(F.col("signal_id").alias("id")).agg(F.min_by("_at", F.struct(~F.col("is_primary"), -F.unix_micros(F.col("created_at").cast("timestamp")), "slot")).alias("_at"))
+    x = signals.withColumns({"_disease": slug(F.coalesce("disease_tag", F.lit("")), "unknown-disease"), "_raw": slug(F.coalesce("raw_location_text", F.lit("")), "unknown-location")})
+    x = x.join(first, "id", "left").withColumn("place", F.expr("coalesce(_at.place, nullif(raw_location_text, ''))"))
     day = F.coalesce(F.date_format("published_at", "yyyy-MM-dd"), F.lit("unknown_date"))
-    key = F.concat_ws("|", slug(F.coalesce("disease_tag", F.lit("")), "unknown-disease"), slug(F.coalesce("place", F.lit("")), "unknown-location"), day)
-    return x.withColumn("cluster_key", key).withColumn("day_utc", F.to_date("published_at"))
+    key = F.concat_ws("|", "_disease", F.when(F.col("_at.place").isNull(), F.col("_raw")).otherwise(F.col("_at.slug")), day)
+    return x.withColumn("cluster_key", key).withColumn("day_utc", F.to_date("published_at")).drop("_at", "_disease", "_raw")
 
 
 def clusters(rows: DataFrame) -> DataFrame:

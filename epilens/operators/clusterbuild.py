@@ -87,11 +87,13 @@ class ClusterStore:
         fresh = fresh.groupBy("id").agg(F.max(value).alias("v")).select("id", "v.*")
         known = held.select("id", F.col("cluster_key").alias("was_key"), F.struct(*_MEMBER[1:]).alias("was"), F.col("day_utc").alias("was_day_utc"))
         x = fresh.join(known, "id", "left")
-        assigned = x.where(F.col("status").isin(ASSIGNED))
-        assigned = assigned.where("was_key is null") if only_empty else assigned
-        assigned = assigned if limit is None else assigned.orderBy(F.desc("published_at"), F.desc("id")).limit(limit)
-        stays = x.where(~F.coalesce(F.col("status").isin(ASSIGNED), F.lit(False)) & F.col("was_key").isNotNull()).withColumns({"cluster_key": F.col("was_key"), "day_utc": F.col("was_day_utc")})
-        delta = (assigned if only_empty else assigned.unionByName(stays)).where(F.col("was").isNull() | ~F.struct(*_MEMBER[1:]).eqNullSafe(F.col("was")))
+        assigned = F.coalesce(F.col("status").isin(ASSIGNED), F.lit(False))
+        takes = assigned & F.col("was_key").isNull() if only_empty else assigned
+        stays = ~assigned & F.col("was_key").isNotNull() & F.lit(not only_empty)
+        # One pass over the join; only a limit, which must order what is assigned, makes it two.
+        x = x.where(takes | stays) if limit is None else x.where(takes).orderBy(F.desc("published_at"), F.desc("id")).limit(limit).unionByName(x.where(stays))
+        x = x.withColumns({c: F.when(takes, F.col(c)).otherwise(F.col(was)) for c, was in (("cluster_key", "was_key"), ("day_utc", "was_day_utc"))})
+        delta = x.where(F.col("was").isNull() | ~F.struct(*_MEMBER[1:]).eqNullSafe(F.col("was")))
         name = "dry" if dry_run else "delta"
         delta.select(*_MEMBER, "was_key", "changed_at").write.mode("overwrite").parquet(f"{self.path}/{name}/build={number}")
         delta = self.spark.read.parquet(f"{self.path}/{name}/build={number}")
@@ -151,9 +153,16 @@ def change_feed(t: Tables) -> DataFrame:
 _LEFT = "(SELECT * REPLACE (CASE WHEN status = 'noise' THEN 'Early' ELSE disease_tag END AS disease_tag, CASE WHEN status = 'noise' THEN published_at - INTERVAL 1 DAY ELSE published_at END AS published_at) FROM signal WHERE status <> 'noise' OR id % 3 = 0)"
 
 
+def kept_feed(t: Tables, path: str) -> DataFrame:
+    """The feed, written once: a folder for each instant of change, of which there are five, so that a build opens what it takes."""
+    feed = change_feed(t).select(*_MEMBER, "published_at", "changed_at")
+    feed.write.partitionBy("changed_at").parquet(path)
+    return t.spark.read.schema(feed.schema).parquet(path)
+
+
 def built(t: Tables, path: str, builds: int = 5) -> ClusterStore:
     """A store after builds over the feed as it grows, one an hour."""
-    store, feed = ClusterStore.create(t.spark, path), change_feed(t)
+    store, feed = ClusterStore.create(t.spark, path), kept_feed(t, folder(t.spark))
     for k in range(builds):
         store.build(k, feed.where(F.col("changed_at") <= F.expr(f"timestamp_ntz'{AS_OF}' + interval {k} hours")))
     return store

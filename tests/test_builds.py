@@ -3,8 +3,10 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+from epilens.functions.text import slug
 from epilens.operators.clusterbuild import ClusterStore, built, change_feed
 from epilens.sources.adapter import AS_OF, Tables
 from epilens.sources.files import folder
@@ -104,3 +106,29 @@ def test_options(spark):
     store.build(4, all_rows.where("id = 0"), reset=True)
     assert store.clusters().count() == 0 and store.mark() is None
     assert summary(store.build(5, signals(spark, (7, "a", "2024-02-01", "validated", 1, 0)))) == (1, 1, 0, 0)
+
+
+def test_builds_open_what_changed(spark, monkeypatch):
+    """No build derives the feed from the tables again, and each opens only the folders of its hours."""
+    fed, build = [], ClusterStore.build
+    monkeypatch.setattr(ClusterStore, "build", lambda self, number, rows, **options: (fed.append(rows), build(self, number, rows, **options))[1])
+    built(Tables(spark, SF), folder(spark), 2)
+    assert len(fed) == 2 and not any("events" in f for x in fed for f in x.inputFiles())
+    assert all("PartitionFilters: [isnotnull(changed_at" in x._jdf.queryExecution().executedPlan().toString() for x in fed)
+
+
+def test_a_build_takes_its_rows_once(spark, monkeypatch):
+    """What is assigned and what stays come from one pass over the rows."""
+    plans, parquet = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *args, **options: (plans.append((path, self._df._jdf.queryExecution().optimizedPlan().toString())), parquet(self, path, *args, **options))[1])
+    store = ClusterStore.create(spark, folder(spark))
+    rows = signals(spark, *[(i, "a", "2024-01-01", "noise" if i % 3 == 0 else "raw", i, 1) for i in range(30)])
+    store.build(0, rows.withColumn("status", F.lit("raw")))
+    assert summary(store.build(1, rows.withColumn("threat_score", F.lit(7)))) == (29, 0, 1, 0)
+    assert [plan.count("max(struct(changed_at") for path, plan in plans if "/delta/" in path] == [1, 1]
+
+
+def test_slugs_of_odd_texts(spark):
+    want = {"place 12": "place-12", " \t_-Á b\n--c_ ": "a-b-c", "İstanbul/日本 ſ": "istanbul", "a日b": "ab", "_": "none", "\u00a0": "none", "": "none", None: "none", "a - b": "a-b", "x\n": "x", "- a": "a"}
+    got = spark.createDataFrame([(c,) for c in want], "c string").select("c", slug(F.col("c"), "none").alias("s")).collect()
+    assert {r.c: r.s for r in got} == want

@@ -160,9 +160,9 @@ def kept_feed(t: Tables, path: str) -> DataFrame:
     return t.spark.read.schema(feed.schema).parquet(path)
 
 
-def built(t: Tables, path: str, builds: int = 5) -> ClusterStore:
+def built(t: Tables, path: str, builds: int = 5, feed: DataFrame | None = None) -> ClusterStore:
     """A store after builds over the feed as it grows, one an hour."""
-    store, feed = ClusterStore.create(t.spark, path), kept_feed(t, folder(t.spark))
+    store, feed = ClusterStore.create(t.spark, path), kept_feed(t, folder(t.spark)) if feed is None else feed
     for k in range(builds):
         store.build(k, feed.where(F.col("changed_at") <= F.expr(f"timestamp_ntz'{AS_OF}' + interval {k} hours")))
     return store
@@ -178,7 +178,8 @@ def cluster_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members by day of a store that was built, put together in another folder, and built on."""
     t = Tables(spark, sf_dir)
-    store = built(t, folder(spark), 2).compact(folder(spark))
-    store.build(1, change_feed(t), limit=100)
-    store.build(2, change_feed(t))
+    feed = kept_feed(t, folder(spark))
+    store = built(t, folder(spark), 2, feed).compact(folder(spark))
+    store.build(1, feed, limit=100)
+    store.build(2, feed)
     return store.members().groupBy("day").agg(F.count("*").alias("members"), F.countDistinct("cluster_key").alias("clusters"), F.sum("id").alias("ids"))

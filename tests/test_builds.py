@@ -7,6 +7,7 @@ from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from epilens.functions.text import slug
+from epilens.operators import clusterbuild
 from epilens.operators.clusterbuild import ClusterStore, built, change_feed
 from epilens.sources.adapter import AS_OF, Tables
 from epilens.sources.files import folder
@@ -128,6 +129,13 @@ def test_a_build_takes_its_rows_once(spark, monkeypatch):
     assert [plan.count("max(struct(changed_at") for path, plan in plans if "/delta/" in path] == [1, 1]
 
 
+def test_members_derive_the_feed_once(spark, monkeypatch):
+    """Four builds in two stores take their changes from one written feed."""
+    made, feed = [], clusterbuild.change_feed
+    monkeypatch.setattr(clusterbuild, "change_feed", lambda t: (made.append(t), feed(t))[1])
+    assert clusterbuild.cluster_members(spark, SF).count() > 0 and len(made) == 1
+
+
 def test_slugs_of_odd_texts(spark):
     want = {"place 12": "place-12", " \t_-Á b\n--c_ ": "a-b-c", "İstanbul/日本 ſ": "istanbul", "a日b": "ab", "_": "none", "\u00a0": "none", "": "none", None: "none", "a - b": "a-b", "x\n": "x", "- a": "a"}
     got = spark.createDataFrame([(c,) for c in want], "c string").select("c", slug(F.col("c"), "none").alias("s")).collect()
